@@ -98,20 +98,19 @@ class WordHasher:
         return np.array(out, dtype=np.uint64)
 
 
-#: Odd multipliers of the five places of a shingle.
-_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: Odd multipliers, one for each place of a shingle, and what is added at each place.
+_TIMES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_PLUS = mix64(np.arange(101, 165, dtype=np.uint64))
 
 
 def shingle_hashes(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of all runs of `width` words in order; fewer words make one run, none makes none."""
     n = len(word_hashes)
-    if n == 0:
-        return np.zeros(0, dtype=np.uint64)
-    width_here = min(width, n)
-    total = np.zeros(n - width_here + 1, dtype=np.uint64)
-    for j in range(width_here):
-        total += mix64(word_hashes[j : n - width_here + 1 + j] + _PLACES[j % 5] * np.uint64(j + 1))* _PLACES[(j + 2) % 5]
-    return mix64(total + np.uint64(width_here))
+    width = min(width, n)
+    total = np.full(max(0, n - width + 1) if n else 0, width, dtype=np.uint64)
+    for j in range(width):
+        total += mix64(word_hashes[j : n - width + 1 + j] + _PLUS[j]) * _TIMES[j]
+    return mix64(total)
 
 
 def slices(batches: Iterator, column: str, budget: int = 4_000_000) -> Iterator:

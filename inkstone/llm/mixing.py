@@ -110,10 +110,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     chosen = blocks.withColumn("length", length).withColumn("upto", F.sum("length").over(seeded))
     chosen = chosen.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), F.col("block").alias("_block"), F.least(F.col("length"), F.col("rest") - F.col("upto") + F.col("length")).alias("got")).filter("got > 0")
     pieces = placed.filter("size > 0 and rest > 0").select("doc_id", "_copy", "source", "shard", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("block"))
-    hit = pieces.join(chosen, pieces["source"].eqNullSafe(chosen["_source"]) & (pieces["shard"] == chosen["_shard"]) & (pieces["block"] == chosen["_block"]))
+    # both sides grow with the corpus: never broadcast
+    hit = pieces.join(chosen.hint("merge"), pieces["source"].eqNullSafe(chosen["_source"]) & (pieces["shard"] == chosen["_shard"]) & (pieces["block"] == chosen["_block"]))
     overlap = F.greatest(F.lit(0), F.least(F.col("end"), F.col("block") * block + F.col("got")) - F.greatest(F.col("start"), F.col("block") * block))
     extra = hit.groupBy("doc_id", "_copy", "source").agg(F.sum(overlap).alias("extra"))
     p, x = placed.alias("p"), extra.alias("x")
     on = F.col("p.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("p._copy") == F.col("x._copy")) & F.col("p.source").eqNullSafe(F.col("x.source"))
     taken = (F.col("p.size") * F.col("p.whole") + F.coalesce(F.col("x.extra"), F.lit(0))).cast("long")
-    return p.join(x, on, "left").select("p.doc_id", "p.source", "p.size", "p.source_size", "p.target", taken.alias("taken"))
+    return p.join(x.hint("merge"), on, "left").select("p.doc_id", "p.source", "p.size", "p.source_size", "p.target", taken.alias("taken"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_texts
 from .common import table
 from .mixing import mix
+from .neardup import near_duplicates
 from .quality import quality_rules
 
 
@@ -23,6 +24,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +35,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_source_mix": op6_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {}
