@@ -13,8 +13,9 @@ from .common import WordHasher, keep, mix64, shingle_hashes, slices, words_of
 from .components import connect
 
 BANDS, ROWS, BITS = 40, 5, 512
+#: Bits of the parity bitmap of a whole set, and the most node ids that are broadcast (8 bytes each).
+SET_BITS, MOST_BROADCAST = 1024, 1_000_000
 _SAMPLES = BANDS * ROWS
-_WORDS = BITS // 64
 
 
 def _permutations(seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +41,13 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     place = mix64(samples.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
     at = (np.arange(n, dtype=np.int64)[:, None] * BITS + place.astype(np.int64)).ravel()
     parity = (np.bincount(at, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
-    return np.packbits(parity, axis=1).view(np.int64).reshape(n, _WORDS)
+    return np.packbits(parity, axis=1).view(np.int64).reshape(n, BITS // 64)
+
+
+def set_parity(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the set itself; two sets differ in at least as many elements as their bitmaps in bits."""
+    at = (shingles >> np.uint64(20)) % np.uint64(SET_BITS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=SET_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -69,7 +76,7 @@ def _signatures(batches: Iterator) -> Iterator:
     hashed, (a, b) = WordHasher(), _permutations()
     for batch in slices(batches, "text", 2_000_000):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        sizes, digests, samples, filled = [], [], [], []
+        sizes, digests, samples, filled, parities = [], [], [], [], []
         for k, text in enumerate(texts):
             words = words_of(text, lower=True)
             sizes.append(0)
@@ -79,6 +86,7 @@ def _signatures(batches: Iterator) -> Iterator:
                 digest = xxhash.xxh3_128_intdigest(found.tobytes())
                 digests[k] = ((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63))
                 samples.append(minhashes(found, a, b))
+                parities.append(set_parity(found))
                 filled.append(k)
                 sizes[k] = len(found)
             elif words:
@@ -86,7 +94,8 @@ def _signatures(batches: Iterator) -> Iterator:
         sketches, bands = [None] * len(ids), [None] * len(ids)
         if filled:
             matrix = np.stack(samples)
-            for k, s, t in zip(filled, odd_sketches(matrix).tolist(), band_keys(matrix).tolist()):
+            whole = np.hstack((odd_sketches(matrix), np.stack(parities)))
+            for k, s, t in zip(filled, whole.tolist(), band_keys(matrix).tolist()):
                 sketches[k], bands[k] = s, t
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "s1": pa.array([x for x, _ in digests], pa.int64()), "s2": pa.array([x for _, x in digests], pa.int64()),
@@ -120,28 +129,34 @@ def _confirm(percent: int):
     return run
 
 
-def _differing(x: str, y: str) -> Column:
-    total = F.bit_count(F.col(f"{x}.sketch")[0].bitwiseXOR(F.col(f"{y}.sketch")[0]))
-    for i in range(1, _WORDS):
-        total = total + F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i]))
-    return total
+def _differing(x: str, y: str, start: int, bits: int) -> Column:
+    """Bits in which the words from start on of two nodes' bitmaps differ."""
+    words = [F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(start, start + bits // 64)]
+    return sum(words[1:], words[0])
 
 
 def _close(x: str, y: str, percent: int, slack: float) -> Column:
-    """Whether two nodes can reach the similarity: sizes by arithmetic, content by the sketches' estimate."""
+    """Whether two nodes can reach the similarity.
+
+    First by the MinHash odd sketches' estimate, less slack; then by a bound that loses nothing: sets with n + m elements that
+    differ in d or more reach (n + m - d) / (n + m + d) at most, and d is at least the bits that their set parities differ in.
+    """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_differing(x, y) <= most_differing_bits(percent / 100, slack))
+    estimate = _differing(x, y, 0, BITS) <= most_differing_bits(percent / 100, slack)
+    apart = _differing(x, y, BITS // 64, SET_BITS)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & estimate & (100 * (n + m - apart) >= percent * (n + m + apart))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.18) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.16) -> DataFrame:
     """Groups of near copies among (doc_id, text): one row per row of docs.
 
     1. Each text's set of 5-word shingles gives 200 MinHash samples; 40 bands of 5 are the candidate keys and an odd
        sketch of 512 parity bits folds them all. Equal sets are one node, named by its smallest doc_id, so groups of
        exact copies, however large, go on as one row. A link of similarity 0.75 shares no band once in 50,000.
     2. In every bucket all members are compared with the bucket's smallest member only. Pairs whose sketches
-       differ in more bits than similarity - slack allows are out (slack is about five standard errors); for each
-       node the pair with the closest sketches is confirmed first, on full sets.
+       differ in more bits than similarity - slack allows are out (slack is over four standard errors); for each
+       node the pair with the closest sketches is confirmed first, on full sets. A parity bitmap of the whole set
+       adds a bound that loses no link, so that pairs just below the similarity don't pile up.
     3. Confirmed links join components. Pairs that would join two components are confirmed in turn, then pairs of
        other members of a bucket that lie in different components, until nothing new is left. So no link
        between components goes unchecked, and a group of near copies costs its size, not its square.
@@ -163,11 +178,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.18) ->
     shared = keep(banded.join(hubs, "key"), "buckets")
     pairs = shared.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     p = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
-    pool = keep(p.filter(_close("x", "y", percent, slack)).select("a", "b", _differing("x", "y").alias("bits")), "pool")
+    pool = keep(p.filter(_close("x", "y", percent, slack)).select("a", "b", _differing("x", "y", 0, BITS).alias("bits")), "pool")
 
     def confirmed(some: DataFrame) -> DataFrame:
         """a, b, linked of each pair, by the exact sizes of intersection and union."""
         needed = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+        needed = keep(needed, "needed")
+        if needed.count() <= MOST_BROADCAST:  # 8 MB of ids; beyond that the texts are shuffled to them
+            needed = F.broadcast(needed)
         d = docs.filter("doc_id is not null and text is not null")
         sets = d.join(needed, d["doc_id"] == needed["node"]).select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"])
         sets = keep(sets, "sets")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_texts
 from .common import table
+from .linededup import line_report
 from .mixing import mix
 from .neardup import near_duplicates
 from .quality import quality_rules
@@ -32,10 +33,15 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_source_mix": op6_source_mix,
+    "op8_line_dedup": op8_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
