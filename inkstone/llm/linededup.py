@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD_PATTERN, keep
 
-#: The most pairs whose line numbers are broadcast.
+#: The most line numbers that are broadcast.
 MOST_BROADCAST = 500_000
 
 
@@ -26,8 +26,12 @@ def banded_distance(x: Column, y: Column, most: int) -> Column:
     """
     mask, top = (1 << (2 * most + 1)) - 1, 1 << (2 * most)
     lit = lambda v: F.lit(v).cast("long")
-    p, t = F.split(x, ""), F.split(y, "")
-    m, n = F.length(x), F.length(y)
+    # a lambda variable keeps the split texts from being cut anew at every step
+    held = F.array(F.struct(F.split(x, "").alias("p"), F.split(y, "").alias("t"), F.length(x).alias("m"), F.length(y).alias("n")))
+    return F.element_at(F.transform(held, lambda z: _band(z["p"], z["t"], z["m"], z["n"], most, mask, top, lit)), 1)
+
+
+def _band(p: Column, t: Column, m: Column, n: Column, most: int, mask: int, top: int, lit) -> Column:
     start = F.struct(lit(mask ^ ((1 << most) - 1)).alias("vp"), lit(0).alias("vn"), lit(most).alias("dist"))
 
     def step(s: Column, i: Column) -> Column:
@@ -57,6 +61,21 @@ def banded_distance(x: Column, y: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, both, lambda s: s["dist"])
 
 
+#: Characters whose counts are compared before two lines are paired.
+COUNTED = "etaoinshrdlu0123"
+
+
+def counts_of(line: Column) -> Column:
+    """How often each counted character occurs."""
+    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
+
+
+def counts_allow(x: str, y: str, most: int) -> Column:
+    """An edit changes two counts by one at most, so counts that differ by more than twice the edits rule a pair out."""
+    apart = [F.abs(F.col(f"{x}.counts")[i] - F.col(f"{y}.counts")[i]) for i in range(len(COUNTED))]
+    return sum(apart[1:], apart[0]) <= 2 * most
+
+
 def segment_keys(line: Column, length: Column, most: int) -> tuple[list[Column], list[Column]]:
     """Keys under which a line is filed, and those under which it looks for lines of its own length or up to `most` shorter.
 
@@ -95,7 +114,9 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
        that a third of the corpus repeats is one row.
     2. Distinct lines are filed and sought under segment keys (segment_keys); the join's partner must differ and be at most
        most_edits longer or shorter, which the keys imply.
-    3. Pairs are verified on the texts by a banded bit-parallel edit distance; the later line of a pair goes.
+    3. Only rows whose key another row shares go on, with counts of characters that rule most pairs out inside the join. Each is
+       compared with the first line of its key; those that go are not compared again, the others with all earlier lines of the key.
+    4. Pairs are verified on the texts by a banded bit-parallel edit distance; the later line of a pair goes.
 
     Lines without a word are never judged. Null or empty texts have no lines; rows without doc_id take no part.
     Rows that share a doc_id are one document: their lines of the same number and text count once. Extra columns are ignored.
@@ -113,24 +134,32 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
     met = Window.partitionBy("key")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(met)).withColumn("f", F.count_if("filed").over(met)).filter("n > 1 and f > 0").drop("n", "f")
     rows = keep(rows, "segments")  # only rows whose key another row has too
-    x, y = rows.filter("filed").alias("x"), rows.alias("y")
-    other = (F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.line_no") != F.col("y.line_no"))
-    once = ~F.col("y.filed") | (F.col("x.doc_id") < F.col("y.doc_id")) | ((F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.line_no") < F.col("y.line_no")))
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & other & once)
-    one, two = F.struct("x.doc_id", "x.line_no"), F.struct("y.doc_id", "y.line_no")
-    pairs = met.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
-    pairs = keep(pairs.select(F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")), "line-pairs")
-
-    needed = pairs.select(F.col("a_doc").alias("d"), F.col("a_line").alias("l")).unionByName(pairs.select(F.col("b_doc").alias("d"), F.col("b_line").alias("l"))).groupBy("d").agg(F.collect_set("l").alias("ls"))
-    if pairs.count() <= MOST_BROADCAST:  # some 16 MB of numbers; beyond that the texts are shuffled to them
+    wanted = rows.select("doc_id", "line_no").distinct()
+    needed = wanted.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("line_no").alias("ls"))
+    if wanted.count() <= MOST_BROADCAST:  # some 16 MB of numbers; beyond that the texts are shuffled to them
         needed = F.broadcast(needed)
-    found = docs.join(needed, docs["doc_id"] == needed["d"]).select("doc_id", F.explode("ls").alias("line_no"), F.split("text", "\n").alias("all"))
+    found = docs.join(needed, docs["doc_id"] == needed["d"]).select("doc_id", "ls", F.split("text", "\n").alias("all")).select("doc_id", F.explode("ls").alias("line_no"), "all")
     found = keep(found.select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line")).filter("line is not null").distinct(), "line-texts")
-    a = found.select(F.col("doc_id").alias("a_doc"), F.col("line_no").alias("a_line"), F.col("line").alias("x"))
-    b = found.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"), F.col("line").alias("y"))
-    texts = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
-    near = texts.filter(banded_distance(F.col("x"), F.col("y"), most_edits) <= most_edits)
-    near = near.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"), F.lit(True).alias("near")).distinct()
+    rows = rows.join(found.select("doc_id", "line_no", counts_of(F.col("line")).alias("counts")), ["doc_id", "line_no"])
+    rows = keep(rows.select("key", "filed", F.struct("doc_id", "line_no").alias("id"), "counts"), "candidates")
+
+    def later_of(pairs: DataFrame) -> DataFrame:
+        """The later lines of the pairs (a, b) that are within most_edits edits."""
+        a = found.select(F.struct("doc_id", "line_no").alias("a"), F.col("line").alias("x"))
+        b = found.select(F.struct("doc_id", "line_no").alias("b"), F.col("line").alias("y"))
+        both = pairs.distinct().join(a, "a").join(b, "b").filter(F.abs(F.length("x") - F.length("y")) <= most_edits)
+        # a cheap banded check first: the bit-parallel one costs some 5 microseconds a character as a higher-order function
+        both = both.filter(F.levenshtein("x", "y", most_edits) >= 0)
+        return keep(both.filter(banded_distance(F.col("x"), F.col("y"), most_edits) <= most_edits).select(F.col("b").alias("id")).distinct(), "near")
+
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "counts")).alias("m")).select(F.col("key").alias("k"), "m.*").alias("x")
+    y = rows.alias("y")
+    met = first.join(y, (F.col("x.k") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & counts_allow("x", "y", most_edits))
+    gone = later_of(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    x, y = rows.alias("x"), rows.join(gone, "id", "left_anti").alias("y")
+    sought = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.filed") | F.col("y.filed"))
+    rest = later_of(x.join(y, sought & counts_allow("x", "y", most_edits)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    near = gone.unionByName(rest).distinct().select("id.doc_id", "id.line_no", F.lit(True).alias("near"))
     return repeated.unionByName(near)
 
 

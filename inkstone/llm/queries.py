@@ -7,18 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat
 from .bpe import encode_texts
 from .common import table
+from .hmm import lm_scores
+from .html import main_text
 from .linededup import line_report
 from .mixing import mix
 from .neardup import near_duplicates
+from .neighbours import nearest
+from .passages import repeated_passages
 from .quality import quality_rules
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,15 +46,34 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.preferences(chat.parroted(chat.turns_of(table(spark, sf_dir, "conversations"))))
+    trained = [chat.trained_chars(F.col(f"{s}_segments")).alias(f"{s}_trained") for s in ("chosen", "rejected")]
+    return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", *trained, "prefers")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compact_windows": op1_compact_windows,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_source_mix": op6_source_mix,
+    "op7_preference_format": op7_preference_format,
     "op8_line_dedup": op8_line_dedup,
+    "op9_hidden_markov": op9_hidden_markov,
+    "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_preference_format": chat.ORACLE}
