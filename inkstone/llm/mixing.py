@@ -118,3 +118,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     on = F.col("p.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("p._copy") == F.col("x._copy")) & F.col("p.source").eqNullSafe(F.col("x.source"))
     taken = (F.col("p.size") * F.col("p.whole") + F.coalesce(F.col("x.extra"), F.lit(0))).cast("long")
     return p.join(x.hint("merge"), on, "left").select("p.doc_id", "p.source", "p.size", "p.source_size", "p.target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """The mix itself: whole documents with all their columns, each as often as the words taken from it come to.
+
+    A document of which 1.3 times its size is taken appears once, and with a seeded chance of 0.3 once more, so that sources keep
+    their shares without cutting texts. Rows that share a doc_id share what is taken from them; rows without doc_id, and
+    documents without words, are left out.
+    """
+    taken = mix(docs.select("doc_id", "text", "source"), seed=seed, **options).filter("doc_id is not null and size > 0")
+    per_doc = taken.groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    chance = F.pmod(F.xxhash64(F.lit(seed + 3), "_doc"), F.col("_size")) < F.pmod(F.col("_taken"), F.col("_size"))
+    times = F.floor(F.col("_taken") / F.col("_size")) + chance.cast("int")
+    often = per_doc.select("_doc", times.cast("int").alias("_times")).filter("_times > 0")
+    return docs.join(often, docs["doc_id"] == often["_doc"]).withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
