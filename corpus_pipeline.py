@@ -9,10 +9,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from inkstone.llm.bpe import encode_texts
 from inkstone.llm.common import shared_folder
+from inkstone.llm.linededup import without_duplicate_lines
+from inkstone.llm.mixing import mixed
+from inkstone.llm.neardup import keep_first
 from inkstone.llm.quality import keep_good
 
 
@@ -21,6 +23,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go; every document stays, if need be without text."""
+    return without_duplicate_lines(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the smallest doc_id stays."""
+    return keep_first(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
     import public_tokenizers
@@ -28,7 +45,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality_rules", quality), ("byte_bpe", tokens)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_near_dedup", near), ("source_mix", mix), ("byte_bpe", tokens)]
 
 #: SQL can't express the pipeline's stages; tests compare it with a brute-force version.
 ORACLE_SQL = None
