@@ -98,9 +98,8 @@ class WordHasher:
         return np.array(out, dtype=np.uint64)
 
 
-#: Odd multipliers, one for each place of a shingle, and what is added at each place.
+#: Odd multipliers, one for each place of a shingle.
 _TIMES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-_PLUS = mix64(np.arange(101, 165, dtype=np.uint64))
 
 
 def shingle_hashes(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
@@ -109,7 +108,7 @@ def shingle_hashes(word_hashes: np.ndarray, width: int = 5) -> np.ndarray:
     width = min(width, n)
     total = np.full(max(0, n - width + 1) if n else 0, width, dtype=np.uint64)
     for j in range(width):
-        total += mix64(word_hashes[j : n - width + 1 + j] + _PLUS[j]) * _TIMES[j]
+        total += word_hashes[j : n - width + 1 + j] * _TIMES[j]
     return mix64(total)
 
 

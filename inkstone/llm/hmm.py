@@ -15,12 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import keep, slices, words_of
 
-STATES, MOST_FREQUENT, TAILS, ROUNDS = 8, 4096, 1024, 6
+STATES, MOST_FREQUENT, TAILS, ROUNDS = 8, 4096, 1024, 4
 #: Training cuts documents into stretches of this many tokens; scoring never does.
-STRETCH = 1024
+STRETCH = 512
 #: Bytes of text whose tokens share one dictionary.
 PACK = 6_000_000
 _END = -1
@@ -125,10 +126,11 @@ def forward(model: Model, classes: np.ndarray, lengths: np.ndarray, starts: np.n
 
 def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch's expected starts, moves and emissions over sequences, by scaled forward and backward passes."""
-    emit = np.ascontiguousarray(model.emit.T)
+    emit, move = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32)
+    first = model.start.astype(np.float32)
     steps, alphas, scales, alpha = [], [], [], None
     for at in _by_step(lengths, starts):
-        alpha = (np.broadcast_to(model.start, (len(at), STATES)) if alpha is None else alpha[: len(at)] @ model.move) * emit[classes[at]]
+        alpha = (np.broadcast_to(first, (len(at), STATES)) if alpha is None else alpha[: len(at)] @ move) * emit[classes[at]]
         scale = alpha.sum(1, keepdims=True)
         alpha = alpha / scale
         steps.append(at)
@@ -140,12 +142,12 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, star
     gammas, beta = [None] * len(steps), None
     for t in range(len(steps) - 1, -1, -1):
         n = len(steps[t])
-        here = np.ones((n, STATES))
+        here = np.ones((n, STATES), np.float32)
         if beta is not None:
             m = len(beta)
             ahead = beta * emit[classes[steps[t + 1]]] / scales[t + 1]
-            here[:m] = ahead @ model.move.T
-            moved += model.move * (alphas[t][:m].T @ ahead)
+            here[:m] = ahead @ move.T
+            moved += move * (alphas[t][:m].T @ ahead)
         gammas[t] = alphas[t] * here
         beta = here
     begun += gammas[0].sum(0)
@@ -173,11 +175,16 @@ def _trainer(shared):
                 starts = np.cumsum(lengths) - lengths
                 use = np.array([not held_out(x) for x in ids], bool)
                 cut_lengths, cut_starts = _stretches(lengths[use], starts[use])
-                for a in range(0, len(cut_lengths), 2048):
-                    got = expected_counts(model, classes, cut_lengths[a : a + 2048], cut_starts[a : a + 2048])
+                for a in range(0, len(cut_lengths), 1024):
+                    got = expected_counts(model, classes, cut_lengths[a : a + 1024], cut_starts[a : a + 1024])
                     sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
         if sums is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "sums": pa.array([np.concatenate([x.ravel() for x in sums])], pa.list_(pa.float64()))})
+            from pyspark import TaskContext
+
+            flat = np.concatenate([x.ravel() for x in sums])
+            salt = TaskContext.get().partitionId() % _SALTS
+            pieces = [flat[i : i + _PIECE] for i in range(0, len(flat), _PIECE)]
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([k * _SALTS + salt for k in range(len(pieces))], pa.int32()), "sums": pa.array([x.tolist() for x in pieces], pa.list_(pa.float64()))})
 
     return run
 
@@ -198,12 +205,29 @@ def _classes(hashes: np.ndarray, tails: np.ndarray, keys: np.ndarray, classes_of
     return np.concatenate((np.where(known, own, 1 + MOST_FREQUENT + tails), [0])).astype(np.int64)
 
 
+#: Sums travel in pieces of so many places, each to one of so many tasks.
+_PIECE, _SALTS = 4096, 8
+
+
+def _added(batches: Iterator) -> Iterator:
+    """One sum for each slot of a partition."""
+    import pyarrow as pa
+
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, slot in enumerate(batch.column("slot").to_pylist()):
+            x = _array(batch.column("sums"), i)
+            sums[slot] = sums[slot] + x if slot in sums else x
+    if sums:
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "sums": pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))})
+
+
 def _summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Sum of equally long arrays: added place by place with partial sums on the map side; one row of bounded width remains."""
-    by_place = parts.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    """Sum of the tasks' arrays: added piece by piece in parallel; what reaches the driver is _SALTS arrays of bounded width at most."""
     out = np.zeros(width)
-    for k, x in by_place.collect():
-        out[k] = x
+    for slot, x in parts.repartition("slot").mapInArrow(_added, "slot int, sums array<double>").collect():
+        at = slot // _SALTS * _PIECE
+        out[at : at + len(x)] += x
     return out
 
 
@@ -214,8 +238,8 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     single words by add-one counts, score those of the hidden Markov model.
 
     1. Texts become packs of about 6 MB with a dictionary each, written once.
-    2. Dictionary entries meet by word hash: corpus counts c(w), sums per class, N and V. A word's row appears once per pack, so a common word
-       is as many rows as there are packs. The counts return to the packs that asked for them, again keyed by pack.
+    2. Dictionary entries meet by word hash, where a window sums corpus counts c(w); N, V and sums per class follow. A word's row appears
+       once per pack, so a common word is as many rows as there are packs. The counts return to the packs that asked for them, keyed by pack.
     3. Baum-Welch: every round adds the partitions' expected counts place by place.
     4. The scaled forward recursion runs over each whole text; word-within-class probabilities come on top.
 
@@ -225,10 +249,11 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spark = docs.sparkSession
     packs = keep(docs.select("doc_id", "text").mapInArrow(_encode, _PACKS), "packs")
     asked = packs.select("pack", F.posexplode(F.arrays_zip("hashes", "tails", "counts")).alias("at", "z")).select("pack", "at", "z.*")
-    counted = asked.groupBy("hashes").agg(F.sum("counts").alias("c"), F.first("tails").alias("tail"))
-    counted = keep(counted.select(F.col("hashes").alias("h"), "c", "tail"), "counts")
+    by = Window.partitionBy("hashes")
+    counted = asked.select("pack", "at", F.col("hashes").alias("h"), F.col("tails").alias("tail"), F.sum("counts").over(by).alias("c"), F.row_number().over(by.orderBy("pack")).alias("nth"))
+    counted = keep(counted, "counts")
     trained = docs.agg(F.count_if(F.col("doc_id").isNull() | (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2))).first()[0]
-    known = counted.filter("c > 0")
+    known = counted.filter("nth = 1 and c > 0")
     tokens, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, vocabulary = tokens + trained, distinct + (trained > 0)
     top = known.orderBy(F.col("c").desc(), "h").limit(MOST_FREQUENT).collect()
@@ -250,13 +275,13 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     if trained:
         for _ in range(rounds):
             shared = spark.sparkContext.broadcast((model, frequent))
-            sums = _summed(packs.mapInArrow(_trainer(shared), "part int, sums array<double>"), width)
+            sums = _summed(packs.mapInArrow(_trainer(shared), "slot int, sums array<double>"), width)
             model = Model.of(sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[STATES + STATES**2 :].reshape(STATES, -1), class_tokens)
             shared.unpersist()
 
-    answers = asked.select("pack", "at", "hashes").join(counted.select(F.col("h").alias("hashes"), "c"), "hashes")
-    answers = answers.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("at", "c"))).alias("a")).select(F.col("pack").alias("_pack"), F.col("a.c").alias("c")).dropDuplicates(["_pack"])
-    joined = packs.join(answers, packs["pack"] == answers["_pack"], "left").select("ids", "lengths", "places", "hashes", "tails", "c")
+    # both lists are gathered row by row, so the k-th place belongs to the k-th count
+    answers = counted.groupBy("pack").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c")).withColumnRenamed("pack", "_pack")
+    joined = packs.join(answers, packs["pack"] == answers["_pack"], "left").select("ids", "lengths", "places", "hashes", "tails", "at", "c")
     shared = spark.sparkContext.broadcast((model, frequent, class_tokens, class_words, total, vocabulary, trained))
     out = joined.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
@@ -271,9 +296,12 @@ def _scorer(shared):
             for i in range(batch.num_rows):
                 ids, lengths = batch.column("ids")[i].as_py(), _array(batch.column("lengths"), i).astype(np.int64)
                 places = _array(batch.column("places"), i)
-                c = _array(batch.column("c"), i).astype(np.float64) if batch.column("c")[i].is_valid else np.zeros(0)
-                c = np.append(c, trained)
-                of = _classes(_array(batch.column("hashes"), i), _array(batch.column("tails"), i), keys, classes_of)
+                hashes = _array(batch.column("hashes"), i)
+                c = np.zeros(len(hashes) + 1)
+                if batch.column("c")[i].is_valid:
+                    c[_array(batch.column("at"), i)] = _array(batch.column("c"), i)
+                c[-1] = trained
+                of = _classes(hashes, _array(batch.column("tails"), i), keys, classes_of)
                 base = np.log10((c + 1) / (total + vocabulary + 1))
                 # a frequent word has a class of its own; the other classes keep a share for words never seen
                 within = np.log10((c + 1) / (class_tokens[of] + class_words[of] + 1))

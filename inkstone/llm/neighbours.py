@@ -96,7 +96,7 @@ def _nearest(k: int):
 
         held: tuple | None = None
 
-        def flush(key, ids, vectors, is_query):
+        def flush(key, ids, vectors, is_query, limits):
             q = np.nonzero(is_query)[0]
             r = np.nonzero(~is_query)[0]
             if not len(q) or not len(r):
@@ -111,6 +111,7 @@ def _nearest(k: int):
                     near = np.nonzero(d2[j] <= (np.partition(d2[j], k - 1)[k - 1] if len(r) > k else np.inf) + 1e-9)[0]
                     near = near[np.isfinite(d2[j][near])]
                     score = np.sqrt(((rows[near] - vectors[i]) ** 2).sum(1))
+                    near, score = near[score <= limits[i]], score[score <= limits[i]]
                     best = np.lexsort((row_ids[near], score))[:k]
                     out[0].append(np.full(len(best), ids[i]))
                     out[1].append(row_ids[near][best])
@@ -124,7 +125,7 @@ def _nearest(k: int):
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 part = batch.slice(a, b - a)
-                piece = (part.column("vec_id").to_numpy(zero_copy_only=False), _matrix(part.column("embedding")), part.column("is_query").to_numpy(zero_copy_only=False))
+                piece = (part.column("vec_id").to_numpy(zero_copy_only=False), _matrix(part.column("embedding")), part.column("is_query").to_numpy(zero_copy_only=False), part.column("limit").to_numpy(zero_copy_only=False))
                 if held and held[0] == keys[a]:
                     held[1].append(piece)
                     continue
@@ -196,7 +197,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, window: int = WIN
     asks = placed.filter(F.col("vec_id") % every == 0)
     nearby = asks.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     columns = ["curve", "block", "size", "vec_id", "embedding"]
-    found = _search(placed.select(*columns), nearby.select(*columns), k)
+    found = _search(placed.select(*columns), nearby.select(*columns, F.lit(float("inf")).alias("limit")), k)
     merged = keep(_merge(found, k), "windows")
     if exact:
         base = placed.filter("curve = 0").select(*columns)
@@ -207,14 +208,14 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, window: int = WIN
         gap = F.sqrt(F.aggregate(F.zip_with("embedding", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
         # the stated queries against the blocks' balls: one comparison stands for a block of `window` rows
         open_ = q.join(balls.withColumnRenamed("size", "_size"), (F.col("size") == F.col("_size")) & (F.col("limit").isNull() | (gap - F.col("radius") <= F.col("limit") + 1e-9)))
-        more = _search(base, open_.select(F.lit(0).alias("curve"), "block", "size", "vec_id", "embedding"), k)
+        more = _search(base, open_.select(F.lit(0).alias("curve"), "block", "size", "vec_id", "embedding", F.coalesce("limit", F.lit(float("inf"))).alias("limit")), k)
         merged = _merge(merged.select("query_id", "vec_id", "score").unionByName(more), k)
     return merged
 
 
 def _search(rows: DataFrame, asks: DataFrame, k: int) -> DataFrame:
-    """The k nearest within each block that a query was sent to."""
-    both = rows.withColumn("is_query", F.lit(False)).unionByName(asks.withColumn("is_query", F.lit(True)))
+    """The k nearest within each block that a query was sent to, no farther than the query's limit."""
+    both = rows.withColumn("limit", F.lit(0.0)).withColumn("is_query", F.lit(False)).unionByName(asks.withColumn("is_query", F.lit(True)))
     dealt = both.repartition("curve", "block", "size").sortWithinPartitions("curve", "block", "size")
     return dealt.mapInArrow(_nearest(k), "query_id long, vec_id long, score double")
 
