@@ -40,7 +40,7 @@ def facts(found: Retrieved, articles: DataFrame, most: int = MOST_SENTENCES) ->
     order = [F.round("score", 12).desc(), F.col("rank"), F.col("position")]
     once = scored.withColumn("_nth", F.row_number().over(Window.partitionBy("qid", F.lower("sentence")).orderBy(*order))).filter("_nth = 1")
     best = once.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).filter(F.col("nth") <= most)
-    return best.select("qid", "nth", F.col("sentence").alias("text"), F.col("id").alias("citation_id"), "source_url", F.round(F.round("score", 12), 6).alias("score"), "rank", "date", "label")
+    return best.select("qid", "nth", F.col("sentence").alias("text"), F.col("id").alias("citation_id"), "source_url", F.round(F.col("score") + 1e-10, 6).alias("score"), "rank", "date", "label")
 
 
 def _listed(rows: DataFrame, order: str, item: Column, name: str) -> DataFrame:

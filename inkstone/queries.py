@@ -298,7 +298,7 @@ ORACLE_SQL: dict[str, str] = {
         case when mode <> 'x' then mode when n < 2 then 'inferred-date-fallback-all' else 'exact-or-partial-date' end as mode, source, source = 'regenerated' and n < 2 as widened, waived from v join n using (qid)""",
     "labels_and_citations": f"with {ARTICLES}, l as (select id, title, {_LABEL} as label from articles) select id, label, trim('[' || id || '] ' || label || ' ' || title) as citation from l",
     "sentence_split": f"with {ARTICLES}, s as (select id, list_filter(list_transform({_SENTENCES}, lambda x: trim(x)), lambda x: x <> '') as s from articles) select id, cast(len(s) as bigint) as n_sentences, array_to_string(s, chr(10)) as sentences from s",
-    "extractive_facts": f"with {_FACTS} select qid, nth, sentence as text, id as citation_id, round(round(s, 12), 6) as score from best",
+    "extractive_facts": f"with {_FACTS} select qid, nth, sentence as text, id as citation_id, round(s + 1e-10, 6) as score from best",
     "answers": f"""with {_FACTS}, b as (select best.*, {_LABEL} as date from best join articles using (id)),
       g as (select qid, string_agg('- ' || sentence || ' [' || id || ']', chr(10) order by nth) as facts, {_ANALYSIS} as analysis from b group by qid),
       c as (select qid, string_agg(label, '; ' order by rank) as citations from (select distinct qid, rank, trim('[' || id || '] ' || {_LABEL} || ' ' || title) as label from best join articles using (id)) group by qid),
