@@ -6,6 +6,7 @@ for the few rows that were packed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 from inkstone.functions.dates import date_spec, without_dates
 from inkstone.functions.text import date_label, token_cost, words_asked
 from inkstone.plans.index import Index
+from inkstone.plans.kept import dropped, kept
 
 #: Floors by backend, weights of title overlap and date in range, the number of conflicting records.
 FLOOR = {"tfidf": 0.05, "dense": 0.30}
@@ -27,6 +29,12 @@ class Retrieved:
 
     trace: DataFrame
     evidence: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Deletes the tables that retrieval wrote."""
+        for df in (self.trace, self.evidence, *self.held):
+            dropped(df)
 
 
 def prepared(questions: DataFrame, index: Index) -> DataFrame:
@@ -71,15 +79,15 @@ def _dense_scores(q: DataFrame, vectors: DataFrame, index: Index) -> DataFrame:
     return q.select("qid").join(asked, "qid").crossJoin(index.articles.select("id", "vector")).select("qid", "id", dot.alias("base"))
 
 
-def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None = None, vectors: DataFrame | None = None) -> Retrieved:
+def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None = None, vectors: DataFrame | None = None, counter: Callable[[Column], Column] = token_cost) -> Retrieved:
     """Date-filter, score, apply the floor and pack whole articles, for every question at once.
 
     Packing is fit-or-stop: a strict prefix of the ranking. Ranks and the floor compare similarities rounded to 12 places, since sums after
-    a shuffle differ in the last bits; ties go to the smaller id.
+    a shuffle differ in the last bits; ties go to the smaller id. counter: cost in tokens of a text, one at least.
     """
     q = prepared(questions, index)
     floor = FLOOR[index.backend] if min_similarity is None else float(min_similarity)
-    light = index.articles.select("id", "year", "month", "day", token_cost(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("cost"),
+    light = index.articles.select("id", "year", "month", "day", counter(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("cost"),
                                   date_label(F.col("year"), F.col("month"), F.col("day"), F.col("calendar"), F.col("leap_month")).alias("date"), "title")
     a = light.alias("a")
     n_all = light.agg(F.count(F.lit(1)).alias("n_all"))
@@ -89,7 +97,7 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     q = q.join(per, "qid").crossJoin(F.broadcast(n_all)).withColumn("widened", (F.col("n_match") < LEAST_FILTERED) & (F.col("source") == "regenerated"))
     q = q.withColumn("n_candidates", F.when(F.col("widened"), F.col("n_all")).otherwise(F.col("n_match")))
     mode = F.when(F.col("widened"), "inferred-date-fallback-all").when(F.col("spec.year").isNull(), "all-records").when(F.col("spec.year_end").isNotNull(), "year-range").otherwise("exact-or-partial-date")
-    q = q.withColumn("mode", mode).withColumn("n_terms", F.size(F.array_distinct("qterms")))
+    q = asked = kept(q.withColumn("mode", mode).withColumn("n_terms", F.size(F.array_distinct("qterms"))), "questions")
 
     base = _sparse_scores(q, index) if index.backend == "tfidf" else _dense_scores(q, vectors, index)
     head = q.select("qid", "spec", "widened", "waived", "source", "asked_topic", "token_budget", "n_terms").alias("q")
@@ -106,10 +114,10 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     scored = scored.join(hits, ["qid", "id"], "left").withColumn("rerank", F.col("base") + TITLE_WEIGHT * overlap + F.when(in_range, DATE_BONUS).otherwise(0.0))
     scored = scored.withColumn("candidate", F.col("widened") | F.col("match")).withColumn("passes", F.round("base", 12) >= floor)
 
-    scored = scored.persist()
-    kept = scored.filter("candidate and (waived or passes)")
-    packed, stops = _pack(kept)
-    counts = kept.groupBy("qid").agg(F.count(F.lit(1)).alias("n_kept"))
+    scored = kept(scored, "scored")
+    good = scored.filter("candidate and (waived or passes)")
+    packed, stops = _pack(good)
+    counts = good.groupBy("qid").agg(F.count(F.lit(1)).alias("n_kept"))
     taken = packed.groupBy("qid").agg(F.count(F.lit(1)).alias("n_taken"))
     q = q.join(counts, "qid", "left").join(stops, "qid", "left").join(taken, "qid", "left")
 
@@ -124,25 +132,26 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
 
     columns = ["qid", "rank", "id", F.round("base", 6).alias("similarity"), F.round("rerank", 6).alias("rerank_score"), F.col("cost").alias("estimated_tokens")]
     evidence = packed.select(*columns, F.lit(False).alias("outside_date_filter")).unionByName(more.select(*columns, F.lit(True).alias("outside_date_filter")))
+    evidence = kept(evidence, "evidence")
     used = evidence.groupBy("qid").agg(F.sum("estimated_tokens").alias("used"))
     trace = q.join(conflicts, "qid", "left").join(used, "qid", "left").select(
         "qid", F.col("original").alias("original_query"), F.col("rewritten").alias("rewritten_query"),
         F.struct("spec.year", "spec.month", "spec.day", "spec.year_end", "mode", "source", F.col("spec.text").alias("matched_text"), "widened").alias("date_filter"),
         F.struct(F.lit(floor).alias("value"), "waived", (F.col("n_candidates") - F.coalesce("n_kept", F.lit(0))).alias("below_floor")).alias("similarity_floor"),
-        F.struct(F.lit("fit-or-stop").alias("policy"), "stopped_at").alias("packing"), "token_budget", F.lit("conservative-char-v1").alias("token_counter"),
+        F.struct(F.lit("fit-or-stop").alias("policy"), "stopped_at").alias("packing"), "token_budget", F.lit("conservative-char-v1" if counter is token_cost else "tokenizer-ranks").alias("token_counter"),
         F.coalesce("used", F.lit(0)).cast("long").alias("estimated_tokens"), "topical_terms",
         F.when(F.col("conflict_records").isNotNull(), F.struct(F.struct("spec.year", "spec.month", "spec.day", "spec.year_end").alias("requested"), F.col("conflict_records").alias("records"))).alias("date_conflict"))
-    # few rows that answers, prompts and checks all start from; lost blocks are computed anew
-    return Retrieved(trace.persist(), evidence.persist())
+    # few rows that answers, prompts and checks all start from
+    return Retrieved(kept(trace, "trace"), evidence, (asked, scored))
 
 
-def _pack(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pack(good: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose running cost stays in the budget, with their rank, and the id at which each question stopped.
 
     Every cost is one at least, so the running sum rises strictly and the rows within budget are a prefix; no more rows than the budget can fit.
     """
     order = Window.partitionBy("qid").orderBy(F.round("rerank", 12).desc(), "id")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("token_budget") + 1)
+    ranked = good.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("token_budget") + 1)
     run = ranked.withColumn("running", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     stops = run.filter("running > token_budget").groupBy("qid").agg(F.min_by("id", "rank").alias("stopped_at"))
     return run.filter("running <= token_budget"), stops

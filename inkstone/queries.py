@@ -15,6 +15,7 @@ from inkstone.functions import text as T
 from inkstone.functions.dates import date_spec, record_date, without_dates
 from inkstone.plans import answer as A
 from inkstone.plans import index as I
+from inkstone.plans.kept import kept
 from inkstone.plans.retrieve import prepared, retrieve
 from inkstone.plans.rewrite import EVENTS, rewritten
 from inkstone.sources.articles import day_list, expand_years, readable_pages, resumed
@@ -105,7 +106,8 @@ def _filled(form: str) -> str:
 
 def _index(spark, d):
     built = I.build(articles(spark, d))
-    return I.Index(built.articles, built.idf.persist(), built.postings.persist(), built.title_terms)
+    idf = kept(built.idf, "idf")
+    return I.Index(built.articles, idf, kept(I.weigh(I.term_counts(built.articles), idf), "postings"), built.title_terms)
 
 
 def _found(spark, d, q=None):
