@@ -83,9 +83,9 @@ ranked as (select *, row_number() over (partition by qid order by round(rerank,
 run as (select *, sum(cost) over (partition by qid order by rank rows unbounded preceding) as running from ranked)"""
 
 
-_EVIDENCE = _ranking("text")
+EVIDENCE_SQL = _ranking("text")
 _SENTENCES = "string_split_regex(regexp_replace(text, '([.!?。])\\s+', '\\1' || chr(10), 'g'), '\\n+')"
-_FACTS = f"""{_EVIDENCE},
+_FACTS = f"""{EVIDENCE_SQL},
 ev as (select * from run where running <= 2400), asked as (select qid, list_distinct({_tokens("original")}) as q from q),
 said as (select qid, rank, id, round(rerank, 6) as rerank_score, generate_subscripts({_SENTENCES}, 1) - 1 as position, trim(unnest({_SENTENCES})) as sentence from ev join articles using (id)),
 over as (select said.*, len(list_intersect(q, list_distinct({_tokens("sentence")}))) / greatest(1, len(q)) as overlap from said join asked using (qid) where sentence <> ''),
@@ -110,7 +110,7 @@ def _index(spark, d):
     return I.Index(built.articles, idf, kept(I.weigh(I.term_counts(built.articles), idf), "postings"), built.title_terms)
 
 
-def _found(spark, d, q=None):
+def evidence_of(spark, d, q=None):
     return retrieve(_index(spark, d), questions(spark, d) if q is None else q)
 
 
@@ -137,15 +137,15 @@ def tfidf_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieve_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d).evidence.select("qid", F.col("rank").cast("long").alias("rank"), "id", "similarity", "rerank_score", "estimated_tokens")
+    return evidence_of(spark, d).evidence.select("qid", F.col("rank").cast("long").alias("rank"), "id", "similarity", "rerank_score", "estimated_tokens")
 
 
 def packing_stopped_at(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d).trace.select("qid", F.col("packing.stopped_at").alias("stopped_at"), "estimated_tokens", F.col("similarity_floor.below_floor").alias("below_floor"))
+    return evidence_of(spark, d).trace.select("qid", F.col("packing.stopped_at").alias("stopped_at"), "estimated_tokens", F.col("similarity_floor.below_floor").alias("below_floor"))
 
 
 def date_conflict_records(spark: SparkSession, d: str) -> DataFrame:
-    t = _found(spark, d, dated_questions(spark, d)).trace.filter("date_conflict is not null")
+    t = evidence_of(spark, d, dated_questions(spark, d)).trace.filter("date_conflict is not null")
     r = t.select("qid", F.posexplode("date_conflict.records").alias("place", "r"))
     return r.select("qid", (F.col("place") + 1).cast("long").alias("place"), "r.id", "r.date", "r.similarity")
 
@@ -170,27 +170,27 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extractive_facts(spark: SparkSession, d: str) -> DataFrame:
-    f = A.facts(_found(spark, d), articles(spark, d))
+    f = A.facts(evidence_of(spark, d), articles(spark, d))
     return f.select("qid", F.col("nth").cast("long").alias("nth"), "text", "citation_id", "score")
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    a = A.answers(_found(spark, d), articles(spark, d))
+    a = A.answers(evidence_of(spark, d), articles(spark, d))
     return a.select("qid", "answer", "analysis", "abstained", "abstain_reason", F.array_join(F.transform("citations", lambda c: c["label"]), "; ").alias("citations"))
 
 
 def conflict_answers(spark: SparkSession, d: str) -> DataFrame:
-    a = A.answers(_found(spark, d, dated_questions(spark, d)), articles(spark, d))
+    a = A.answers(evidence_of(spark, d, dated_questions(spark, d)), articles(spark, d))
     return a.select("qid", "abstain_reason", "abstained")
 
 
 def grounding_prompts(spark: SparkSession, d: str) -> DataFrame:
-    return A.grounding_prompts(_found(spark, d), articles(spark, d)).select("qid", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n_chars"))
+    return A.grounding_prompts(evidence_of(spark, d), articles(spark, d)).select("qid", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("n_chars"))
 
 
 def checked_outputs(spark: SparkSession, d: str) -> DataFrame:
     """Model texts that cite an evidence id and an unknown one."""
-    found = _found(spark, d)
+    found = evidence_of(spark, d)
     out = found.evidence.filter("rank = 1").select("qid", F.concat(F.lit("It is so ["), "id", F.lit(", ghost]. Contextual analysis: from ["), "id", F.lit("]")).alias("text"))
     c = A.checked(out, found.evidence)
     return c.select("qid", F.array_join("citations", ",").alias("citations"), F.array_join("unknown_citations", ",").alias("unknown_citations"), "analysis", "abstained")
@@ -288,8 +288,8 @@ ORACLE_SQL: dict[str, str] = {
     "token_estimate": f"with {ARTICLES} select id, {_cost('title || chr(10) || text')} as cost from articles",
     "idf_table": f"with {INDEX} select term, df, round(idf, 10) as idf from idf",
     "tfidf_postings": f"with {INDEX} select id, term, weight from post",
-    "retrieve_evidence": f"with {_EVIDENCE} select qid, rank, id, round(base, 6) as similarity, round(rerank, 6) as rerank_score, cost as estimated_tokens from run where running <= 2400",
-    "packing_stopped_at": f"""with {_EVIDENCE}, s as (select qid, min_by(id, rank) filter (running > 2400) as stopped_at, coalesce(sum(cost) filter (running <= 2400), 0) as used, count(*) as kept from run group by qid)
+    "retrieve_evidence": f"with {EVIDENCE_SQL} select qid, rank, id, round(base, 6) as similarity, round(rerank, 6) as rerank_score, cost as estimated_tokens from run where running <= 2400",
+    "packing_stopped_at": f"""with {EVIDENCE_SQL}, s as (select qid, min_by(id, rank) filter (running > 2400) as stopped_at, coalesce(sum(cost) filter (running <= 2400), 0) as used, count(*) as kept from run group by qid)
       select qid, stopped_at, cast(coalesce(used, 0) as bigint) as estimated_tokens, cast((select count(*) from articles) - coalesce(kept, 0) as bigint) as below_floor from q left join s using (qid)""",
     "date_conflict_records": f"""with {_ranking("text || ' in 1900'")} select qid, rank as place, id, {_LABEL} as date, round(base, 6) as similarity from ranked join articles using (id) where rank <= 3""",
     "date_filters": f"""with {ARTICLES}, v(qid, year, month, day, year_end, mode, source, widened, waived) as (values ('exact', 1420, 5, 12, null, 'exact-or-partial-date', 'original', false, true), ('partial', 1425, 3, null, null, 'exact-or-partial-date', 'original', false, true),
@@ -311,12 +311,12 @@ ORACLE_SQL: dict[str, str] = {
         when 'no-evidence' then '{A.MARKER} The retrieved records do not support an answer: ' || case when stopped then '{A.OVER_BUDGET}' else '{A.NOTHING_PASSED}' end || '.' else '{A.MARKER} {A.UNMENTIONED}' end as answer,
         case when reason = '' then found else '' end as analysis, reason <> '' as abstained, reason as abstain_reason, citations from r""",
     "conflict_answers": f"""with {_ranking("text || ' in 1900'")} select qid, case when n > 0 then 'date-conflict' else 'no-evidence' end as abstain_reason, true as abstained from q left join (select qid, count(*) as n from ranked group by qid) using (qid)""",
-    "grounding_prompts": f"""with {_EVIDENCE}, b as (select qid, string_agg('SOURCE [' || id || ']' || chr(10) || 'DATE: ' || {_LABEL} || chr(10) || 'TITLE: ' || title || chr(10) || 'URL: ' || chr(10) || 'TEXT: ' || text, chr(10) || chr(10) order by rank) as blocks
+    "grounding_prompts": f"""with {EVIDENCE_SQL}, b as (select qid, string_agg('SOURCE [' || id || ']' || chr(10) || 'DATE: ' || {_LABEL} || chr(10) || 'TITLE: ' || title || chr(10) || 'URL: ' || chr(10) || 'TEXT: ' || text, chr(10) || chr(10) order by rank) as blocks
         from run join articles using (id) where running <= 2400 group by qid),
       p as (select qid, 'QUESTION: ' || original || chr(10) || 'REGENERATED QUERY: ' || original || chr(10) || 'DATE FILTER: none (from none)' || chr(10)
         || case when blocks is null then 'NOTE: no source passed the date filter and similarity floor.' || chr(10) else '' end || chr(10) || coalesce(blocks, '') as prompt from q left join b using (qid))
       select qid, md5(prompt) as prompt_md5, cast(length(prompt) as bigint) as n_chars from p""",
-    "checked_outputs": f"with {_EVIDENCE} select qid, id as citations, 'ghost' as unknown_citations, 'from [' || id || ']' as analysis, false as abstained from run where running <= 2400 and rank = 1",
+    "checked_outputs": f"with {EVIDENCE_SQL} select qid, id as citations, 'ghost' as unknown_citations, 'from [' || id || ']' as analysis, false as abstained from run where running <= 2400 and rank = 1",
     "rule_rewrite": """with q as (select conv_id || '-' || turn as qid, text, lower(text) as low from conversations where role = 'user'),
       e(pos, terms, details, date) as (values (0, ['the reading', 'and of', 'THE new Script'], ['correct sounds'], '1446-09'), (1, ['hall', 'thereth'], cast([] as varchar[]), '1420-03-16'), (2, ['is the'], ['detail of it'], null)),
       m as (select qid, text, pos, date, list_filter(list_concat(terms, details), lambda t: not contains(low, lower(t))) as extra from q join e on len(list_filter(terms, lambda t: contains(low, lower(t)))) > 0),
