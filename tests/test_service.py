@@ -80,3 +80,16 @@ def test_pages(spark):
     for wrong in ({"years": {1, 2}}, {"max_articles": 101}, {"delay": 1.0}):
         with pytest.raises(ValueError):
             sample_plan(**wrong)
+
+
+def test_counter(spark, tmp_path):
+    import base64
+
+    from pyspark.sql import functions as F
+
+    from inkstone.functions.tokens import ranks_cost
+
+    words = [bytes([i]) for i in range(256)] + [b"ab"]
+    (tmp_path / "r").write_bytes(b"\n".join(base64.b64encode(w) + b" %d" % i for i, w in enumerate(words)))
+    rows = spark.createDataFrame([(1, "abab c"), (2, ""), (3, None)], "k int, t string").select("k", ranks_cost(str(tmp_path / "r"))(F.col("t")).alias("n"))
+    assert {r.k: r.n for r in rows.collect()} == {1: 4, 2: 1, 3: 1}
