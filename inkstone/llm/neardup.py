@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, keep, mix64, shingle_hashes, slices, words_of
+from .common import WORD_PATTERN, WordHasher, keep, mix64, shingle_hashes, slices, words_of
 from .components import connect
 
 BANDS, ROWS, BITS = 40, 5, 512
@@ -238,3 +238,17 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The documents of which each group of near copies keeps one, the smallest doc_id."""
     gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+#: The same as SQL: every pair of documents that share a shingle is counted.
+ORACLE = f"""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD_PATTERN}') as w from documents),
+p as (select doc_id, len(w) as n, generate_subscripts(w, 1) as i, unnest(w) as x from w),
+g as (select doc_id, n, i, concat_ws(' ', x, lead(x, 1) over o, lead(x, 2) over o, lead(x, 3) over o, lead(x, 4) over o) as shingle from p window o as (partition by doc_id order by i)),
+s as (select distinct doc_id, shingle from g where i <= greatest(1, n - 4)),
+c as (select doc_id, count(*) as n_shingles from s group by doc_id),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as n from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+l as (select u, v from shared join c x on x.doc_id = u join c y on y.doc_id = v where 100 * n >= 75 * (x.n_shingles + y.n_shingles - n)),
+e as (select u, v from l union all select v, u from l),
+r as (with recursive t(d, z) as (select doc_id, doc_id from documents union select t.d, e.v from t join e on e.u = t.z) select d, z from t),
+k as (select d, min(z) as component_id from r group by d)
+select w.doc_id, cast(coalesce(n_shingles, 0) as bigint) as n_shingles, component_id, w.doc_id = component_id as kept from w left join c using (doc_id) join k on k.d = w.doc_id"""

@@ -110,7 +110,7 @@ def _nearest(k: int):
                 for j, i in enumerate(some):
                     near = np.nonzero(d2[j] <= (np.partition(d2[j], k - 1)[k - 1] if len(r) > k else np.inf) + 1e-9)[0]
                     near = near[np.isfinite(d2[j][near])]
-                    score = np.sqrt(((rows[near] - vectors[i]) ** 2).sum(1))
+                    score = np.sqrt(np.cumsum((rows[near] - vectors[i]) ** 2, axis=1)[:, -1])  # summed in the order of components
                     near, score = near[score <= limits[i]], score[score <= limits[i]]
                     best = np.lexsort((row_ids[near], score))[:k]
                     out[0].append(np.full(len(best), ids[i]))
@@ -185,7 +185,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, window: int = WIN
 
     Queries are the rows whose vec_id is divisible by `every`, candidates all others. score is the Euclidean distance in double precision;
     ties go to the smaller vec_id. Null or zero vectors and those with null or non-finite components take no part, nor do
-    rows without id. Vectors of different lengths never meet. Repeated rows each count as candidates. Fewer candidates than k
+    rows without id. Vectors of different lengths never meet. Equal rows of one vec_id count once. Fewer candidates than k
     give all. Extra columns are ignored; an empty table gives no rows.
 
     With exact=False only the curves' windows are searched: the block of `window` rows that holds the query and the two beside it on each curve.
@@ -224,3 +224,11 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query over all windows; one row found twice counts once."""
     best = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+#: The same as SQL over every pair of a query and a row.
+ORACLE = """with e as (select distinct vec_id, cast(embedding as double[]) as v from embeddings where vec_id is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, e.vec_id as vec_id, sqrt(list_sum(list_transform(list_zip(q.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as score from e q join e on e.vec_id <> q.vec_id and len(e.v) = len(q.v) where q.vec_id % 100 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, slices, words_of
+from .common import WORD_PATTERN, keep, slices, words_of
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -148,3 +148,29 @@ def keep_good(docs: DataFrame, reach: float = 8.0, least_rows: int = 50) -> Data
     verdict = quality_rules(docs, reach, least_rows)
     gone = verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+_STACKED = " union all ".join(f"select lang, source, '{m}' as metric, {e} as x from f where not failed" for m, (e, _, _) in METRICS.items())
+_LEAST = " ".join(f"when '{m}' then {s}" for m, (_, s, _) in METRICS.items())
+_TWO_SIDED = ", ".join(f"'{m}'" for m, (_, _, b) in METRICS.items() if b)
+_LIMITS = ", ".join(f"max(case when metric = '{m}' then {c} end) as {m}_{c}" for m in METRICS for c in ("lo", "hi"))
+_PICKED = ", ".join(f"case when g.n >= 50 then g.{c} when l.n >= 50 then l.{c} else a.{c} end as {c}" for c in (f"{m}_{c}" for m in METRICS for c in ("lo", "hi")))
+_INSIDE = " and ".join(f"{e} between {m}_lo and {m}_hi" for m, (e, _, _) in METRICS.items())
+#: The same as SQL.
+ORACLE = f"""with d as (select row_number() over () as row, doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') as w from documents),
+p as (select row, generate_subscripts(w, 1) as i, unnest(w) as x from d), g as (select row, i, x, lead(x, 1) over o as y, lead(x, 2) over o as z from p window o as (partition by row order by i)),
+again as (select row, i from g where z is not null qualify count(*) over (partition by row, x, y, z) > 1), cover as (select row, count(distinct i + j) as n from again, range(3) k(j) group by row),
+l as (select row, unnest(string_split(text, chr(10))) as line from d), ln as (select row, count(*) as n, count(distinct line) as u from l where regexp_matches(line, '{WORD_PATTERN}') group by row),
+m as (select row, doc_id, lang, source, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+  cast(length(text) - length(translate(text, '{SYMBOLS}', '')) as bigint) as n_symbols, coalesce(ln.n - ln.u, 0) as n_dup_lines, coalesce(ln.n, 0) as n_lines, coalesce(cover.n, 0) as n_repeat_words
+  from d left join cover using (row) left join ln using (row)),
+f as (select *, {BASE_FAILED} as failed from m), x as ({_STACKED}),
+b as (select lang, source, metric, case when x > 0 then cast(ceil(ln(x) / ln(1.01)) as bigint) else -2147483648 end as bucket, count(*) as n from x group by all),
+v as (select 0 as level, * from b union all select 1, lang, null, metric, bucket, sum(n) from b group by all union all select 2, null, null, metric, bucket, sum(n) from b group by all),
+s as (select *, case when bucket = -2147483648 then 0.0 else 2 * pow(1.01, bucket) / 2.01 end as val, sum(n) over (partition by level, lang, source, metric order by bucket) as upto, sum(n) over (partition by level, lang, source, metric) as total from v),
+q as (select level, lang, source, metric, max(total) as n, min(case when upto >= 0.5 * total then val end) as mid, min(case when upto >= 0.1 * total then val end) as low from s group by all),
+h as (select *, mid + 8 * greatest(mid - low, case metric {_LEAST} end) as hi, case when metric in ({_TWO_SIDED}) then mid - 8 * greatest(mid - low, case metric {_LEAST} end) else -1.0 end as lo from q),
+wide as (select level, lang, source, max(n) as n, {_LIMITS} from h group by all),
+t as (select g.lang, g.source, {_PICKED} from (from wide where level = 0) g left join (from wide where level = 1) l on g.lang is not distinct from l.lang left join (from wide where level = 2) a on true)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed, case when failed then false else coalesce({_INSIDE}, true) end as kept
+from f left join t on f.lang is not distinct from t.lang and f.source is not distinct from t.source"""

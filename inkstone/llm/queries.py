@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, neardup, neighbours, quality
 from .bpe import encode_texts
 from .common import table
 from .hmm import lm_scores
@@ -76,4 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hidden_markov": op9_hidden_markov,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
-ORACLE_SQL: dict[str, str] = {"op7_preference_format": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE,
+    "op5_minhash_near_dedup": neardup.ORACLE,
+    "op7_preference_format": chat.ORACLE,
+    "op10_hilbert_neighbours": neighbours.ORACLE,
+}

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from inkstone.llm import queries as llm_queries
 from inkstone.llm import chat, hmm, html, linededup, mixing, neardup, neighbours, passages, quality
 from inkstone.llm.bpe import Bpe, decode_ids, encode_texts
 from inkstone.llm.common import words_of
@@ -171,6 +172,37 @@ def test_passages(docs, empty):
         assert values[left : right + 1].argmin() + left == c and right - left + 1 >= 40
 
 
+def test_crowds_keep_their_ends_for_the_value():
+    draw = np.random.default_rng(1)
+    for n in (0, 1, 5, 300):
+        key, doc, left = draw.integers(0, 20, n), draw.integers(0, 9, n), draw.integers(0, 3, n)
+        out = passages._crowds(key, doc, left, left + 1, left + 2)
+        got = list(zip(*(out[c].to_pylist() for c in ("key", "doc_id", "c", "l", "r", "salt", "low", "high"))))
+        assert {x[:5] for x in got} == set(zip(key.tolist(), doc.tolist(), (left + 1).tolist(), left.tolist(), (left + 2).tolist()))
+        for k, *window, salt, low, high in got:
+            crowd = sorted(x[1:5] for x in got if x[0] == k)
+            if salt:
+                assert (tuple(low.values()), tuple(high.values())) == (crowd[0], crowd[-1]) and tuple(window) not in (crowd[0], crowd[-1])
+            else:
+                assert low is None and high is None and (tuple(window) in (crowd[0], crowd[-1]) or (key == k).sum() < passages.CROWD)
+
+
+def test_sql_on_a_small_fixture(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    draw = np.random.default_rng(2)
+    rows = [(i, *r[1:]) for i, r in enumerate(corpus())]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(i, [float(x) for x in draw.standard_normal(8)]) for i in range(203)] + [(300, [0.0] * 8), (301, None), (302, [float("nan")] * 8), (303, [None] * 8)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("op2_quality_rules", "op5_minhash_near_dedup", "op10_hilbert_neighbours"):
+        got = llm_queries.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({llm_queries.ORACLE_SQL[name]})").fetchall()
+        assert want and sorted(map(tuple, got.collect())) == sorted(want), name
+
+
 def test_html(spark):
     page = "<html><head><title>x</title><style>p{}</style></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one\n two<br>three<aside>side</aside><p>four</article><footer>f</footer></body></html>"
     plain = "<body><div>site name</div><p>only {} here</p><div>imprint</div></body>"
