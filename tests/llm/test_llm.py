@@ -172,6 +172,32 @@ def test_passages(docs, empty):
         assert values[left : right + 1].argmin() + left == c and right - left + 1 >= 40
 
 
+def test_passages_of_middle_documents_meet(spark):
+    """The first and the last document hold every shingle of a passage, but never the passage."""
+    draw = np.random.default_rng(3)
+    noise = lambda n: [f"n{x}" for x in draw.integers(0, 10**9, n)]
+    passage = noise(60)
+    apart = lambda: " ".join(w for _ in range(12) for i in range(56) for w in [*noise(50), *passage[i : i + 5]])
+    rows = [(0, apart()), (99, apart())] + [(i, " ".join([*noise(80), *passage, *noise(80)])) for i in (10, 11, 12)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {10, 11, 12} and {r.class_id for r in got} == {10}
+    assert all((r.start_word, r.n_words) == (80, 60) for r in got)
+
+
+def test_couples_ignore_where_batches_end():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    doc = np.repeat(np.arange(5), 40)
+    c = draw.integers(0, 300, 200)
+    rows = {"doc_id": doc, "key": draw.permutation(200), "l": c - draw.integers(0, 80, 200), "c": c, "r": c + draw.integers(0, 80, 200)}
+    got = [sorted(tuple(r.values()) for x in passages._couples(50)(iter([pa.RecordBatch.from_pydict({k: v[a : a + n] for k, v in rows.items()}) for a in range(0, 200, n)])) for r in x.to_pylist()) for n in (200, 7)]
+    assert got[0] == got[1] and got[0]
+    k, l, r, d = rows["key"], rows["l"], rows["r"], rows["doc_id"]
+    fits = sum(d[i] == d[j] and max(l[i], l[j]) <= min(c[i], c[j]) and max(c[i], c[j]) <= min(r[i], r[j]) and min(r[i], r[j]) - max(l[i], l[j]) >= 45 for i in range(200) for j in range(i))
+    assert len(got[0]) == fits
+
+
 def test_crowds_keep_their_ends_for_the_value():
     draw = np.random.default_rng(1)
     for n in (0, 1, 5, 300):
