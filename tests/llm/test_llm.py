@@ -184,6 +184,14 @@ def test_passages_of_middle_documents_meet(spark):
     assert all((r.start_word, r.n_words) == (80, 60) for r in got)
 
 
+def test_chains_span_an_inserted_sentence():
+    words = np.random.default_rng(5).permutation(200).astype(np.uint64)
+    x, y = passages.shingle_hashes(np.concatenate((words[:44], words[150:166], words[44:88]))), passages.shingle_hashes(words[:88])
+    assert passages._chains(x, y, 46, 75, False) == [(0, 100, 0, 84)]
+    far = passages.shingle_hashes(np.concatenate((words[:44], words[100:200], words[44:88])))
+    assert passages._chains(far, y, 46, 75, False) == []
+
+
 def test_couples_ignore_where_batches_end():
     import pyarrow as pa
 
