@@ -192,6 +192,13 @@ def test_chains_span_an_inserted_sentence():
     assert passages._chains(far, y, 46, 75, False) == []
 
 
+def test_hash_functions_find_alike_passages():
+    from math import comb
+
+    n = passages.HASHES
+    assert sum(comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(passages.AGREE)) < 0.0005
+
+
 def test_couples_ignore_where_batches_end():
     import pyarrow as pa
 
