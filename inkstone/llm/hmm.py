@@ -19,9 +19,9 @@ from pyspark.sql.window import Window
 
 from .common import keep, slices, words_of
 
-STATES, MOST_FREQUENT, TAILS, ROUNDS = 8, 4096, 1024, 4
+STATES, MOST_FREQUENT, TAILS, ROUNDS = 8, 4096, 1024, 6
 #: Training cuts documents into stretches of this many tokens; scoring never does.
-STRETCH = 512
+STRETCH = 1024
 #: Bytes of text whose tokens share one dictionary.
 PACK = 6_000_000
 _END = -1

@@ -288,6 +288,13 @@ def test_hidden_markov(spark, docs, empty):
     assert hmm.lm_scores(empty).count() == 0
 
 
+def test_training_takes_six_rounds_and_long_stretches(docs):
+    scores = lambda **k: {(r.doc_id, round(r.score, 6)) for r in hmm.lm_scores(docs, **k).collect()}
+    assert scores() == scores(rounds=6)
+    lengths, starts = hmm._stretches(np.array([1500]), np.array([7]))
+    assert lengths.tolist() == [1024, 476] and starts.tolist() == [7, 1031]
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(5)
     x = draw.normal(size=(700, 16))
