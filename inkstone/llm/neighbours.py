@@ -191,7 +191,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, window: int = WIN
     With exact=False only the curves' windows are searched: the block of `window` rows that holds the query and the two beside it on each curve.
     """
     spark = vectors.sparkSession
-    keyed = keep(_usable(vectors).mapInArrow(_keyed, "vec_id long, embedding array<double>, keys array<long>"), "curves")
+    keyed = keep(_usable(vectors).distinct().mapInArrow(_keyed, "vec_id long, embedding array<double>, keys array<long>"), "curves")
     rows = keyed.select("vec_id", "embedding", F.size("embedding").alias("size"), F.posexplode("keys").alias("curve", "key"))
     placed = keep(_ordered(spark, rows).withColumn("block", F.floor(F.col("g") / window)), "blocks")
     asks = placed.filter(F.col("vec_id") % every == 0)

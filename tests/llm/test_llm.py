@@ -316,6 +316,18 @@ def test_neighbours(spark):
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
+def test_neighbours_of_repeated_rows(spark):
+    x = np.random.default_rng(6).normal(size=(60, 16))
+    once = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = [(60, (x[0] + 0.001).tolist())]
+    frame = lambda rows: neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=256)
+    want = sorted(map(tuple, frame(once + near).collect()))
+    assert len(want) == 10 and sorted(map(tuple, frame(once * 2 + near * 10).collect())) == want
+    d = np.sqrt(((np.vstack((x, x[0] + 0.001)) - x[0]) ** 2).sum(1))
+    d[0] = np.inf
+    assert [r[2] for r in want] == np.argsort(d)[:10].tolist()
+
+
 def test_pipeline(spark, docs):
     now = docs.drop("node", "key", "kept", "line", "size", "taken", "n_words", "c")
     stages = dict(corpus_pipeline.STAGES)
