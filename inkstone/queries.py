@@ -226,14 +226,23 @@ def year_spec_expand(spark: SparkSession, d: str) -> DataFrame:
     return expand_years(spark.createDataFrame([("0-5,28",), ("7",), ("9-8,8",)], "spec string"))
 
 
-def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+def _dense(spark: SparkSession, d: str, asked: str) -> DataFrame:
     e = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.lit("").alias("text"), F.lit("").alias("title"),
         *[F.lit(None).cast("int").alias(c) for c in ("year", "month", "day")], F.lit("").alias("calendar"), F.lit(False).alias("leap_month"))
-    q = e.filter("cast(id as long) < 5").select(F.col("id").alias("qid"), F.lit("stones").alias("original"), "vector")
+    q = e.filter(asked).select(F.col("id").alias("qid"), F.lit("stones").alias("original"), "vector")
     found = retrieve(I.build(e, backend="dense"), q.select("qid", "original"), vectors=q.select("qid", "vector"))
     return found.evidence.select("qid", F.col("rank").cast("long").alias("rank"), "id", "similarity")
 
 
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _dense(spark, d, "cast(id as long) < 5")
+
+
+def dense_topk_fiftieth(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 50 against all rows."""
+    return _dense(spark, d, "cast(id as long) % 50 = 0")
+
+
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return articles(spark, d).agg(F.count(F.lit(1)).alias("n_articles"), F.countDistinct("year").alias("n_years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_if("leap_month").alias("n_leap"))
 
@@ -274,7 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_bigram_runs, tokenize_legacy, token_estimate, idf_table, tfidf_postings, retrieve_evidence, packing_stopped_at, date_conflict_records, date_filters, labels_and_citations,
-        sentence_split, extractive_facts, answers, conflict_answers, grounding_prompts, checked_outputs, rule_rewrite, html_readable_text, resume_anti_join, crawl_cap, day_lists, year_spec_expand, dense_topk,
+        sentence_split, extractive_facts, answers, conflict_answers, grounding_prompts, checked_outputs, rule_rewrite, html_readable_text, resume_anti_join, crawl_cap, day_lists, year_spec_expand, dense_topk, dense_topk_fiftieth,
         corpus_stats, date_parse_roundtrip, year_parse_roundtrip, range_parse_roundtrip, bare_numbers_rejected, question_checks,
     )
 }

@@ -61,3 +61,20 @@ def test_sources(spark, tmp_path):
     months = month_index(spark.createDataFrame([("search('kda_102011', '27', '3') search('kda_100000', '1', '2') search('kda_102011', '9', '3')",)], "html string")).collect()
     assert [(m.reign_year, m.month, m.leap, m["count"]) for m in months] == [(2, 1, True, 27)]
     assert sorted(r.year for r in expand_years(spark.createDataFrame([("2-0,1",)], "spec string")).collect()) == [0, 1, 2]
+
+
+def test_dense_search_asks_every_fiftieth_row(spark, tmp_path):
+    import numpy as np
+
+    from inkstone.queries import QUERIES
+
+    x = np.random.default_rng(2).normal(size=(160, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.qid, r.id): r["rank"] for r in QUERIES["dense_topk_fiftieth"](spark, str(tmp_path)).collect()}
+    want = {}
+    for q in (0, 50, 100, 150):
+        score = x @ x[q]
+        best = sorted((-round(s, 12), str(i)) for i, s in enumerate(score) if s >= 0.3)
+        want |= {(str(q), i): k + 1 for k, (_, i) in enumerate(best)}
+    assert got == want
