@@ -86,10 +86,10 @@ class Curves:
     """
 
     def __init__(self, sample: list[np.ndarray], seed: int = 11):
-        self.seed, self.fitted = seed, {}
+        self.seed, self.fitted, self.rows = seed, {}, {}
         for size in {len(x) for x in sample}:
             rows = np.stack([x for x in sample if len(x) == size])
-            self.rows = getattr(self, "rows", {}) | {size: rows}
+            self.rows[size] = rows
             with np.errstate(all="ignore"):
                 centre = rows.mean(0)
                 _, spread, directions = np.linalg.svd(np.nan_to_num(rows - centre), full_matrices=False)

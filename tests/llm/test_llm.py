@@ -78,15 +78,27 @@ def test_quality(docs, empty):
     assert set(quality.keep_good(docs).columns) == set(docs.columns)
 
 
+def _features(spark, rows):
+    return spark.createDataFrame([(i, 100, *r) for i, r in enumerate(rows)], f"{quality.FEATURES}, lang string, source string")
+
+
 def test_quantile_sketch_matches_sorted_values(spark):
-    draw = np.random.default_rng(4)
-    values = draw.gamma(3.0, 2.0, 500)
-    rows = [(i, 100, int(100 * v), 0, 0, 0, 1, "en", "s") for i, v in enumerate(values)]
-    f = spark.createDataFrame(rows, f"{quality.FEATURES}, lang string, source string".replace("n_lines long", "n_lines long"))
-    hi = quality.thresholds(quality.sketch(f)).first().word_length_hi
+    values = np.random.default_rng(4).gamma(3.0, 2.0, 500)
+    hi = quality.thresholds(quality.sketch(_features(spark, [(int(100 * v), 0, 0, 0, 1, "en", "s") for v in values]))).first().word_length_hi
     x = np.sort([int(100 * v) / 100 for v in values])
-    mid, low = x[249], x[49]
-    assert math.isclose(hi, mid + 8 * max(mid - low, 0.15), rel_tol=0.05)
+    assert math.isclose(hi, x[249] + 8 * max(x[249] - x[49], 0.15), rel_tol=0.05)
+
+
+def test_limits_follow_language_and_source(spark):
+    """Symbols and repeats are natural in one source and junk in another; limits differ, and a small source leans on its language."""
+    draw = np.random.default_rng(9)
+    rows = [(500, int(x), 0, int(y), 1, "en", "code") for x, y in zip(draw.integers(20, 60, 600), draw.integers(0, 40, 600))]
+    rows += [(500, 0 if i % 10 else 45, 0, 0, 1, "en", "news") for i in range(600)]
+    rows += [(500, 0, 0, 0, 1, "en", "small") for _ in range(3)] + [(500, 0, 0, 0, 1, None, None)]
+    got = {r.source: r for r in quality.thresholds(quality.sketch(_features(spark, rows))).collect()}
+    assert got["code"].symbol_share_hi > 0.6 and 0.05 < got["news"].symbol_share_hi < 0.45
+    # beside 100 documents' worth of its language three documents weigh little
+    assert got["news"].symbol_share_hi < got["small"].symbol_share_hi and None in got
 
 
 def test_bpe(spark, docs, empty):
@@ -295,37 +307,64 @@ def test_training_takes_six_rounds_and_long_stretches(docs):
     assert lengths.tolist() == [1024, 476] and starts.tolist() == [7, 1031]
 
 
+def _nearest_by_force(ids, x, q, k):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    d[q] = np.inf
+    return ids[np.lexsort((ids, d))[:k]].tolist()
+
+
 def test_neighbours(spark):
     draw = np.random.default_rng(5)
     x = draw.normal(size=(700, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (800, [0.0] * 16), (900, [float("nan")] * 16), (1000, [None] * 16), (None, x[3].tolist()), (1, x[1].tolist())]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = neighbours.nearest(v, window=64).toPandas()
-    hits = 0
-    ids, all_ = np.arange(700), x
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("rep", "key", "score", "rank", "g", "window")})
+    got = neighbours.nearest(v, least=1024).toPandas()
     for q in range(0, 700, 100):
-        d = np.sqrt(((all_ - all_[q]) ** 2).sum(1))
-        d[q] = np.inf
-        best = np.lexsort((ids, d))[:10]
-        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == best.tolist()
-        hits += 10
-    few = neighbours.nearest(v, window=64, exact=False).toPandas()
-    assert set(got.query_id) == set(range(0, 700, 100)) and len(got) == hits and len(few) == hits
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == _nearest_by_force(np.arange(700), x, q, 10)
+    assert set(got.query_id) == set(range(0, 700, 100))
     cells = np.array([[a, b] for a in range(4) for b in range(4)])
     order = cells[np.argsort(neighbours.hilbert_keys(cells, 2))]
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+    assert neighbours.nearest(v.limit(0)).count() == 0
+
+
+def test_neighbours_ties_lengths_and_few_rows(spark):
+    """Equal distances go to the smaller id, vectors of other lengths never meet, fewer candidates than k give all."""
+    rows = [(0, [1.0, 0.0]), (5, [1.0, 2.0]), (3, [1.0, -2.0]), (9, [3.0, 0.0]), (100, [2.0, 2.0, 2.0]), (7, [1.0, 1.0, 1.0]), (200, [4.0])]
+    got = sorted(map(tuple, neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == [(0, 1, 3, 2.0), (0, 2, 5, 2.0), (0, 3, 9, 2.0), (100, 1, 7, math.sqrt(3.0))]
+
+
+def test_neighbours_of_a_common_vector(spark):
+    """A third of all rows are one vector: the tie goes to the smallest ids, each query leaves out itself only."""
+    x = np.random.default_rng(8).normal(size=(900, 8))
+    x[::3] = x[0]
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    for q in (0, 300, 600):
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == _nearest_by_force(np.arange(900), x, q, 10)
+    assert set(got.query_id) == set(range(0, 900, 100))
+
+
+def test_windows_find_nine_in_ten(spark):
+    """Recall against brute force on 20,000 vectors without structure, and on clustered ones, where short windows do."""
+    draw = np.random.default_rng(12)
+    plain = draw.normal(size=(20_000, 64))
+    clustered = draw.normal(size=(200, 64))[draw.integers(0, 200, 20_000)] + 0.2 * draw.normal(size=(20_000, 64))
+    for x in (plain, clustered):
+        got = neighbours.nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"), every=200).toPandas()
+        found = got.groupby("query_id").vec_id.agg(set)
+        hits = [len(found[q] & set(_nearest_by_force(np.arange(20_000), x, q, 10))) for q in range(0, 20_000, 200)]
+        assert np.mean(hits) >= 9.0
 
 
 def test_neighbours_of_repeated_rows(spark):
     x = np.random.default_rng(6).normal(size=(60, 16))
     once = [(i, v.tolist()) for i, v in enumerate(x)]
     near = [(60, (x[0] + 0.001).tolist())]
-    frame = lambda rows: neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), window=256)
+    frame = lambda rows: neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     want = sorted(map(tuple, frame(once + near).collect()))
     assert len(want) == 10 and sorted(map(tuple, frame(once * 2 + near * 10).collect())) == want
-    d = np.sqrt(((np.vstack((x, x[0] + 0.001)) - x[0]) ** 2).sum(1))
-    d[0] = np.inf
-    assert [r[2] for r in want] == np.argsort(d)[:10].tolist()
+    assert [r[2] for r in want] == _nearest_by_force(np.arange(61), np.vstack((x, x[0] + 0.001)), 0, 10)
 
 
 def test_pipeline(spark, docs):
