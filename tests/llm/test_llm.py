@@ -256,21 +256,87 @@ def test_sql_on_a_small_fixture(spark, tmp_path):
         assert want and sorted(map(tuple, got.collect())) == sorted(want), name
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def _lcs(a, b):
+    table = defaultdict(int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i, j] = table[i - 1, j - 1] + 1 if a[i] == b[j] else max(table[i - 1, j], table[i, j - 1])
+    return table
+
+
 def test_html(spark):
     page = "<html><head><title>x</title><style>p{}</style></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>one\n two<br>three<aside>side</aside><p>four</article><footer>f</footer></body></html>"
     plain = "<body><div>site name</div><p>only {} here</p><div>imprint</div></body>"
     rows = [(1, "https://h/a/1", page), (2, "https://g/a/1", plain.format("apples")), (3, "https://g/a/2", plain.format("pears")), (4, None, None), (5, "https://g/a/3", ""), (1, "https://h/a/1", page)]
-    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    frame = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("x") for c in ("row", "host", "path", "lines", "text", "gone", "block")})
+    got = html.main_text(frame).collect()
     text = {r.page_id: r.text for r in got}
     assert len(got) == 6 and text[1] == "A & B\none two three\nfour" and text[2] == "only apples here" and text[3] == "only pears here" and text[4] == text[5] == ""
+    assert html.main_text(frame.limit(0)).count() == 0
     draw = random.Random(3)
     for _ in range(200):
         a, b = [draw.randint(0, 4) for _ in range(draw.randint(0, 9))], [draw.randint(0, 4) for _ in range(draw.randint(0, 9))]
-        table = defaultdict(int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                table[i, j] = table[i - 1, j - 1] + 1 if a[i] == b[j] else max(table[i - 1, j], table[i, j - 1])
-        assert len(html.shared_lines(a, b)) == table[len(a) - 1, len(b) - 1]
+        assert len(html.shared_lines(a, b)) == _lcs(a, b)[len(a) - 1, len(b) - 1]
+
+
+def test_difference_of_unmarked_pages_against_brute_force(spark):
+    """Pages without article elements, with template lines, copied articles and copies of whole pages, over several blocks and hosts."""
+    draw, rows = random.Random(4), []
+    words_ = lambda n: " ".join(draw.choice("abcdefghij") * draw.randint(2, 6) for _ in range(n))
+    for host, n in (("h", 300), ("g", 12), ("one", 1), ("two", 2)):
+        top, bottom, copied = words_(3), words_(4), [words_(9) for _ in range(3)]
+        for k in range(n):
+            own = copied + [words_(7)] if k % 5 == 0 else [words_(8) for _ in range(draw.randint(1, 5))]
+            if k % 40 == 7:
+                own = rows[-1][3]
+            rows.append((len(rows), f"https://{host}/p/{draw.randint(0, 3)}/{k}", "".join(f"<p>{x}</p>" for x in [top, *own, bottom]), own))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame([r[:3] for r in rows], PAGES)).collect()}
+    by_host = defaultdict(list)
+    for i, url, page, _ in rows:
+        host, path = url.split("//")[1].split("/", 1)
+        by_host[host].append(("/" + path, i, [x for x in page.replace("<p>", "").split("</p>") if x]))
+    for pages in by_host.values():
+        pages.sort(key=lambda x: (x[0], x[1]))
+        for at, (path, i, lines) in enumerate(pages):
+            near = [(g, *p) for g, p in enumerate(pages) if g != at and abs(g - at) <= 8]
+            prefix = lambda x: next((k for k, (a, b) in enumerate(zip(x, path)) if a != b), min(len(x), len(path)))
+            near.sort(key=lambda x: (-prefix(x[1]), abs(x[0] - at), x[0]))
+            others = [x[3] for x in near if sum(len(y) for y in lines if y in x[3]) < 0.9 * sum(map(len, lines))]
+            common = [x for x in lines if others and 2 * sum(x in o for o in others) >= len(others)]
+            want, table = [], _lcs(lines, others[0]) if others else {}
+            shared, a, b = set(), len(lines) - 1, len(others[0]) - 1 if others else -1
+            while a >= 0 and b >= 0:
+                if lines[a] == others[0][b]:
+                    shared.add(a)
+                    a, b = a - 1, b - 1
+                elif table[a - 1, b] == table[a, b]:
+                    a -= 1
+                else:
+                    b -= 1
+            want = [x for k, x in enumerate(lines) if not (k in shared and x in common)]
+            assert got[i] == "\n".join(want), (i, got[i], want)
+    assert sum(got[i] == "\n".join(own) for i, _, _, own in rows) >= 0.95 * len(rows)
+
+
+def test_markup_breaks_ties(spark):
+    """Containers named like adverts count only where neighbours have them; ids that headings get from their words drop nothing."""
+    page = "<body><article><h2 id='search-for-gold'>{0} gold</h2><section id='notice'>{0} note</section><div class='comments'><p>reader {0}</p></div></article><p>{0} outside</p></body>"
+    other = "<body><article><p>{0} text</p><div class='comments'><p>other {0}</p></div></article></body>"
+    rows = [(i, f"https://h/{i}", (page if i == 3 else other).format(f"w{i}")) for i in range(6)] + [(9, "https://lone/1", "<!-- no <article> here --><header>site</header><p>a&nbsp;b</p><p>1 < 2")]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[3] == "w3 gold\nw3 note" and got[1] == "w1 text" and got[9] == "a b\n1 < 2"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for broken in ('<a b="c ' * 125_000, "<div>" * 100_000 + "</span>" * 100_000, '<p title="x>' + "y<b>z</b>" * 100_000, "<!--" * 250_000, "<script>" * 125_000):
+        began = time.time()
+        html.blocks(broken)
+        assert time.time() - began < 20
 
 
 def test_chat(spark):
