@@ -114,11 +114,47 @@ def test_bpe(spark, docs, empty):
         assert r.ids == whole.encode_ordinary(text) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     raw = {r.doc_id: bytes(r.raw) for r in decode_ids(out, RANKS, P.PATTERN).collect()}
     assert raw[0].decode() == corpus()[0][1]
-    bpe, draw = Bpe(open(RANKS, "rb").read(), P.PATTERN), random.Random(2)
+    assert encode_texts(empty, RANKS, P.PATTERN).count() == 0
+
+
+def _tiktoken():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_merges_by_rank():
+    whole, bpe, draw = _tiktoken(), Bpe(open(RANKS, "rb").read(), P.PATTERN), random.Random(7)
+    for n in [*range(1, 60), 255, 256, 257, 700, 5000]:
+        for letters in ("abcdeé", "a", "the "):
+            text = "".join(draw.choice(letters) for _ in range(n))
+            assert bpe.encode_pieces(bpe.split(text)) == whole.encode_ordinary(text)
+            assert [bpe.merge(p.encode()) for p in bpe.split(text)] == [tuple(whole.encode_ordinary(p)) for p in bpe.split(text)]
     for _ in range(100):
         text = "".join(draw.choice(["a", "é", " ", "  ", "\n", "1", "'s", "'", "!", "<|endoftext|>", "字", "aaaa" * 9]) for _ in range(draw.randint(0, 300)))
-        assert [x for part in bpe.pieces(text, draw.randint(1, 30), draw.randint(3, 20)) for x in part] == bpe._pattern.findall(text)
-    assert encode_texts(empty, RANKS, P.PATTERN).count() == 0
+        assert [x for part in bpe.serial(text, draw.randint(3, 30)) for x in part] == bpe.split(text)
+
+
+def test_chunks_stitch(spark):
+    """Small and default chunks, words longer than the overlap, white-space runs across seams, repeated rows, null ids."""
+    whole, draw = _tiktoken(), random.Random(8)
+    atoms = ["a", "é", " ", "  ", "\n", "1", "'s", "'re", "'", "!", "<|endoftext|>", "字", "don't ", "word "]
+    texts = ["".join(draw.choices(atoms, k=draw.randint(0, 400))) for _ in range(60)] + ["x" * 300 + " tail" * 40, " " * 200 + "a" + " " * 199, "ab " * 90, None, ""]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(2, texts[2])] * 2 + [(2, texts[3])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("chunk", "piece", "print", "ids", "copies")})
+    key = lambda doc, ids: (-1 if doc is None else doc, tuple(ids))
+    want = sorted(key(i, whole.encode_ordinary(t or "")) for i, t in rows)
+    for chunk, overlap in ((16, 8), (40, 20), (200, 100)):
+        got = encode_texts(frame, RANKS, P.PATTERN, keep_ids=True, chunk=chunk, overlap=overlap).collect()
+        assert sorted(key(r.doc_id, r.ids) for r in got) == want
+    long = " ".join(words(4, 9000)) + " " + "y" * 2000 + "\n" * 700 + " ".join(words(5, 4000))
+    long_rows = [(1, long), (2, long[:20_000]), (2, long[:20_000]), (3, " ".join(words(6, 5000)))]
+    got = encode_texts(spark.createDataFrame(long_rows, "doc_id long, text string"), RANKS, P.PATTERN).collect()
+    digest = lambda t: hashlib.sha256(" ".join(map(str, whole.encode_ordinary(t))).encode()).hexdigest()
+    assert sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((i, digest(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in long_rows)
 
 
 def test_mix(spark, docs, empty):
