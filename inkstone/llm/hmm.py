@@ -11,17 +11,21 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import keep, slices, words_of
 
 STATES, MOST_FREQUENT, TAILS, ROUNDS = 8, 4096, 1024, 6
-#: Training cuts documents into stretches of this many tokens; scoring never does.
+#: A long text's stretches of this many tokens are worked through side by side; what one hands to the next is carried exactly.
 STRETCH = 1024
+#: Counts of the commonest words are sent to all tasks (16 bytes each), so that no common word is a row for every pack in one task.
+SENT = 65_536
+#: Stretches that are worked through at once.
+TOGETHER = 4096
 #: Bytes of text whose tokens share one dictionary.
 PACK = 6_000_000
 _END = -1
@@ -100,60 +104,114 @@ class Model:
         return cls((start + 0.5) / (start + 0.5).sum(), (move + 0.5) / (move + 0.5).sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def _by_step(lengths: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-    """For each step, the places of the sequences (longest first) that still have a token there."""
+class Stretches(NamedTuple):
+    """Texts cut after each STRETCH tokens: length, start and text of each stretch, and whether it begins its text."""
+
+    lengths: np.ndarray
+    starts: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+
+
+def stretches(lengths: np.ndarray, starts: np.ndarray, size: int = STRETCH) -> Stretches:
+    parts = -(-lengths // size)
+    text = np.repeat(np.arange(len(lengths)), parts)
+    step = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return Stretches(np.minimum(size, lengths[text] - step * size), starts[text] + step * size, text, step == 0)
+
+
+def _sweep(move: np.ndarray, emit: np.ndarray, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, prior: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The forward recursion over stretches side by side, step by step: (which stretches, their tokens' places, scaled alphas, scales).
+
+    prior (n, k, STATES): what each of a stretch's k chains expects of its first token. At every token a stretch's alphas are scaled to a sum of one.
+    """
     order = np.argsort(-lengths, kind="stable")
     left = np.searchsorted(-lengths[order], -np.arange(1, (lengths.max() if len(lengths) else 0) + 1), side="right")
-    first = starts[order]
+    begin, alpha = starts[order], None
     for t, n in enumerate(left):
-        yield first[:n] + t
+        at = begin[:n] + t
+        alpha = prior[order] if alpha is None else (alpha[:n].reshape(-1, len(move)) @ move).reshape(n, *alpha.shape[1:])
+        alpha = alpha * emit[classes[at]][:, None, :]
+        scale = alpha.sum((1, 2))
+        alpha = alpha / scale[:, None, None]
+        yield order[:n], at, alpha, scale
 
 
-def forward(model: Model, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """log10 probability of each sequence's classes, by the forward recursion scaled at every token."""
-    order = np.argsort(-lengths, kind="stable")
-    emit = np.ascontiguousarray(model.emit.T)
-    total, alpha = np.zeros(len(lengths)), None
-    for at in _by_step(lengths, starts):
-        alpha = (np.broadcast_to(model.start, (len(at), STATES)) if alpha is None else alpha[: len(at)] @ model.move) * emit[classes[at]]
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        total[: len(at)] += np.log10(scale)
-    out = np.empty(len(lengths))
-    out[order] = total
-    return out
+def _boundaries(model: Model, classes: np.ndarray, s: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each stretch is handed: the alphas before it, what they make expected at its first token, and the backward value after its last.
 
-
-def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch's expected starts, moves and emissions over sequences, by scaled forward and backward passes."""
-    emit, move = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32)
-    first = model.start.astype(np.float32)
-    steps, alphas, scales, alpha = [], [], [], None
-    for at in _by_step(lengths, starts):
-        alpha = (np.broadcast_to(first, (len(at), STATES)) if alpha is None else alpha[: len(at)] @ move) * emit[classes[at]]
-        scale = alpha.sum(1, keepdims=True)
-        alpha = alpha / scale
-        steps.append(at)
-        alphas.append(alpha)
-        scales.append(scale)
-    begun, moved, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, model.emit.shape[1]))
-    if not steps:
-        return begun, moved, emitted
-    gammas, beta = [None] * len(steps), None
-    for t in range(len(steps) - 1, -1, -1):
-        n = len(steps[t])
-        here = np.ones((n, STATES), np.float32)
-        if beta is not None:
-            m = len(beta)
-            ahead = beta * emit[classes[steps[t + 1]]] / scales[t + 1]
-            here[:m] = ahead @ move.T
-            moved += move * (alphas[t][:m].T @ ahead)
-        gammas[t] = alphas[t] * here
-        beta = here
-    begun += gammas[0].sum(0)
-    gamma, seen = np.concatenate(gammas), classes[np.concatenate(steps)]
-    for s in range(STATES):
-        emitted[s] = np.bincount(seen, weights=gamma[:, s], minlength=emitted.shape[1])
+    A stretch acts on the alphas before it as one matrix (chains begun in each state); the product of a text's matrices, in
+    either direction, gives both. Only stretches that continue a text need a matrix.
+    """
+    n, k = len(s.text), len(model.start)
+    handed, prior, beyond = np.zeros((n, k)), np.repeat(model.start[None, :], n, 0), np.ones((n, k))
+    more = np.nonzero(~s.first)[0]
+    if not len(more):
+        return handed, prior, beyond
+    emit = np.ascontiguousarray(model.emit.T)
+    through = np.empty((len(more), k, k))
+    for which, _, alpha, _ in _sweep(model.move, emit, classes, s.lengths[more], s.starts[more], np.repeat(model.move[None], len(more), 0)):
+        through[which] = alpha
+    heads = more[s.first[more - 1]] - 1
+    ends = np.empty((n, k))
+    for which, _, alpha, _ in _sweep(model.move, emit, classes, s.lengths[heads], s.starts[heads], prior[heads][:, None, :]):
+        ends[heads[which]] = alpha[:, 0]
+    of = np.full(n, -1)
+    of[more] = np.arange(len(more))
+    now = heads
+    while len(now := now[(now + 1 < n)][~s.first[now[now + 1 < n] + 1]]):  # the texts that go on, one stretch further
+        step = now + 1
+        handed[step] = ends[now]
+        prior[step] = ends[now] @ model.move
+        onward = np.einsum("ni,nij->nj", ends[now], through[of[step]])
+        ends[step] = onward / onward.sum(1, keepdims=True)
+        now = step
+    last = np.nonzero(np.append(s.first[1:], True))[0]
+    now = last[~s.first[last]]
+    while len(now):
+        back = np.einsum("nij,nj->ni", through[of[now]], beyond[now])
+        beyond[now - 1] = back / (ends[now - 1] * back).sum(1, keepdims=True)
+        now = (now - 1)[~s.first[now - 1]]
+    return handed, prior, beyond
+
+
+def forward(model: Model, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, size: int = STRETCH) -> np.ndarray:
+    """log10 probability of each text's classes, by the forward recursion scaled at every token."""
+    s = stretches(lengths, starts, size)
+    _, prior, _ = _boundaries(model, classes, s)
+    total, emit = np.zeros(len(s.text)), np.ascontiguousarray(model.emit.T)
+    for which, _, _, scale in _sweep(model.move, emit, classes, s.lengths, s.starts, prior[:, None, :]):
+        total[which] += np.log10(scale)
+    return np.bincount(s.text, weights=total, minlength=len(lengths))
+
+
+def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, size: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch's expected starts, moves and emissions over whole texts, by scaled forward and backward passes."""
+    k, move, emit = len(model.start), model.move, np.ascontiguousarray(model.emit.T)
+    begun, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((k, model.emit.shape[1]))
+    s = stretches(lengths, starts, size)
+    handed, prior, beyond = _boundaries(model, classes, s)
+    for a in range(0, len(s.text), TOGETHER):
+        part = slice(a, a + TOGETHER)
+        steps = [(which, at, alpha[:, 0], scale) for which, at, alpha, scale in _sweep(move, emit, classes, s.lengths[part], s.starts[part], prior[part][:, None, :])]
+        order, ahead, gammas = steps[0][0], None, [None] * len(steps)
+        beta = beyond[part][order]  # of each stretch, as yet after its last token
+        for t in range(len(steps) - 1, -1, -1):
+            which, at, alpha, scale = steps[t]
+            if ahead is not None:
+                m = len(ahead)
+                moved += move * (alpha[:m].T @ ahead)
+                beta[:m] = ahead @ move.T
+            gammas[t] = alpha * beta[: len(at)]
+            ahead = beta[: len(at)] * emit[classes[at]] / scale[:, None]
+        first = s.first[part][order]
+        begun += gammas[0][first].sum(0)
+        # the move over a boundary goes from what the stretch before handed on
+        if not first.all():
+            moved += move * (handed[part][order][~first].T @ ahead[~first])
+        gamma, seen = np.concatenate(gammas), classes[np.concatenate([x[1] for x in steps])]
+        for i in range(k):
+            emitted[i] += np.bincount(seen, weights=gamma[:, i], minlength=emitted.shape[1])
     return begun, moved, emitted
 
 
@@ -174,9 +232,8 @@ def _trainer(shared):
                 classes = _classes(_array(batch.column("hashes"), i), _array(batch.column("tails"), i), keys, classes_of)[_array(batch.column("places"), i)]
                 starts = np.cumsum(lengths) - lengths
                 use = np.array([not held_out(x) for x in ids], bool)
-                cut_lengths, cut_starts = _stretches(lengths[use], starts[use])
-                for a in range(0, len(cut_lengths), 1024):
-                    got = expected_counts(model, classes, cut_lengths[a : a + 1024], cut_starts[a : a + 1024])
+                if use.any():
+                    got = expected_counts(model, classes, lengths[use], starts[use])
                     sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
         if sums is not None:
             from pyspark import TaskContext
@@ -189,19 +246,22 @@ def _trainer(shared):
     return run
 
 
-def _stretches(lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every sequence cut after each STRETCH tokens."""
-    parts = -(-lengths // STRETCH)
-    which = np.repeat(np.arange(len(lengths)), parts)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return np.minimum(STRETCH, lengths[which] - step * STRETCH), starts[which] + step * STRETCH
+def _sorted(keys: list[int], values) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(np.array(keys, np.int64))
+    return np.array(keys, np.int64)[order], np.array(list(values), np.int64)[order]
+
+
+def _found(hashes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are among the sorted keys, and the values there."""
+    if not len(keys):
+        return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return keys[at] == hashes, values[at]
 
 
 def _classes(hashes: np.ndarray, tails: np.ndarray, keys: np.ndarray, classes_of: np.ndarray) -> np.ndarray:
     """Class of each dictionary word, and class 0 at the end for place -1."""
-    at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
-    known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-    own = classes_of[at] if len(keys) else np.zeros(len(hashes), np.int64)
+    known, own = _found(hashes, keys, classes_of)
     return np.concatenate((np.where(known, own, 1 + MOST_FREQUENT + tails), [0])).astype(np.int64)
 
 
@@ -238,9 +298,9 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     single words by add-one counts, score those of the hidden Markov model.
 
     1. Texts become packs of about 6 MB with a dictionary each, written once.
-    2. Dictionary entries meet by word hash, where a window sums corpus counts c(w); N, V and sums per class follow. A word's row appears
-       once per pack, so a common word is as many rows as there are packs. The counts return to the packs that asked for them, keyed by pack.
-    3. Baum-Welch: every round adds the partitions' expected counts place by place.
+    2. Corpus counts c(w) are summed by word with partial sums; N, V and sums per class follow. The SENT commonest words' counts are sent to all tasks; of
+       the others only those that occur outside of a pack too return to it, keyed by pack, so no word is a row for every pack.
+    3. Baum-Welch over whole texts: every round adds the partitions' expected counts place by place.
     4. The scaled forward recursion runs over each whole text; word-within-class probabilities come on top.
 
     Null or empty texts have the end token only; rows without doc_id are training text. Repeated rows each count and get a
@@ -248,19 +308,17 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     spark = docs.sparkSession
     packs = keep(docs.select("doc_id", "text").mapInArrow(_encode, _PACKS), "packs")
-    asked = packs.select("pack", F.posexplode(F.arrays_zip("hashes", "tails", "counts")).alias("at", "z")).select("pack", "at", "z.*")
-    by = Window.partitionBy("hashes")
-    counted = asked.select("pack", "at", F.col("hashes").alias("h"), F.col("tails").alias("tail"), F.sum("counts").over(by).alias("c"), F.row_number().over(by.orderBy("pack")).alias("nth"))
-    counted = keep(counted, "counts")
+    entries = packs.select("pack", F.posexplode(F.arrays_zip("hashes", "tails", "counts")).alias("at", "z")).select("pack", "at", F.col("z.hashes").alias("h"), "z.tails", "z.counts")
+    counted = keep(entries.groupBy("h").agg(F.sum("counts").alias("c"), F.min("tails").alias("tail")).filter("c > 0"), "counts")
     trained = docs.agg(F.count_if(F.col("doc_id").isNull() | (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2))).first()[0]
-    known = counted.filter("nth = 1 and c > 0")
-    tokens, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    tokens, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, vocabulary = tokens + trained, distinct + (trained > 0)
-    top = known.orderBy(F.col("c").desc(), "h").limit(MOST_FREQUENT).collect()
-    keys = np.array([r.h for r in top], np.int64)
-    order = np.argsort(keys)
-    frequent = (keys[order], (1 + np.arange(len(top)))[order])
-    own = {r.tail: (r.n, r.v) for r in known.groupBy("tail").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    sent = keep(counted.orderBy(F.col("c").desc(), "h").limit(SENT), "sent-words")
+    sent_rows = sorted(sent.collect(), key=lambda r: (-r.c, r.h))
+    top = sent_rows[:MOST_FREQUENT]
+    frequent = _sorted([r.h for r in top], range(1, 1 + len(top)))
+    common = _sorted([r.h for r in sent_rows], [r.c for r in sent_rows])
+    own = {r.tail: (r.n, r.v) for r in counted.groupBy("tail").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     class_tokens, class_words = np.zeros(1 + MOST_FREQUENT + TAILS), np.zeros(1 + MOST_FREQUENT + TAILS)
     class_tokens[0], class_words[0] = trained, 1
     for tail, (n, v) in own.items():
@@ -280,9 +338,10 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             shared.unpersist()
 
     # both lists are gathered row by row, so the k-th place belongs to the k-th count
-    answers = counted.groupBy("pack").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c")).withColumnRenamed("pack", "_pack")
-    joined = packs.join(answers, packs["pack"] == answers["_pack"], "left").select("ids", "lengths", "places", "hashes", "tails", "at", "c")
-    shared = spark.sparkContext.broadcast((model, frequent, class_tokens, class_words, total, vocabulary, trained))
+    rest = entries.join(F.broadcast(sent.select("h")), "h", "left_anti").join(counted.select("h", "c"), "h").filter("c <> counts")
+    answers = rest.groupBy("pack").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c")).withColumnRenamed("pack", "_pack")
+    joined = packs.join(answers, packs["pack"] == answers["_pack"], "left").select("ids", "lengths", "places", "hashes", "tails", "counts", "at", "c")
+    shared = spark.sparkContext.broadcast((model, frequent, common, class_tokens, class_words, total, vocabulary, trained))
     out = joined.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -291,13 +350,15 @@ def _scorer(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, (keys, classes_of), class_tokens, class_words, total, vocabulary, trained = shared.value
+        model, (keys, classes_of), common, class_tokens, class_words, total, vocabulary, trained = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, lengths = batch.column("ids")[i].as_py(), _array(batch.column("lengths"), i).astype(np.int64)
                 places = _array(batch.column("places"), i)
                 hashes = _array(batch.column("hashes"), i)
-                c = np.zeros(len(hashes) + 1)
+                c = np.append(_array(batch.column("counts"), i), 0).astype(np.float64)  # right for words of this pack alone
+                known, sent = _found(hashes, *common)
+                c[:-1][known] = sent[known]
                 if batch.column("c")[i].is_valid:
                     c[_array(batch.column("at"), i)] = _array(batch.column("c"), i)
                 c[-1] = trained

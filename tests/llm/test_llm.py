@@ -402,11 +402,46 @@ def test_hidden_markov(spark, docs, empty):
     assert hmm.lm_scores(empty).count() == 0
 
 
-def test_training_takes_six_rounds_and_long_stretches(docs):
-    scores = lambda **k: {(r.doc_id, round(r.score, 6)) for r in hmm.lm_scores(docs, **k).collect()}
-    assert scores() == scores(rounds=6)
-    lengths, starts = hmm._stretches(np.array([1500]), np.array([7]))
-    assert lengths.tolist() == [1024, 476] and starts.tolist() == [7, 1031]
+def test_expected_counts_and_scores_sum_over_all_paths():
+    """Three states: forward and Baum-Welch equal sums over every path of states, wherever texts are cut into stretches."""
+    from itertools import product
+
+    draw, k, n_classes = np.random.default_rng(3), 3, 4
+    model = hmm.Model(draw.dirichlet(np.ones(k)), draw.dirichlet(np.ones(k), k), draw.dirichlet(np.ones(n_classes), k))
+    lengths = np.array([7, 1, 5, 8])
+    classes, starts = draw.integers(0, n_classes, lengths.sum()), np.cumsum(lengths) - lengths
+    begun, moved, emitted, scores = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes)), []
+    for n, a in zip(lengths, starts):
+        seen = classes[a : a + n]
+        paths = {}
+        for path in product(range(k), repeat=int(n)):
+            paths[path] = model.start[path[0]] * model.emit[path[0], seen[0]] * np.prod([model.move[i, j] * model.emit[j, c] for i, j, c in zip(path, path[1:], seen[1:])])
+        total = sum(paths.values())
+        scores.append(math.log10(total))
+        for path, p in paths.items():
+            begun[path[0]] += p / total
+            for t in range(n):
+                emitted[path[t], seen[t]] += p / total
+                if t:
+                    moved[path[t - 1], path[t]] += p / total
+    for size in (1, 2, 3, 100):
+        assert np.allclose(hmm.forward(model, classes, lengths, starts, size), scores)
+        for got, want in zip(hmm.expected_counts(model, classes, lengths, starts, size), (begun, moved, emitted)):
+            assert np.allclose(got, want)
+
+
+def test_counts_come_back_to_every_pack(spark, monkeypatch):
+    """Small packs and few sent words give the same base scores; all texts held out, repeated rows, clashing columns."""
+    rows = [(i, " ".join(words(i % 7, 40) + [f"only{i}"])) for i in range(60)] + [(3, " ".join(words(3, 40)))] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "held_out", "pack", "h", "c", "at")})
+    key = lambda df: sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in df.collect())
+    want = key(hmm.lm_scores(frame, rounds=1))
+    assert len(want) == 62
+    monkeypatch.setattr(hmm, "SENT", 5)
+    assert key(hmm.lm_scores(frame.repartition(7), rounds=1)) == want
+    out = [(i, "a b c") for i in range(80) if hmm.held_out(i)]
+    got = hmm.lm_scores(spark.createDataFrame(out, "doc_id long, text string")).collect()
+    assert len(got) == len(out) and all(r.train_tokens == 0 and r.n_known == 0 and np.isfinite(r.score) for r in got)
 
 
 def _nearest_by_force(ids, x, q, k):
