@@ -247,33 +247,67 @@ def test_hash_functions_find_alike_passages():
     assert sum(comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(passages.AGREE)) < 0.0005
 
 
-def test_couples_ignore_where_batches_end():
-    import pyarrow as pa
-
-    draw = np.random.default_rng(4)
-    doc = np.repeat(np.arange(5), 40)
-    c = draw.integers(0, 300, 200)
-    rows = {"doc_id": doc, "key": draw.permutation(200), "l": c - draw.integers(0, 80, 200), "c": c, "r": c + draw.integers(0, 80, 200)}
-    got = [sorted(tuple(r.values()) for x in passages._couples(50)(iter([pa.RecordBatch.from_pydict({k: v[a : a + n] for k, v in rows.items()}) for a in range(0, 200, n)])) for r in x.to_pylist()) for n in (200, 7)]
-    assert got[0] == got[1] and got[0]
-    k, l, r, d = rows["key"], rows["l"], rows["r"], rows["doc_id"]
-    fits = sum(d[i] == d[j] and max(l[i], l[j]) <= min(c[i], c[j]) and max(c[i], c[j]) <= min(r[i], r[j]) and min(r[i], r[j]) - max(l[i], l[j]) >= 45 for i in range(200) for j in range(i))
-    assert len(got[0]) == fits
-
-
-def test_crowds_keep_their_ends_for_the_value():
-    draw = np.random.default_rng(1)
-    for n in (0, 1, 5, 300):
-        key, doc, left = draw.integers(0, 20, n), draw.integers(0, 9, n), draw.integers(0, 3, n)
-        out = passages._crowds(key, doc, left, left + 1, left + 2)
-        got = list(zip(*(out[c].to_pylist() for c in ("key", "doc_id", "c", "l", "r", "salt", "low", "high"))))
-        assert {x[:5] for x in got} == set(zip(key.tolist(), doc.tolist(), (left + 1).tolist(), left.tolist(), (left + 2).tolist()))
-        for k, *window, salt, low, high in got:
-            crowd = sorted(x[1:5] for x in got if x[0] == k)
-            if salt:
-                assert (tuple(low.values()), tuple(high.values())) == (crowd[0], crowd[-1]) and tuple(window) not in (crowd[0], crowd[-1])
-            else:
-                assert low is None and high is None and (tuple(window) in (crowd[0], crowd[-1]) or (key == k).sum() < passages.CROWD)
+def test_interval_join_needs_overlap_and_two_functions():
+    """Nested intervals keep a run going up to the farthest end; equal values of one function count once."""
+    pack = lambda low, high, f: (low + 5 << 35) | (5 << 19) | (high - low - 5 << 3) | f
+    cases = [
+        ([(0, 100, 0), (10, 20, 0), (50, 90, 1)], True),  # the second interval ends before the third begins, the first goes on
+        ([(0, 100, 0), (10, 20, 0), (50, 90, 0)], False),
+        ([(0, 20, 0), (30, 60, 1)], False),
+        ([(0, 20, 0), (20, 60, 1)], True),
+        ([(0, 20, 3)], False),
+    ]
+    rows = [(1, k, pack(*i)) for k, (intervals, _) in enumerate(cases) for i in intervals]
+    got = passages.agreeing(*(np.array(x, np.int64) for x in zip(*sorted(rows))))
+    assert sorted(got[1].tolist()) == [k for k, (_, ok) in enumerate(cases) if ok]
+
+
+def _dup(spark, rows):
+    return sorted(map(tuple, passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+
+
+def test_passages_do_not_depend_on_batches(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    noise = lambda n: [f"n{x}" for x in draw.integers(0, 10**9, n)]
+    shared = [noise(70) for _ in range(4)]
+    rows = [(i, " ".join(noise(40) + shared[i % 4] + noise(30) + (shared[(i + 1) % 4] if i % 3 else []))) for i in range(60)]
+    want = _dup(spark, rows)
+    frame = spark.createDataFrame(draw.permutation(np.array(rows, object)).tolist(), "doc_id long, text string")
+    assert {r[0] for r in want} == set(range(60))
+    assert sorted(map(tuple, passages.repeated_passages(frame.repartition(9)).collect())) == want
+    # the same classes if every value is dealt to several tasks
+    monkeypatch.setattr(passages, "_hot_values", lambda docs, n: np.array([r.key for r in docs.mapInArrow(passages._windows(n, np.zeros(0, np.int64)), passages._ROWS).select("key").distinct().collect()], np.int64))
+    assert {(r[0], r[-1]) for r in _dup(spark, rows)} == {(r[0], r[-1]) for r in want}
+
+
+def test_passages_found_against_brute_force(spark):
+    """Planted passages of 50 to 120 words with 0 to 7 % of their words changed: all pairs of one class whose true similarity reaches 0.75, and 98 % of them at least."""
+    draw = np.random.default_rng(21)
+    noise = lambda n: [f"n{x}" for x in draw.integers(0, 10**9, n)]
+    rows, planted = [], []
+    for k in range(150):
+        passage = noise(int(draw.integers(50, 121)))
+        changed = [w if draw.random() > 0.01 * (k % 8) else f"c{draw.integers(0, 10**9)}" for w in passage]
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (passage, changed)]
+        rows += [(2 * k, " ".join(noise(60) + passage + noise(60))), (2 * k + 1, " ".join(noise(45) + changed + noise(80)))]
+        # the ends that differ are no part of the alignment, so the passage must be long enough without them
+        same = [i for i, (a, b) in enumerate(zip(passage, changed)) if all(x == y for x, y in zip(passage[i : i + 5], changed[i : i + 5])) and i + 5 <= len(passage)]
+        planted.append(same and same[-1] - same[0] + 5 >= 50 and 100 * len(sets[0] & sets[1]) >= 75 * len(sets[0] | sets[1]))
+    got = {(min(r[0], r[3]), max(r[0], r[3])) for r in _dup(spark, rows)}
+    want = {(2 * k, 2 * k + 1) for k, ok in enumerate(planted) if ok}
+    assert len(want) > 60 and got <= {(2 * k, 2 * k + 1) for k in range(150)}
+    assert len(got & want) >= 0.98 * len(want)
+    exact = {(2 * k, 2 * k + 1) for k in range(0, 150, 8)}
+    assert exact <= got
+
+
+def test_passages_of_repeated_rows_and_long_texts(spark):
+    """Rows that share a doc_id: the largest text counts, however often it comes; a long text meets its piece."""
+    long, other = words(31, 30_000), words(32, 200)
+    rows = [(1, " ".join(long))] * 3 + [(2, " ".join(words(33, 80) + long[15_000:15_090] + words(34, 80))), (3, " ".join(other[:60])), (3, " ".join(other)), (4, " ".join(other[120:200])), (None, " ".join(other))]
+    assert [(r[0], r[3], r[1], r[2]) for r in _dup(spark, rows)] == [(1, 2, 15_000, 90), (2, 1, 80, 90), (3, 4, 120, 80), (4, 3, 0, 80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("p", "q", "key", "rep", "n", "rows", "words")})
+    assert passages.repeated_passages(frame).count() == 4
 
 
 def test_sql_on_a_small_fixture(spark, tmp_path):
