@@ -9,14 +9,14 @@ from http.server import ThreadingHTTPServer
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import token_cost
-from inkstone.functions.tokens import ranks_cost
+from inkstone.functions import tokens
 from inkstone.plans import index as indexes
 from inkstone.plans.models import PROFILES, STYLES, Command, Endpoint
 from inkstone.plans.retrieve import BUDGET
 from inkstone.service import Service, events_table, handler
-from inkstone.sources.articles import append_jsonl, expand_years, import_pages, read_csv, read_jsonl
+from inkstone.sources.articles import append_jsonl, expand_years, read_csv, read_jsonl
 from inkstone.sources.chronicle import crawl_cache, sample_plan
+from inkstone.sources.imports import import_pages
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     i = sub.add_parser("import-html", help="append readable articles of a table of saved pages (id, url, date, html) to JSON lines")
     i.add_argument("pages", help="Parquet")
     i.add_argument("--out", required=True)
+    i.add_argument("--chronicle-url", help="pages below this address are read as a chronicle's")
     c = sub.add_parser("crawl", help="articles of cached chronicle pages; resumes where the corpus ends")
     c.add_argument("--cache", required=True, help="Parquet folders index, days and pages")
     c.add_argument("--out", required=True)
@@ -45,7 +46,9 @@ def parser() -> argparse.ArgumentParser:
             a.add_argument("query")
             a.add_argument("--token-budget", type=int, default=BUDGET)
             a.add_argument("--min-similarity", type=float)
-            a.add_argument("--ranks", help="rank file of a byte-level tokenizer that counts the evidence; otherwise characters are counted")
+            a.add_argument("--tokenizer", choices=tokens.NAMES, default="auto", help="how evidence is counted: by a rank file, by characters, or by the rank file if one is given")
+            a.add_argument("--ranks", help="rank file of a byte-level tokenizer")
+            a.add_argument("--out", help="also write the answer to this JSON file")
             a.add_argument("--regenerator", choices=["rule", "none", "endpoint", "command"], default="rule")
             a.add_argument("--generator", choices=["extractive", "endpoint", "command"], default="extractive")
             a.add_argument("--model-command")
@@ -90,7 +93,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         indexes.build(rows).save(args.out)
         told = {"articles": rows.count(), "backend": "tfidf", "out": args.out}
     elif args.command == "import-html":
-        good, bad = import_pages(spark.read.parquet(args.pages))
+        good, bad = import_pages(spark.read.parquet(args.pages), args.chronicle_url)
         append_jsonl(good, args.out)
         told = {"imported": good.count(), "rejected": [r.asDict() for r in bad.orderBy("id").limit(100).collect()], "out": args.out}
     elif args.command == "crawl":
@@ -112,8 +115,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
             raise SystemExit("endpoint modes need --base-url and --model")
         outside = lambda mode: "endpoint" if mode == "command" else mode
         told = service.ask({"query": args.query, "token_budget": args.token_budget, "rewrite": outside(args.regenerator), "generation": outside(args.generator)},
-                           min_similarity=args.min_similarity, counter=ranks_cost(args.ranks) if args.ranks else token_cost)
-    print(json.dumps(told, ensure_ascii=False, indent=2, default=str))
+                           min_similarity=args.min_similarity, counter=tokens.counter(args.tokenizer, args.ranks))
+    shown = json.dumps(told, ensure_ascii=False, indent=2, default=str)
+    if getattr(args, "command", "") == "ask" and args.out:
+        with open(args.out, "w", encoding="utf-8") as f:
+            f.write(shown)
+    print(shown)
     return told
 
 

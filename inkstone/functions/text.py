@@ -24,6 +24,11 @@ def _listed(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def bigrams(run: Column) -> Column:
+    """Overlapping pairs of characters; a single character stands alone."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - 1)), lambda i: F.substring(run, i, F.lit(2)))
+
+
 def tokenize(text: Column) -> Column:
     """Lexical tokens in order: lower-cased Latin words of two letters or more that are no stop words, and bigrams of Hangul or Hanja runs."""
     stop = _listed(STOPWORDS)
@@ -31,8 +36,7 @@ def tokenize(text: Column) -> Column:
     def of_run(run: Column) -> Column:
         low = F.lower(run)
         latin = F.when((F.length(run) > 1) & ~F.array_contains(stop, low), F.array(low)).otherwise(F.expr("cast(array() as array<string>)"))
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - 1)), lambda i: F.substring(run, i, F.lit(2)))
-        return F.when(run.rlike(f"^[{LATIN}]"), latin).otherwise(pairs)
+        return F.when(run.rlike(f"^[{LATIN}]"), latin).otherwise(bigrams(run))
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUNS), F.lit(0)), of_run))
 

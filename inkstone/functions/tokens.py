@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.functions.text import token_cost
+
 #: A plain pre-token pattern: runs of letters, of digits, of other visible characters, of white space.
 PATTERN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+NAMES = ("auto", "tiktoken", "chars")
+_ENCODINGS: dict = {}
 
 
-@lru_cache(maxsize=4)
-def _encoding(path: str, pattern: str):
+def _encoding(ranks_file: bytes, pattern: str):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    key = (hashlib.sha256(ranks_file).digest(), pattern)
+    if key not in _ENCODINGS:
+        _ENCODINGS.clear()
+        ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in ranks_file.splitlines() if line.strip())}
+        _ENCODINGS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
 
 
 def ranks_cost(path: str, pattern: str = PATTERN) -> Callable[[Column], Column]:
-    """A cost function like token_cost: tokens of each text, one at least. The rank file must be at the same path on every executor."""
+    """A cost function like token_cost: tokens of each text, one at least. The rank file (some MB) is read on the driver and sent to the executors."""
+    with open(path, "rb") as f:
+        shared = SparkSession.active().sparkContext.broadcast(f.read())
 
     @F.pandas_udf("long")
     def cost(texts: pd.Series) -> pd.Series:
-        encode = _encoding(path, pattern).encode_ordinary
+        encode = _encoding(shared.value, pattern).encode_ordinary
         return texts.fillna("").map(lambda t: max(1, len(encode(t)))).astype("int64")
 
     return cost
+
+
+def counter(name: str = "auto", ranks: str | None = None) -> tuple[Callable[[Column], Column], str]:
+    """Cost function and label of a counter: "chars" estimates, "tiktoken" needs a rank file, "auto" takes the rank file if there is one and else estimates."""
+    if name not in NAMES:
+        raise ValueError(f"tokenizer must be one of {NAMES}")
+    if name == "tiktoken" and not ranks:
+        raise ValueError("tiktoken needs a rank file")
+    if name == "chars" or not ranks:
+        return token_cost, "conservative-char-v1"
+    return ranks_cost(ranks), "tiktoken-ranks"

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from inkstone.functions.text import legacy_tokenize, tokenize
+from inkstone.functions.text import RUNS, STOPWORDS, bigrams, legacy_tokenize, tokenize
+from inkstone.plans.kept import kept
 
 TOKENIZERS = {"korean-char-bigram-v1": tokenize, "legacy-word": legacy_tokenize}
 PARTS = ("articles", "idf", "postings", "title_terms", "meta")
 
 
+def term_rows(rows: DataFrame, text: Column, tokenizer: str = "korean-char-bigram-v1") -> DataFrame:
+    """A row for each token of a text, with the other columns: what the tokenizers give, but with stop words dropped by a filter over exploded runs."""
+    others = rows.columns
+    if tokenizer != "korean-char-bigram-v1":
+        return rows.select(*others, F.explode(TOKENIZERS[tokenizer](text)).alias("term"))
+    runs = rows.select(*others, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUNS), F.lit(0))).alias("_run"))
+    latin, low = F.col("_run") < "\u0080", F.lower("_run")
+    runs = runs.filter(~latin | ((F.length("_run") > 1) & ~low.isin(*STOPWORDS)))
+    return runs.select(*others, F.explode(F.when(latin, F.array(low)).otherwise(bigrams(F.col("_run")))).alias("term"))
+
+
 def term_counts(articles: DataFrame, tokenizer: str = "korean-char-bigram-v1") -> DataFrame:
     """id, term, tf over title and text."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
-    return articles.select("id", F.explode(TOKENIZERS[tokenizer](text)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    said = articles.select("id", text.alias("_said"))
+    return term_rows(said, F.col("_said"), tokenizer).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def inverse_frequencies(counts: DataFrame, articles: DataFrame) -> DataFrame:
@@ -28,9 +43,9 @@ def inverse_frequencies(counts: DataFrame, articles: DataFrame) -> DataFrame:
 
 def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """id, term, weight: tf * idf to six places, divided by the article's norm, to six places again."""
-    raw = counts.join(idf, "term").select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("w"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", F.round(F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")), 6).alias("weight"))
+    raw = counts.join(idf.select("term", "idf"), "term").select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", F.round(F.col("w") / F.when(norm == 0, 1.0).otherwise(norm), 6).alias("weight"))
 
 
 @dataclass
@@ -65,6 +80,44 @@ class Index:
         return cls(read("articles"), read("idf") if sparse else None, read("postings") if sparse else None, read("title_terms"), meta.tokenizer, meta.backend)
 
 
+def encoded(articles: DataFrame, encoder: Callable[[list[str]], object]) -> DataFrame:
+    """Articles with column `vector`: what the encoder (a function from texts to rows of numbers) gives for title and text, brought to length one.
+
+    The encoder travels to the executors; a model that it loads should be kept in a variable of its module.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in articles.schema.fields)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            said = [f"{t or ''}\n{x or ''}" for t, x in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist())]
+            rows = np.asarray(encoder(said), np.float32).reshape(len(said), -1) if said else np.zeros((0, 1), np.float32)
+            norm = np.linalg.norm(rows, axis=1, keepdims=True)
+            rows = rows / np.where(norm == 0, 1, norm)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(rows), pa.list_(pa.float32()))], [*batch.schema.names, "vector"])
+
+    return articles.mapInArrow(run, f"{schema}, vector array<float>")
+
+
+def decoded(matrices: DataFrame) -> DataFrame:
+    """(key, pos, vector) of stored matrices (key, vectors_b64, dim): rows of little-endian 32-bit floats, as base64 text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import base64
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for key, text, dim in zip(*(batch.column(c).to_pylist() for c in ("key", "vectors_b64", "dim"))):
+                rows = np.frombuffer(base64.b64decode(text or ""), "<f4").reshape(-1, dim)
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(rows), pa.string()), "pos": pa.array(np.arange(len(rows))), "vector": pa.array(list(rows), pa.list_(pa.float32()))})
+
+    return matrices.select(F.col("key").cast("string").alias("key"), "vectors_b64", "dim").mapInArrow(run, "key string, pos long, vector array<float>")
+
+
 def build(articles: DataFrame, tokenizer: str = "korean-char-bigram-v1", backend: str = "tfidf") -> Index:
     """Index over articles (id, text, title, …). backend "dense" expects a column vector of array<float>."""
     if tokenizer not in TOKENIZERS:
@@ -76,6 +129,7 @@ def build(articles: DataFrame, tokenizer: str = "korean-char-bigram-v1", backend
         if "vector" not in articles.columns:
             raise ValueError("a dense index needs articles with a vector")
         return Index(articles, None, None, titles, tokenizer, backend)
-    counts = term_counts(articles, tokenizer)
-    idf = inverse_frequencies(counts, articles)
+    # counts are read twice, so they are written once
+    counts = kept(term_counts(articles, tokenizer), "term-counts")
+    idf = kept(inverse_frequencies(counts, articles), "idf")
     return Index(articles, idf, weigh(counts, idf), titles, tokenizer, backend)

@@ -6,7 +6,7 @@ for the few rows that were packed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,10 +46,10 @@ def prepared(questions: DataFrame, index: Index) -> DataFrame:
     q = questions.select(
         "qid", "original", (F.coalesce("rewritten", "original") if "rewritten" in have else F.col("original")).alias("rewritten"),
         (F.col("token_budget") if "token_budget" in have else F.lit(BUDGET)).cast("long").alias("token_budget"))
-    q = q.withColumn("asked", date_spec(F.col("original"))).withColumn("inferred", date_spec(F.col("rewritten")))
+    q = q.withColumn("asked", date_spec("original")).withColumn("inferred", date_spec("rewritten"))
     source = F.when(F.col("asked.year").isNotNull(), "original").when(F.col("inferred.year").isNotNull(), "regenerated").otherwise("none")
     q = q.withColumn("source", source).withColumn("spec", F.when(F.col("source") == "original", F.col("asked")).otherwise(F.col("inferred")))
-    q = q.withColumn("topical_terms", words_asked(without_dates(F.col("rewritten")))).withColumn("asked_topic", F.size(words_asked(without_dates(F.col("original")))) > 0)
+    q = q.withColumn("topical_terms", words_asked(without_dates("rewritten"))).withColumn("asked_topic", F.size(words_asked(without_dates("original"))) > 0)
     return q.withColumn("waived", (F.col("source") == "original") & ~F.col("asked_topic")).withColumn("qterms", index.tokens(F.col("rewritten")))
 
 
@@ -72,14 +72,55 @@ def _sparse_scores(q: DataFrame, index: Index) -> DataFrame:
     return unit.join(index.postings, "term").groupBy("qid", "id").agg(F.sum(F.col("u") * F.col("weight")).alias("base"))
 
 
-def _dense_scores(q: DataFrame, vectors: DataFrame, index: Index) -> DataFrame:
-    """qid, id, base: dot products of the questions' vectors with the articles', in double precision."""
-    dot = F.aggregate(F.zip_with("vector", "query", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    asked = vectors.select("qid", F.col("vector").alias("query"))
-    return q.select("qid").join(asked, "qid").crossJoin(index.articles.select("id", "vector")).select("qid", "id", dot.alias("base"))
+#: Bytes of questions' vectors that are sent to all tasks at once.
+SENT_BYTES = 32_000_000
 
 
-def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None = None, vectors: DataFrame | None = None, counter: Callable[[Column], Column] = token_cost) -> Retrieved:
+def _dense_scores(q: DataFrame, vectors: DataFrame, index: Index, floor: float) -> DataFrame:
+    """qid, id, base: dot products of the questions' vectors with the articles', in double precision, as far as they reach the floor or it is waived.
+
+    Questions go in slices of bounded size to all tasks, where a slice meets each batch of articles as one matrix product.
+    """
+    asked = q.select("qid", "waived").join(vectors, "qid").select("qid", "waived", F.col("vector").cast("array<double>").alias("query"))
+    size = asked.agg(F.sum(8 * F.size("query") + 64)).first()[0] or 0
+    slices = int(-(-size // SENT_BYTES)) or 1
+    sliced = kept(asked.withColumn("slice", F.pmod(F.xxhash64("qid"), F.lit(slices)).cast("int")), "asked-vectors")
+    out = None
+    for i in range(slices):
+        rows = sliced.filter(F.col("slice") == i).collect()
+        found = index.articles.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_products(rows, floor), "qid string, id string, base double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _products(rows: list, floor: float) -> Callable[[Iterator], Iterator]:
+    import numpy as np
+
+    by_size: dict[int, list] = {}
+    for r in rows:
+        by_size.setdefault(len(r.query), []).append(r)
+    asked = {size: (np.array([r.qid for r in x], object), np.array([r.query for r in x], np.float64), np.array([r.waived for r in x], bool)) for size, x in by_size.items()}
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column("vector")), -1))
+            for size in set(sizes.tolist()) & set(asked):
+                part = batch.filter(pa.array(sizes == size))
+                x = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, size)
+                ids, (qids, queries, waived) = np.array(part.column("id").to_pylist(), object), asked[size]
+                for a in range(0, len(qids), 256):
+                    base = queries[a : a + 256] @ x.T
+                    i, j = np.nonzero((base >= floor - 1e-9) | waived[a : a + 256, None])
+                    yield pa.RecordBatch.from_pydict({"qid": pa.array(qids[a : a + 256][i], pa.string()), "id": pa.array(ids[j], pa.string()), "base": pa.array(base[i, j])})
+
+    return run
+
+
+def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None = None, vectors: DataFrame | None = None, counter: Callable[[Column], Column] = token_cost, counter_label: str = "conservative-char-v1") -> Retrieved:
     """Date-filter, score, apply the floor and pack whole articles, for every question at once.
 
     Packing is fit-or-stop: a strict prefix of the ranking. Ranks and the floor compare similarities rounded to 12 places, since sums after
@@ -99,14 +140,13 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     mode = F.when(F.col("widened"), "inferred-date-fallback-all").when(F.col("spec.year").isNull(), "all-records").when(F.col("spec.year_end").isNotNull(), "year-range").otherwise("exact-or-partial-date")
     q = asked = kept(q.withColumn("mode", mode).withColumn("n_terms", F.size(F.array_distinct("qterms"))), "questions")
 
-    base = _sparse_scores(q, index) if index.backend == "tfidf" else _dense_scores(q, vectors, index)
+    base = kept(_sparse_scores(q, index), "base") if index.backend == "tfidf" else _dense_scores(q, vectors, index, floor)
     head = q.select("qid", "spec", "widened", "waived", "source", "asked_topic", "token_budget", "n_terms").alias("q")
     # articles that share a term; questions by date alone, or without a floor, look at the others as well
     met = base.alias("b").join(head, F.col("b.qid") == F.col("q.qid")).join(a, F.col("b.id") == F.col("a.id"))
     met = met.select("q.*", "a.id", "a.year", "a.month", "a.day", "a.cost", "a.date", "a.title", "b.base", date_matches().alias("match"))
-    open_ = head if floor <= 0 else head.filter("waived")
-    rest = open_.join(a, F.col("q.widened") | date_matches()).select("q.*", "a.id", "a.year", "a.month", "a.day", "a.cost", "a.date", "a.title", F.lit(0.0).alias("base"), F.lit(True).alias("match"))
-    scored = met.unionByName(rest.join(base.select("qid", "id"), ["qid", "id"], "left_anti").select(met.columns))
+    rest = _without_terms(head if floor <= 0 else head.filter("waived"), light, base) if index.backend == "tfidf" else None
+    scored = met if rest is None else met.unionByName(rest.select(met.columns))
 
     hits = q.select("qid", F.explode(F.array_distinct("qterms")).alias("term")).join(index.title_terms, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"))
     in_range = F.col("spec.year").isNotNull() & F.coalesce(F.col("year"), F.lit(-1)).between(F.col("spec.year"), F.coalesce("spec.year_end", "spec.year"))
@@ -133,18 +173,42 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     columns = ["qid", "rank", "id", F.round("base", 6).alias("similarity"), F.round("rerank", 6).alias("rerank_score"), F.col("cost").alias("estimated_tokens")]
     evidence = packed.select(*columns, F.lit(False).alias("outside_date_filter")).unionByName(more.select(*columns, F.lit(True).alias("outside_date_filter")))
     evidence = kept(evidence, "evidence")
+    # without a floor every candidate is kept, also those that the budget can't reach and that were therefore never listed
+    below = F.col("n_candidates") - F.coalesce("n_kept", F.lit(0))
+    if index.backend == "tfidf":
+        below = F.when(F.col("waived") | F.lit(floor <= 0), F.lit(0).cast("long")).otherwise(below)
     used = evidence.groupBy("qid").agg(F.sum("estimated_tokens").alias("used"))
     trace = q.join(conflicts, "qid", "left").join(used, "qid", "left").select(
         "qid", F.col("original").alias("original_query"), F.col("rewritten").alias("rewritten_query"),
         F.struct("spec.year", "spec.month", "spec.day", "spec.year_end", "mode", "source", F.col("spec.text").alias("matched_text"), "widened").alias("date_filter"),
-        F.struct(F.lit(floor).alias("value"), "waived", (F.col("n_candidates") - F.coalesce("n_kept", F.lit(0))).alias("below_floor")).alias("similarity_floor"),
-        F.struct(F.lit("fit-or-stop").alias("policy"), "stopped_at").alias("packing"), "token_budget", F.lit("conservative-char-v1" if counter is token_cost else "tokenizer-ranks").alias("token_counter"),
+        F.struct(F.lit(floor).alias("value"), "waived", below.alias("below_floor")).alias("similarity_floor"),
+        F.struct(F.lit("fit-or-stop").alias("policy"), "stopped_at").alias("packing"), "token_budget", F.lit(counter_label).alias("token_counter"),
         F.coalesce("used", F.lit(0)).cast("long").alias("estimated_tokens"), "topical_terms",
         F.when(F.col("conflict_records").isNotNull(), F.struct(F.struct("spec.year", "spec.month", "spec.day", "spec.year_end").alias("requested"), F.col("conflict_records").alias("records"))).alias("date_conflict"))
     # few rows that answers, prompts and checks all start from
     return Retrieved(kept(trace, "trace"), evidence, (asked, scored))
 
 
+def _without_terms(open_: DataFrame, light: DataFrame, base: DataFrame) -> DataFrame:
+    """Candidates that share no term with their question, for questions that take them: those by date alone, or all where there is no floor.
+
+    Dated questions meet articles by year. What is left, every article for an undated question, ranks by id alone, so the first few by
+    id are enough: as many as the largest budget holds and as already share a term.
+    """
+    a = light.alias("a")
+    years = F.when(F.col("spec.year").isNotNull(), F.sequence("spec.year", F.coalesce("spec.year_end", "spec.year")))
+    dated = open_.withColumn("_year", F.explode(years)).alias("q").join(a, (F.col("q._year") == F.col("a.year")) & (F.col("q.widened") | date_matches()))
+    free = open_.filter("spec.year is null or widened").alias("q")
+    most = open_.agg(F.max("token_budget")).first()[0]
+    columns = [*[f"q.{c}" for c in open_.columns], *[f"a.{c}" for c in ("id", "year", "month", "day", "cost", "date", "title")]]
+    out = dated.select(*columns)
+    if most is not None and not free.isEmpty():
+        shared = base.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
+        firsts = kept(light.orderBy("id").limit(int(most) + 1 + shared), "first-articles")
+        out = out.unionByName(free.join(firsts.alias("a"), F.lit(True)).select(*columns)).dropDuplicates(["qid", "id"])
+    return out.join(base.select("qid", "id"), ["qid", "id"], "left_anti").withColumns({"base": F.lit(0.0), "match": F.lit(True)})
+
+
 def _pack(good: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose running cost stays in the budget, with their rank, and the id at which each question stopped.
 

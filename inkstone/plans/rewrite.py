@@ -26,8 +26,8 @@ def rewritten(questions: DataFrame, events: DataFrame) -> DataFrame:
     named = named.select("qid", "_pos", F.concat(lacks(F.col("terms")), lacks(F.coalesce("details", none))).alias("extra"), date.alias("date"))
     per = named.groupBy("qid").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "extra"))), lambda s: s["extra"])).alias("extra"), F.min_by("date", F.when(F.col("date").isNotNull(), F.col("_pos"))).alias("date"))
-    q = questions.join(per, "qid", "left")
-    dated = F.when((date_spec(F.col("original"))["year"].isNull()) & F.col("date").isNotNull(), F.array(F.concat(F.lit("approximate date: "), "date"))).otherwise(none)
+    q = questions.join(per, "qid", "left").withColumn("_asked", date_spec("original")["year"])
+    dated = F.when(F.col("_asked").isNull() & F.col("date").isNotNull(), F.array(F.concat(F.lit("approximate date: "), "date"))).otherwise(none)
     extra = F.concat(F.coalesce("extra", none), dated)
     text = F.when(F.size(extra) > 0, F.concat("original", F.lit(" | related: "), F.array_join(extra, "; "))).otherwise(F.col("original"))
     return q.withColumn("rewritten", text).select(*questions.columns, "rewritten")

@@ -104,10 +104,16 @@ def _filled(form: str) -> str:
     return form
 
 
+_BUILT: dict[tuple[str, str], I.Index] = {}
+
+
 def _index(spark, d):
-    built = I.build(articles(spark, d))
-    idf = kept(built.idf, "idf")
-    return I.Index(built.articles, idf, kept(I.weigh(I.term_counts(built.articles), idf), "postings"), built.title_terms)
+    """The articles' index, built once a session and written, as a service holds it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        built = I.build(articles(spark, d))
+        _BUILT[key] = I.Index(built.articles, built.idf, kept(built.postings, "postings"), kept(built.title_terms, "title-terms"))
+    return _BUILT[key]
 
 
 def evidence_of(spark, d, q=None):
@@ -129,7 +135,8 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def idf_table(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).idf.select("term", "df", F.round("idf", 10).alias("idf"))
+    a = articles(spark, d)
+    return I.inverse_frequencies(I.term_counts(a), a).select("term", "df", F.round("idf", 10).alias("idf"))
 
 
 def tfidf_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -255,22 +262,21 @@ def _dated(spark: SparkSession, d: str, forms: list[str]) -> DataFrame:
 
 
 def date_parse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    s = date_spec(F.col("said"))
-    return _dated(spark, d, _DAY_FORMS).withColumn("s", s).select("key", "s.year", "s.month", "s.day")
+    return _dated(spark, d, _DAY_FORMS).withColumn("s", date_spec("said")).select("key", "s.year", "s.month", "s.day")
 
 
 def year_parse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return _dated(spark, d, _YEAR_FORMS).withColumn("s", date_spec(F.col("said"))).select("key", "s.year", "s.month", F.trim(without_dates(F.concat(F.lit("halls "), F.col("said")))).startswith("halls").alias("blanked"))
+    return _dated(spark, d, _YEAR_FORMS).withColumns({"s": date_spec("said"), "more": F.concat(F.lit("halls "), "said")}).select("key", "s.year", "s.month", (F.trim(without_dates("more")) == "halls").alias("blanked"))
 
 
 def range_parse_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     forms = ["'between {y} and ' || (y + 5)", "'from {y} to ' || (y + 5)", "'{y}–' || (y + 5)", "'{y}년부터 ' || (y + 5) || '년까지'"]
-    return _dated(spark, d, forms).withColumn("s", date_spec(F.col("said"))).select("key", "s.year", "s.year_end")
+    return _dated(spark, d, forms).withColumn("s", date_spec("said")).select("key", "s.year", "s.year_end")
 
 
 def bare_numbers_rejected(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (1418 + F.col("o_orderkey") % 33).cast("string").alias("y"))
-    return r.withColumn("s", date_spec(F.concat("y", F.lit(" soldiers marched")))).withColumn("f", record_date(F.col("y"))).select("key", F.col("s.year").alias("free_year"), F.col("f.year").alias("field_year"))
+    return r.withColumn("said", F.concat("y", F.lit(" soldiers marched"))).withColumns({"s": date_spec("said"), "f": record_date("y")}).select("key", F.col("s.year").alias("free_year"), F.col("f.year").alias("field_year"))
 
 
 def question_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -345,7 +351,3 @@ ORACLE_SQL: dict[str, str] = {
     "bare_numbers_rejected": "select o_orderkey as key, cast(null as integer) as free_year, cast(1418 + o_orderkey % 33 as integer) as field_year from orders",
     "question_checks": "select conv_id, turn, length(trim(text)) between 1 and 1000 as text_ok, length(text) * 10 between 50 and 16000 as budget_ok, length(trim(text)) between 1 and 1000 and length(text) * 10 between 50 and 16000 as valid from conversations",
 }
-
-
-def entry(spark: SparkSession) -> DataFrame:
-    return retrieve_evidence(spark, "/root/testdata/sf0.001")

@@ -23,6 +23,27 @@ class BadRequest(ValueError):
     """A request that the service does not take."""
 
 
+def checked(body: bytes, has_model: bool = False) -> dict:
+    """Fields of a request's body, or BadRequest."""
+    if not 1 <= len(body) <= MOST_BYTES:
+        raise BadRequest("invalid request size")
+    try:
+        said = json.loads(body)
+        query, budget = str(said.get("query", "")).strip(), int(said.get("token_budget", BUDGET))
+    except (ValueError, TypeError, AttributeError) as e:
+        raise BadRequest(f"request must be a JSON object: {e}") from e
+    if not 1 <= len(query) <= MOST_CHARACTERS:
+        raise BadRequest(f"query must contain 1 to {MOST_CHARACTERS} characters")
+    if not BUDGETS[0] <= budget <= BUDGETS[1]:
+        raise BadRequest("token budget must be {} to {}".format(*BUDGETS))
+    request = {"query": query, "token_budget": budget, "rewrite": said.get("rewrite", "rule"), "generation": said.get("generation", "extractive")}
+    if request["rewrite"] not in REWRITES or request["generation"] not in GENERATIONS:
+        raise BadRequest("unsupported rewrite or generation mode")
+    if "endpoint" in (request["rewrite"], request["generation"]) and not has_model:
+        raise BadRequest("no model is configured")
+    return request
+
+
 @dataclass
 class Service:
     spark: SparkSession
@@ -40,23 +61,7 @@ class Service:
 
     def checked(self, body: bytes) -> dict:
         """The request's fields, or BadRequest."""
-        if not 1 <= len(body) <= MOST_BYTES:
-            raise BadRequest("invalid request size")
-        try:
-            said = json.loads(body)
-            query, budget = str(said.get("query", "")).strip(), int(said.get("token_budget", BUDGET))
-        except (ValueError, TypeError, AttributeError) as e:
-            raise BadRequest(f"request must be a JSON object: {e}") from e
-        if not 1 <= len(query) <= MOST_CHARACTERS:
-            raise BadRequest(f"query must contain 1 to {MOST_CHARACTERS} characters")
-        if not BUDGETS[0] <= budget <= BUDGETS[1]:
-            raise BadRequest("token budget must be {} to {}".format(*BUDGETS))
-        request = {"query": query, "token_budget": budget, "rewrite": said.get("rewrite", "rule"), "generation": said.get("generation", "extractive")}
-        if request["rewrite"] not in REWRITES or request["generation"] not in GENERATIONS:
-            raise BadRequest("unsupported rewrite or generation mode")
-        if "endpoint" in (request["rewrite"], request["generation"]) and self.model is None:
-            raise BadRequest("no model is configured")
-        return request
+        return checked(body, self.model is not None)
 
     def questions(self, query: str, budget: int, rewrite: str) -> DataFrame:
         q = self.spark.createDataFrame([("q", query)], "qid string, original string")
@@ -66,10 +71,10 @@ class Service:
             q = rewritten(q, self.events)
         return q.withColumn("token_budget", F.lit(budget))
 
-    def ask(self, request: dict, min_similarity: float | None = None, counter=None) -> dict:
+    def ask(self, request: dict, min_similarity: float | None = None, counter: tuple | None = None) -> dict:
         """Answer, citations, evidence and trace of one question."""
         q = self.questions(request["query"], request["token_budget"], request["rewrite"])
-        found: Retrieved = retrieve(self.index, q, min_similarity=min_similarity, **({"counter": counter} if counter else {}))
+        found: Retrieved = retrieve(self.index, q, min_similarity=min_similarity, **({"counter": counter[0], "counter_label": counter[1]} if counter else {}))
         try:
             rows = answered_by(self.model, found, self.index.articles) if request["generation"] == "endpoint" else answer.answers(found, self.index.articles)
             out = rows.first().asDict(recursive=True)
@@ -90,7 +95,7 @@ def events_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def handler(service: Service) -> type[BaseHTTPRequestHandler]:
-    """Routes: GET /api/corpus, POST /api/ask. Bad requests give 400, failures 502."""
+    """Routes: GET / (what there is), GET /api/corpus, POST /api/ask. Bad requests give 400, failures 502."""
 
     class Handler(BaseHTTPRequestHandler):
         def _reply(self, value: dict, status: int = 200) -> None:
@@ -102,7 +107,9 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             self.wfile.write(data)
 
         def do_GET(self) -> None:
-            if self.path == "/api/corpus":
+            if self.path == "/":
+                self._reply({"service": "inkstone", "routes": ["GET /api/corpus", "POST /api/ask"], "suggested_query": service.suggested})
+            elif self.path == "/api/corpus":
                 self._reply(service.corpus())
             else:
                 self.send_error(404)

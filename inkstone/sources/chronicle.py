@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkstone.functions.text import reign_year
+from inkstone.plans.kept import kept
 from inkstone.sources.articles import day_list, month_index
 
 #: The sample's reign year and lunar month, its size, its slowest rate in seconds a request.
 SAMPLE_YEAR, SAMPLE_MONTH, SAMPLE_CAP, SAMPLE_DELAY = 2, 5, 100, 1.5
 #: Forms of article ids, of the page's date line (each part by name) and of a footnote's mark.
 ARTICLE_ID = r"^kda_1(\d{2})(\d{2})([01])(\d{2})_\d{3}$"
-_LINE = {
-    "book": r"(\S+실록)\s*", "vol": r"(\d+)\s*권\s*,\s*", "king": r"(\S+?)\s*", "reign": r"(즉위년|\d+\s*년)\s*", "leap": r"(윤)?\s*", "month": r"(\d+)\s*월\s*", "day": r"(\d+)\s*일\s*",
-    "ganji": r"([가-힣]{2})?\s*", "seq": r"(\d+)\s*/\s*", "total": r"(\d+)\s*기사", "western": r"(?:\s*/\s*(\d{4})\s*년)?",
-}
-DATE_LINE = "".join(_LINE.values())
+DATE_LINE = (
+    r"(\S+실록)\s*(\d+)\s*권\s*,\s*(\S+?)\s*(즉위년|\d+\s*년)\s*(윤)?\s*(\d+)\s*월\s*(\d+)\s*일\s*([가-힣]{2})?\s*(\d+)\s*/\s*(\d+)\s*기사(?:\s*/\s*(\d{4})\s*년)?"
+)
+LINE_PARTS = ("book", "vol", "king", "reign", "leap", "month", "day", "ganji", "seq", "total", "western")
 NOTE_MARK = r"^\[註\s*\d+\]\s*"
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SPACED = {"br", "p", "li", "div"}
@@ -133,8 +133,7 @@ def _parts(batches: Iterator) -> Iterator:
 
 def date_line(text: Column) -> Column:
     """Struct of a page's date line: book, vol, king, reign (0: accession), leap, month, day, ganji, seq, total, western; null if it has another form."""
-    names = list(_LINE)
-    part = {n: F.regexp_extract(text, "(?U)" + DATE_LINE, i + 1) for i, n in enumerate(names)}
+    part = {n: F.regexp_extract(text, "(?U)" + DATE_LINE, i + 1) for i, n in enumerate(LINE_PARTS)}
     number = lambda n: F.expr("null").cast("int") if n is None else F.nullif(F.regexp_extract(part[n], r"^\d+", 0), F.lit("")).cast("int")
     fields = [part["book"].alias("book"), number("vol").alias("vol"), part["king"].alias("king"), F.coalesce(number("reign"), F.lit(0)).alias("reign"), (part["leap"] != "").alias("leap"),
               *[number(n).alias(n) for n in ("month", "day")], part["ganji"].alias("ganji"), *[number(n).alias(n) for n in ("seq", "total", "western")]]
@@ -161,9 +160,9 @@ def article_pages(pages: DataFrame, base_url: str, *, hanja: bool = False) -> tu
     text_of = lambda s: F.concat_ws(",", *[s[i].cast("string") for i in s_fields(s)])
     s_fields = lambda s: ("reign", "month", "day", "leap") if s is said else ("reign_year", "month", "day", "leap")
     warnings = F.array_compact(F.array(
-        F.when(F.col("d").isNull(), "date line not recognised; date taken from the article id"),
-        F.when(text_of(said) != text_of(meant), F.concat(F.lit("date line ("), text_of(said), F.lit(") differs from article id ("), text_of(meant), F.lit(")"))),
-        F.when(F.col("d.western") != F.col("year"), F.concat(F.lit("page year "), F.col("d.western").cast("string"), F.lit(" differs from "), F.col("year").cast("string")))))
+        F.when(F.col("d").isNull(), "no date line of the usual form, so the id alone gives the date"),
+        F.when(text_of(said) != text_of(meant), F.concat(F.lit("the page says "), text_of(said), F.lit(" (reign year, month, day, leap), the id "), text_of(meant))),
+        F.when(F.col("d.western") != F.col("year"), F.concat(F.lit("the page says year "), F.col("d.western").cast("string"), F.lit(", the id "), F.col("year").cast("string")))))
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
     good = p.filter("error is null").select(
         "id", F.concat_ws("-", F.col("year").cast("string"), two("month"), two("day")).alias("date"), "year", "month", "day", "leap_month", F.lit("lunar").alias("calendar"), "reign_year",
@@ -194,37 +193,54 @@ def sample_plan(years: set[int] | None = None, month: int | None = None, leap: b
     return {"years": years or {SAMPLE_YEAR}, "month": month or SAMPLE_MONTH, "leap": leap, "max_articles": None, "max_total": max_articles or SAMPLE_CAP}
 
 
-def within_caps(ids: DataFrame, max_articles: int | None = None, max_total: int | None = None) -> DataFrame:
-    """New rows of (month_pos, pos, id, stored) in page order: so many new ones, or so many with those stored before them.
+def reached(ids: DataFrame, max_articles: int | None = None, max_total: int | None = None) -> DataFrame:
+    """Rows of (month_pos, pos, id, stored, ok) with `reached`: whether a crawl in page order still comes to them.
 
-    The window runs over identifiers alone, which a chronicle's month pages bound; without caps there is none.
+    It stops once it has written so many articles, or so many with those stored before. An identifier that fails (not ok) uses up no place. The window runs over
+    identifiers alone, which a chronicle's month pages bound; without caps there is none.
     """
     if max_articles is None and max_total is None:
-        return ids.filter("not stored")
-    order = Window.orderBy("month_pos", "pos")
-    ranked = ids.withColumn("met", F.row_number().over(order)).withColumn("new", F.sum(F.when(F.col("stored"), 0).otherwise(1)).over(order))
-    out = ranked.filter("not stored")
-    if max_total is not None:
-        out = out.filter(F.col("met") <= max_total)
-    if max_articles is not None:
-        out = out.filter(F.col("new") <= max_articles)
-    return out.drop("met", "new")
+        return ids.withColumn("reached", F.lit(True))
+    before = Window.orderBy("month_pos", "pos", "id").rowsBetween(Window.unboundedPreceding, -1)
+    written = F.coalesce(F.sum(F.when(~F.col("stored") & F.col("ok"), 1).otherwise(0)).over(before), F.lit(0))
+    met = F.coalesce(F.sum(F.when(F.col("stored") | F.col("ok"), 1).otherwise(0)).over(before), F.lit(0))
+    go = F.lit(True) if max_articles is None else written < max_articles
+    return ids.withColumn("reached", go if max_total is None else go & (met < max_total))
+
+
+def within_caps(ids: DataFrame, max_articles: int | None = None, max_total: int | None = None) -> DataFrame:
+    """New rows of (month_pos, pos, id, stored) in page order: so many new ones, or so many with those stored before them."""
+    return reached(ids.withColumn("ok", F.lit(True)), max_articles, max_total).filter("reached and not stored").drop("ok", "reached")
+
+
+#: A crawl of so many months or fewer lists them in its summary.
+LISTED_MONTHS = 12
 
 
 def crawl_cache(index: DataFrame, day_pages: DataFrame, pages: DataFrame, stored: DataFrame, base_url: str, *, years: set[int] | None = None, month: int | None = None, leap: bool = False,
                 max_articles: int | None = None, max_total: int | None = None, hanja: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Articles, failures and a one-row summary of a resumable crawl over cached pages.
 
-    index: (html) month index pages; day_pages: (month_id, html); pages: (id, html); stored: (id) of the corpus so far. Caps count identifiers in page
-    order; an identifier whose page is missing or does not parse uses up its place and is a failure, so that a rerun over the same cache ends alike.
+    index: (html) month index pages; day_pages: (month_id, html); pages: (id, html); stored: (id) of the corpus so far. Identifiers are met in page order until
+    a cap is full (reached). A page that is missing or does not parse is a failure, and so is a month whose page is not in the cache. Of several pages
+    of one identifier the last by text counts. summary: months, skipped (stored before), written, failed, stopped (a cap was full), month_ids (of few months).
     """
     months = selected_months(month_index(index), years, month, leap)
-    days = day_list(day_pages).join(months.select(F.col("id").alias("month_id"), F.col("pos").alias("month_pos")), "month_id")
+    days = day_list(day_pages.groupBy("month_id").agg(F.max("html").alias("html"))).join(months.select(F.col("id").alias("month_id"), F.col("pos").alias("month_pos")), "month_id")
+    days = days.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("month_pos", "pos"))).filter("nth = 1").drop("nth")
     ids = days.join(stored.select("id").distinct().withColumn("stored", F.lit(True)), "id", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
-    wanted = within_caps(ids, max_articles, max_total)
-    good, bad = article_pages(pages.join(wanted.select("id"), "id", "left_semi"), base_url, hanja=hanja)
-    missing = wanted.join(pages.select("id"), "id", "left_anti").select("id", F.lit("page not in the cache").alias("error"))
-    failures = bad.unionByName(missing)
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    summary = count(months, "months").crossJoin(count(ids.filter("stored"), "skipped")).crossJoin(count(good, "written")).crossJoin(count(failures, "failed"))
-    return good, failures, summary
+    wanted = pages.groupBy("id").agg(F.max("html").alias("html")).join(ids.filter("not stored").select("id"), "id", "left_semi")
+    good, bad = article_pages(wanted, base_url, hanja=hanja)
+    good, bad = kept(good, "crawl-good"), kept(bad, "crawl-bad")
+    ids = ids.join(good.select("id", F.lit(True).alias("ok")), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    ids = kept(reached(ids, max_articles, max_total), "crawl-ids")
+    new = ids.filter("reached and not stored")
+    told = bad.join(new.select("id"), "id", "left_semi")
+    missing = new.filter("not ok").join(bad.select("id"), "id", "left_anti").select("id", F.lit("page not in the cache").alias("error"))
+    lost = months.join(day_pages.select(F.col("month_id").alias("id")), "id", "left_anti").select("id", F.lit("month page not in the cache").alias("error"))
+    failures = told.unionByName(missing).unionByName(lost)
+    few = months.agg(F.count(F.lit(1)).alias("months"), F.array_sort(F.collect_set("id")).alias("ids")).select("months", F.when(F.col("months") <= LISTED_MONTHS, F.col("ids")).alias("month_ids"))
+    counts = ids.agg(F.count_if(F.col("reached") & F.col("stored")).alias("skipped"), F.count_if(F.col("reached") & ~F.col("stored") & F.col("ok")).alias("written"), F.count_if(~F.col("reached")).alias("left"))
+    summary = few.crossJoin(counts).crossJoin(failures.agg(F.count(F.lit(1)).alias("failed")))
+    summary = summary.select("months", "skipped", "written", "failed", (F.col("left") > 0).alias("stopped"), "month_ids")
+    return good.join(new.select("id"), "id", "left_semi"), failures, summary

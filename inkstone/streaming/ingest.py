@@ -3,19 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inkstone.sources.articles import SCHEMA, normalised
 
 
+def _stored(spark: SparkSession, corpus: str, batch: int) -> DataFrame | None:
+    """Ids of the corpus but for this batch's own, or None before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(corpus)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not any(s.isDirectory() or s.getPath().getName().endswith(".parquet") for s in fs.listStatus(path)):
+        return None
+    rows = spark.read.option("recursiveFileLookup", True).schema("id string").parquet(corpus)
+    return rows.filter(~F.contains("_metadata.file_path", F.lit(f"/batch={batch}/"))).select("id")
+
+
 def ingest(spark: SparkSession, source: str, corpus: str, checkpoint: str) -> StreamingQuery:
-    """Reads JSON lines that arrived since the last run, skips ids already stored, appends the rest as Parquet, and stops."""
+    """Reads JSON lines that arrived since the last run, skips ids already stored, adds the rest as Parquet, and stops.
+
+    Every record needs an id. Each micro-batch is a partition of its own (column batch) that a retry overwrites, so no record is stored twice,
+    whether a batch runs again or a fresh checkpoint meets a corpus: then new batches are numbered on from those stored.
+    """
+    first = None
 
     def append(batch: DataFrame, number: int) -> None:
-        rows = normalised(batch).dropDuplicates(["id"])
-        if number:
-            rows = rows.join(spark.read.parquet(corpus).select("id"), "id", "left_anti")
-        rows.write.mode("append").parquet(corpus)
+        nonlocal first
+        if first is None:
+            first = _first_number(spark, corpus, checkpoint)
+        at = first + number
+        rows = normalised(batch, number=False).dropDuplicates(["id"])
+        stored = _stored(spark, corpus, at)
+        if stored is not None:
+            rows = rows.join(stored, "id", "left_anti")
+        rows.write.mode("overwrite").parquet(f"{corpus}/batch={at}")
 
     stream = spark.readStream.schema(SCHEMA).json(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _first_number(spark: SparkSession, corpus: str, checkpoint: str) -> int:
+    """Where this checkpoint's batches begin: kept beside the checkpoint, set once from the batches that the corpus holds."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/first-batch")
+    fs = at.getFileSystem(conf)
+    if fs.exists(at):
+        return int(spark.read.text(str(at)).first()[0])
+    home = jvm.org.apache.hadoop.fs.Path(corpus)
+    names = [s.getPath().getName() for s in home.getFileSystem(conf).listStatus(home)] if home.getFileSystem(conf).exists(home) else []
+    first = max((int(n.split("=")[1]) + 1 for n in names if n.startswith("batch=")), default=0)
+    spark.createDataFrame([(str(first),)], "value string").coalesce(1).write.text(str(at))
+    return first

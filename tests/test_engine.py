@@ -6,7 +6,8 @@ from inkstone.functions import text as T
 from inkstone.plans import answer, index
 from inkstone.plans.retrieve import retrieve
 from inkstone.plans.rewrite import EVENTS, rewritten
-from inkstone.sources.articles import expand_years, import_pages, month_index, read_jsonl
+from inkstone.sources.articles import expand_years, month_index, read_csv, read_jsonl, readable
+from inkstone.sources.imports import import_pages
 
 ROWS = [("a-1", "Hall of scholars. The hall taught young scholars to read.", "The hall", 1420, 5, 12), ("a-2", "A new script of letters was made. Letters follow the sounds.", "Letters", 1446, 9, 29),
         ("a-3", "Rain gauges measured water at the bridge.", "Gauges", 1433, None, None), ("long", "scribes wrote " * 900, "scribes", 1428, 1, 1)]
@@ -55,6 +56,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
     got = {r.id: r for r in read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()}
     assert got["1"].text == "text" and got["1"].year == 1420 and (got["2"].month, got["2"].day, got["2"].leap_month) == (9, 3, True)
+    (tmp_path / "b.jsonl").write_text('{"text": "one"}\n\n{"content": "two", "id": "", "date": "", "year": "x", "title": "세종 2년"}\n{"id": 7, "text": "three"}')
+    got = {r.id: r for r in read_jsonl(spark, str(tmp_path / "b.jsonl")).collect()}
+    assert {i: r.text for i, r in got.items()} == {"article-1": "one", "article-2": "two", "7": "three"} and got["article-2"].year == 1420
+    (tmp_path / "c.csv").write_text('\ufefftext,title,year\n"a ""quoted""\nline",t,1433\nb,,\n', encoding="utf-8")
+    assert sorted((r.id, r.text, r.year) for r in read_csv(spark, str(tmp_path / "c.csv")).collect()) == [("article-1", 'a "quoted"\nline', 1433), ("article-2", "b", None)]
     pages = spark.createDataFrame([("p", "https://x", "1420-05-29", "<nav>m</nav><title>T</title><article><p>" + "word " * 20 + "</p></article>"), ("q", "http://x", "1420-05-29", "")], "id string, url string, date string, html string")
     good, bad = import_pages(pages)
     assert [(r.id, r.title) for r in good.collect()] == [("p", "T")] and bad.first().error.startswith("source URL")
@@ -78,3 +84,31 @@ def test_dense_search_asks_every_fiftieth_row(spark, tmp_path):
         best = sorted((-round(s, 12), str(i)) for i, s in enumerate(score) if s >= 0.3)
         want |= {(str(q), i): k + 1 for k, (_, i) in enumerate(best)}
     assert got == want
+
+
+def test_readable_text():
+    long = "word " * 20
+    text, title = readable(f"<title>T &amp; U</title><nav>menu</nav><p>before<article><h1>H</h1><p>{long}<br>end<script>if (a < b) '</p>'</script></article>after")
+    assert title == "T & U" and text.split("\n")[0] == "H" and text.endswith("end") and "menu" not in text and "before" not in text
+    assert readable("<p>one<p>two<article>short</article>") == ("one\ntwoshort", "") and readable(None) == ("", "")
+
+
+def test_terms_of_rows_are_the_tokenizers(spark):
+    rows = [("The Hall of 28 x 집현전의 王 集賢殿 été",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    for name, tokens in index.TOKENIZERS.items():
+        want = sorted(x for r in df.select(tokens(F.col("t")).alias("k")).collect() for x in r.k or [])
+        assert sorted(r.term for r in index.term_rows(df, F.col("t"), name).collect()) == want
+
+
+def test_questions_without_floor_or_topic_take_articles_by_date_and_id(spark):
+    rows, found = ask(spark, ("day", "What happened in 1433?"), ("range", "between 1420 and 1433"))
+    got = sorted((r.qid, r.id) for r in found.evidence.collect())
+    assert ("day", "a-3") in got and ("range", "a-1") in got and ("range", "a-3") in got and not any(i == "a-2" for _, i in got)
+    trace = {r.qid: r.similarity_floor for r in found.trace.collect()}
+    assert trace["day"].waived and trace["day"].below_floor == 0
+    q = spark.createDataFrame([("free", "rain", 60), ("none", "zebra", 60)], "qid string, original string, token_budget int")
+    out = retrieve(index.build(articles(spark)), q, min_similarity=0.0)
+    ranked = {k: [r.id for r in out.evidence.filter(F.col("qid") == k).orderBy("rank").collect()] for k in ("free", "none")}
+    assert ranked["free"][0] == "a-3" and ranked["none"] == ["a-1", "a-2", "a-3"]
+    assert {r.qid: r.packing.stopped_at for r in out.trace.collect()}["none"] == "long"

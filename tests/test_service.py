@@ -74,14 +74,87 @@ def test_pages(spark):
     stored = spark.createDataFrame([], "id string")
     plan = sample_plan(max_articles=2)
     good, bad, summary = crawl_cache(index, days, pages, stored, "https://archive.invalid", **plan)
-    assert [r.id for r in good.collect()] == ["kda_10205003_001"] and summary.first().asDict() == {"months": 1, "skipped": 0, "written": 1, "failed": 1}
+    told = {"months": 1, "skipped": 0, "written": 1, "failed": 2, "stopped": False, "month_ids": ["kda_102050"]}
+    assert [r.id for r in good.collect()] == ["kda_10205003_001"] and summary.first().asDict() == told
     good, bad, summary = crawl_cache(index, days, pages, good.select("id"), "https://archive.invalid")
-    assert summary.first().asDict() == {"months": 1, "skipped": 1, "written": 0, "failed": 2}
+    assert summary.first().asDict() == told | {"skipped": 1, "written": 0}
     for wrong in ({"years": {1, 2}}, {"max_articles": 101}, {"delay": 1.0}):
         with pytest.raises(ValueError):
             sample_plan(**wrong)
 
 
+def test_crawl_caps_months_and_repeated_pages(spark):
+    """A failure uses up no place; a month without its page is a failure; several pages of one id make one article; a full cap stops."""
+    ids = [f"kda_1020500{d}_001" for d in range(1, 7)]
+    index = spark.createDataFrame([("search('kda_102050', '6', '3') search('kda_102060', '1', '3')",)], "html string")
+    days = spark.createDataFrame([("kda_102050", "".join(f"searchView('{i}')" for i in ids))] * 2, "month_id string, html string")
+    pages = spark.createDataFrame([(ids[0], "<p>x</p>"), *[(i, PAGE) for i in ids[1:]], (ids[1], PAGE)], "id string, html string")
+    none = spark.createDataFrame([], "id string")
+    good, bad, summary = crawl_cache(index, days, pages, none, "https://archive.invalid", max_articles=2)
+    assert sorted(r.id for r in good.collect()) == ids[1:3]
+    assert {r.id: r.error for r in bad.collect()} == {ids[0]: "no article block", "kda_102060": "month page not in the cache"}
+    assert summary.first().asDict() == {"months": 2, "skipped": 0, "written": 2, "failed": 2, "stopped": True, "month_ids": ["kda_102050", "kda_102060"]}
+    good, _, summary = crawl_cache(index, days, pages, spark.createDataFrame([(ids[1],), (ids[2],)], "id string"), "https://archive.invalid", max_total=3)
+    assert [r.id for r in good.collect()] == [ids[3]] and summary.first().stopped
+
+
+def test_import_of_pages(spark):
+    from inkstone.sources.imports import import_pages
+
+    rows = [("a", "https://h/x", "1420-05-29", "<title>T</title><main><p>" + "word " * 20 + "</p></main>", "", "v1"), ("b", "http://h/x", "1420-05-29", "", "", ""), ("c", "https://h/x", "1420-13-29", "", "", ""), (" ", "https://h/x", "1420-05-29", "", "", ""),
+            ("d", "https://h/x", "1420-05-29", "x" * 2_000_001, "", ""), ("e", "https://h/x", "1420-05-29", "<p>short</p>", "", ""),
+            ("f", "https://archive.invalid/id/kda_10205003_001", "1420-05-03", PAGE, "Given", ""), ("g", "https://archive.invalid/id/kda_10205003_002", "1420-05-03", PAGE.replace("A <sup>1</sup>b", ""), "", "")]
+    good, bad = import_pages(spark.createDataFrame(rows, "id string, url string, date string, html string, title string, volume string"), "https://archive.invalid/")
+    got = {r.id: r for r in good.collect()}
+    assert set(got) == {"a", "f"} and (got["a"].title, got["a"].volume, got["a"].calendar) == ("T", "v1", "")
+    assert (got["f"].title, got["f"].text, got["f"].calendar, got["f"].volume) == ("Given", "A b", "lunar", "세종실록 8권")
+    assert {r.id: r.error for r in bad.collect()} == {"b": "source URL must use HTTPS", "c": "date must be ISO", " ": "article ID is required", "d": "page is too large", "e": "too little readable text", "g": "empty translation"}
+
+
+def test_ingestion_stores_each_record_once(spark, tmp_path):
+    from inkstone.streaming.ingest import ingest
+
+    source = tmp_path / "in"
+    source.mkdir()
+    run = lambda checkpoint: ingest(spark, str(source), str(tmp_path / "corpus"), str(tmp_path / checkpoint)).awaitTermination()
+    stored = lambda: sorted(r.id for r in spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "corpus")).collect())
+    (source / "1.json").write_text('{"id": "a", "text": "x"}\n{"id": "b", "text": "y"}\n{"id": "a", "text": "x"}')
+    run("c1")
+    (source / "2.json").write_text('{"id": "b", "text": "y"}\n{"id": "c", "text": "z"}')
+    run("c1")
+    assert stored() == ["a", "b", "c"]
+    run("c2")  # a fresh checkpoint meets all files and the corpus
+    assert stored() == ["a", "b", "c"]
+
+
+def test_vectors(spark):
+    import base64
+
+    import numpy as np
+
+    from inkstone.plans.index import build, decoded, encoded
+    from inkstone.plans.retrieve import retrieve
+
+    x = np.array([[1, 0], [0.6, 0.8], [0, 1]], "<f4")
+    got = decoded(spark.createDataFrame([("m", base64.b64encode(x.tobytes()).decode(), 2), ("empty", "", 2)], "key string, vectors_b64 string, dim int")).orderBy("pos").collect()
+    assert np.allclose([r.vector for r in got], x) and {r.key for r in got} == {"m"}
+    a = spark.createDataFrame([("a", "hall", "", 1420, 1, 1), ("b", "rain", "", 1430, 1, 1)], "id string, text string, title string, year int, month int, day int").selectExpr("*", "'' as calendar", "false as leap_month", "'' as source_url", "'' as date_original")
+    kinds = lambda texts: [[2.0 * ("hall" in t), 1.0 * ("rain" in t)] for t in texts]
+    index = build(encoded(a, kinds), backend="dense")
+    q = spark.createDataFrame([("q1", "stones"), ("q2", "what in 1430")], "qid string, original string")
+    v = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.0, 0.5])], "qid string, vector array<double>")
+    assert sorted((r.qid, r.id, r.similarity) for r in retrieve(index, q, vectors=v).evidence.collect()) == [("q1", "a", 1.0), ("q2", "b", 0.5)]
+
+
+def test_choice_of_counter(spark, tmp_path):
+    from inkstone.functions.tokens import counter
+
+    assert counter("auto")[1] == counter("chars", "x")[1] == "conservative-char-v1"
+    for wrong in (("tiktoken", None), ("odd", None)):
+        with pytest.raises(ValueError):
+            counter(*wrong)
+
+
 def test_counter(spark, tmp_path):
     import base64
 
