@@ -1,6 +1,6 @@
 """Tables written between the steps of a plan, in the folder that driver and executors share.
 
-Retrieval reads its scored pairs and its trace many times; a table keeps plans small and survives lost executors.
+A table keeps plans small, is computed once however often it is read, and survives lost executors.
 """
 
 from __future__ import annotations
@@ -12,27 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; on local[n] a temporary folder is made and set where it is unset, on a cluster that is an error."""
+    """spark.checkpoint.dir; on a local master a temporary folder is made and set where it is unset, on a cluster that is an error."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if not said:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         said = tempfile.mkdtemp(prefix="inkstone-")
         spark.conf.set("spark.checkpoint.dir", said)
     return said.rstrip("/")
 
 
+def _written(df: DataFrame, tag: str) -> tuple[str, DataFrame]:
+    spark = df.sparkSession
+    path = f"{folder(spark)}/inkstone/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """df, written once and read back."""
-    path = f"{folder(df.sparkSession)}/inkstone/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, tag)[1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a kept table."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         if "/inkstone/" in name:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)
+
+
+class Scratch:
+    """The tables of one computation: all but its result go when it is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        path, out = _written(df, tag)
+        self.paths.append(path)
+        return out
+
+    def result(self, df: DataFrame, tag: str) -> DataFrame:
+        """df as a table of its own, after which nothing reads the others."""
+        out = kept(df, tag)
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
+        return out
