@@ -58,6 +58,11 @@ class Scratch:
         self.paths.append(path)
         return out
 
+    def drop(self, df: DataFrame) -> None:
+        """A table that is needed no more goes early, and so do the shuffle files that only it needed."""
+        dropped(df)
+        self.spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files once their plans are collected
+
     def result(self, df: DataFrame, tag: str) -> DataFrame:
         """df as a table of its own, after which nothing reads the others."""
         out = kept(df, tag)
