@@ -1,15 +1,19 @@
-"""Shared helpers: reading tables, the word rule, tables kept in the shared folder."""
+"""Shared helpers: reading tables, the word rule, hashes, tables kept in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.plans.kept import Scratch, dropped, folder, kept
+
+#: Tables in the shared folder: kept once, dropped when nothing reads them any more.
+keep, drop_kept, shared_folder = kept, dropped, folder
+__all__ = ["Scratch", "WORD_PATTERN", "WordHasher", "drop_kept", "keep", "mix64", "n_words", "shared_folder", "shingle_hashes", "slices", "table", "words_of"]
+
 #: A word: a longest run without ASCII space and without the characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -20,38 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where it is unset, as in tests on local[n], a temporary folder is made and set.
-    On a cluster an unset folder is an error, since a machine's own disk is no substitute.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="inkstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/inkstone/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_kept(df: DataFrame) -> None:
-    """Delete the files behind a table made by keep(), once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/inkstone/" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def n_words(text: Column) -> Column:
     """Number of words of a text, null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

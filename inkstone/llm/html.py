@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkstone.functions.markup import tags
+
 from .common import keep, slices
 
 #: Fixed values of HTML: elements without content of their own, elements that break a line, and elements whose content is no text.
@@ -25,10 +27,7 @@ ASIDE = frozenset("nav footer aside form head title menu dialog".split())
 CONTAINER = frozenset("div section ul ol dl table span details figure fieldset center".split())
 ASIDE_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 
-_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
-_REST = re.compile(r"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_END_RAW = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -42,42 +41,6 @@ class Block(NamedTuple):
     container: int
 
 
-def _tags(page: str) -> Iterator[tuple[int, int, str, str]]:
-    """Start, end, name (with a leading slash if it closes) and attributes of every tag; comments and declarations have an empty name.
-
-    Linear in the page: a tag whose quotes never close ends at its first `>`, and so does every tag after it.
-    """
-    at, last, quotes = 0, page.rfind(">"), True
-    while (at := page.find("<", at)) >= 0:
-        if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            end = len(page) if end < 0 else end + 3
-            yield at, end, "", ""
-        elif page.startswith("<![CDATA[", at):
-            end = page.find("]]>", at)
-            end = len(page) if end < 0 else end + 3
-            yield at, end, "", ""
-        elif page.startswith(("<!", "<?"), at):
-            end = page.find(">", at)
-            end = len(page) if end < 0 else end + 1
-            yield at, end, "", ""
-        elif m := _NAME.match(page, at + 1):
-            if at > last:
-                if page.find("<", at + 1) < 0:  # a page cut off within a tag
-                    yield at, len(page), "", ""
-                return
-            rest = _REST.match(page, m.end()) if quotes else None
-            quotes = quotes and rest is not None
-            end = rest.end() if rest else page.find(">", m.end()) + 1
-            raw = yield at, end, m[0].lower(), page[m.end() : end - 1]
-            if raw is not None:  # the reader went on elsewhere
-                end = raw
-                yield -1, -1, "", ""
-        else:
-            end = at + 1
-        at = end
-
-
 def _container(tag: str, attributes: str) -> int:
     """Hash of a container's name and of its class, id and role, if those name a menu, advert or the like; else 0."""
     import xxhash
@@ -120,18 +83,10 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             container = 0
         return tag
 
-    tags = _tags(page)
-    for start, end, tag, attributes in tags:
+    for start, end, tag, closes, attributes in tags(page, RAW):
         parts.append(page[at:start])
         at = end
-        if not tag:
-            continue
-        closes, tag = tag[0] == "/", tag.lstrip("/")
-        if tag in RAW:
-            if not closes and not attributes.endswith("/"):
-                over = _END_RAW[tag].search(page, at)
-                at = over.end() if over else len(page)
-                tags.send(at)
+        if not tag or tag in RAW:
             continue
         if tag == "br":
             parts.append(" ")
