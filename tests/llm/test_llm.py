@@ -276,7 +276,7 @@ def test_passages_do_not_depend_on_batches(spark, monkeypatch):
     assert {r[0] for r in want} == set(range(60))
     assert sorted(map(tuple, passages.repeated_passages(frame.repartition(9)).collect())) == want
     # the same classes if every value is dealt to several tasks
-    monkeypatch.setattr(passages, "_hot_values", lambda docs, n: np.array([r.key for r in docs.mapInArrow(passages._windows(n, np.zeros(0, np.int64)), passages._ROWS).select("key").distinct().collect()], np.int64))
+    monkeypatch.setattr(passages, "_hot_values", lambda docs, n, keep: np.array([r.key for r in docs.mapInArrow(passages._windows(n, np.zeros(0, np.int64)), passages._ROWS).select("key").distinct().collect()], np.int64))
     assert {(r[0], r[-1]) for r in _dup(spark, rows)} == {(r[0], r[-1]) for r in want}
 
 
