@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from .common import keep, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Shards that share one part's quota, and blocks that one row is spread into in one go.
+PARTY, SPREAD = 1000, 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -67,8 +69,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     """How many words of each document of (doc_id, text, source) the mix takes, whole repeats counted.
 
     1. Sources get targets (source_targets), then integer quotas of `block`-word blocks by highest quotients.
-    2. A source is dealt into shards of about shard_words words by a hash of the document, so that
-       a hot source is many small groups; the source's quota is apportioned to its shards in the same way.
+    2. A source is dealt into shards of about shard_words words by a hash of the document, so that a hot source is many small groups; the source's quota is
+       apportioned to parts of PARTY shards, and each part's to its shards, in the same way.
     3. Within a shard the documents lie end to end in a seeded order and are cut into blocks. A quota of q words
        of a shard of n takes every block q div n times and then blocks in seeded order until
        q mod n words more are taken, the last block in part.
@@ -90,10 +92,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         "doc_id", "source", "size", "_copy", "source_size", "target", "words", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_copy"), shards).alias("shard"))
     dealt = keep(dealt, "mix-dealt")
     per_shard = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("words").alias("words"))
-    per_shard = per_shard.withColumn("weight", F.col("shard_size").cast("double"))
-    shared = sainte_lague(per_shard, F.round(F.col("words") / block), ["source"], ["source", "shard"])
+    per_shard = keep(per_shard.withColumn("weight", F.col("shard_size").cast("double")).withColumn("part", F.floor(F.col("shard") / PARTY)), "mix-shards")
+    # a source's blocks go to parts of PARTY shards first, then within each part, so that no window holds all shards of a hot source
+    per_part = per_shard.groupBy("source", "part").agg(F.sum("weight").alias("weight"), F.max("words").alias("words"))
+    parts = sainte_lague(per_part, F.round(F.col("words") / block), ["source"], ["source", "part"]).select(F.col("source").alias("_source"), F.col("part").alias("_part"), F.col("quota").alias("blocks"))
+    per_shard = per_shard.join(parts, per_shard["source"].eqNullSafe(parts["_source"]) & (per_shard["part"] == parts["_part"])).drop("_source", "_part")
+    shared = sainte_lague(per_shard, F.col("blocks"), ["source", "part"], ["source", "part", "shard"])
     # the words that blocks can't tell apart go to the first shard, within what it can hold
-    first = F.when(F.row_number().over(Window.partitionBy("source").orderBy("shard")) == 1, F.col("words") - F.round(F.col("words") / block) * block).otherwise(F.lit(0))
+    firsts = shared.groupBy(F.col("source").alias("_first_of")).agg(F.min("shard").alias("_first"))
+    shared = shared.join(firsts, shared["source"].eqNullSafe(firsts["_first_of"]))
+    first = F.when(F.col("shard") == F.col("_first"), F.col("words") - F.round(F.col("words") / block) * block).otherwise(F.lit(0))
     shared = shared.select(
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size",
         F.greatest(F.lit(0), F.least(F.col("quota") * block + first, 2 * F.col("shard_size"))).cast("long").alias("due"))
@@ -104,7 +112,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     placed = placed.withColumn("whole", times.cast("long")).withColumn("rest", F.col("due") - F.col("whole") * F.col("shard_size"))
     placed = keep(placed, "mix-placed")
     blocks = placed.filter("size > 0").groupBy("source", "shard").agg(F.max("shard_size").alias("shard_size"), F.max("rest").alias("rest")).filter("rest > 0")
-    blocks = blocks.select("source", "shard", "shard_size", "rest", F.explode(F.sequence(F.lit(0), F.floor((F.col("shard_size") - 1) / block))).alias("block"))
+    # a few rows become many: dealt out before they do
+    last = F.floor((F.col("shard_size") - 1) / block)
+    blocks = blocks.select("source", "shard", "shard_size", "rest", F.explode(F.sequence(F.lit(0), F.floor(last / SPREAD))).alias("run")).repartition("source", "shard", "run")
+    upto = F.least(last, F.col("run") * SPREAD + SPREAD - 1)
+    blocks = blocks.select("source", "shard", "shard_size", "rest", F.explode(F.sequence(F.col("run") * SPREAD, upto)).alias("block"))
     length = F.least(F.col("shard_size") - F.col("block") * block, F.lit(block))
     seeded = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "source", "shard", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
     chosen = blocks.withColumn("length", length).withColumn("upto", F.sum("length").over(seeded))
