@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from .common import WORD_PATTERN, keep
 
-#: The most line numbers that are broadcast.
-MOST_BROADCAST = 500_000
+#: The most line numbers that are broadcast, and the most lines of one segment key that are compared without a second.
+MOST_BROADCAST, CROWD = 500_000, 64
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -18,6 +18,22 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return exploded.filter(F.col("line").rlike(WORD_PATTERN))
 
 
+def _shared_start(x: Column, y: Column, most: Column) -> Column:
+    """Length of a common start of two strings, `most` at most: found by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(14, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= most) & (F.substring(x, n + 1, s) == F.substring(y, n + 1, s)), n + s).otherwise(n))
+
+
+def trimmed(rows: DataFrame, x: str, y: str, most: int) -> DataFrame:
+    """Rows with the common start and end of two strings left out but for `most` + 1 characters, which the band needs; their distance is the same."""
+    room = F.greatest(F.lit(0), F.least(F.length(x), F.length(y)) - most - 1)
+    cut = rows.withColumn("_n", _shared_start(F.col(x), F.col(y), room))
+    cut = cut.withColumns({c: F.substring(c, F.col("_n") + 1, F.length(c)) for c in (x, y)})
+    room = F.greatest(F.lit(0), F.least(F.length(x), F.length(y)) - most - 1)
+    cut = cut.withColumn("_n", _shared_start(F.reverse(x), F.reverse(y), room))
+    return cut.withColumns({c: F.substring(c, F.lit(1), F.length(c) - F.col("_n")) for c in (x, y)}).drop("_n")
+
+
 def banded_distance(x: Column, y: Column, most: int) -> Column:
     """Edit distance of two strings of `most` characters or more, exact up to `most`; beyond that, some number above.
 
@@ -56,7 +72,8 @@ def _band(p: Column, t: Column, m: Column, n: Column, most: int, mask: int, top:
         return F.struct(vp.alias("vp"), right.bitwiseAND(s["hp"]).alias("vn"), dist.alias("dist"))
 
     def both(s: Column, i: Column) -> Column:
-        return F.element_at(F.transform(F.array(step(s, i)), lambda z: finish(z, i)), 1)
+        # cells of the band differ by one from row to row, so beyond three times `most` at its edge no cell leads back
+        return F.when(s["dist"] > 3 * most, s).otherwise(F.element_at(F.transform(F.array(step(s, i)), lambda z: finish(z, i)), 1))
 
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, both, lambda s: s["dist"])
 
@@ -76,12 +93,13 @@ def counts_allow(x: str, y: str, most: int) -> Column:
     return sum(apart[1:], apart[0]) <= 2 * most
 
 
-def segment_keys(line: Column, length: Column, most: int) -> tuple[list[Column], list[Column]]:
+def segment_keys(line: Column, length: Column, most: int, within: Column | None = None) -> tuple[list[Column], list[Column]]:
     """Keys under which a line is filed, and those under which it looks for lines of its own length or up to `most` shorter.
 
     A line of length l is cut into most + 1 even segments; a line within `most` edits of it holds one of them
     unchanged, at most so far from its place that the edits before and after it fit (multi-match-aware windows).
-    A key is a hash of segment number, length of the filed line and the segment's text.
+    A key is a hash of segment number, length of the filed line and the segment's text (and of `within`, the key that the lines share already); start and size
+    say where the segment lies in the line.
     """
     parts = most + 1
 
@@ -92,7 +110,9 @@ def segment_keys(line: Column, length: Column, most: int) -> tuple[list[Column],
         return start
 
     def key(i: int, of: Column, start: Column) -> Column:
-        return F.xxhash64(F.lit(i), of, F.substring(line, start + 1, F.floor((of + i) / parts).cast("int")))
+        size = F.floor((of + i) / parts).cast("int")
+        named = [F.lit(i), of, F.substring(line, start + 1, size)] + ([] if within is None else [within])
+        return F.struct(F.xxhash64(*named).alias("key"), start.cast("int").alias("start"), size.alias("size"))
 
     filed = [key(i, length, at(i, length)) for i in range(parts)]
     sought = []
@@ -104,6 +124,15 @@ def segment_keys(line: Column, length: Column, most: int) -> tuple[list[Column],
     return filed, sought
 
 
+def _entries(rows: DataFrame, columns: list[str], line: str, most: int, within: str | None = None) -> DataFrame:
+    """A row for each key of a line (column `line`), with whether the line is filed or looked for under it, as far as another row has the key too."""
+    filed, sought = segment_keys(F.col(line), F.length(line), most, None if within is None else F.col(within))
+    entry = lambda k, f: F.struct(k["key"].alias("key"), k["start"].alias("start"), k["size"].alias("size"), F.lit(f).alias("filed"))
+    out = rows.select(*columns, F.explode(F.array(*[entry(k, True) for k in filed], *[entry(k, False) for k in sought])).alias("e")).select(*columns, "e.*")
+    met = Window.partitionBy("key")
+    return out.withColumn("n", F.count(F.lit(1)).over(met)).withColumn("f", F.count_if("filed").over(met)).filter("n > 1 and f > 0").drop("f")
+
+
 def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20) -> DataFrame:
     """(doc_id, line_no, near) of every line of (doc_id, text) that repeats an earlier one.
 
@@ -114,9 +143,10 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
        that a third of the corpus repeats is one row.
     2. Distinct lines are filed and sought under segment keys (segment_keys); the join's partner must differ and be at most
        most_edits longer or shorter, which the keys imply.
-    3. Only rows whose key another row shares go on, with counts of characters that rule most pairs out inside the join. Each is
+    3. Only rows whose key another row shares go on, with counts of characters that rule most pairs out inside the join. A key that many lines share is split: what is
+       left of two such lines beside the segment is within the same edits, so it shares a segment again. Each line is
        compared with the first line of its key; those that go are not compared again, the others with all earlier lines of the key.
-    4. Pairs are verified on the texts by a banded bit-parallel edit distance; the later line of a pair goes.
+    4. Pairs are verified on the texts, less their common start and end, by a banded bit-parallel edit distance; the later line of a pair goes.
 
     Lines without a word are never judged. Null or empty texts have no lines; rows without doc_id take no part.
     Rows that share a doc_id are one document: their lines of the same number and text count once. Extra columns are ignored.
@@ -128,18 +158,19 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
     repeated = places.join(first, ["h1", "h2"]).filter("doc_id <> first.doc_id or line_no <> first.line_no").select("doc_id", "line_no", F.lit(False).alias("near"))
 
     texts = lines.filter(F.length("line") >= least_chars).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("m")).select("m.*")
-    filed, sought = segment_keys(F.col("line"), F.length("line"), most_edits)
-    entries = [F.struct(k.alias("key"), F.lit(True).alias("filed")) for k in filed] + [F.struct(k.alias("key"), F.lit(False).alias("filed")) for k in sought]
-    rows = texts.select("doc_id", "line_no", F.explode(F.array(*entries)).alias("e")).select("doc_id", "line_no", "e.key", "e.filed")
-    met = Window.partitionBy("key")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(met)).withColumn("f", F.count_if("filed").over(met)).filter("n > 1 and f > 0").drop("n", "f")
-    rows = keep(rows, "segments")  # only rows whose key another row has too
+    rows = keep(_entries(texts, ["doc_id", "line_no"], "line", most_edits), "segments")  # only rows whose key another row has too
     wanted = rows.select("doc_id", "line_no").distinct()
     needed = wanted.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("line_no").alias("ls"))
     if wanted.count() <= MOST_BROADCAST:  # some 16 MB of numbers; beyond that the texts are shuffled to them
         needed = F.broadcast(needed)
     found = docs.join(needed, docs["doc_id"] == needed["d"]).select("doc_id", "ls", F.split("text", "\n").alias("all")).select("doc_id", F.explode("ls").alias("line_no"), "all")
     found = keep(found.select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line")).filter("line is not null").distinct(), "line-texts")
+    # lines that share a crowded key share a second segment of what is left of them beside the first
+    rare, crowded = rows.filter(F.col("n") <= CROWD), rows.filter(F.col("n") > CROWD)
+    left = crowded.join(found, ["doc_id", "line_no"]).withColumn("rest", F.concat(F.substring("line", F.lit(1), F.col("start")), F.substring("line", F.col("start") + F.col("size") + 1, F.length("line"))))
+    both = left.select("doc_id", "line_no", F.col("key").alias("first_key"), "rest")
+    second = _entries(both, ["doc_id", "line_no"], "rest", most_edits, "first_key")
+    rows = rare.select("key", "filed", "doc_id", "line_no").unionByName(second.select("key", "filed", "doc_id", "line_no"))
     rows = rows.join(found.select("doc_id", "line_no", counts_of(F.col("line")).alias("counts")), ["doc_id", "line_no"])
     rows = keep(rows.select("key", "filed", F.struct("doc_id", "line_no").alias("id"), "counts"), "candidates")
 
@@ -148,9 +179,8 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
         a = found.select(F.struct("doc_id", "line_no").alias("a"), F.col("line").alias("x"))
         b = found.select(F.struct("doc_id", "line_no").alias("b"), F.col("line").alias("y"))
         both = pairs.distinct().join(a, "a").join(b, "b").filter(F.abs(F.length("x") - F.length("y")) <= most_edits)
-        # a cheap banded check first: the bit-parallel one costs some 5 microseconds a character as a higher-order function
-        both = both.filter(F.levenshtein("x", "y", most_edits) >= 0)
-        return keep(both.filter(banded_distance(F.col("x"), F.col("y"), most_edits) <= most_edits).select(F.col("b").alias("id")).distinct(), "near")
+        near = trimmed(both, "x", "y", most_edits).filter(banded_distance(F.col("x"), F.col("y"), most_edits) <= most_edits)
+        return keep(near.select(F.col("b").alias("id")).distinct(), "near")
 
     first = rows.groupBy("key").agg(F.min(F.struct("id", "counts")).alias("m")).select(F.col("key").alias("k"), "m.*").alias("x")
     y = rows.alias("y")
