@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,23 @@ def checked(body: bytes, has_model: bool = False) -> dict:
     return request
 
 
+def verdicts(bodies: DataFrame, has_model: bool = False) -> DataFrame:
+    """Requests (…, body) as a service would take them, with `error`: why not, empty if it does."""
+
+    def why(body: str | None) -> str:
+        try:
+            checked((body or "").encode(), has_model)
+        except BadRequest as e:
+            return str(e)
+        return ""
+
+    @F.pandas_udf("string")
+    def error(values: pd.Series) -> pd.Series:
+        return values.map(why)
+
+    return bodies.withColumn("error", error("body"))
+
+
 @dataclass
 class Service:
     spark: SparkSession

@@ -77,7 +77,7 @@ def test_dense_search_asks_every_fiftieth_row(spark, tmp_path):
     x = np.random.default_rng(2).normal(size=(160, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r.qid, r.id): r["rank"] for r in QUERIES["dense_topk_fiftieth"](spark, str(tmp_path)).collect()}
+    got = {(r.qid, r.id): r["rank"] for r in QUERIES["dense_topk"](spark, str(tmp_path)).collect()}
     want = {}
     for q in (0, 50, 100, 150):
         score = x @ x[q]
