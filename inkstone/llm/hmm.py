@@ -44,38 +44,37 @@ def _encode(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import xxhash
 
-    def packed(ids, lengths, places, words, counts):
+    def packed(ids, lengths, places, words):
         order = list(words)
+        places, use = np.concatenate(places), np.array([not held_out(i) for i in ids], bool)
+        counts = np.bincount(places[np.repeat(use, lengths) & (places != _END)], minlength=len(order))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, order), np.uint64, len(order))
         tails = np.fromiter((xxhash.xxh32_intdigest(w[-3:]) % TAILS for w in order), np.int32, len(order))
         pack = int(xxhash.xxh64_intdigest(np.concatenate((np.array([i if i is not None else -1 for i in ids], np.int64).view(np.uint64), hashes)).tobytes())) >> 1
         one = lambda x, t: pa.array([x], pa.list_(t))
         return pa.RecordBatch.from_pydict({
-            "pack": pa.array([pack], pa.int64()), "ids": one(ids, pa.int64()), "lengths": one(lengths, pa.int32()), "places": one(np.concatenate(places), pa.int32()),
-            "hashes": one(hashes.view(np.int64), pa.int64()), "tails": one(tails, pa.int32()), "counts": one(np.array(counts, np.int64), pa.int64())})
+            "pack": pa.array([pack], pa.int64()), "ids": one(ids, pa.int64()), "lengths": one(lengths, pa.int32()), "places": one(places, pa.int32()),
+            "hashes": one(hashes.view(np.int64), pa.int64()), "tails": one(tails, pa.int32()), "counts": one(counts, pa.int64())})
 
-    state = None
+    state, size = None, 0
     for batch in slices(batches, "text", 1_000_000):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             if state is None:
-                state = ([], [], [], {}, [], [0])
-            ids, lengths, places, words, counts, size = state
+                state, size = ([], [], [], {}), 0
+            ids, lengths, places, words = state
             found = words_of(text, lower=True)
-            at = np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found) + 0) if found else np.zeros(0, np.int32)
-            counts.extend([0] * (len(words) - len(counts)))
-            if not held_out(doc) and len(at):
-                which, times = np.unique(at, return_counts=True)
-                for w, t in zip(which.tolist(), times.tolist()):
-                    counts[w] += t
+            at = list(map(words.get, found))
+            if None in at:
+                at = [words.setdefault(w, len(words)) for w in found]
             ids.append(doc)
             lengths.append(len(at) + 1)
-            places += [at, np.array([_END], np.int32)]
-            size[0] += len(text or "") + 8
-            if size[0] >= PACK:
-                yield packed(*state[:5])
+            places.append(np.array([*at, _END], np.int32))
+            size += len(text or "") + 8
+            if size >= PACK:
+                yield packed(*state)
                 state = None
     if state is not None:
-        yield packed(*state[:5])
+        yield packed(*state)
 
 
 _PACKS = "pack long, ids array<long>, lengths array<int>, places array<int>, hashes array<long>, tails array<int>, counts array<long>"
@@ -120,21 +119,22 @@ def stretches(lengths: np.ndarray, starts: np.ndarray, size: int = STRETCH) -> S
     return Stretches(np.minimum(size, lengths[text] - step * size), starts[text] + step * size, text, step == 0)
 
 
-def _sweep(move: np.ndarray, emit: np.ndarray, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, prior: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The forward recursion over stretches side by side, step by step: (which stretches, their tokens' places, scaled alphas, scales).
+def _sweep(move: np.ndarray, emit: np.ndarray, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, prior: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The forward recursion over stretches side by side, step by step: (which stretches, their tokens' classes, emissions there, scaled alphas, scales).
 
     prior (n, k, STATES): what each of a stretch's k chains expects of its first token. At every token a stretch's alphas are scaled to a sum of one.
     """
     order = np.argsort(-lengths, kind="stable")
     left = np.searchsorted(-lengths[order], -np.arange(1, (lengths.max() if len(lengths) else 0) + 1), side="right")
-    begin, alpha = starts[order], None
+    begin, alpha, ones = starts[order], None, np.ones(prior.shape[1] * prior.shape[2])
     for t, n in enumerate(left):
-        at = begin[:n] + t
+        seen = classes[begin[:n] + t]
+        here = emit[seen]
         alpha = prior[order] if alpha is None else (alpha[:n].reshape(-1, len(move)) @ move).reshape(n, *alpha.shape[1:])
-        alpha = alpha * emit[classes[at]][:, None, :]
-        scale = alpha.sum((1, 2))
-        alpha = alpha / scale[:, None, None]
-        yield order[:n], at, alpha, scale
+        alpha *= here[:, None, :]
+        scale = alpha.reshape(n, -1) @ ones  # a product sums short rows faster than sum() does
+        alpha /= scale[:, None, None]
+        yield order[:n], seen, here, alpha, scale
 
 
 def _boundaries(model: Model, classes: np.ndarray, s: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,11 +150,11 @@ def _boundaries(model: Model, classes: np.ndarray, s: Stretches) -> tuple[np.nda
         return handed, prior, beyond
     emit = np.ascontiguousarray(model.emit.T)
     through = np.empty((len(more), k, k))
-    for which, _, alpha, _ in _sweep(model.move, emit, classes, s.lengths[more], s.starts[more], np.repeat(model.move[None], len(more), 0)):
+    for which, _, _, alpha, _ in _sweep(model.move, emit, classes, s.lengths[more], s.starts[more], np.repeat(model.move[None], len(more), 0)):
         through[which] = alpha
     heads = more[s.first[more - 1]] - 1
     ends = np.empty((n, k))
-    for which, _, alpha, _ in _sweep(model.move, emit, classes, s.lengths[heads], s.starts[heads], prior[heads][:, None, :]):
+    for which, _, _, alpha, _ in _sweep(model.move, emit, classes, s.lengths[heads], s.starts[heads], prior[heads][:, None, :]):
         ends[heads[which]] = alpha[:, 0]
     of = np.full(n, -1)
     of[more] = np.arange(len(more))
@@ -180,7 +180,7 @@ def forward(model: Model, classes: np.ndarray, lengths: np.ndarray, starts: np.n
     s = stretches(lengths, starts, size)
     _, prior, _ = _boundaries(model, classes, s)
     total, emit = np.zeros(len(s.text)), np.ascontiguousarray(model.emit.T)
-    for which, _, _, scale in _sweep(model.move, emit, classes, s.lengths, s.starts, prior[:, None, :]):
+    for which, _, _, _, scale in _sweep(model.move, emit, classes, s.lengths, s.starts, prior[:, None, :]):
         total[which] += np.log10(scale)
     return np.bincount(s.text, weights=total, minlength=len(lengths))
 
@@ -193,23 +193,24 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, star
     handed, prior, beyond = _boundaries(model, classes, s)
     for a in range(0, len(s.text), TOGETHER):
         part = slice(a, a + TOGETHER)
-        steps = [(which, at, alpha[:, 0], scale) for which, at, alpha, scale in _sweep(move, emit, classes, s.lengths[part], s.starts[part], prior[part][:, None, :])]
-        order, ahead, gammas = steps[0][0], None, [None] * len(steps)
+        steps = [(seen, here, alpha[:, 0], scale) for _, seen, here, alpha, scale in _sweep(move, emit, classes, s.lengths[part], s.starts[part], prior[part][:, None, :])]
+        order, ahead, gammas, over = np.argsort(-s.lengths[part], kind="stable"), None, [None] * len(steps), np.zeros((k, k))
         beta = beyond[part][order]  # of each stretch, as yet after its last token
         for t in range(len(steps) - 1, -1, -1):
-            which, at, alpha, scale = steps[t]
+            seen, here, alpha, scale = steps[t]
             if ahead is not None:
                 m = len(ahead)
-                moved += move * (alpha[:m].T @ ahead)
+                over += alpha[:m].T @ ahead
                 beta[:m] = ahead @ move.T
-            gammas[t] = alpha * beta[: len(at)]
-            ahead = beta[: len(at)] * emit[classes[at]] / scale[:, None]
+            gammas[t] = alpha * beta[: len(seen)]
+            ahead = beta[: len(seen)] * here
+            ahead /= scale[:, None]
         first = s.first[part][order]
         begun += gammas[0][first].sum(0)
         # the move over a boundary goes from what the stretch before handed on
-        if not first.all():
-            moved += move * (handed[part][order][~first].T @ ahead[~first])
-        gamma, seen = np.concatenate(gammas), classes[np.concatenate([x[1] for x in steps])]
+        over += handed[part][order][~first].T @ ahead[~first]
+        moved += move * over
+        gamma, seen = np.concatenate(gammas), np.concatenate([x[0] for x in steps])
         for i in range(k):
             emitted[i] += np.bincount(seen, weights=gamma[:, i], minlength=emitted.shape[1])
     return begun, moved, emitted
@@ -219,21 +220,38 @@ def _array(column, i: int = 0) -> np.ndarray:
     return column[i].values.to_numpy(zero_copy_only=False)
 
 
-def _trainer(shared):
+_CLASSED = "lengths array<int>, classes array<short>"
+
+
+def _classed(shared):
+    """Classes of the tokens of training texts, which do not change from round to round."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, frequent = shared.value
-        keys, classes_of = frequent
-        sums = None
+        keys, classes_of = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, lengths = batch.column("ids")[i].as_py(), _array(batch.column("lengths"), i).astype(np.int64)
-                classes = _classes(_array(batch.column("hashes"), i), _array(batch.column("tails"), i), keys, classes_of)[_array(batch.column("places"), i)]
-                starts = np.cumsum(lengths) - lengths
                 use = np.array([not held_out(x) for x in ids], bool)
-                if use.any():
-                    got = expected_counts(model, classes, lengths[use], starts[use])
+                places = _array(batch.column("places"), i)[np.repeat(use, lengths)]
+                classes = _classes(_array(batch.column("hashes"), i), _array(batch.column("tails"), i), keys, classes_of)[places]
+                yield pa.RecordBatch.from_pydict({"lengths": pa.array([lengths[use]], pa.list_(pa.int32())), "classes": pa.array([classes.astype(np.int16)], pa.list_(pa.int16()))})
+
+    return run
+
+
+def _trainer(shared):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        model = shared.value
+        sums = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lengths = _array(batch.column("lengths"), i).astype(np.int64)
+                if len(lengths):
+                    got = expected_counts(model, _array(batch.column("classes"), i).astype(np.int64), lengths, np.cumsum(lengths) - lengths)
                     sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
         if sums is not None:
             from pyspark import TaskContext
@@ -331,9 +349,10 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     model = Model.first(class_tokens)
     width = STATES + STATES * STATES + STATES * len(class_tokens)
     if trained:
+        classed = keep(packs.select("ids", "lengths", "places", "hashes", "tails").mapInArrow(_classed(spark.sparkContext.broadcast(frequent)), _CLASSED), "classes")
         for _ in range(rounds):
-            shared = spark.sparkContext.broadcast((model, frequent))
-            sums = _summed(packs.mapInArrow(_trainer(shared), "slot int, sums array<double>"), width)
+            shared = spark.sparkContext.broadcast(model)
+            sums = _summed(classed.mapInArrow(_trainer(shared), "slot int, sums array<double>"), width)
             model = Model.of(sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[STATES + STATES**2 :].reshape(STATES, -1), class_tokens)
             shared.unpersist()
 
