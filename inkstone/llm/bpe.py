@@ -15,6 +15,8 @@ from .common import keep, slices
 
 #: Characters of a chunk, and how many more it runs into the next one.
 CHUNK, OVERLAP = 8192, 512
+#: A text of more than so many chunks is dealt to several tasks.
+DEALT = 64
 #: A pre-token that ends so many characters before the end of a chunk is one of the whole text: the pattern looks two characters ahead at most ('re).
 AHEAD = 2
 _NEVER = 1 << 62
@@ -23,11 +25,12 @@ _NEVER = 1 << 62
 class Bpe:
     """A rank file's encoder and decoder; pre-tokens are encoded separately, and remembered in a bounded dictionary."""
 
-    def __init__(self, ranks_file: bytes, pattern: str, limit: int = 300_000):
+    def __init__(self, ranks_file: bytes, pattern: str, limit: int = 500_000):
         import regex
 
         self._ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
         self._bytes = {v: k for k, v in self._ranks.items()}
+        self.text_of = {i: str(i) for i in self._bytes}
         self._pattern = regex.compile(pattern)
         self._known: dict[str, tuple[int, ...]] = {}
         self._limit = limit
@@ -108,11 +111,47 @@ class Bpe:
             yield found
             start += sum(map(len, found))
 
+    def stitched(self, text: str, chunk: int, overlap: int) -> Iterator[list[str]]:
+        """Pre-tokens of a text, chunk by chunk: each chunk is pre-tokenised by itself and gives what lies between its seams with its neighbours."""
+        if len(text) <= chunk + overlap:
+            yield self.split(text)
+            return
+        last = -(-(len(text) - overlap) // chunk) - 1
+        before, seam = None, 0
+        for i in range(last + 1):
+            piece = text[i * chunk : (i + 1) * chunk + overlap]
+            found = self.split(piece)
+            sizes, ends, head, tail = shared_ends(found, len(piece), i == last, chunk, overlap)
+            if before is not None:
+                meet = np.intersect1d(before[2], head, assume_unique=True)
+                if not len(meet):  # a word longer than the overlap: the rest goes in order from the last certain place
+                    start = (i - 1) * chunk + seam
+                    yield from self.serial(text[start:])
+                    return
+                yield own_pieces(before[0], before[1], seam, chunk + int(meet[0]))
+                seam = int(meet[0])
+            before = (found, ends, tail)
+        yield own_pieces(before[0], before[1], seam, None)
+
     def decode(self, ids: list[int]) -> bytes:
         """Raw bytes of ids, joined without regard to character boundaries."""
         return b"".join(map(self._bytes.__getitem__, ids))
 
 
+def shared_ends(pieces: list[str], size: int, last: bool, chunk: int, overlap: int) -> tuple[np.ndarray, ...]:
+    """Lengths of a chunk's pre-tokens, where they end, and the certain ends in the parts that it shares with the chunk before and the chunk after."""
+    sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
+    ends = np.cumsum(sizes)
+    certain = ends[: np.searchsorted(ends, size - (0 if last else AHEAD), "right")]
+    return sizes, ends, certain[: np.searchsorted(certain, overlap, "right")], certain[np.searchsorted(certain, chunk, "left") :] - chunk
+
+
+def own_pieces(pieces: list[str], ends: np.ndarray, seam: int, upto: int | None) -> list[str]:
+    """A chunk's pre-tokens from its seam with the chunk before to that with the chunk after."""
+    first = int(np.searchsorted(ends, seam, "right")) if seam else 0
+    return pieces[first:] if upto is None else pieces[first : int(np.searchsorted(ends, upto, "right"))]
+
+
 _SHARED: dict[tuple[bytes, str], Bpe] = {}
 
 
@@ -133,16 +172,14 @@ def _read(path: str) -> bytes:
 class _Digest:
     """Number of ids, and hashes of their decimal text and of the decoded bytes, as ids come in."""
 
-    def __init__(self, bpe: Bpe, text_of: dict[int, str], keep_ids: bool):
-        self.n, self.bpe, self.text_of, self.keep = 0, bpe, text_of, keep_ids
+    def __init__(self, bpe: Bpe, keep_ids: bool):
+        self.n, self.bpe, self.keep = 0, bpe, keep_ids
         self.ids_hash, self.bytes_hash, self.ids = hashlib.sha256(), hashlib.sha256(), []
 
     def add(self, ids: list[int]) -> None:
         if not ids:
             return
-        for i in set(ids) - self.text_of.keys():
-            self.text_of[i] = str(i)
-        self.ids_hash.update((" " * (self.n > 0) + " ".join(map(self.text_of.__getitem__, ids))).encode())
+        self.ids_hash.update((" " * (self.n > 0) + " ".join(map(self.bpe.text_of.__getitem__, ids))).encode())
         self.bytes_hash.update(self.bpe.decode(ids))
         self.n += len(ids)
         if self.keep:
@@ -189,12 +226,10 @@ def _pretokenise(shared, pattern: str, chunk: int, overlap: int):
         for batch in batches:
             lengths, heads, tails = [], [], []
             for piece, last in zip(batch.column("piece").to_pylist(), batch.column("last").to_pylist()):
-                sizes = np.array([len(x) for x in bpe.split(piece)], np.int32)
-                ends = np.cumsum(sizes)
-                certain = ends[: np.searchsorted(ends, len(piece) - (0 if last else AHEAD), "right")]
+                sizes, _, head, tail = shared_ends(bpe.split(piece), len(piece), last, chunk, overlap)
                 lengths.append(sizes.tobytes())
-                heads.append(certain[: np.searchsorted(certain, overlap, "right")])
-                tails.append(certain[np.searchsorted(certain, chunk, "left") :] - chunk)
+                heads.append(head)
+                tails.append(tail)
             more = {"lengths": pa.array(lengths, pa.binary()), "head": pa.array(heads, pa.list_(pa.int32())), "tail": pa.array(tails, pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
@@ -212,11 +247,9 @@ def _encode_chunks(shared, pattern: str, chunk: int):
             out = []
             for piece, lengths, first, after in zip(*(batch.column(c).to_pylist() for c in ("piece", "lengths", "seam", "next_seam"))):
                 ends = np.cumsum(np.frombuffer(lengths, np.int32))
-                first, upto = first or 0, len(piece) if after is None else chunk + after
-                own = [0, *ends.tolist()]
-                own = own[int(np.searchsorted(ends, first, "right")) if first else 0 : int(np.searchsorted(ends, upto, "right")) + 1]
-                own = [first, *own[1:]]
-                out.append(np.array(bpe.encode_pieces([piece[a:b] for a, b in zip(own, own[1:])]), np.int32).tobytes())
+                at = [0, *ends.tolist()]
+                own = own_pieces([piece[a:b] for a, b in zip(at, at[1:])], ends, first or 0, None if after is None else chunk + after)
+                out.append(np.array(bpe.encode_pieces(own), np.int32).tobytes())
             keys = {c: batch.column(c) for c in ("doc_id", "print", "chunk", "copies")}
             yield pa.RecordBatch.from_pydict(keys | {"part": pa.array(out, pa.binary())})
 
@@ -229,7 +262,7 @@ def _join(shared, pattern: str, keep_ids: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe, text_of = _of(shared.value, pattern), {}
+        bpe = _of(shared.value, pattern)
         now, state, copies = None, None, 0
 
         def out():
@@ -240,7 +273,7 @@ def _join(shared, pattern: str, keep_ids: bool):
                 if now != (doc, print_):
                     if state:
                         yield out()
-                    now, state, copies = (doc, print_), _Digest(bpe, text_of, keep_ids), n
+                    now, state, copies = (doc, print_), _Digest(bpe, keep_ids), n
                 state.add(np.frombuffer(part, np.int32).tolist())
         if state:
             yield out()
@@ -248,11 +281,11 @@ def _join(shared, pattern: str, keep_ids: bool):
     return run
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, dealt: int = DEALT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (null: as empty), and ids on demand.
 
-    1. Texts are cut into chunks of `chunk` characters that run `overlap` characters into the next; a text that fits one chunk has nothing to stitch and
-       is encoded where it lies. Chunks of longer texts are rows of their own, so no task gets a long text whole, and each is pre-tokenised by itself.
+    1. Texts are cut into chunks of `chunk` characters that run `overlap` characters into the next, and each is pre-tokenised by itself. The chunks of a text
+       that has more than `dealt` of them are rows that go to several tasks, so that no task gets a very long text whole; those of others stay where they lie.
     2. Two neighbours are stitched at the first place in their overlap where pre-tokens of both end: what follows from there depends on the text
        ahead only, so both go on alike. A text with neighbours that never meet (a word longer than the overlap) is pre-tokenised in order instead.
     3. Each chunk encodes the pre-tokens between its two seams by the ranks; a text's ids and bytes are hashed in the order of its chunks, as they stream by.
@@ -265,24 +298,24 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def whole(batches: Iterator) -> Iterator:
-        bpe, text_of = _of(shared.value, pattern), {}
+        bpe = _of(shared.value, pattern)
         for batch in slices(batches, "text"):
             rows = []
             for text in batch.column("text").to_pylist():
-                state = _Digest(bpe, text_of, keep_ids)
-                for pieces in bpe.serial(text or ""):
+                state = _Digest(bpe, keep_ids)
+                for pieces in bpe.stitched(text, chunk, overlap) if text else ():
                     state.add(bpe.encode_pieces(pieces))
                 rows.append(state.row())
             yield _batch(rows, {"doc_id": batch.column("doc_id")}, keep_ids)
 
-    is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
+    is_long = F.coalesce(F.length("text"), F.lit(0)) > dealt * chunk
     short = docs.filter(~is_long).mapInArrow(whole, schema)
     long = docs.filter(is_long)
     cut = long.mapInArrow(_cut(chunk, overlap), "doc_id long, print long, chunk int, last boolean, piece string")
     by = ["doc_id", "print", "chunk"]
     # one shuffle deals the chunks and makes equal rows one
-    dealt = cut.groupBy(*by).agg(F.any_value("last").alias("last"), F.any_value("piece").alias("piece"), F.count(F.lit(1)).alias("copies"))
-    chunks = dealt.mapInArrow(_pretokenise(shared, pattern, chunk, overlap), "doc_id long, print long, chunk int, last boolean, piece string, copies long, lengths binary, head array<int>, tail array<int>")
+    spread = cut.groupBy(*by).agg(F.any_value("last").alias("last"), F.any_value("piece").alias("piece"), F.count(F.lit(1)).alias("copies"))
+    chunks = spread.mapInArrow(_pretokenise(shared, pattern, chunk, overlap), "doc_id long, print long, chunk int, last boolean, piece string, copies long, lengths binary, head array<int>, tail array<int>")
     chunks = keep(chunks, "chunks")
     same = lambda x, y, on: _null_safe([(f"{x}.{c}", f"{y}.{c}") for c in on])
     before = chunks.select("doc_id", "print", (F.col("chunk") + 1).alias("chunk"), "tail").alias("b")
