@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_near_dedup", near), ("source_mix", mix), ("byte_bpe", tokens)]
 
-#: SQL can't express the pipeline's stages; tests compare it with a brute-force version.
+#: SQL can't express the pipeline's stages; tests compare run() with the stages by brute force, chained.
 ORACLE_SQL = None
 
 

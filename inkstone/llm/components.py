@@ -1,7 +1,9 @@
-"""Connected components as DataFrames; nothing but one number a round reaches the driver."""
+"""Connected components as DataFrames; nothing but one number a round reaches the driver. keep: writes a table and reads it back."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def stars(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame, keep: Callable = keep) -> DataFrame:
     """(u, v) with v the smallest node of u's component, for every node but the smallest ones.
 
     Alternating large and small stars; the number of rounds grows with the logarithm of the longest path.
@@ -47,11 +49,11 @@ def stars(edges: DataFrame) -> DataFrame:
     return now
 
 
-def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
+def connect(labels: DataFrame, links: DataFrame, keep: Callable = keep) -> DataFrame:
     """Labels (node, label) after links (a, b) between nodes; a label is the smallest node of its component."""
     x, y = labels.alias("x"), labels.alias("y")
     between = links.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
     edges = between.select(F.col("x.label").alias("u"), F.col("y.label").alias("v"))
-    moved = stars(edges)
+    moved = stars(edges, keep)
     joined = labels.join(moved, labels["label"] == moved["u"], "left")
     return joined.select("node", F.coalesce("v", "label").alias("label"))

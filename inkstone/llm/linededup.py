@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, keep
+from .common import WORD_PATTERN, Scratch
 
 #: The most line numbers that are broadcast, and the most lines of one segment key that are compared without a second.
 MOST_BROADCAST, CROWD = 500_000, 64
@@ -149,8 +149,10 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
     4. Pairs are verified on the texts, less their common start and end, by a banded bit-parallel edit distance; the later line of a pair goes.
 
     Lines without a word are never judged. Null or empty texts have no lines; rows without doc_id take no part.
-    Rows that share a doc_id are one document: their lines of the same number and text count once. Extra columns are ignored.
+    Rows that share a doc_id are one document: their lines of the same number and text count once in reports, though equal rows may come twice here. Extra columns are ignored; an empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession)
+    keep = scratch.keep
     docs = docs.select("doc_id", "text")
     lines = lines_of(docs).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.hash("line"))
     places = keep(lines.select("doc_id", "line_no", "h1", "h2"), "lines")
@@ -190,13 +192,13 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
     sought = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.filed") | F.col("y.filed"))
     rest = later_of(x.join(y, sought & counts_allow("x", "y", most_edits)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     near = gone.unionByName(rest).distinct().select("id.doc_id", "id.line_no", F.lit(True).alias("near"))
-    return repeated.unionByName(near)
+    return scratch.result(repeated.unionByName(near), "duplicate-lines")
 
 
 def line_report(docs: DataFrame, most_edits: int = 2, least_chars: int = 20) -> DataFrame:
     """Per row of docs: doc_id, n_lines (with a word), n_equal and n_near dropped lines, dropped (their numbers, by comma)."""
     gone = duplicate_lines(docs, most_edits, least_chars).groupBy("doc_id").agg(
-        F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("dropped"))
+        F.size(F.collect_set(F.when(~F.col("near"), F.col("line_no")))).alias("n_equal"), F.size(F.collect_set(F.when(F.col("near"), F.col("line_no")))).alias("n_near"), F.array_join(F.array_sort(F.collect_set("line_no")), ",").alias("dropped"))
     worded = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD_PATTERN))).cast("long")
     counted = docs.select("doc_id", worded.alias("n_lines"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -204,7 +206,10 @@ def line_report(docs: DataFrame, most_edits: int = 2, least_chars: int = 20) ->
 
 
 def without_duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20) -> DataFrame:
-    """docs with all their columns, the text rid of lines that repeat an earlier one; no row goes, n_chars follows if there."""
+    """docs with all their columns, the text rid of lines that repeat an earlier one; no row goes, n_chars follows if there.
+
+    Rows without doc_id and null texts stay as they are; of rows that share a doc_id each loses the lines found for any. An empty table gives no rows.
+    """
     gone = duplicate_lines(docs, most_edits, least_chars).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("line_no").alias("_gone"))
     joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")

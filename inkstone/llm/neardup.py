@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, WordHasher, keep, mix64, shingle_hashes, slices, words_of
+from .common import WORD_PATTERN, Scratch, WordHasher, mix64, shingle_hashes, slices, words_of
 from .components import connect
 
 BANDS, ROWS, BITS = 40, 5, 512
@@ -165,6 +165,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.16) ->
     likewise (component_id null, kept). Rows that share a doc_id count as one document. Extra columns are ignored.
     An empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession)
+    keep = scratch.keep
     docs = docs.select("doc_id", "text")
     signed = keep(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>, bands array<long>"), "signatures")
     filled = signed.filter("s1 is not null")
@@ -200,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.16) ->
         nonlocal labels, tried
         result = confirmed(some)
         tried = result if tried is None else tried.unionByName(result)
-        labels = keep(connect(labels, result.filter("linked").select("a", "b")), "labels")
+        labels = keep(connect(labels, result.filter("linked").select("a", "b"), keep), "labels")
 
     def apart(some: DataFrame) -> DataFrame:
         """Pairs not tried yet whose ends lie in different components."""
@@ -231,11 +233,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.16) ->
     s, g = signed.alias("s"), member.alias("g")
     joined = s.join(g, (F.col("s.s1") == F.col("g.s1")) & (F.col("s.s2") == F.col("g.s2")), "left")
     component = F.coalesce(F.col("g.component"), F.col("s.doc_id"))
-    return joined.select("s.doc_id", "s.n_shingles", component.alias("component_id"), F.coalesce(F.col("s.doc_id") == component, F.lit(True)).alias("kept"))
+    out = joined.select("s.doc_id", "s.n_shingles", component.alias("component_id"), F.coalesce(F.col("s.doc_id") == component, F.lit(True)).alias("kept"))
+    return scratch.result(out, "near-duplicates")
 
 
 def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents of which each group of near copies keeps one, the smallest doc_id."""
+    """docs with all their columns, of each group of near copies the smallest doc_id alone.
+
+    Rows that share a doc_id stay or go together; rows without doc_id, and null or empty texts, stay. An empty table gives no rows.
+    """
     gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 

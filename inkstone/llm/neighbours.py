@@ -7,14 +7,14 @@ recall that brute force measures on a bounded sample of queries.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import Scratch
 
 CURVES, AXES, DEPTH, PROBES = 4, 16, 2, 32
 #: Rows of the shortest window, rows that meet queries at a time, rows the curves are fitted on, and queries the windows are fitted on.
@@ -194,7 +194,7 @@ def _number(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(c), part, np.int32)), pa.array(place)], [*batch.schema.names, "part", "place"])
 
 
-def _ordered(entries: DataFrame) -> DataFrame:
+def _ordered(entries: DataFrame, keep: Callable) -> DataFrame:
     """Entries with `g`, the number of rows before them on their curve.
 
     A range partitioning sorts; each partition numbers its own entries, and one count per partition and curve says where it begins.
@@ -335,6 +335,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, target: float = 0
     4. The finds of all windows merge, one pair once, and are ranked by exact distance on the original vectors.
     """
     spark = vectors.sparkSession
+    scratch = Scratch(spark)
+    keep = scratch.keep
     rows = keep(_usable(vectors), "vectors")
     asks = rows.filter(F.col("vec_id") % every == 0)
     reps = keep(asks.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")), "queries")
@@ -354,7 +356,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, target: float = 0
         last[r.query_id] = max(r.score, last.get(r.query_id, 0.0))
     far = {size: float(np.median([last[i] for i in ids.tolist() if i in last] or [0.0])) for size, (ids, _) in fit.items()}
     shared = spark.sparkContext.broadcast((curves, far))
-    placed = _ordered(rows.mapInArrow(_row_keys(shared), _ORDER).unionByName(reps.mapInArrow(_probe_keys(shared), _ORDER)))
+    placed = _ordered(rows.mapInArrow(_row_keys(shared), _ORDER).unionByName(reps.mapInArrow(_probe_keys(shared), _ORDER)), keep)
     window, _ = _window(placed, truth, target, least)
     placed = placed.withColumn("window", F.floor(F.col("g") / window))
     limits = reps.mapInArrow(_limits(shared, k), "id long, limit double")
@@ -372,7 +374,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, target: float = 0
     ids = scored.groupBy("rep", "vec_id").agg(F.min("score").alias("near"))
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("near", "vec_id"))).filter(F.col("nth") <= k + 1).select("rep", "vec_id")
     scored = scored.join(ids, ["rep", "vec_id"])
-    return _best(members.join(scored, "rep").filter("query_id <> vec_id").select("query_id", "vec_id", "score").distinct(), k)
+    out = _best(members.join(scored, "rep").filter("query_id <> vec_id").select("query_id", "vec_id", "score").distinct(), k)
+    return scratch.result(out, "neighbours")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -21,46 +21,56 @@ from .quality import quality_rules
 
 
 def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat across (or within) documents, a row for each document and partner. Null, empty and shorter texts give none, nor do rows without doc_id; see repeated_passages for ties, repeated rows and an empty table."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every row of documents; null and empty texts fail the base rule, null languages and sources are groups of their own."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of pages; null and empty pages give an empty text. Repeated rows give repeated results."""
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row of documents, null as empty. Repeated rows give repeated results."""
     import public_tokenizers
 
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every row of documents; null and empty texts and rows without doc_id are linked with nothing."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every row of documents; null texts have none, null sources are one source, repeated rows are documents of their own."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and completions of every conversation with an assistant turn, its last reply against a parroted one. Null roles count as user, null texts as empty."""
     pairs = chat.preferences(chat.parroted(chat.turns_of(table(spark, sf_dir, "conversations"))))
     trained = [chat.trained_chars(F.col(f"{s}_segments")).alias(f"{s}_trained") for s in ("chosen", "rejected")]
     return pairs.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", *trained, "prefers")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every row of documents that repeat an earlier line, equal or within two edits; null and empty texts have no lines."""
     return line_report(table(spark, sf_dir, "documents"))
 
 
 def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of documents under a model learnt from those not held out; null and empty texts have the end token only."""
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for each row of embeddings whose vec_id is divisible by 100; null, zero and non-finite vectors take no part."""
     return nearest(table(spark, sf_dir, "embeddings"))
 
 

@@ -147,14 +147,14 @@ def test_chunks_stitch(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("chunk", "piece", "print", "ids", "copies")})
     key = lambda doc, ids: (-1 if doc is None else doc, tuple(ids))
     want = sorted(key(i, whole.encode_ordinary(t or "")) for i, t in rows)
-    for chunk, overlap in ((16, 8), (40, 20), (200, 100)):
-        got = encode_texts(frame, RANKS, P.PATTERN, keep_ids=True, chunk=chunk, overlap=overlap).collect()
+    for chunk, overlap, dealt in ((16, 8, 2), (16, 8, 1000), (40, 20, 3), (200, 100, 1)):
+        got = encode_texts(frame, RANKS, P.PATTERN, keep_ids=True, chunk=chunk, overlap=overlap, dealt=dealt).collect()
         assert sorted(key(r.doc_id, r.ids) for r in got) == want
     long = " ".join(words(4, 9000)) + " " + "y" * 2000 + "\n" * 700 + " ".join(words(5, 4000))
     long_rows = [(1, long), (2, long[:20_000]), (2, long[:20_000]), (3, " ".join(words(6, 5000)))]
-    got = encode_texts(spark.createDataFrame(long_rows, "doc_id long, text string"), RANKS, P.PATTERN).collect()
+    got = [r for n in (2, 64) for r in encode_texts(spark.createDataFrame(long_rows, "doc_id long, text string"), RANKS, P.PATTERN, dealt=n).collect()]
     digest = lambda t: hashlib.sha256(" ".join(map(str, whole.encode_ordinary(t))).encode()).hexdigest()
-    assert sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((i, digest(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in long_rows)
+    assert sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((i, digest(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in long_rows * 2)
 
 
 def test_mix(spark, docs, empty):
@@ -168,6 +168,77 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(docs).count() == len(corpus()) and mixing.mix(empty).count() == 0
 
 
+def test_mix_against_brute_force(spark):
+    """Targets, quotas of blocks by source, part and shard, and the words taken of every document, by plain loops over the same seeded orders."""
+    draw = random.Random(12)
+    sizes = [draw.randint(0, 90) for _ in range(400)]
+    rows = [(i, " ".join(["w"] * n) or None, None, [None, "a", "a", "a", "b", "c", "d"][draw.randrange(7)], 0) for i, n in enumerate(sizes)]
+    rows += [rows[5], rows[5]]
+    block, shard_words = 16, 400
+    docs_ = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs_, block=block, shard_words=shard_words).collect()
+    sizes_of = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sizes_of[s] += len((t or "").split())
+    order = sorted(sizes_of, key=lambda s: (s is None, s or ""))
+    weights, total, target, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes_of.values()), {}, list(order)
+    while left:  # sources above their cap stop there, the excess is shared anew
+        share = (total - sum(target.values())) / sum(weights[s] for s in left)
+        full = [s for s in left if share * weights[s] >= 2 * sizes_of[s]]
+        if not full:
+            target |= {s: share * weights[s] for s in left}
+            break
+        target |= {s: 2.0 * sizes_of[s] for s in full}
+        left = [s for s in left if s not in full]
+
+    def quotas(votes, seats):  # highest quotients
+        taken = dict.fromkeys(votes, 0)
+        for _ in range(seats):
+            best = min((k for k in votes if votes[k] > 0), key=lambda k: (-votes[k] / (2 * taken[k] + 1), str(type(k)), *(k if isinstance(k, tuple) else (k is None, k or ""))))
+            taken[best] += 1
+        return taken
+
+    assert all(math.isclose(r.target, target[r.source]) for r in got)
+    seats = math.floor(sum(target.values()) / block + 0.5)
+    of_source = quotas(target, seats)
+    words_of_source = {s: min(of_source[s] * block, 2 * sizes_of[s]) for s in target}
+    numbered = [(r[0], r[3], len((r[1] or "").split()), 1 + sum(q[0] == r[0] for q in rows[:k])) for k, r in enumerate(rows)]
+    keyed = spark.createDataFrame(numbered, "doc_id long, source string, size long, copy int")
+    shards = {s: max(1, math.ceil(sizes_of[s] / shard_words)) for s in sizes_of}
+    lookup = spark.createDataFrame([(s, n) for s, n in shards.items()], "s string, shards long")
+    placed = keyed.join(lookup, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "copy", F.pmod(F.xxhash64(F.lit(17), "doc_id", "copy"), "shards").alias("shard"), F.xxhash64(F.lit(18), "doc_id", "copy").alias("place")).collect()
+    want = {}
+    for s in sizes_of:
+        members = defaultdict(list)
+        for r in placed:
+            if r.source == s:
+                members[r.shard].append(r)
+        weight = {k: float(sum(r["size"] for r in v)) for k, v in members.items()}
+        share = quotas(weight, math.floor(words_of_source[s] / block + 0.5)) if sum(weight.values()) else dict.fromkeys(weight, 0)
+        for k, v in members.items():
+            size = int(weight[k])
+            due = share[k] * block + (words_of_source[s] - math.floor(words_of_source[s] / block + 0.5) * block if k == min(members) else 0)
+            due = max(0, min(due, 2 * size))
+            rest = due - due // size * size if size else 0
+            n_blocks = -(-size // block)
+            ranks = spark.createDataFrame([(s, k, b) for b in range(n_blocks)], "source string, shard long, block long").select("block", F.xxhash64(F.lit(19), "source", "shard", "block").alias("h")).collect() if rest else []
+            chosen, room = {}, rest
+            for r in sorted(ranks, key=lambda r: (r.h, r.block)):
+                got_ = min(min(block, size - r.block * block), room)
+                if got_ <= 0:
+                    break
+                chosen[r.block], room = got_, room - got_
+            at = 0
+            for r in sorted(v, key=lambda r: (r.place, r.doc_id, r["copy"])):
+                inside = sum(1 for w in range(at, at + r["size"]) if w % block < chosen.get(w // block, 0))
+                want.setdefault(r.doc_id, []).append(r["size"] * (due // size if size else 0) + inside)
+                at += r["size"]
+    have = defaultdict(list)
+    for r in got:
+        have[r.doc_id].append(r.taken)
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_highest_quotients(spark):
     votes = {"a": 53000.0, "b": 24000.0, "c": 23000.0}
     p = spark.createDataFrame(list(votes.items()), "key string, weight double")
@@ -538,6 +609,55 @@ def test_neighbours_of_repeated_rows(spark):
     assert [r[2] for r in want] == _nearest_by_force(np.arange(61), np.vstack((x, x[0] + 0.001)), 0, 10)
 
 
+def test_repeated_rows_and_clashing_columns(spark):
+    """Rows that come twice: verdicts, groups, lines, preferences and ties among equal lines and documents."""
+    base = "\n".join(" ".join(words(k, 12)) for k in range(8))
+    rows = [(4, base, "en", "s", 0), (2, base, "en", "s", 0), (4, base, "en", "s", 0), (3, "", "en", "s", 0), (None, base, None, None, 0)]
+    frame = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("node", "sketch", "a", "b", "label", "first", "key", "filed", "id", "rest", "lo", "hi", "bucket")})
+    assert sorted((r.doc_id or 0, r.kept) for r in quality.quality_rules(frame).collect()) == [(0, True), (2, True), (3, False), (4, True), (4, True)]
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(frame).collect()) == [(0, 0, True), (2, 2, True), (3, 3, True), (4, 2, False), (4, 2, False)]
+    assert sorted((r.doc_id or 0) for r in neardup.keep_first(frame).collect()) == [0, 2, 3]
+    # of equal lines the smallest document's first is the earliest
+    report = {r.doc_id: (r.n_lines, r.n_equal, r.dropped) for r in linededup.line_report(frame).collect()}
+    assert report[2] == (8, 0, "") and report[4] == (8, 8, "0,1,2,3,4,5,6,7") and report[None] == (8, 0, "")
+    assert sorted((r.doc_id or 0, len(r.text)) for r in linededup.without_duplicate_lines(frame).collect()) == [(0, len(base)), (2, len(base)), (3, 0), (4, 0), (4, 0)]
+
+
+def test_preferences_of_any_sides(spark):
+    """A null side, prefixes of unequal length, equal sides, clashing columns, an empty table."""
+    turns = "array<struct<role: string, text: string>>"
+    u, a, b = ("user", "q"), ("assistant", "yes"), ("assistant", "no")
+    rows = [(1, [u, a], None), (2, [u, a, u, a], [u, a]), (3, [u, a], [u, a]), (4, None, None), (5, [u, a], [u, b])]
+    frame = spark.createDataFrame(rows, f"pair_id long, chosen {turns}, rejected {turns}").withColumns({c: F.lit("x") for c in ("prompt", "n_prompt", "prefers", "chosen_tail")})
+    got = {r.pair_id: r for r in chat.preferences(frame).collect()}
+    assert {k: (r.n_prompt_turns, r.prefers) for k, r in got.items()} == {1: (0, True), 2: (2, True), 3: (2, False), 4: (0, False), 5: (1, True)}
+    assert got[1].rejected == "" and got[5].chosen == "<|assistant|>\nyes<|end|>\n" and got[2].chosen.startswith("<|user|>")
+    assert chat.preferences(frame.limit(0)).count() == 0
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.preferences(chat.parroted(chat.turns_of(empty))).count() == 0
+
+
+def test_edit_distance_is_banded_and_exact(spark):
+    """The bit-parallel distance, with common ends left out, against Spark's own; crowded keys split without losing a pair."""
+    draw, rows = random.Random(13), []
+    for _ in range(300):
+        x = "".join(draw.choice("abcé ") for _ in range(draw.randint(20, 60)))
+        y = list(x)
+        for _ in range(draw.randint(0, 4)):
+            k = draw.randrange(len(y))
+            y[k : k + draw.randint(0, 1)] = draw.choice(["", "z", "q"])
+        rows.append((x, "".join(y) + "x" * max(0, 20 - len(y))))
+    pairs = spark.createDataFrame(rows, "x string, y string").withColumn("true", F.levenshtein("x", "y")).filter("abs(length(x) - length(y)) <= 2")
+    for r in linededup.trimmed(pairs, "x", "y", 2).withColumn("d", linededup.banded_distance(F.col("x"), F.col("y"), 2)).collect():
+        assert r.d == r.true if r.true <= 2 else r.d > 2
+    head = "the very same beginning of every line, "
+    lines = [head + "".join(draw.choice("abcdefgh") for _ in range(30)) for _ in range(150)]
+    near = [x[:45] + "Z" + x[46:] for x in lines[::10]]
+    frame = spark.createDataFrame([(0, "\n".join(lines)), (1, "\n".join(near))], "doc_id long, text string")
+    got = {r.doc_id: r.n_near for r in linededup.line_report(frame).collect()}
+    assert got == {0: 0, 1: len(near)}
+
+
 def test_pipeline(spark, docs):
     now = docs.drop("node", "key", "kept", "line", "size", "taken", "n_words", "c")
     stages = dict(corpus_pipeline.STAGES)
@@ -546,3 +666,38 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in stages["minhash_near_dedup"](spark, now, "").filter("doc_id < 3").collect()} == {0}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, now, "").columns == now.columns, name
+
+
+def test_pipeline_end_to_end_against_brute_force(spark, tmp_path):
+    """run() over a small table: each stage's rows by the operators' brute-force counterparts, chained."""
+    import re
+
+    draw = random.Random(15)
+    text = lambda k, n=9: "\n".join(" ".join(words(1000 * k + j, 14)) for j in range(n))
+    rows = [(i, text(i), "en", ["a", "b", None][i % 3], 0) for i in range(30)]
+    rows += [(30, rows[3][1], "en", "a", 0), (31, rows[4][1] + "\n" + text(77, 1), "en", "b", 0), (32, "### " * 200, "en", "a", 0), (33, None, "en", "a", 0), (34, "few words", "en", "a", 0), (35, text(50, 4) + "\n" + rows[6][1].split("\n")[0], "en", "b", 0)]
+    draw.shuffle(rows)
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    # quality: too few words, or a symbol for every word
+    left = {i: t for i, t, *_ in rows if t and len(t.split()) >= 50 and "#" not in t}
+    # lines: a line goes if it was seen before (no two others here are within two edits)
+    seen = set()
+    for i in sorted(left):
+        lines = [x for x in left[i].split("\n") if not (re.search(r"\S", x) and x in seen)]
+        seen |= set(left[i].split("\n"))
+        left[i] = "\n".join(lines)
+    # near copies: after line dedup nothing but empty texts is alike, and these are linked with nothing
+    sets = {i: shingles(t) for i, t in left.items()}
+    assert not any(a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a in sets for b in sets)
+    # mixing: documents without words are out, the others appear as often as the words taken from them come to, two times at most
+    encode = _tiktoken().encode_ordinary
+    possible = {(i, len(encode(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in left.items() if t}
+    assert got <= possible and len(got) >= 0.6 * len(possible)
+    counts = defaultdict(int)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        counts[r.doc_id] += 1
+    taken = mixing.mix(spark.createDataFrame([(i, t, None, next(r[3] for r in rows if r[0] == i), 0) for i, t in left.items()], DOCS)).collect()
+    for r in taken:
+        assert counts.get(r.doc_id, 0) in ({0} if not r["size"] else {r.taken // r["size"], -(-r.taken // r["size"])})
+    assert {k for k, _, _ in got} == {k for k in counts}
