@@ -222,8 +222,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.16) ->
         m = members.join(labels, "node")
         split = m.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
         m = m.join(split, "key", "left_semi").join(sketches, "node").select("key", "node", "label", "n", "sketch")
-        x, y = m.alias("x"), m.alias("y")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _close("x", "y", percent, slack)
+        # sets alike in size lie in the same class of sizes or in neighbouring ones, so a crowded bucket is dealt by size
+        size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+        x, y = m.withColumn("size", size).alias("x"), m.withColumn("size", F.explode(F.array(size - 1, size, size + 1))).alias("y")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _close("x", "y", percent, slack)
         found = x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         more = keep(found.join(tried, ["a", "b"], "left_anti") if tried is not None else found, "more")
         if more.isEmpty():
