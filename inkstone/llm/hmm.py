@@ -220,7 +220,7 @@ def _array(column, i: int = 0) -> np.ndarray:
     return column[i].values.to_numpy(zero_copy_only=False)
 
 
-_CLASSED = "lengths array<int>, classes array<short>"
+_CLASSED = "lengths array<int>, classes binary"  # 16 bits a token, as bytes: arrays of a million elements are slow to write and read
 
 
 def _classed(shared):
@@ -236,7 +236,7 @@ def _classed(shared):
                 use = np.array([not held_out(x) for x in ids], bool)
                 places = _array(batch.column("places"), i)[np.repeat(use, lengths)]
                 classes = _classes(_array(batch.column("hashes"), i), _array(batch.column("tails"), i), keys, classes_of)[places]
-                yield pa.RecordBatch.from_pydict({"lengths": pa.array([lengths[use]], pa.list_(pa.int32())), "classes": pa.array([classes.astype(np.int16)], pa.list_(pa.int16()))})
+                yield pa.RecordBatch.from_pydict({"lengths": pa.array([lengths[use]], pa.list_(pa.int32())), "classes": pa.array([classes.astype("<i2").tobytes()], pa.binary())})
 
     return run
 
@@ -251,7 +251,7 @@ def _trainer(shared):
             for i in range(batch.num_rows):
                 lengths = _array(batch.column("lengths"), i).astype(np.int64)
                 if len(lengths):
-                    got = expected_counts(model, _array(batch.column("classes"), i).astype(np.int64), lengths, np.cumsum(lengths) - lengths)
+                    got = expected_counts(model, np.frombuffer(batch.column("classes")[i].as_buffer(), "<i2").astype(np.int64), lengths, np.cumsum(lengths) - lengths)
                     sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
         if sums is not None:
             from pyspark import TaskContext
