@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkstone.plans.models import Endpoint, answered_by, chat_payload, reasons
 from inkstone.queries import EVIDENCE_SQL, articles, evidence_of, read
-from inkstone.sources.chronicle import article_pages, date_line, within_caps
+from inkstone.sources.chronicle import article_pages, crawl_cache, date_line, within_caps
 
 MODELS = [("standard", "vendor/small-chat"), ("reasoning", "vendor/o3-mini")]
 
@@ -52,6 +52,15 @@ def crawl_total_cap(spark: SparkSession, d: str) -> DataFrame:
     return within_caps(ids.withColumn("stored", F.coalesce("stored", F.lit(False))), max_total=60).select("id")
 
 
+def crawl_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl over cached pages that resumes after every fifth article."""
+    p = _pages(spark, d).withColumn("month_id", F.substring("id", 1, 10))
+    index = p.select(F.concat(F.lit("search('"), "month_id", F.lit("', '1', '3')")).alias("html")).distinct()
+    days = p.groupBy("month_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("searchView('"), "id", F.lit("')")))), "").alias("html"))
+    _, _, summary = crawl_cache(index, days, p.select("id", "html"), p.filter("page_id % 5 = 0").select("id"), "https://archive.invalid")
+    return summary.select("months", "skipped", "written", "failed", "stopped")
+
+
 def chat_payloads(spark: SparkSession, d: str) -> DataFrame:
     turns = read(spark, d, "conversations").filter("role = 'user'")
     parts = None
@@ -80,7 +89,7 @@ def endpoint_answers(spark: SparkSession, d: str) -> DataFrame:
 
 assert [reasons(m) for _, m in MODELS] == [False, True]
 
-QUERIES = {f.__name__: f for f in (article_page_roundtrip, article_page_failures, date_line_roundtrip, crawl_total_cap, chat_payloads, endpoint_answers)}
+QUERIES = {f.__name__: f for f in (article_page_roundtrip, article_page_failures, date_line_roundtrip, crawl_total_cap, crawl_summary, chat_payloads, endpoint_answers)}
 
 _K = f"with k as (select page_id, {_KEYS} from pages)"
 ORACLE_SQL = {
@@ -90,6 +99,8 @@ ORACLE_SQL = {
     "date_line_roundtrip": f"""{_K} select page_id, '세종실록' as book, cast(page_id % 90 as integer) as vol, '세종' as king, cast(reign as integer) as reign, leap = 1 as leap, cast(month as integer) as month, cast(day as integer) as day,
       '갑자' as ganji, cast(1 + page_id % 5 as integer) as seq, 9 as total, cast(1418 + reign as integer) as western from k""",
     "crawl_total_cap": """select id from (select doc_id as id, row_number() over (order by doc_id) as met, doc_id in (select doc_id from labels) as stored from documents) where met <= 60 and not stored""",
+    "crawl_summary": f"""{_K}, i as (select page_id, {_ID.format(s='varchar')} as id from k) select count(distinct substr(id, 1, 10)) as months, count(distinct case when page_id % 5 = 0 then id end) as skipped,
+      count(distinct case when page_id % 5 <> 0 then id end) as written, cast(0 as bigint) as failed, false as stopped from i""",
     "chat_payloads": """select conv_id, turn, kind, model, case kind when 'standard' then 'system' else 'developer' end as role, md5(text) as content_md5, case kind when 'standard' then '0' end as temperature,
       case kind when 'standard' then '400' end as max_tokens, case kind when 'reasoning' then '400' end as max_completion_tokens
       from conversations, (values ('standard', 'vendor/small-chat'), ('reasoning', 'vendor/o3-mini')) m(kind, model) where role = 'user'""",
