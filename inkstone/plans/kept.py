@@ -40,6 +40,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def alive(df: DataFrame) -> bool:
+    """Whether the files behind a kept table are still there."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return True
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a kept table."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

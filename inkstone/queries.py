@@ -15,7 +15,7 @@ from inkstone.functions import text as T
 from inkstone.functions.dates import date_spec, record_date, without_dates
 from inkstone.plans import answer as A
 from inkstone.plans import index as I
-from inkstone.plans.kept import kept
+from inkstone.plans.kept import alive, kept
 from inkstone.plans.retrieve import prepared, retrieve
 from inkstone.plans.rewrite import EVENTS, rewritten
 from inkstone.sources.articles import day_list, expand_years, resumed
@@ -110,7 +110,7 @@ _BUILT: dict[tuple[str, str], I.Index] = {}
 def _index(spark, d):
     """The articles' index, built once a session and written, as a service holds it."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _BUILT:
+    if key not in _BUILT or not all(map(alive, (_BUILT[key].idf, _BUILT[key].postings, _BUILT[key].title_terms))):
         built = I.build(articles(spark, d))
         _BUILT[key] = I.Index(built.articles, built.idf, kept(built.postings, "postings"), kept(built.title_terms, "title-terms"))
     return _BUILT[key]
