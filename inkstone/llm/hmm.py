@@ -86,6 +86,10 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is sent to the executors, which need no copy of this class."""
+        return self.start, self.move, self.emit
+
     @classmethod
     def first(cls, class_counts: np.ndarray, seed: int = 7) -> Model:
         """Corpus shares of the classes, tilted apart state by state, and states that tend to stay."""
@@ -245,8 +249,7 @@ def _trainer(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = shared.value
-        sums = None
+        model, sums = Model(*shared.value), None
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths = _array(batch.column("lengths"), i).astype(np.int64)
@@ -351,7 +354,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     if trained:
         classed = keep(packs.select("ids", "lengths", "places", "hashes", "tails").mapInArrow(_classed(spark.sparkContext.broadcast(frequent)), _CLASSED), "classes")
         for _ in range(rounds):
-            shared = spark.sparkContext.broadcast(model)
+            shared = spark.sparkContext.broadcast(model.arrays())
             sums = _summed(classed.mapInArrow(_trainer(shared), "slot int, sums array<double>"), width)
             model = Model.of(sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[STATES + STATES**2 :].reshape(STATES, -1), class_tokens)
             shared.unpersist()
@@ -360,7 +363,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rest = entries.join(F.broadcast(sent.select("h")), "h", "left_anti").join(counted.select("h", "c"), "h").filter("c <> counts")
     answers = rest.groupBy("pack").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c")).withColumnRenamed("pack", "_pack")
     joined = packs.join(answers, packs["pack"] == answers["_pack"], "left").select("ids", "lengths", "places", "hashes", "tails", "counts", "at", "c")
-    shared = spark.sparkContext.broadcast((model, frequent, common, class_tokens, class_words, total, vocabulary, trained))
+    shared = spark.sparkContext.broadcast((model.arrays(), frequent, common, class_tokens, class_words, total, vocabulary, trained))
     out = joined.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -369,7 +372,8 @@ def _scorer(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model, (keys, classes_of), common, class_tokens, class_words, total, vocabulary, trained = shared.value
+        arrays, (keys, classes_of), common, class_tokens, class_words, total, vocabulary, trained = shared.value
+        model = Model(*arrays)
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, lengths = batch.column("ids")[i].as_py(), _array(batch.column("lengths"), i).astype(np.int64)

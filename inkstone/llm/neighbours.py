@@ -97,6 +97,16 @@ class Curves:
             leading = directions[: max(AXES, int(np.searchsorted(np.nan_to_num(share), 0.95)) + 1)]
             self.fitted[size] = (centre, [self._axes(leading, rows - centre, c) for c in range(CURVES)])
 
+    def parts(self) -> tuple[int, dict, dict]:
+        """What is sent to the executors, which need no copy of this class."""
+        return self.seed, self.fitted, self.rows
+
+    @classmethod
+    def of_parts(cls, seed: int, fitted: dict, rows: dict) -> Curves:
+        out = cls([], seed)
+        out.fitted, out.rows = fitted, rows
+        return out
+
     def _axes(self, leading: np.ndarray, rows: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray]:
         draw = np.random.default_rng(self.seed + curve)
         turn = np.linalg.qr(draw.normal(size=(max(len(leading), AXES), AXES)))[0][: len(leading)]
@@ -133,7 +143,7 @@ def _row_keys(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        curves = shared.value[0]
+        curves = Curves.of_parts(*shared.value[0])
         for size, part, vectors in _by_size(batches):
             codes, step, gap = _codes(vectors)
             n, raw = len(vectors), [x.tobytes() for x in codes]
@@ -151,7 +161,8 @@ def _probe_keys(shared):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        curves, far = shared.value[:2]
+        parts, far = shared.value
+        curves = Curves.of_parts(*parts)
         for size, part, vectors in _by_size(batches):
             n, ids = len(vectors), part.column("vec_id").to_pylist()
             centre = curves.of(size)[0]
@@ -283,7 +294,7 @@ def _limits(shared, k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sample = shared.value[0].rows
+        sample = Curves.of_parts(*shared.value[0]).rows
         for size, part, vectors in _by_size(batches):
             rows, limits = sample.get(size, np.zeros((0, size))), np.full(len(vectors), np.inf)
             if len(rows) > k:
@@ -355,7 +366,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, target: float = 0
         truth.setdefault(r.query_id, set()).add(r.vec_id)
         last[r.query_id] = max(r.score, last.get(r.query_id, 0.0))
     far = {size: float(np.median([last[i] for i in ids.tolist() if i in last] or [0.0])) for size, (ids, _) in fit.items()}
-    shared = spark.sparkContext.broadcast((curves, far))
+    shared = spark.sparkContext.broadcast((curves.parts(), far))
     placed = _ordered(rows.mapInArrow(_row_keys(shared), _ORDER).unionByName(reps.mapInArrow(_probe_keys(shared), _ORDER)), keep)
     window, _ = _window(placed, truth, target, least)
     placed = placed.withColumn("window", F.floor(F.col("g") / window))
