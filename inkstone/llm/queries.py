@@ -18,6 +18,7 @@ from .neardup import near_duplicates
 from .neighbours import nearest
 from .passages import repeated_passages
 from .quality import quality_rules
+from .runs import periodic_runs, run_report, with_planted_run
 
 
 def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,12 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every row of documents, every tenth of which gets a periodic tail; null and empty texts have none. See periodic_runs for ties, overlaps and repeated rows."""
+    docs = table(spark, sf_dir, "documents")
+    return run_report(periodic_runs(docs.select("doc_id", with_planted_run(docs["doc_id"], docs["text"]).alias("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compact_windows": op1_compact_windows,
     "op2_quality_rules": op2_quality_rules,
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_hidden_markov": op9_hidden_markov,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
