@@ -18,6 +18,7 @@ from .neardup import near_duplicates
 from .neighbours import nearest
 from .passages import repeated_passages
 from .quality import quality_rules
+from .resample import importance_resample
 from .runs import periodic_runs, run_report, with_planted_run
 
 
@@ -81,6 +82,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(periodic_runs(docs.select("doc_id", with_planted_run(docs["doc_id"], docs["text"]).alias("text"))))
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all rows of documents towards the texts of benchmark, and a draw of 5 % of those with 20 words; null and empty texts weigh 0. See importance_resample for ties and repeated rows."""
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compact_windows": op1_compact_windows,
     "op2_quality_rules": op2_quality_rules,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hidden_markov": op9_hidden_markov,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_importance_resample": op12_importance_resample,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
