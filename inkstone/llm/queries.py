@@ -20,6 +20,7 @@ from .passages import repeated_passages
 from .quality import quality_rules
 from .resample import importance_resample
 from .runs import periodic_runs, run_report, with_planted_run
+from .shards import assigned
 
 
 def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,12 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard of 16 and a slot in it for every row of documents, near equal in bytes, words and rows; null and empty texts have size 1. See assigned for groups, ties and repeated rows."""
+    packed = assigned(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compact_windows": op1_compact_windows,
     "op2_quality_rules": op2_quality_rules,
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_importance_resample": op12_importance_resample,
+    "op13_vector_packing": op13_vector_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
