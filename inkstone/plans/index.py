@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkstone.functions.text import RUNS, STOPWORDS, bigrams, legacy_tokenize, tokenize
+from inkstone.functions.text import RUNS, STOPWORDS, bigrams, date_label, legacy_tokenize, token_cost, tokenize
 from inkstone.plans.kept import kept
 
 TOKENIZERS = {"korean-char-bigram-v1": tokenize, "legacy-word": legacy_tokenize}
-PARTS = ("articles", "idf", "postings", "title_terms", "meta")
 
 
 def term_rows(rows: DataFrame, text: Column, tokenizer: str = "korean-char-bigram-v1") -> DataFrame:
@@ -38,19 +37,70 @@ def inverse_frequencies(counts: DataFrame, articles: DataFrame) -> DataFrame:
     """term, df, idf; the number of articles includes those without tokens."""
     n = articles.agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return df.join(F.broadcast(n)).select("term", "df", idf_of(F.col("n"), F.col("df")).alias("idf"))
 
 
-def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """id, term, weight: tf * idf to six places, divided by the article's norm, to six places again."""
-    raw = counts.join(idf.select("term", "idf"), "term").select("id", "term", F.round(F.col("tf") * F.col("idf"), 6).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", F.round(F.col("w") / F.when(norm == 0, 1.0).otherwise(norm), 6).alias("weight"))
+def idf_of(n: Column, df: Column) -> Column:
+    return F.log((1 + n) / (1 + df)) + 1
+
+
+#: A term that holds more than one of so many postings is common; there are at most so many common terms, which are sent to all tasks.
+COMMON = 10_000
+#: Postings of a term and a kind of articles that are one slice, give or take.
+SLICE = 100_000
+#: Kinds of articles halve their largest weight every KINDS steps.
+KINDS = 2
+POSTINGS = ["id", "term", "weight", "kind", "slice"]
+
+
+def with_frequencies(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """counts (id, term, tf) with df and idf. Common terms meet theirs where they are, so no key of the shuffle holds more than a small share of the rows."""
+    total = idf.agg(F.sum("df")).first()[0] or 0
+    common = idf.filter(F.col("df") * COMMON > total).select("term", "df", "idf")
+    met = counts.join(F.broadcast(common), "term", "left")
+    rare = met.filter("df is null").select("id", "term", "tf").join(idf.select("term", "df", "idf"), "term")
+    return met.filter("df is not null").select("id", "term", "tf", "df", "idf").unionByName(rare.select("id", "term", "tf", "df", "idf"))
+
+
+def weigh(counts: DataFrame, idf: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """id, term, weight, kind, slice. weight: tf * idf to six places, divided by the article's norm, to six places again.
+
+    kind says how large the article's largest weight is; all postings of one term and kind have a bound in common (directory). Terms of many articles are cut
+    into slices by a hash of the article, so that (term, kind, slice) is a key of about slice_rows rows at most.
+    """
+    raw = with_frequencies(counts, idf).select("id", "term", "df", F.round(F.col("tf") * F.col("idf"), 6).alias("w"))
+    own = Window.partitionBy("id")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(own))
+    weighed = raw.select("id", "term", "df", F.round(F.col("w") / F.when(norm == 0, 1.0).otherwise(norm), 6).alias("weight"))
+    most = F.max("weight").over(own)
+    kind = F.when(most > 0, F.greatest(F.lit(0), F.floor(-KINDS * F.log2(most)))).otherwise(0).cast("int")
+    return weighed.select("id", "term", "weight", kind.alias("kind"), _slice(F.col("id"), slices_of(F.col("df"), slice_rows)).alias("slice"))
+
+
+def slices_of(df: Column, slice_rows: int = SLICE) -> Column:
+    return F.ceil(df / slice_rows).cast("int")
+
+
+def _slice(id_: Column, slices: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), slices).cast("int")
+
+
+def directory(postings: DataFrame, idf: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """term, kind, n, most, slices: how many postings a term has among the articles of a kind, the largest of their weights, and their slices."""
+    parts = postings.groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"))
+    return parts.join(idf.select("term", slices_of(F.col("df"), slice_rows).alias("slices")), "term")
+
+
+def headers(articles: DataFrame, tokenizer: str = "korean-char-bigram-v1", counter: Callable[[Column], Column] = token_cost) -> DataFrame:
+    """What ranking and packing need of an article, without its text: id, year, month, day, cost, date (its label), title, title_tokens."""
+    said = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    label = date_label(F.col("year"), F.col("month"), F.col("day"), F.col("calendar"), F.col("leap_month"))
+    return articles.select("id", "year", "month", "day", counter(said).alias("cost"), label.alias("date"), "title", F.array_distinct(TOKENIZERS[tokenizer](F.col("title"))).alias("title_tokens"))
 
 
 @dataclass
 class Index:
-    """Tables of an index; dense indexes have articles with a column `vector` instead of postings."""
+    """Tables of an index; dense indexes have articles with a column `vector` instead of idf, postings and parts."""
 
     articles: DataFrame
     idf: DataFrame | None
@@ -58,26 +108,27 @@ class Index:
     title_terms: DataFrame
     tokenizer: str = "korean-char-bigram-v1"
     backend: str = "tfidf"
+    parts: DataFrame | None = None
+    heads: DataFrame | None = None
 
     def tokens(self, text: Column) -> Column:
         return TOKENIZERS[self.tokenizer](text)
 
+    def tables(self) -> dict[str, DataFrame]:
+        found = {"articles": self.articles, "title_terms": self.title_terms, "idf": self.idf, "postings": self.postings, "parts": self.parts, "heads": self.heads}
+        return {name: df for name, df in found.items() if df is not None}
+
     def save(self, path: str) -> None:
-        """Parquet, one folder a table; postings sorted by term, so that a few terms touch few row groups."""
-        spark = self.articles.sparkSession
-        self.articles.write.mode("overwrite").parquet(f"{path}/articles")
-        self.title_terms.write.mode("overwrite").parquet(f"{path}/title_terms")
-        if self.backend == "tfidf":
-            self.idf.write.mode("overwrite").parquet(f"{path}/idf")
-            self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        spark.createDataFrame([(self.tokenizer, self.backend)], "tokenizer string, backend string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        """The index as the store's newest generation; who reads meanwhile sees the one before it."""
+        from inkstone.plans.store import save
+
+        save(self, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        meta = read("meta").first()
-        sparse = meta.backend == "tfidf"
-        return cls(read("articles"), read("idf") if sparse else None, read("postings") if sparse else None, read("title_terms"), meta.tokenizer, meta.backend)
+        from inkstone.plans.store import load
+
+        return load(spark, path)
 
 
 def encoded(articles: DataFrame, encoder: Callable[[list[str]], object]) -> DataFrame:
@@ -128,8 +179,14 @@ def build(articles: DataFrame, tokenizer: str = "korean-char-bigram-v1", backend
     if backend == "dense":
         if "vector" not in articles.columns:
             raise ValueError("a dense index needs articles with a vector")
-        return Index(articles, None, None, titles, tokenizer, backend)
+        return Index(articles, None, None, titles, tokenizer, backend, None, kept(headers(articles, tokenizer), "heads"))
     # counts are read twice, so they are written once
     counts = kept(term_counts(articles, tokenizer), "term-counts")
-    idf = kept(inverse_frequencies(counts, articles), "idf")
-    return Index(articles, idf, weigh(counts, idf), titles, tokenizer, backend)
+    return of_counts(articles, counts, titles, tokenizer)
+
+
+def of_counts(articles: DataFrame, counts: DataFrame, titles: DataFrame, tokenizer: str, idf: DataFrame | None = None, heads: DataFrame | None = None) -> Index:
+    """The index of articles whose term counts are at hand."""
+    idf = kept(inverse_frequencies(counts, articles), "idf") if idf is None else idf
+    postings = kept(weigh(counts, idf), "postings")
+    return Index(articles, idf, postings, titles, tokenizer, "tfidf", kept(directory(postings, idf), "parts"), kept(headers(articles, tokenizer), "heads") if heads is None else heads)

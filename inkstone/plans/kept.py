@@ -49,6 +49,16 @@ def alive(df: DataFrame) -> bool:
     return True
 
 
+def file_marks(df: DataFrame) -> tuple:
+    """Names, sizes and times of the files behind a table, which tell whether it is still the same."""
+    spark, found = df.sparkSession, []
+    for file in sorted(df.inputFiles()):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        found.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a kept table."""
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from inkstone.functions.dates import date_spec, without_dates
-from inkstone.functions.text import date_label, token_cost, words_asked
-from inkstone.plans.index import Index
+from inkstone.functions.text import token_cost, words_asked
+from inkstone.plans.bounded import bounded_scores
+from inkstone.plans.index import Index, headers
 from inkstone.plans.kept import dropped, kept
 
 #: Floors by backend, weights of title overlap and date in range, the number of conflicting records.
@@ -63,13 +64,22 @@ def date_matches(q: str = "q", a: str = "a") -> Column:
     return F.when(spec("year_end").isNotNull(), inside).otherwise(parts)
 
 
-def _sparse_scores(q: DataFrame, index: Index) -> DataFrame:
-    """qid, id, base: cosine over shared terms; a term the index doesn't know weighs 1 and only lengthens the query."""
-    terms = q.select("qid", F.explode("qterms").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = terms.join(index.idf.select("term", "idf"), "term", "left").select("qid", "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("qid")))
-    unit = weighted.select("qid", "term", (F.col("w") / norm).alias("u"))
-    return unit.join(index.postings, "term").groupBy("qid", "id").agg(F.sum(F.col("u") * F.col("weight")).alias("base"))
+#: The key of all articles, whatever their date.
+ANY_DATE = 0
+
+
+def date_keys(year: Column, month: Column, day: Column) -> Column:
+    """Keys under which an article's date is found: its year, its month, its day, as far as known."""
+    y, part = year.cast("long") * 10_000, lambda c: c.between(1, 98)  # no filter asks for other months or days
+    by_month = F.when(part(month), y + month * 100)
+    return F.array_compact(F.array(y, by_month, F.when(part(day), by_month + day)))
+
+
+def filter_keys(spec: Column, everything: Column) -> Column:
+    """Keys of the articles in a question's filter: a day's, a month's or a year's, those of all years of a range (at most a hundred and one), or ANY_DATE."""
+    years = F.transform(F.sequence(spec["year"], spec["year_end"]), lambda y: y.cast("long") * 10_000)
+    one = spec["year"].cast("long") * 10_000 + F.coalesce(spec["month"] * 100 + F.coalesce(spec["day"], F.lit(0)), F.lit(0))
+    return F.when(everything | spec["year"].isNull(), F.array(F.lit(ANY_DATE).cast("long"))).when(spec["year_end"].isNotNull(), years).otherwise(F.array(one))
 
 
 #: Bytes of questions' vectors that are sent to all tasks at once.
@@ -128,35 +138,34 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     """
     q = prepared(questions, index)
     floor = FLOOR[index.backend] if min_similarity is None else float(min_similarity)
-    light = index.articles.select("id", "year", "month", "day", counter(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("cost"),
-                                  date_label(F.col("year"), F.col("month"), F.col("day"), F.col("calendar"), F.col("leap_month")).alias("date"), "title")
-    a = light.alias("a")
+    light = index.heads if counter is token_cost and index.heads is not None else headers(index.articles, index.tokenizer, counter)
     n_all = light.agg(F.count(F.lit(1)).alias("n_all"))
     # how many articles each question's filter leaves; a filter inferred from the rewriting is dropped if too few
-    dates = light.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n"))
-    per = q.alias("q").join(dates.alias("a"), date_matches(), "left").groupBy("q.qid").agg(F.coalesce(F.sum("a.n"), F.lit(0)).alias("n_match"))
-    q = q.join(per, "qid").crossJoin(F.broadcast(n_all)).withColumn("widened", (F.col("n_match") < LEAST_FILTERED) & (F.col("source") == "regenerated"))
+    dates = light.select(F.explode(date_keys(F.col("year"), F.col("month"), F.col("day"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keys = q.filter("spec.year is not null").select("qid", F.explode(filter_keys(F.col("spec"), F.lit(False))).alias("key"))
+    per = keys.join(dates, "key").groupBy("qid").agg(F.sum("n").alias("n_match"))
+    q = q.join(per, "qid", "left").crossJoin(F.broadcast(n_all)).withColumn("n_match", F.when(F.col("spec.year").isNull(), F.col("n_all")).otherwise(F.coalesce("n_match", F.lit(0))))
+    q = q.withColumn("widened", (F.col("n_match") < LEAST_FILTERED) & (F.col("source") == "regenerated"))
     q = q.withColumn("n_candidates", F.when(F.col("widened"), F.col("n_all")).otherwise(F.col("n_match")))
     mode = F.when(F.col("widened"), "inferred-date-fallback-all").when(F.col("spec.year").isNull(), "all-records").when(F.col("spec.year_end").isNotNull(), "year-range").otherwise("exact-or-partial-date")
-    q = asked = kept(q.withColumn("mode", mode).withColumn("n_terms", F.size(F.array_distinct("qterms"))), "questions")
-
-    base = kept(_sparse_scores(q, index), "base") if index.backend == "tfidf" else _dense_scores(q, vectors, index, floor)
-    head = q.select("qid", "spec", "widened", "waived", "source", "asked_topic", "token_budget", "n_terms").alias("q")
-    # articles that share a term; questions by date alone, or without a floor, look at the others as well
-    met = base.alias("b").join(head, F.col("b.qid") == F.col("q.qid")).join(a, F.col("b.id") == F.col("a.id"))
-    met = met.select("q.*", "a.id", "a.year", "a.month", "a.day", "a.cost", "a.date", "a.title", "b.base", date_matches().alias("match"))
-    rest = _without_terms(head if floor <= 0 else head.filter("waived"), light, base) if index.backend == "tfidf" else None
-    scored = met if rest is None else met.unionByName(rest.select(met.columns))
-
-    hits = q.select("qid", F.explode(F.array_distinct("qterms")).alias("term")).join(index.title_terms, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("hits"))
-    in_range = F.col("spec.year").isNotNull() & F.coalesce(F.col("year"), F.lit(-1)).between(F.col("spec.year"), F.coalesce("spec.year_end", "spec.year"))
-    overlap = F.coalesce(F.col("hits"), F.lit(0)) / F.greatest(F.lit(1), F.col("n_terms"))
-    scored = scored.join(hits, ["qid", "id"], "left").withColumn("rerank", F.col("base") + TITLE_WEIGHT * overlap + F.when(in_range, DATE_BONUS).otherwise(0.0))
-    scored = scored.withColumn("candidate", F.col("widened") | F.col("match")).withColumn("passes", F.round("base", 12) >= floor)
+    # an open question has no floor: all articles of its filter are candidates
+    open_ = F.lit(index.backend == "tfidf") & (F.col("waived") | F.lit(floor <= 0))
+    q = asked = kept(q.withColumns({"mode": mode, "n_terms": F.size(F.array_distinct("qterms")), "open": open_}), "questions")
+    budget, any_open = q.agg(F.max("token_budget"), F.bool_or("open")).first()
+    most = int(budget or 0) + 1  # no more articles fit
+
+    base = kept(bounded_scores(q, index, floor) if index.backend == "tfidf" else _dense_scores(q, vectors, index, floor), "base")
+    head = q.select("qid", "spec", "widened", "waived", "open", "source", "asked_topic", "token_budget", "n_terms", F.array_distinct("qterms").alias("qset"))
+    met = base.alias("b").join(light.alias("a"), "id").join(head.alias("q"), "qid").withColumn("match", date_matches())
+    met = met.withColumn("hits", F.size(F.array_intersect("qset", F.coalesce("title_tokens", F.array().cast("array<string>")))))
+    scored = _ranked(met, floor)
+    if any_open:
+        some = _firsts(scored.filter("open"), most)
+        scored = scored.filter("not open").unionByName(some).unionByName(_ranked(_without_terms(head, some, light, most), floor))
 
     scored = kept(scored, "scored")
     good = scored.filter("candidate and (waived or passes)")
-    packed, stops = _pack(good)
+    packed, stops = _pack(good, most)
     counts = good.groupBy("qid").agg(F.count(F.lit(1)).alias("n_kept"))
     taken = packed.groupBy("qid").agg(F.count(F.lit(1)).alias("n_taken"))
     q = q.join(counts, "qid", "left").join(stops, "qid", "left").join(taken, "qid", "left")
@@ -164,11 +173,10 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     # an explicit date without any record: the topic's records elsewhere tell which date the corpus gives
     lost = q.filter("source = 'original' and n_taken is null and stopped_at is null and asked_topic").select("qid")
     others = scored.filter("not candidate and passes").join(lost, "qid", "left_semi")
-    order = Window.partitionBy("qid").orderBy(F.round("rerank", 12).desc(), "id")
-    others = others.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CONFLICTS)
+    others = others.withColumn("place", F.row_number().over(_order())).filter(F.col("place") <= CONFLICTS)
     record = F.struct("id", "date", "title", F.round("base", 6).alias("similarity"))
     conflicts = others.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", record.alias("r")))), lambda x: x["r"]).alias("conflict_records"))
-    more, _ = _pack(others)
+    more, _ = _pack(others, most)
 
     columns = ["qid", "rank", "id", F.round("base", 6).alias("similarity"), F.round("rerank", 6).alias("rerank_score"), F.col("cost").alias("estimated_tokens")]
     evidence = packed.select(*columns, F.lit(False).alias("outside_date_filter")).unionByName(more.select(*columns, F.lit(True).alias("outside_date_filter")))
@@ -186,36 +194,55 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
         F.coalesce("used", F.lit(0)).cast("long").alias("estimated_tokens"), "topical_terms",
         F.when(F.col("conflict_records").isNotNull(), F.struct(F.struct("spec.year", "spec.month", "spec.day", "spec.year_end").alias("requested"), F.col("conflict_records").alias("records"))).alias("date_conflict"))
     # few rows that answers, prompts and checks all start from
-    return Retrieved(kept(trace, "trace"), evidence, (asked, scored))
+    return Retrieved(kept(trace, "trace"), evidence, (asked, base, scored))
+
+
+_SCORED = ["qid", "spec", "widened", "waived", "open", "source", "asked_topic", "token_budget", "n_terms", "id", "date", "title", "cost", "base", "rerank", "candidate", "passes"]
 
 
-def _without_terms(open_: DataFrame, light: DataFrame, base: DataFrame) -> DataFrame:
-    """Candidates that share no term with their question, for questions that take them: those by date alone, or all where there is no floor.
+def _ranked(met: DataFrame, floor: float) -> DataFrame:
+    """Pairs with their rank score, whether they are candidates, and whether they pass the floor."""
+    in_range = F.col("spec.year").isNotNull() & F.coalesce(F.col("year"), F.lit(-1)).between(F.col("spec.year"), F.coalesce("spec.year_end", "spec.year"))
+    overlap = F.col("hits") / F.greatest(F.lit(1), F.col("n_terms"))
+    scored = met.withColumn("rerank", F.col("base") + TITLE_WEIGHT * overlap + F.when(in_range, DATE_BONUS).otherwise(0.0))
+    return scored.withColumn("candidate", F.col("widened") | F.col("match")).withColumn("passes", F.round("base", 12) >= floor).select(*_SCORED)
+
+
+def _order(*keys: str) -> WindowSpec:
+    return Window.partitionBy("qid", *keys).orderBy(F.round("rerank", 12).desc(), "id")
+
+
+def _firsts(scored: DataFrame, most: int) -> DataFrame:
+    """The best of an open question's pairs: as many candidates as fit any budget, and one more, and as many others."""
+    best = scored.withColumn("nth", F.row_number().over(_order("candidate"))).filter(F.col("nth") <= most)
+    return kept(best.select(*_SCORED), "open-pairs")
 
-    Dated questions meet articles by year. What is left, every article for an undated question, ranks by id alone, so the first few by
-    id are enough: as many as the largest budget holds and as already share a term.
+
+def _without_terms(head: DataFrame, some: DataFrame, light: DataFrame, most: int) -> DataFrame:
+    """Candidates that share no term with their open question, as far as its budget reaches.
+
+    They rank below those that do, by id, since all have the same score. So a question needs none if its pairs use up the budget, else the first few by id of its filter:
+    those before which articles of less than its whole budget come. Each date key's first articles are listed once, with what those before
+    them cost (partly sorted where the articles are), and a question reads as many of them as its budget holds, and one more.
     """
-    a = light.alias("a")
-    years = F.when(F.col("spec.year").isNotNull(), F.sequence("spec.year", F.coalesce("spec.year_end", "spec.year")))
-    dated = open_.withColumn("_year", F.explode(years)).alias("q").join(a, (F.col("q._year") == F.col("a.year")) & (F.col("q.widened") | date_matches()))
-    free = open_.filter("spec.year is null or widened").alias("q")
-    most = open_.agg(F.max("token_budget")).first()[0]
-    columns = [*[f"q.{c}" for c in open_.columns], *[f"a.{c}" for c in ("id", "year", "month", "day", "cost", "date", "title")]]
-    out = dated.select(*columns)
-    if most is not None and not free.isEmpty():
-        shared = base.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
-        firsts = kept(light.orderBy("id").limit(int(most) + 1 + shared), "first-articles")
-        out = out.unionByName(free.join(firsts.alias("a"), F.lit(True)).select(*columns)).dropDuplicates(["qid", "id"])
-    return out.join(base.select("qid", "id"), ["qid", "id"], "left_anti").withColumns({"base": F.lit(0.0), "match": F.lit(True)})
-
-
-def _pack(good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose running cost stays in the budget, with their rank, and the id at which each question stopped.
+    has = some.filter("candidate").groupBy("qid").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n"))
+    short = head.filter("open").join(has, "qid", "left").filter((F.coalesce("cost", F.lit(0)) <= F.col("token_budget")) & (F.coalesce("n", F.lit(0)) < most)).drop("cost", "n")
+    short = short.withColumn("key", F.explode(filter_keys(F.col("spec"), F.col("widened"))))
+    keys = F.array_append(F.coalesce(date_keys(F.col("year"), F.col("month"), F.col("day")), F.array().cast("array<bigint>")), F.lit(ANY_DATE).cast("long"))
+    dated = light.select("id", "year", "cost", "date", "title", F.explode(keys).alias("key")).join(short.select("key").distinct(), "key", "left_semi")
+    by_id = Window.partitionBy("key").orderBy("id")
+    listed = dated.withColumn("nth", F.row_number().over(by_id)).filter(F.col("nth") <= most)
+    listed = kept(listed.withColumn("before", F.coalesce(F.sum("cost").over(by_id.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "first-articles")
+    found = short.join(listed, "key").filter(F.col("before") <= F.col("token_budget")).join(some.select("qid", "id"), ["qid", "id"], "left_anti")
+    return found.withColumns({"base": F.lit(0.0), "hits": F.lit(0), "match": F.lit(True)})
+
+
+def _pack(good: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose running cost stays in the budget, with their rank, and the id at which each question stopped; most: the largest budget, and one.
 
     Every cost is one at least, so the running sum rises strictly and the rows within budget are a prefix; no more rows than the budget can fit.
     """
-    order = Window.partitionBy("qid").orderBy(F.round("rerank", 12).desc(), "id")
-    ranked = good.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("token_budget") + 1)
-    run = ranked.withColumn("running", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = good.withColumn("rank", F.row_number().over(_order())).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("token_budget") + 1))
+    run = ranked.withColumn("running", F.sum("cost").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
     stops = run.filter("running > token_budget").groupBy("qid").agg(F.min_by("id", "rank").alias("stopped_at"))
     return run.filter("running <= token_budget"), stops

@@ -126,7 +126,7 @@ def saved_index(spark: SparkSession, d: str) -> DataFrame:
     """Postings of the index after it was saved and loaded."""
     path = _place(spark, "index")
     Q._index(spark, d).save(path)
-    return I.Index.load(spark, path).postings
+    return I.Index.load(spark, path).postings.select("id", "term", "weight")
 
 
 def page_keys(spark: SparkSession, d: str) -> DataFrame:
