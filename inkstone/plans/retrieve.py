@@ -136,17 +136,17 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     Packing is fit-or-stop: a strict prefix of the ranking. Ranks and the floor compare similarities rounded to 12 places, since sums after
     a shuffle differ in the last bits; ties go to the smaller id. counter: cost in tokens of a text, one at least.
     """
-    q = prepared(questions, index)
+    q = said = kept(prepared(questions, index), "prepared")  # dates are read once, and later plans stay small
     floor = FLOOR[index.backend] if min_similarity is None else float(min_similarity)
     light = index.heads if counter is token_cost and index.heads is not None else headers(index.articles, index.tokenizer, counter)
-    n_all = light.agg(F.count(F.lit(1)).alias("n_all"))
+    n_all = F.lit(light.count())
     # how many articles each question's filter leaves; a filter inferred from the rewriting is dropped if too few
     dates = light.select(F.explode(date_keys(F.col("year"), F.col("month"), F.col("day"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     keys = q.filter("spec.year is not null").select("qid", F.explode(filter_keys(F.col("spec"), F.lit(False))).alias("key"))
     per = keys.join(dates, "key").groupBy("qid").agg(F.sum("n").alias("n_match"))
-    q = q.join(per, "qid", "left").crossJoin(F.broadcast(n_all)).withColumn("n_match", F.when(F.col("spec.year").isNull(), F.col("n_all")).otherwise(F.coalesce("n_match", F.lit(0))))
+    q = q.join(per, "qid", "left").withColumn("n_match", F.when(F.col("spec.year").isNull(), n_all).otherwise(F.coalesce("n_match", F.lit(0))))
     q = q.withColumn("widened", (F.col("n_match") < LEAST_FILTERED) & (F.col("source") == "regenerated"))
-    q = q.withColumn("n_candidates", F.when(F.col("widened"), F.col("n_all")).otherwise(F.col("n_match")))
+    q = q.withColumn("n_candidates", F.when(F.col("widened"), n_all).otherwise(F.col("n_match")))
     mode = F.when(F.col("widened"), "inferred-date-fallback-all").when(F.col("spec.year").isNull(), "all-records").when(F.col("spec.year_end").isNotNull(), "year-range").otherwise("exact-or-partial-date")
     # an open question has no floor: all articles of its filter are candidates
     open_ = F.lit(index.backend == "tfidf") & (F.col("waived") | F.lit(floor <= 0))
@@ -194,7 +194,7 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
         F.coalesce("used", F.lit(0)).cast("long").alias("estimated_tokens"), "topical_terms",
         F.when(F.col("conflict_records").isNotNull(), F.struct(F.struct("spec.year", "spec.month", "spec.day", "spec.year_end").alias("requested"), F.col("conflict_records").alias("records"))).alias("date_conflict"))
     # few rows that answers, prompts and checks all start from
-    return Retrieved(kept(trace, "trace"), evidence, (asked, base, scored))
+    return Retrieved(kept(trace, "trace"), evidence, (said, asked, base, scored))
 
 
 _SCORED = ["qid", "spec", "widened", "waived", "open", "source", "asked_topic", "token_budget", "n_terms", "id", "date", "title", "cost", "base", "rerank", "candidate", "passes"]
