@@ -74,8 +74,8 @@ def save(index: Index, path: str) -> None:
 def load(spark: SparkSession, path: str) -> Index:
     """The newest generation; segments that are not merged yet take no part."""
     said = manifest(spark, path)
-    if said is None:
-        raise FileNotFoundError(f"no index at {path}")
+    if said is None or not said["tables"]:
+        raise FileNotFoundError(f"no index at {path}" + " yet: its segments are not merged" * (said is not None))
     read = lambda name: spark.read.parquet(*[f"{path}/{x}" for x in said["tables"][name]]) if name in said["tables"] else None
     return Index(read("articles"), read("idf"), read("postings"), read("title_terms"), said["tokenizer"], said["backend"], read("parts"), read("heads"))
 
