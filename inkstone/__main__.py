@@ -1,4 +1,4 @@
-"""Command line: python -m inkstone build | import-html | crawl | ask | serve (also by spark-submit)."""
+"""Command line: python -m inkstone build | append | merge | import-html | fetch | crawl | ask | serve (also by spark-submit)."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from inkstone.functions import tokens
 from inkstone.plans import index as indexes
 from inkstone.plans.models import PROFILES, STYLES, Command, Endpoint
 from inkstone.plans.retrieve import BUDGET
+from inkstone.plans import store
 from inkstone.service import Service, events_table, handler
 from inkstone.sources.articles import append_jsonl, expand_years, read_csv, read_jsonl
 from inkstone.sources.chronicle import crawl_cache, sample_plan
+from inkstone.sources.fetch import DELAY, LOG, Rules, fetch_all, fetched
 from inkstone.sources.imports import import_pages
 
 
@@ -25,6 +27,17 @@ def parser() -> argparse.ArgumentParser:
     b = sub.add_parser("build", help="index a corpus of JSON lines or CSV")
     b.add_argument("corpus")
     b.add_argument("--out", required=True)
+    b = sub.add_parser("append", help="add the new articles of a corpus to an index; they are found after the next merge")
+    b.add_argument("corpus")
+    b.add_argument("--out", required=True)
+    b = sub.add_parser("merge", help="make appended articles part of the index")
+    b.add_argument("index")
+    f = sub.add_parser("fetch", help="pages of a table (key, url) into a cache folder, politely; resumes where it ended")
+    f.add_argument("wanted", help="Parquet")
+    f.add_argument("--cache", required=True)
+    f.add_argument("--delay", type=float, default=DELAY)
+    f.add_argument("--offline", action="store_true", help="only say which pages the cache holds")
+    f.add_argument("--log", help="also write the log of outcomes to this folder")
     i = sub.add_parser("import-html", help="append readable articles of a table of saved pages (id, url, date, html) to JSON lines")
     i.add_argument("pages", help="Parquet")
     i.add_argument("--out", required=True)
@@ -85,6 +98,18 @@ def crawl(spark: SparkSession, args: argparse.Namespace) -> dict:
     return told
 
 
+def fetch(spark: SparkSession, args: argparse.Namespace) -> dict:
+    wanted, rules = spark.read.parquet(args.wanted), Rules(delay=args.delay)
+    if args.offline:
+        cache = spark.read.schema(LOG).parquet(args.cache).select("key", "html") if _exists(spark, args.cache) else None
+        log = fetched(wanted, cache, offline=True)
+    else:
+        log = fetch_all(wanted, args.cache, rules=rules)
+    if args.log:
+        log.drop("html").write.mode("overwrite").parquet(args.log)
+    return {r.outcome: r["count"] for r in log.groupBy("outcome").count().collect()}
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict | None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("inkstone").getOrCreate()
@@ -92,6 +117,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
         rows = (read_csv if args.corpus.lower().endswith(".csv") else read_jsonl)(spark, args.corpus)
         indexes.build(rows).save(args.out)
         told = {"articles": rows.count(), "backend": "tfidf", "out": args.out}
+    elif args.command == "append":
+        rows = (read_csv if args.corpus.lower().endswith(".csv") else read_jsonl)(spark, args.corpus)
+        told = {"appended": store.append(rows, args.out), "out": args.out}
+    elif args.command == "merge":
+        told = {"articles": store.merge(spark, args.index).articles.count(), "index": args.index}
+    elif args.command == "fetch":
+        told = fetch(spark, args)
     elif args.command == "import-html":
         good, bad = import_pages(spark.read.parquet(args.pages), args.chronicle_url)
         append_jsonl(good, args.out)
