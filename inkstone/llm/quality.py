@@ -167,10 +167,14 @@ def quality_rules(docs: DataFrame, reach: float = 8.0) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, reach: float = 8.0) -> DataFrame:
-    """The documents that pass, with all their columns; a document without id stays if its text passes."""
-    verdict = quality_rules(docs, reach)
-    gone = verdict.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents that pass, with all their columns; every row by its own text, also where it has no id or shares one.
+
+    Verdicts meet their rows by a 64-bit hash of all they were made from, so repeated rows share one.
+    """
+    key = F.xxhash64("doc_id", "text", "lang", "source")
+    verdict = quality_rules(docs.select(key.alias("doc_id"), "text", "lang", "source"), reach)
+    gone = verdict.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, key == gone["_gone"], "left_anti")
 
 
 _STACKED = " union all ".join(f"select lang, source, '{m}' as metric, {e} as x from f where not failed" for m, (e, _, _) in METRICS.items())

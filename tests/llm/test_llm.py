@@ -78,6 +78,22 @@ def test_quality(docs, empty):
     assert set(quality.keep_good(docs).columns) == set(docs.columns)
 
 
+def test_rows_without_id_or_with_a_shared_one_are_judged_by_their_text(spark):
+    good, bad = " ".join(words(11, 90)), "bad " * 60
+    rows = [(None, good, "en", "s", 0), (None, bad, "en", "s", 1), (1, good, "en", "s", 2), (1, bad, "en", "s", 3), (2, None, None, None, 4), (3, good, None, None, 5), (3, good, None, None, 5)]
+    assert sorted(r.n_chars for r in quality.keep_good(spark.createDataFrame(rows, DOCS)).collect()) == [0, 2, 5, 5]
+
+
+def test_broadcasts_carry_no_classes_of_the_package():
+    import pickle
+
+    model = hmm.Model.first(np.ones(5))
+    assert b"inkstone" not in pickle.dumps(model.arrays()) and (hmm.Model(*model.arrays()).emit == model.emit).all()
+    curves = neighbours.Curves([np.arange(8.0) + i for i in range(30)])
+    x = np.random.default_rng(1).normal(size=(5, 8))
+    assert b"inkstone" not in pickle.dumps(curves.parts()) and (neighbours.Curves.of_parts(*curves.parts()).keys(x, 1) == curves.keys(x, 1)).all()
+
+
 def _features(spark, rows):
     return spark.createDataFrame([(i, 100, *r) for i, r in enumerate(rows)], f"{quality.FEATURES}, lang string, source string")
 
