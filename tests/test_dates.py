@@ -51,3 +51,26 @@ def test_spans_and_blanks(parsed):
 def test_fields(spark):
     got = {r.t: r.s for r in spark.createDataFrame([("1420",), ("1420-05-29",), ("1299",), ("",), (None,)], "t string").select("t", record_date("t").alias("s")).collect()}
     assert (got["1420"].year, got["1420"].rule) == (1420, "bare-year-field") and got["1420-05-29"].day == 29 and got["1299"].year is got[""].year is got[None].year is None
+
+
+def test_dates_of_long_texts_are_those_of_the_shapes(spark, parsed):
+    """All cases in one text, parted by other words: the scan must find what the shapes find in the whole text."""
+    import random
+
+    from inkstone.functions.dates import date_mentions
+
+    draw = random.Random(3)
+    cases = [t for t in [*CASES, *NONE] if t]
+    texts = [" ".join(x for t in draw.sample(cases, 12) for x in (t, draw.choice(["halls were", "mayor; x1", "soldiers.", "있었던", "é", "zebra -"]))) for _ in range(12)]
+    rows = spark.createDataFrame([*enumerate(texts), (90, None), (91, "")], "id int, text string")
+    whole = {r.id: r.s for r in rows.select("id", F.expr(spans_sql("text")).alias("s")).collect()}
+    want = []
+    for i, spans in whole.items():
+        upto = 0
+        for s in sorted(spans, key=lambda s: (s.start, s.shorter, s.rule)):
+            if s.start >= upto:
+                want.append((i, s.start, s.year, s.month, s.day, s.year_end))
+                upto = s.start - s.shorter
+    got = date_mentions(rows).collect()
+    assert sorted(map(str, want)) == sorted(str((r.id, r.start, r.year, r.month, r.day, r.year_end)) for r in got) and len(want) > 80
+    assert all(texts[r.id][r.start : r.start + len(r.said)] == r.said for r in got)
