@@ -174,8 +174,10 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
     both = left.select("doc_id", "line_no", F.col("key").alias("first_key"), "rest")
     second = _entries(both, ["doc_id", "line_no"], "rest", most_edits, "first_key")
     rows = rare.select("key", "filed", "doc_id", "line_no").unionByName(second.select("key", "filed", "doc_id", "line_no"))
-    rows = rows.join(found.select("doc_id", "line_no", counts_of(F.col("line")).alias("counts")), ["doc_id", "line_no"])
-    rows = keep(rows.select("key", "filed", F.struct("doc_id", "line_no").alias("id"), "counts"), "candidates")
+    # the keys under which a line is filed: of those that two lines share, they meet under the smallest alone
+    own = rows.filter("filed").groupBy("doc_id", "line_no").agg(F.collect_set("key").alias("own"))
+    rows = rows.join(own, ["doc_id", "line_no"], "left").join(found.select("doc_id", "line_no", counts_of(F.col("line")).alias("counts")), ["doc_id", "line_no"])
+    rows = keep(rows.select("key", "filed", F.struct("doc_id", "line_no").alias("id"), "counts", "own"), "candidates")
 
     def later_of(pairs: DataFrame) -> DataFrame:
         """The later lines of the pairs (a, b) that are within most_edits edits."""
@@ -193,7 +195,9 @@ def duplicate_lines(docs: DataFrame, most_edits: int = 2, least_chars: int = 20)
     gone = later_of(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     x, y = rows.alias("x"), rows.join(gone, "id", "left_anti").alias("y")
     sought = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.filed") | F.col("y.filed"))
-    rest = later_of(x.join(y, sought & counts_allow("x", "y", most_edits)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    shared = F.array_min(F.array_intersect("x.own", "y.own"))
+    once = F.when(shared.isNull(), F.lit(True)).otherwise((F.col("x.key") == shared) & F.col("x.filed") & F.col("y.filed"))
+    rest = later_of(x.join(y, sought & counts_allow("x", "y", most_edits) & once).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     near = gone.unionByName(rest).distinct().select("id.doc_id", "id.line_no", F.lit(True).alias("near"))
     return scratch.result(repeated.unionByName(near), "duplicate-lines")
 
