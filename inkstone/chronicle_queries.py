@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import shlex
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.plans.models import Endpoint, answered_by, chat_payload, reasons
-from inkstone.queries import EVIDENCE_SQL, articles, evidence_of, read
+from inkstone.plans.models import PROFILES, Command, Endpoint, answered_by, chat_payload, instructions, reasons, rewritten_by
+from inkstone.queries import EVIDENCE_SQL, articles, evidence_of, questions, read
 from inkstone.sources.chronicle import article_pages, crawl_cache, date_line, within_caps
 
 MODELS = [("standard", "vendor/small-chat"), ("reasoning", "vendor/o3-mini")]
@@ -87,9 +89,43 @@ def endpoint_answers(spark: SparkSession, d: str) -> DataFrame:
     return a.select("qid", "answer", F.array_join("citations", ",").alias("citations"), F.array_join("unknown_citations", ",").alias("unknown_citations"), "analysis", "abstained", "abstain_reason", "chat_style")
 
 
+def _short(url: str, body: str, headers: dict[str, str], seconds: int) -> str:
+    """A transport that rewrites a question to its first forty characters and a word, or to nothing where it is of even length."""
+    said = json.loads(body)["messages"][-1]["content"]
+    return json.dumps({"choices": [{"message": {"content": said[:40] + ' again' if len(said) % 2 else ""}}]})
+
+
+def endpoint_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    """Questions rewritten by a model; where it returns nothing they stay."""
+    return rewritten_by(Endpoint("https://model.invalid", "m", transport=_short), questions(spark, d)).select("qid", "original", "rewritten")
+
+
+#: A program that answers with the first record of the evidence, as JSON, or abstains in plain text.
+_PROGRAM = "import json, sys; e = json.load(sys.stdin).get('evidence') or []; print(json.dumps({'answer': 'It is [' + e[0]['id'] + ', ghost]'}) if e else 'INSUFFICIENT EVIDENCE: none')"
+
+
+def command_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a program on the executors."""
+    a = answered_by(Command(shlex.join([sys.executable, "-c", _PROGRAM])), evidence_of(spark, d), articles(spark, d))
+    return a.select("qid", "answer", F.array_join("citations", ",").alias("citations"), F.array_join("unknown_citations", ",").alias("unknown_citations"), "abstained", "generation", "prompt_profile")
+
+
+def profile_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of all questions under every profile and task, as standard and as reasoning models take them."""
+    parts = None
+    for profile in PROFILES:
+        for task in PROFILES[profile]:
+            for style in ("standard", "reasoning"):
+                body = chat_payload("m", instructions(profile, task), F.col("original"), style)
+                get = lambda path, body=body: F.get_json_object(body, path)
+                rows = questions(spark, d).select("qid", F.lit(profile).alias("profile"), F.lit(task).alias("task"), get("$.messages[0].role").alias("role"), F.md5(get("$.messages[0].content")).alias("system_md5"), get("$.messages[1].content").alias("content"))
+                parts = rows if parts is None else parts.unionByName(rows)
+    return parts
+
+
 assert [reasons(m) for _, m in MODELS] == [False, True]
 
-QUERIES = {f.__name__: f for f in (article_page_roundtrip, article_page_failures, date_line_roundtrip, crawl_total_cap, crawl_summary, chat_payloads, endpoint_answers)}
+QUERIES = {f.__name__: f for f in (article_page_roundtrip, article_page_failures, date_line_roundtrip, crawl_total_cap, crawl_summary, chat_payloads, endpoint_answers, endpoint_rewrites, command_answers, profile_payloads)}
 
 _K = f"with k as (select page_id, {_KEYS} from pages)"
 ORACLE_SQL = {
@@ -101,6 +137,12 @@ ORACLE_SQL = {
     "crawl_total_cap": """select id from (select doc_id as id, row_number() over (order by doc_id) as met, doc_id in (select doc_id from labels) as stored from documents) where met <= 60 and not stored""",
     "crawl_summary": f"""{_K}, i as (select page_id, {_ID.format(s='varchar')} as id from k) select count(distinct substr(id, 1, 10)) as months, count(distinct case when page_id % 5 = 0 then id end) as skipped,
       count(distinct case when page_id % 5 <> 0 then id end) as written, cast(0 as bigint) as failed, false as stopped from i""",
+    "endpoint_rewrites": "select cast(item_id as varchar) as qid, text as original, case when length(text) % 2 = 1 then trim(substr(text, 1, 40) || ' again') else text end as rewritten from benchmark",
+    "command_answers": f"""with {EVIDENCE_SQL}, t as (select qid, id from q left join (select qid, id from run where running <= 2400 and rank = 1) using (qid))
+      select qid, case when id is null then 'INSUFFICIENT EVIDENCE: none' else 'It is [' || id || ', ghost]' end as answer, coalesce(id, '') as citations, case when id is null then '' else 'ghost' end as unknown_citations, id is null as abstained,
+        'command-unverified' as generation, 'journal' as prompt_profile from t""",
+    "profile_payloads": f"""select cast(item_id as varchar) as qid, profile, task, role, md5(said) as system_md5, text as content from benchmark, (values ('developer'), ('system')) r(role),
+      (values {", ".join(f"('{p}', '{t}', '{said.replace(chr(39), 2 * chr(39))}')" for p, tasks in PROFILES.items() for t, said in tasks.items())}) m(profile, task, said)""",
     "chat_payloads": """select conv_id, turn, kind, model, case kind when 'standard' then 'system' else 'developer' end as role, md5(text) as content_md5, case kind when 'standard' then '0' end as temperature,
       case kind when 'standard' then '400' end as max_tokens, case kind when 'reasoning' then '400' end as max_completion_tokens
       from conversations, (values ('standard', 'vendor/small-chat'), ('reasoning', 'vendor/o3-mini')) m(kind, model) where role = 'user'""",
