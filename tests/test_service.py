@@ -127,6 +127,24 @@ def test_ingestion_stores_each_record_once(spark, tmp_path):
     assert stored() == ["a", "b", "c"]
 
 
+def test_ingestion_in_batches_equals_one_run_and_reads_its_buckets(spark, tmp_path):
+    from inkstone.streaming.ingest import BUCKETS, ids_of, ingest, stored_among
+
+    rows = [{"id": f"r{i:03}", "text": f"text {i}"} for i in range(90)]
+    held = lambda corpus: sorted(r.id for r in spark.read.parquet(corpus).select("id").collect())
+    for name, parts in (("once", [rows]), ("thrice", [rows[:30] + rows[:3], rows[20:60], rows[10:]])):
+        (tmp_path / name / "in").mkdir(parents=True)
+        for k, part in enumerate(parts):
+            (tmp_path / name / "in" / f"{k}.jsonl").write_text("\n".join(map(json.dumps, part)))
+            ingest(spark, f"{tmp_path}/{name}/in", f"{tmp_path}/{name}/corpus", f"{tmp_path}/{name}/check", most=70).awaitTermination()
+    assert held(f"{tmp_path}/once/corpus") == held(f"{tmp_path}/thrice/corpus") == [r["id"] for r in rows[:70]]
+    corpus = f"{tmp_path}/thrice/corpus"
+    some = stored_among(spark, corpus, [3, 5], 99)
+    assert "bucket" in some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    ids = spark.read.parquet(ids_of(corpus))
+    assert some.count() == ids.filter("bucket in (3, 5)").count() < ids.count() == 70 and ids.agg({"bucket": "max"}).first()[0] < BUCKETS
+
+
 def test_vectors(spark):
     import base64
 
