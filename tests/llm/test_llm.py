@@ -327,6 +327,43 @@ def test_chains_span_an_inserted_sentence():
     assert passages._chains(far, y, 46, 75, False) == []
 
 
+def test_chains_pass_over_stray_copies_and_repetitions():
+    words = np.random.default_rng(6).permutation(10**5).astype(np.uint64)
+    same = lambda n: np.full(n, 7, np.uint64)
+
+    def found(x, y):
+        return [tuple(r) for r in passages.passages_of(1, passages.shingle_hashes(np.concatenate(x)), 2, passages.shingle_hashes(np.concatenate(y)), 46, 75)]
+
+    first, phrase, second, noise = words[:44], words[50:55], words[60:104], words[200:300]
+    # a stray copy of the phrase between the halves stands before them in the other text
+    assert found((first, phrase, second), (phrase, noise, first, second)) == [(1, 0, 93, 2, 105, 193, 80, 93)]
+    # runs of one word, of several lengths and beside shorter ones
+    assert found((noise, same(60), words[300:340]), (words[400:450], same(54), words[500:530])) == [(1, 100, 154, 2, 50, 104, 1, 1)]
+    assert found((noise, same(20), words[300:340], same(54), words[340:380], same(20)), (words[400:450], same(54), words[500:530])) == [(1, 160, 214, 2, 50, 104, 1, 1)]
+    # passages in another order
+    assert found((words[1000:1100], words[2000:2060]), (words[2000:2060], words[1000:1100])) == [(1, 0, 100, 2, 60, 160, 96, 96), (1, 100, 160, 2, 0, 60, 56, 56)]
+    # a line that both texts hold hundreds of times
+    lines = lambda n, at: tuple(np.concatenate((words[3000:3060], words[at + 3 * k : at + 3 * k + 3])) for k in range(n))
+    got = found(lines(300, 5000), lines(200, 9000))
+    assert got and all(r[2] - r[1] >= 50 and 100 * r[6] >= 75 * r[7] for r in got)
+
+
+def test_every_exact_stretch_is_found_whatever_repeats():
+    """Random texts of few words: wherever two share 46 shingles or more in a row, a passage is found there, and every passage is long and similar."""
+    for seed in range(60):
+        draw = np.random.default_rng(seed)
+        some = [draw.integers(0, 2 + seed % 5, int(draw.integers(3, 70))) for _ in range(6)]
+        x, y = (passages.shingle_hashes(np.concatenate([some[k] for k in draw.integers(0, 6, 7)]).astype(np.uint64) + np.uint64(1)) for _ in range(2))
+        alike = np.zeros((len(x) + 1, len(y) + 1), int)
+        for a in range(len(x)):
+            alike[a + 1, 1:] = np.where(y == x[a], alike[a, :-1] + 1, 0)
+        got = passages.passages_of(1, x, 2, y, 46, 75)
+        assert bool(got) or alike.max() < 46
+        for _, a, b, _, c, d, both, either in got:
+            sets = set(x[a : b - 4].tolist()), set(y[c : d - 4].tolist())
+            assert min(b - a, d - c) >= 50 and both == len(sets[0] & sets[1]) and either == len(sets[0] | sets[1]) and 100 * both >= 75 * either
+
+
 def test_hash_functions_find_alike_passages():
     from math import comb
 
