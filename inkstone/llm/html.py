@@ -20,9 +20,9 @@ from .common import keep, slices
 #: Fixed values of HTML: elements without content of their own, elements that break a line, and elements whose content is no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select button canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object svg textarea select button canvas audio video".split())
 #: Elements that are no article wherever they stand (a header only outside of the article, where it heads the page).
-ASIDE = frozenset("nav footer aside form head title menu dialog".split())
+ASIDE = frozenset("nav footer aside head title menu dialog".split())
 #: Containers that may be menus, adverts and the like by the words of class, id and role; a container counts as such only if pages beside it have it too.
 CONTAINER = frozenset("div section ul ol dl table span details figure fieldset center".split())
 ASIDE_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
@@ -32,13 +32,14 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block(NamedTuple):
-    """A line of a page: its text, whether an article or main element holds it, whether an element that is no article does, and the container
-    (0: none) around it that may be a menu, advert or the like."""
+    """A line of a page: its text, whether an article or main element holds it, whether an element that is no article does, the container
+    (0: none) around it that may be a menu, advert or the like, and the number of the form (0: none) that holds it (not one around the whole article element)."""
 
     text: str
     inside: bool
     aside: bool
     container: int
+    form: int
 
 
 def _container(tag: str, attributes: str) -> int:
@@ -60,9 +61,9 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
     """
     found: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []
     opened: Counter[str] = Counter()
-    aside = article = at = container = 0
+    aside = article = at = container = form = forms = 0
     scoped = False
     page = page or ""
 
@@ -70,12 +71,12 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, article > 0, aside > 0, container))
+                found.append(Block(text, article > 0, aside > 0, container, form))
             parts.clear()
 
     def close() -> str:
-        nonlocal aside, article, container
-        tag, off, own = stack.pop()
+        nonlocal aside, article, container, form
+        tag, off, own, form = stack.pop()
         opened[tag] -= 1
         aside -= off
         article -= tag in ("article", "main")
@@ -105,13 +106,17 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
             own = 0 if container else _container(tag, attributes)
             if own and tag not in BLOCK:
                 end_block()
+            opened[tag] += 1
+            stack.append((tag, off, own, form))
             if tag in ("article", "main"):
                 article += 1
                 scoped = True
+                form = 0  # a form around it is the page's frame
+            if tag == "form" and not form:
+                forms += 1
+                form = forms
             aside += off
             container = container or own
-            opened[tag] += 1
-            stack.append((tag, off, own))
     parts.append(page[at:])
     end_block()
     return found, scoped
@@ -186,8 +191,8 @@ def _common(x: str, y: str) -> int:
 _BLOCK, _BESIDE, _COPY = 256, 8, 0.9
 
 
-def page_difference(page: dict, beside: list[dict]) -> tuple[list[int], list[int]]:
-    """Lines of a page that its template holds, and its containers that pages beside it have too.
+def page_difference(page: dict, beside: list[dict]) -> tuple[list[int], list[int]] | None:
+    """Lines of a page that its template holds, and its containers that pages beside it have too; None where no page beside it is other than a copy.
 
     beside: pages near it by URL on its host, the nearest first. Copies of the page say nothing of the template and are left out. The page's lines
     are aligned with those of the nearest page left; a shared line goes if at least half of the pages left hold it, so that an
@@ -200,7 +205,7 @@ def page_difference(page: dict, beside: list[dict]) -> tuple[list[int], list[int
         if sum(c for h, c in zip(lines, page["chars"]) if h in held) < _COPY * total:
             others.append((x, held))
     if not others:
-        return [], []
+        return None
     times = Counter(h for _, held in others for h in held)
     gone = [i for i in sorted(shared_lines(lines, others[0][0]["lines"])) if 2 * times[lines[i]] >= len(others)]
     also = set().union(*(x["containers"] for x, _ in others))
@@ -220,9 +225,9 @@ def _differ(batches: Iterator) -> Iterator:
                 continue
             near = [x for x in held[max(0, i - _BESIDE) : i] + held[i + 1 : i + 1 + _BESIDE] if x["host"] == page["host"]]
             near.sort(key=lambda x: (-_common(x["path"], page["path"]), abs(x["g"] - page["g"]), x["g"]))
-            gone, repeated = page_difference(page, near)
-            if gone or repeated:
-                out.append((page["row"], gone, repeated))
+            found = page_difference(page, near)
+            if found is not None:
+                out.append((page["row"], *found))
         types = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(zip(names, types))})
 
@@ -266,15 +271,31 @@ def _differences(lines: DataFrame) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block", "g").mapInArrow(_differ, "row string, gone array<int>, repeated array<long>")
 
 
-def article(page: str | None, gone: list[int], repeated: list[int]) -> str:
+def _main_part(sizes: list[tuple[int, int]]) -> set[int]:
+    """The number under which more than half of the characters lie, if there is one."""
+    held: Counter[int] = Counter()
+    for number, n in sizes:
+        held[number] += n
+    return {number for number, n in held.items() if 2 * n > sum(held.values())}
+
+
+def article(page: str | None, gone: list[int], repeated: list[int] | None) -> str:
     """The main text of a page: first what differencing took goes, then markup breaks the ties.
 
-    Lines of elements that are no article go, and so do those of containers that pages beside it have too. A page with an article or main
+    Lines of elements that are no article go, and so do those of containers that pages beside it have too; where no page beside it tells (repeated: None), of
+    containers that hold half of its text at most. A form goes, unless it frames the article element or, without one, over half of the text. A page with an article or main
     element is left with what that holds, which no difference takes away, since neighbours often copy an article; another page with all that is left.
     """
     found, scoped = blocks(page)
-    template, common = set(gone), set(repeated)
-    kept = [b.text for i, b in enumerate(found) if not b.aside and b.container not in common and (b.inside if scoped else i not in template)]
+    template = set(gone)
+    left = [b for i, b in enumerate(found) if not b.aside and (b.inside if scoped else i not in template)]
+    frames = set() if scoped else _main_part([(b.form, len(b.text)) for b in left])
+    left = [b for b in left if not b.form or b.form in frames]
+    if repeated is None:
+        sizes = [(b.container, len(b.text)) for b in left]
+        repeated = {c for c, _ in sizes} - _main_part(sizes)
+    common = set(repeated) - {0}
+    kept = [b.text for b in left if b.container not in common]
     return "\n".join(kept)
 
 
@@ -282,7 +303,7 @@ def _texts(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in slices(batches, "html"):
-        texts = [article(x, g or (), r or ()) for x, g, r in zip(*(batch.column(c).to_pylist() for c in ("html", "gone", "repeated")))]
+        texts = [article(x, g or (), r) for x, g, r in zip(*(batch.column(c).to_pylist() for c in ("html", "gone", "repeated")))]
         yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
 
 
@@ -295,7 +316,7 @@ def main_text(pages: DataFrame) -> DataFrame:
        `class="comments"` count as such only where a neighbour has them too.
     3. Markup breaks the ties (article): menus, footers and the like by element, and what an article or main element holds stays.
 
-    Null or empty pages give an empty text; pages without URL or without another page on their host are decided by markup alone. Repeated rows give
+    Null or empty pages give an empty text; pages without URL or with nothing but copies beside them are decided by markup alone. Repeated rows give
     repeated results. Extra columns are ignored; an empty table gives no rows.
     """
     url = F.lower(F.col("url"))

@@ -524,6 +524,23 @@ def test_markup_breaks_ties(spark):
     assert got[3] == "w3 gold\nw3 note" and got[1] == "w1 text" and got[9] == "a b\n1 < 2"
 
 
+def test_forms_formulas_and_pages_without_neighbours(spark):
+    """A form around the whole page is its frame; forms beside or in the article go; formulas stay; comments on a page without neighbours go, a named frame does not."""
+    body, sign_up = "<p>{0} one</p><p>x <math><mi>y</mi><mo>+</mo><mn>1</mn></math> z</p>", "<form><label>mail</label></form>"
+    comments = "<div class='comments'><p>reader</p></div>"
+    pages = [
+        f"<form action='/'><nav>menu</nav><article>{body}{sign_up}</article>{sign_up}</form>",
+        f"<form>{body}</form>{sign_up}",
+        f"<article>{body}{comments}</article>",
+        f"<div class='main header'>{body}</div>{comments}",
+        f"<article>{body}</article><form><article></article>{body}</form>",
+    ]
+    rows = [(i, f"https://lone{i}/a", x.format("w")) for i, x in enumerate(pages)]
+    rows += [(i, f"https://copies/{i}", f"<article>{body}{comments}</article>".format("w")) for i in range(10, 13)] + [(20, None, pages[2].format("w"))]
+    got = html.main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(got) == 9 and {r.text for r in got} == {"w one\nx y+1 z"}
+
+
 def test_broken_pages_take_linear_time():
     import time
 
