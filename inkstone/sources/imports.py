@@ -13,11 +13,11 @@ MOST_BYTES, BLOCK_MARK = 2_000_000, 'class="detail-view"'
 _ID = r"kda_1\d{7}_\d{3}"
 
 
-def import_pages(pages: DataFrame, chronicle_url: str | None = None) -> tuple[DataFrame, DataFrame]:
+def import_pages(pages: DataFrame, chronicle_url: str | None = None, cut_off: bool = True) -> tuple[DataFrame, DataFrame]:
     """Articles and rejects (id, error) of saved pages (id, url, date, html, title?, volume?): https only, ISO date, an id, a bounded size, at least 50 characters of text.
 
     The given title goes before the page's own. Pages below chronicle_url that hold an article block are read as the chronicle's (article_pages); their
-    text may be short.
+    text may be short. cut_off: see readable.
     """
     given = lambda c: F.coalesce(F.col(c), F.lit("")) if c in pages.columns else F.lit("")
     p = pages.select("id", "url", "date", "html", given("title").alias("given_title"), given("volume").alias("volume"))
@@ -31,7 +31,7 @@ def import_pages(pages: DataFrame, chronicle_url: str | None = None) -> tuple[Da
     )
     p = p.withColumn("error", early)
     open_ = p.filter("error is null")
-    read = readable_pages(open_.filter("not chronicle"))
+    read = readable_pages(open_.filter("not chronicle"), cut_off)
     read = read.withColumn("error", F.when(F.length("text") < LEAST_READABLE, "too little readable text"))
     none = F.lit(None)
     plain = read.filter("error is null").select(

@@ -99,11 +99,12 @@ def test_references_that_were_cut_off(spark):
 
 
 def test_page_queries_leave_cut_off_references(spark, tmp_path):
-    from inkstone.source_queries import html_readable_text
+    from inkstone.source_queries import html_readable_text, page_import
 
     html = f"<title>halls&amp</title><p>{'word ' * 20}&amp"
     spark.createDataFrame([(1, "https://h.x/1", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [(r.page_title, r.n_chars) for r in html_readable_text(spark, str(tmp_path)).collect()] == [("halls&amp", 104)]
+    assert [r.title for r in page_import(spark, str(tmp_path)).collect()] == ["halls&amp"]
 
 
 def test_terms_of_rows_are_the_tokenizers(spark):
