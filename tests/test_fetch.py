@@ -62,6 +62,16 @@ def test_tables_of_pages(spark, tmp_path):
     assert fetched(none, None, answer, clock=CountedClock).count() == 0 and fetch_all(none, f"{tmp_path}/none", transport=answer).count() == 0
 
 
+def test_queries_take_pages_of_any_number(spark, tmp_path):
+    from inkstone.fetch_queries import fetch_resumed, polite_fetch
+
+    rows = [(1, "https://hh.example/2000"), (2, "https://hh.example/150001"), (3, "https://hh.example/2009"), (4, "https://hh.example/9")]
+    spark.createDataFrame([(i, u, "") for i, u in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {"1": 2001, "2": 150002, "3": "too-large", "4": "too-large"}
+    for query in (polite_fetch, fetch_resumed):
+        assert {r.key: r.n_chars or r.outcome for r in query(spark, str(tmp_path)).collect()} == want
+
+
 def test_command_line(spark, tmp_path, capsys):
     from inkstone.__main__ import main
 
