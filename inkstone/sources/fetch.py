@@ -11,17 +11,20 @@ import re
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkstone.plans.kept import kept
+from inkstone.plans.kept import dropped, folder, kept
 
 #: Least spacing of requests, spacing, retries, first and longest pause before a retry, the largest page, codes that end a host's crawl.
 LEAST_DELAY, DELAY, RETRIES, FIRST_PAUSE, LONGEST_PAUSE, MOST_BYTES, FORBIDDEN = 1.0, 1.5, 3, 5.0, 120.0, 5_000_000, (401, 403)
+#: Pages of a host in a round that follows shorter ones.
+LONGEST_ROUND = 500
 AGENT = "inkstone"
 #: (status, content type, body) of a URL; a transport may raise OSError for what is no answer at all.
 Transport = Callable[[str], tuple[int, str, bytes]]
@@ -182,47 +185,74 @@ def fetched(wanted: DataFrame, cache: DataFrame | None, transport: Transport = o
     have = cache.select(F.col("key").cast("string").alias("key"), F.col("html").alias("_html")) if cache is not None else None
     wanted = _listed(wanted)
     rows = wanted if have is None else wanted.join(have.select("key"), "key", "left_anti")
-    row = lambda df, outcome, html: df.select(F.lower(F.expr("try_parse_url(url, 'HOST')")).alias("host"), F.col("key").cast("string").alias("key"), "url", F.lit(outcome).alias("outcome"), F.lit(None).cast("int").alias("status"),
-                                              F.lit(0).alias("attempts"), F.lit(None).cast("double").alias("at"), F.lit("").alias("why"), html.cast("string").alias("html"))
-    nowhere = F.expr("try_parse_url(url, 'HOST')").isNull()
     if offline:
-        out = row(rows, "not-cached", F.lit(None))
+        out = _unasked(rows, "not-cached")
     else:
-        turns = _with_turns(rows.filter(~nowhere)).repartition(tasks or wanted.sparkSession.sparkContext.defaultParallelism, "host").sortWithinPartitions("turn", "host")
-        out = turns.select("host", "key", "url").mapInArrow(_fetcher(transport, rules, clock), LOG).unionByName(row(rows.filter(nowhere), "no-host", F.lit(None)))
+        turns = _with_turns(rows.filter("try_parse_url(url, 'HOST') is not null")).repartition(tasks or wanted.sparkSession.sparkContext.defaultParallelism, "host").sortWithinPartitions("turn", "host")
+        out = turns.select("host", "key", "url").mapInArrow(_fetcher(transport, rules, clock), LOG).unionByName(_nowhere(rows))
     if have is not None:
-        out = out.unionByName(row(wanted.join(have, "key"), "cached", F.col("_html")))
+        out = out.unionByName(_unasked(wanted.join(have, "key"), "cached", F.col("_html")))
     return out
 
 
+def _unasked(pages: DataFrame, outcome: str, html: Column | None = None) -> DataFrame:
+    """Rows of LOG for pages that no host is asked for."""
+    host = F.lower(F.expr("try_parse_url(url, 'HOST')"))
+    return pages.select(host.alias("host"), F.col("key").cast("string").alias("key"), "url", F.lit(outcome).alias("outcome"), F.lit(None).cast("int").alias("status"),
+                        F.lit(0).alias("attempts"), F.lit(None).cast("double").alias("at"), F.lit("").alias("why"), (F.lit(None) if html is None else html).cast("string").alias("html"))
+
+
+def _nowhere(pages: DataFrame) -> DataFrame:
+    return _unasked(pages.filter("try_parse_url(url, 'HOST') is null"), "no-host")
+
+
+def _upto(k: int, per_round: int) -> int:
+    """The last turn of round k: rounds double from per_round pages a host to LONGEST_ROUND."""
+    upto, size = 0, per_round
+    for _ in range(k + 1):
+        upto, size = upto + size, max(size, min(2 * size, LONGEST_ROUND))
+    return upto
+
+
 def fetch_all(wanted: DataFrame, cache: str, per_round: int = 500, **options) -> DataFrame:
     """The log of a whole crawl into the cache folder (Parquet by round), which a later crawl takes up where this one ended.
 
-    Every round asks for the next per_round pages of each host that hasn't ended; its log is stored before the next one begins.
+    Every round asks for the next pages of each host that hasn't ended, per_round of them in the first one, then twice as many as before up to LONGEST_ROUND (or
+    per_round, if that is more); its log is stored before the next one begins. So a host's first answers are stored soon, and a host of n pages takes about
+    n / LONGEST_ROUND rounds, however small the first is.
     """
-    spark, logs = wanted.sparkSession, None
+    spark = wanted.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
     stored = spark.read.schema(LOG).parquet(cache).filter("outcome = 'fetched'").select("key", "html") if there else None
     todo = kept(_listed(wanted), "wanted")
-    left = todo if stored is None else todo.join(stored.select("key"), "key", "left_anti")
-    first = _with_turns(left).groupBy().agg(F.max("turn")).first()[0] or 0
-    rounds = -(-first // per_round)
-    turns = kept(_with_turns(left), "turns")
-    for k in range(max(1, rounds)):
-        part = turns.filter(F.col("turn").between(k * per_round + 1, (k + 1) * per_round) if k else (F.col("turn") <= per_round)).select("key", "url", "pos", "host")
-        if logs is not None:
-            ended = logs.filter("outcome in ('stopped', 'deferred')").select("host").distinct()
-            part = part.join(ended, "host", "left_anti")
-        log = kept(fetched(part.drop("host"), None, **options), "fetch-log")
+    fresh = todo if stored is None else todo.join(stored.select("key"), "key", "left_anti")
+    turns = left = kept(_with_turns(fresh.filter("try_parse_url(url, 'HOST') is not null")), "turns")
+    path = f"{folder(spark)}/inkstone/fetch-log-{uuid.uuid4().hex}"
+    _nowhere(fresh).write.parquet(path)
+    k, last = 0, left.agg(F.max("turn")).first()[0] or 0
+    while last:
+        upto = _upto(k, per_round)
+        log = kept(fetched(left.filter(F.col("turn") <= upto).select("key", "url", "pos"), None, **options), "fetch-round")
         log.filter("outcome = 'fetched'").write.mode("append").parquet(cache)
-        logs = log if logs is None else logs.unionByName(log)
-    asked = logs.select("key")
+        log.write.mode("append").parquet(path)
+        k += 1
+        if last <= upto:
+            dropped(log)
+            break
+        # only what is left travels on: rounds read neither the logs nor the pages of earlier ones
+        ended = log.filter("outcome in ('stopped', 'deferred')").select("host").distinct()
+        rest = kept(left.filter(F.col("turn") > upto).join(ended, "host", "left_anti").select(left.columns), "turns")
+        last = rest.agg(F.max("turn")).first()[0] or 0
+        dropped(log)
+        if left is not turns:
+            dropped(left)
+        left = rest
+    logs = spark.read.schema(LOG).parquet(path)
     ended = logs.filter("outcome in ('stopped', 'deferred')").groupBy("host").agg(F.min("outcome").alias("outcome"), F.min("why").alias("why"))
     none = lambda t: F.lit(None).cast(t)
-    rest = turns.join(asked, "key", "left_anti").join(ended, "host").select("host", "key", "url", "outcome", none("int").alias("status"), F.lit(0).alias("attempts"), none("double").alias("at"), "why", none("string").alias("html"))
-    out = logs.unionByName(rest)
+    unasked = turns.join(logs.select("key"), "key", "left_anti").join(ended, "host").select("host", "key", "url", "outcome", none("int").alias("status"), F.lit(0).alias("attempts"), none("double").alias("at"), "why", none("string").alias("html"))
+    out = logs.unionByName(unasked)
     if stored is not None:
-        old = todo.join(stored, "key").select(F.lower(F.expr("try_parse_url(url, 'HOST')")).alias("host"), "key", "url", F.lit("cached").alias("outcome"), none("int").alias("status"), F.lit(0).alias("attempts"), none("double").alias("at"), F.lit("").alias("why"), "html")
-        out = out.unionByName(old)
+        out = out.unionByName(_unasked(todo.join(stored, "key"), "cached", F.col("html")))
     return out

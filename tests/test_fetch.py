@@ -72,6 +72,22 @@ def test_queries_take_pages_of_any_number(spark, tmp_path):
         assert {r.key: r.n_chars or r.outcome for r in query(spark, str(tmp_path)).collect()} == want
 
 
+def test_rounds_grow_and_hosts_end(spark, tmp_path, monkeypatch):
+    """A host of many pages takes few rounds however short the first is; a host that ended is not asked again."""
+    from inkstone.sources import fetch
+
+    rounds = []
+    one = fetch.fetched
+    monkeypatch.setattr(fetch, "fetched", lambda wanted, *a, **b: rounds.append(wanted.count()) or one(wanted, *a, **b))
+    rows = [(i, f"https://long.x/{i}") for i in range(700)] + [(1000 + i, f"https://ends.x/{i}") for i in range(40)] + [(2000, "nowhere")]
+    answer = lambda url: (403, "", b"") if url == "https://ends.x/4" else (200, "", url.encode())
+    got = fetch.fetch_all(spark.createDataFrame(rows, "key long, url string"), f"{tmp_path}/cache", 3, transport=answer, clock=CountedClock)
+    assert rounds == [6, 12, 12, 24, 48, 96, 192, 319]
+    want = {str(k): "no-host" if k == 2000 else "stopped" if 1004 <= k < 1040 else "fetched" for k, _ in rows}
+    assert got.count() == 741 and {r.key: r.outcome for r in got.select("key", "outcome").collect()} == want
+    assert fetch._upto(9, 3) == 765 + 2 * 500 and fetch._upto(1, 1000) == 2000
+
+
 def test_command_line(spark, tmp_path, capsys):
     from inkstone.__main__ import main
 
