@@ -115,6 +115,17 @@ def test_terms_of_rows_are_the_tokenizers(spark):
         assert sorted(r.term for r in index.term_rows(df, F.col("t"), name).collect()) == want
 
 
+def test_terms_are_counted_without_a_shuffle(spark):
+    rows = [("a", "The Hall", "hall of 28 X letters 訓民正音 王 집현전의 é Straße"), ("b", None, "the halls, THE hall; 집 한글한글"), ("c", "", None), ("d", "Hall", "28")]
+    df = spark.createDataFrame(rows, "id string, title string, text string")
+    for name in index.TOKENIZERS:
+        for some in (df, df.unionByName(df.filter("id <> 'b'"))):  # also where rows share an id
+            said = some.select("id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("t"))
+            want = index.term_rows(said, F.col("t"), name).groupBy("id", "term").count().collect()
+            assert sorted(map(tuple, index.term_counts(some, name).collect())) == sorted(map(tuple, want))
+    assert "Exchange" not in index.term_counts(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_questions_without_floor_or_topic_take_articles_by_date_and_id(spark):
     rows, found = ask(spark, ("day", "What happened in 1433?"), ("range", "between 1420 and 1433"))
     got = sorted((r.qid, r.id) for r in found.evidence.collect())
