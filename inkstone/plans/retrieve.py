@@ -138,7 +138,8 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     """
     q = said = kept(prepared(questions, index), "prepared")  # dates are read once, and later plans stay small
     floor = FLOOR[index.backend] if min_similarity is None else float(min_similarity)
-    light = index.heads if counter is token_cost and index.heads is not None else headers(index.articles, index.tokenizer, counter)
+    # read several times, so a counter goes through the texts once
+    light = index.heads if counter is token_cost and index.heads is not None else kept(headers(index.articles, index.tokenizer, counter), "heads")
     n_all = F.lit(light.count())
     # how many articles each question's filter leaves; a filter inferred from the rewriting is dropped if too few
     dates = light.select(F.explode(date_keys(F.col("year"), F.col("month"), F.col("day"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))

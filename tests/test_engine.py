@@ -126,6 +126,17 @@ def test_terms_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in index.term_counts(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_counter_reads_texts_once(spark, monkeypatch):
+    from pyspark.sql.types import LongType
+
+    calls = spark.sparkContext.accumulator(0)
+    cost = F.udf(lambda s: calls.add(1) or len(s), LongType())
+    q = spark.createDataFrame([("1", "stones"), ("2", "halls")], "qid string, original string")
+    built = index.build(articles(spark))
+    found = retrieve(built, q, counter=cost, min_similarity=0.0)
+    assert found.evidence.count() and calls.value == built.articles.count()
+
+
 def test_questions_without_floor_or_topic_take_articles_by_date_and_id(spark):
     rows, found = ask(spark, ("day", "What happened in 1433?"), ("range", "between 1420 and 1433"))
     got = sorted((r.qid, r.id) for r in found.evidence.collect())
