@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, WordHasher, mix64, shingle_hashes, slices, words_of
 from .components import stars
@@ -25,6 +26,14 @@ MOST_BROADCAST = 1_000_000
 SAMPLE, HOT, SALTS = 64, 10_000, 64
 #: How far to both sides of a window's anchor the shingles lie that tell its surroundings: of a passage's 46 shingles, 22 lie on one side of any.
 REACH = (6, 22)
+#: Any two passages that reach the similarity share so many shingles in a row (22 words): an edit parts two runs and costs four shingles of one and five of the
+#: other at least, so a similarity of 0.75 asks for 27 shared shingles an edit, and 46 shingles with one edit for 42 in two runs.
+RUN = 18
+#: How many shingles to either side of a window's anchor are compared, how many of them must be near, and how many places off they may lie. One run of a
+#: passage has 24 of its shared shingles so close; where more than SHIFT words are inserted at once, some run is longer than 24 itself.
+BESIDE, ALIKE, SHIFT = 32, 24, 8
+#: Windows of one value that meet in one task.
+BLOCK = 4096
 #: Pairs of one document that are verified in one task.
 MEET = 1000
 #: Pairs of places that two texts' equal shingles make before the commonest meet by rank, and the widest gap within a passage's chain.
@@ -272,6 +281,130 @@ def _agree(batches: Iterator) -> Iterator:
         yield out([np.concatenate(x) for x in zip(*held)])
 
 
+def _selected(values: np.ndarray, least: int) -> np.ndarray:
+    """Anchors c of compact windows of `least` places or more: the leftmost minimum of some run of `least`; zeros in values part texts.
+
+    A run of `least` values that two texts share has its leftmost minimum at the same place in both, so no shared run is without a common anchor.
+    """
+    if len(values) < least:
+        return np.zeros(0, np.int64)
+    low = _slide(np.minimum, values, least)
+    # of the runs with one minimum value, that starting at b has its leftmost minimum at the first place from b on that holds it
+    order = np.lexsort((np.arange(len(values)), values))
+    starts = np.nonzero(low > 0)[0]
+    first = np.searchsorted(values[order], low[starts], "left")
+    # places of equal values lie in order; the place sought is the first that is not before the run
+    key = np.cumsum(np.concatenate(([0], np.diff(values[order]) > 0))) * np.int64(len(values) + 1) + order
+    at = np.searchsorted(key, key[first] - order[first] + starts)
+    return np.unique(order[at])
+
+
+def _run_windows(least_words: int):
+    """A row for each compact window of RUN shingles or more, of one function: key (min-hash) and a byte for each shingle up to BESIDE places to either
+    side of the anchor, zero beyond the text; windows of one text with the same key and surroundings are one row."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hashed, pad, wide = WordHasher(), np.zeros(BESIDE, np.uint64), 2 * BESIDE + 1
+        for batch in slices(batches, "text", 1_000_000):
+            docs, classes, pieces, begins, upto = [], [], [pad], [], BESIDE
+            for doc, cls, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "cls", "text"))):
+                words = words_of(text, lower=True)
+                if doc is None or len(words) < least_words:
+                    continue
+                shingles = shingle_hashes(hashed(words), WIDTH)
+                docs.append(doc)
+                classes.append(cls)
+                begins.append(upto)
+                pieces += [shingles, pad]
+                upto += len(shingles) + BESIDE
+            if not docs:
+                continue
+            line, begins, docs, classes = np.concatenate(pieces), np.array(begins), np.array(docs, np.int64), np.array(classes, np.int64)
+            values = mix64(line + np.uint64(0x9E3779B97F4A7C15))
+            values[line == 0] = 0
+            c = _selected(values, RUN)
+            near = np.where(line == 0, 0, 1 + (line >> np.uint64(8)) % np.uint64(255)).astype(np.uint8)
+            around = np.lib.stride_tricks.sliding_window_view(near, wide)[c - BESIDE]
+            key, of = values[c].view(np.int64), np.searchsorted(begins, c, "right") - 1
+            # a hash of the surroundings tells windows of one text that are the same
+            told = mix64(mix64(np.pad(around, ((0, 0), (0, -wide % 8))).view(np.uint64) + np.arange(1, 2 + (wide - 1) // 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1) + values[c] * np.uint64(3) + of.astype(np.uint64))
+            once = np.sort(np.unique(told, return_index=True)[1])
+            cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(once), [None, pa.py_buffer(np.ascontiguousarray(around[once]).tobytes())])
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[once]), "doc_id": pa.array(docs[of[once]]), "cls": pa.array(classes[of[once]]), "around": cells.cast(pa.binary())})
+
+    return run
+
+
+def _same_run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two windows' surroundings are the same over RUN places or more around the anchors."""
+    same = (x == y) & (x > 0)
+    left, right = np.argmin(same[:, BESIDE::-1], axis=1), np.argmin(same[:, BESIDE:], axis=1)
+    left[same[:, : BESIDE + 1].all(axis=1)] = BESIDE + 1
+    right[same[:, BESIDE:].all(axis=1)] = BESIDE + 1
+    return left + right - 1 >= RUN
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether at least ALIKE of the first window's shingles lie in the second too, SHIFT places off at most."""
+    found = np.zeros(x.shape, bool)
+    padded = np.pad(y, ((0, 0), (SHIFT, SHIFT)))
+    for d in range(2 * SHIFT + 1):
+        found |= x == padded[:, d : d + x.shape[1]]
+    return (found & (x > 0)).sum(axis=1) >= ALIKE
+
+
+def _whole(batches: Iterator, names: tuple, flush) -> Iterator:
+    """flush over rows of whole keys (the first names), of about 50,000 rows or more."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < 50_000:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = [rows[n].to_numpy() for n in names]
+        cut = int(_starts(*keys)[-1])  # the last key may go on
+        if cut:
+            yield from flush(rows.slice(0, cut))
+        held, size = rows.slice(cut).to_batches(), rows.num_rows - cut
+    if held:
+        yield from flush(pa.Table.from_batches(held))
+
+
+def _cross_meet(batches: Iterator) -> Iterator:
+    """Rows of one key and pair of blocks (u, v): all windows that lie in different classes, of documents p < q, with a run in common and alike around it."""
+    import pyarrow as pa
+
+    def flush(rows):
+        key, u, v, mine, doc, cls = (rows[n].to_numpy() for n in ("key", "u", "v", "block", "doc_id", "cls"))
+        around = np.frombuffer(b"".join(rows["around"].to_pylist()), np.uint8).reshape(rows.num_rows, 2 * BESIDE + 1)
+        begin = _starts(key, u, v)
+        size = np.bincount(begin, minlength=len(key))
+        later = begin + size[begin] - np.arange(len(key)) - 1
+        for lo in range(0, len(key), 1000):
+            x = np.repeat(np.arange(len(key))[lo : lo + 1000], later[lo : lo + 1000])
+            y = x + 1 + _count_up(later[lo : lo + 1000])
+            # pairs within one block meet where both blocks are that one
+            ok = (cls[x] != cls[y]) & (doc[x] != doc[y]) & ((u[x] == v[x]) | (mine[x] != mine[y]))
+            x, y = x[ok], y[ok]
+            for a in range(0, len(x), 50_000):
+                m, n = x[a : a + 50_000], y[a : a + 50_000]
+                for same in (_same_run, _near):
+                    ok = same(around[m], around[n])
+                    m, n = m[ok], n[ok]
+                if len(m):
+                    p, q = np.unique(np.stack((np.minimum(doc[m], doc[n]), np.maximum(doc[m], doc[n]))), axis=1)
+                    yield pa.RecordBatch.from_pydict({"p": pa.array(p), "q": pa.array(q)})
+
+    yield from _whole(batches, ("key", "u", "v"), flush)
+
+
 def _words(batches: Iterator) -> Iterator:
     """32 bits of each word's hash: two shingles that differ are taken for one once in four thousand million."""
     import pyarrow as pa
@@ -311,7 +444,7 @@ def _places(x: np.ndarray, y: np.ndarray, apart: bool) -> tuple[np.ndarray, np.n
         some = [(np.repeat(i[~ranked], copies[~ranked]), np.repeat(low[~ranked], copies[~ranked]) + _count_up(copies[~ranked]))]
         some += [(i[ok], (low + nth)[ok]) for nth in (front, back) for ok in (ranked & (nth >= 0) & (nth < copies),)]
         i, at = (np.concatenate(z) for z in zip(*some))
-        i, at = np.unique(np.stack((i, at)), axis=1)
+        i, at = np.divmod(np.unique(i * len(y) + at), len(y))
     else:
         at = low
     j = order_y[at]
@@ -361,6 +494,16 @@ def _longest(i: list[int], j: list[int]) -> list[int]:
     return chain[::-1]
 
 
+def _fewest(least: int, percent: int) -> int:
+    """Shared shingles of two passages of the least length."""
+    return -(-2 * least * percent // (100 + percent))
+
+
+def _held(ordered: np.ndarray, y: np.ndarray) -> int:
+    """Places of y whose shingle is among the sorted ones."""
+    return int((ordered[np.minimum(np.searchsorted(ordered, y), len(ordered) - 1)] == y).sum())
+
+
 def _chains(x: np.ndarray, y: np.ndarray, least: int, percent: int, apart: bool) -> list[tuple[int, int, int, int]]:
     """Half-open shingle ranges (x start, x end, y start, y end) that are alike, from the places where both hold the same shingle.
 
@@ -370,7 +513,7 @@ def _chains(x: np.ndarray, y: np.ndarray, least: int, percent: int, apart: bool)
     long and similar enough, since three times as many shingles must be shared beside it. apart: x and y are one text.
     """
     i, j = _places(x, y, apart)
-    fewest = -(-2 * least * percent // (100 + percent))  # shared shingles of two passages of the least length
+    fewest = _fewest(least, percent)
     if len(i) < fewest:
         return []
     out: list[tuple[int, int, int, int]] = []
@@ -450,18 +593,19 @@ _FOUND = ("p", "p_start", "p_end", "q", "q_start", "q_end", "shared", "either")
 def _verify(least_words: int, percent: int):
     """A document (kind 0) comes before those it is paired with (kind 1), so that its text travels once for many pairs."""
     least = least_words - WIDTH + 1
+    fewest = _fewest(least, percent)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, xs = None, None
+        now, xs, ordered = None, None, None
         for batch in batches:
             out: list[list[int]] = []
             for p, part, kind, q, words in zip(*(batch.column(c).to_pylist() for c in ("p", "part", "kind", "q")), batch.column("words")):
                 shingles = shingle_hashes(mix64(np.frombuffer(words.as_buffer(), np.uint32).astype(np.uint64) + np.uint64(1)), WIDTH)
                 if kind == 0:
-                    now, xs = (p, part), shingles
-                elif now == (p, part):
+                    now, xs, ordered = (p, part), shingles, np.sort(shingles)
+                elif now == (p, part) and _held(ordered, shingles) >= fewest:
                     out += passages_of(p, xs, q, shingles, least, percent)
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(_FOUND)})
 
@@ -492,6 +636,32 @@ def _hot_values(docs: DataFrame, least_words: int, keep: Callable) -> np.ndarray
     return np.array([r.key for r in hot.collect()], np.int64)
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, least_words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The passages that pairs (p, q) of documents share."""
+    keep = scratch.keep
+    ends = pairs.select(F.col("p").alias("d")).unionByName(pairs.select(F.col("q").alias("d")))
+    needed = keep(ends.distinct(), "needed")
+    if needed.count() <= MOST_BROADCAST:
+        needed = F.broadcast(needed)
+    words = keep(docs.join(needed, docs["doc_id"] == needed["d"]).select("doc_id", "text").mapInArrow(_words, "doc_id long, words binary"), "passage-words")
+    parts = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts"))
+    x = words.join(parts, F.col("doc_id") == F.col("p")).select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("p").alias("q"), "words")
+    y = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "q").join(words, F.col("q") == F.col("doc_id")).drop("doc_id")
+    dealt = x.unionByName(y).repartition("p", "part").sortWithinPartitions("p", "part", "kind", "q")
+    return dealt.mapInArrow(_verify(least_words, percent), ", ".join(f"{n} long" for n in _FOUND))
+
+
+def _shared_runs(docs: DataFrame, label: DataFrame, least_words: int) -> DataFrame:
+    """Windows (key, doc_id, around) of values that lie in two classes or more, with the class (cls), dealt to pairs of blocks (u, v), so that no task holds more than two blocks of a value."""
+    labelled = docs.join(label, docs["doc_id"] == label["u"], "left").select("doc_id", F.coalesce("v", "doc_id").alias("cls"), "text")
+    rows = labelled.mapInArrow(_run_windows(least_words), "key long, doc_id long, cls long, around binary")
+    of = Window.partitionBy("key")
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(of), "a": F.min("cls").over(of), "b": F.max("cls").over(of)}).filter("a < b")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "around"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return rows.select("key", "doc_id", "cls", "around", "block", other).select("key", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "doc_id", "cls", "around")
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = 75) -> DataFrame:
     """Near-duplicate passages between texts of (doc_id, text): one row per document that repeats a passage of a partner.
 
@@ -509,6 +679,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     3. Interval join across hash functions: a pair is a candidate if windows of two functions or more overlap, so that one
        passage can lie in all of them.
     4. Candidates are verified on the texts' words: shingles are aligned in longest rising chains, which must reach 50 words and a similarity of 0.75.
+    5. The exact rest: two such passages always share RUN shingles in a row, so their documents have a compact window of RUN shingles in common, by one
+       function. Documents in different classes that share such a run, and are alike around it, are all verified, in blocks of windows where a value has many.
+       So no link between two classes is lost; pairs within one class are reported where step 2 or 5 made them meet.
 
     A document's words are lower-cased. Documents of fewer words, null texts and rows without doc_id take no part; of rows that share a doc_id the
     largest text counts. Extra columns are ignored; an empty table gives no rows.
@@ -538,17 +711,17 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     candidates = keep(candidates, "passage-pairs")
     scratch.drop(met)
 
-    ends = candidates.select(F.col("p").alias("d")).unionByName(candidates.select(F.col("q").alias("d")))
-    needed = keep(ends.distinct(), "needed")
-    if needed.count() <= MOST_BROADCAST:
-        needed = F.broadcast(needed)
-    words = keep(docs.join(needed, docs["doc_id"] == needed["d"]).select("doc_id", "text").mapInArrow(_words, "doc_id long, words binary"), "passage-words")
-    parts = candidates.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts"))
-    x = words.join(parts, F.col("doc_id") == F.col("p")).select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("p").alias("q"), "words")
-    y = candidates.join(parts, "p").select("p", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "q").join(words, F.col("q") == F.col("doc_id")).drop("doc_id")
-    dealt = x.unionByName(y).repartition("p", "part").sortWithinPartitions("p", "part", "kind", "q")
-    found = keep(dealt.mapInArrow(_verify(least_words, percent), ", ".join(f"{n} long" for n in _FOUND)), "passages")
-    scratch.drop(words)
+    found = keep(_verified(docs, candidates, least_words, percent, scratch), "passages")
+    same = copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    label = stars(found.select(F.col("p").alias("u"), F.col("q").alias("v")), keep)
+
+    # what is not in one class by now meets wherever it shares a run
+    runs = keep(_shared_runs(docs, label, least_words), "runs")
+    crossing = runs.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(_cross_meet, "p long, q long").distinct()
+    crossing = keep(crossing.join(candidates, ["p", "q"], "left_anti"), "crossing-pairs")
+    scratch.drop(runs)
+    if not crossing.isEmpty():
+        found = keep(found.unionByName(_verified(docs, crossing, least_words, percent, scratch)), "all-passages")
 
     similarity = (F.col("shared") / F.col("either")).alias("similarity")
     side = lambda a, b: found.select(
@@ -558,8 +731,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     back = copies.groupBy("rep").agg(F.min(F.struct("doc_id", "n")).alias("m")).select(F.col("rep").alias("doc_id"), F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"))
     whole = copies.unionByName(back).select(
         "doc_id", zero.alias("start_word"), F.col("n").alias("n_words"), F.col("rep").alias("partner_id"), zero.alias("partner_start"), F.col("n").alias("partner_words"), F.lit(1.0).alias("similarity"))
-    links = found.select(F.col("p").alias("u"), F.col("q").alias("v")).unionByName(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    label = stars(links, keep)
+    label = stars(found.select(F.col("p").alias("u"), F.col("q").alias("v")).unionByName(same), keep)
     both = side("q", "p").unionByName(side("p", "q")).unionByName(whole).join(label, F.col("doc_id") == F.col("u"), "left")
     out = both.select("doc_id", "start_word", "n_words", "partner_id", "partner_start", "partner_words", "similarity", F.coalesce("v", "doc_id").alias("class_id"))
     return scratch.result(out, "repeated-passages")

@@ -319,6 +319,44 @@ def test_passages_of_middle_documents_meet(spark):
     assert all((r.start_word, r.n_words) == (80, 60) for r in got)
 
 
+def test_passages_parted_by_an_insertion_meet_beside_a_document_of_all_their_shingles(spark):
+    """The first document holds every shingle of a passage but never the passage; two others hold it, one with a word more in the middle."""
+    draw = np.random.default_rng(4)
+    noise = lambda n: [f"n{x}" for x in draw.integers(0, 10**9, n)]
+    rows = []
+    for k in range(4):
+        passage = noise(52)
+        rows.append((k, " ".join(w for _ in range(12) for i in range(48) for w in [*noise(50), *passage[i : i + 5]])))
+        rows += [(10 + 2 * k, " ".join([*noise(80), *passage, *noise(80)])), (11 + 2 * k, " ".join([*noise(70), *passage[:26], "more", *passage[26:], *noise(90)]))]
+    got = {(r.doc_id, r.partner_id): r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {p for k in range(4) for p in ((10 + 2 * k, 11 + 2 * k), (11 + 2 * k, 10 + 2 * k))}
+    assert all(r.class_id == min(p) and r.similarity == 44 / 53 for p, r in got.items())
+
+
+def test_every_shared_run_has_a_common_window():
+    """The anchors are the leftmost minima of all runs, whatever repeats."""
+    draw = np.random.default_rng(8)
+    for k in range(60):
+        values = np.concatenate(([0], draw.integers(1, (3, 30, 10**9)[k % 3], 80), [0, 0], draw.integers(1, 40, 30), [0])).astype(np.uint64)
+        runs = ((a, values[a : a + passages.RUN]) for a in range(len(values) - passages.RUN + 1))
+        assert passages._selected(values, passages.RUN).tolist() == sorted({a + int(run.argmin()) for a, run in runs if (run > 0).all()})
+
+
+def test_all_windows_of_two_classes_meet_in_blocks(spark, monkeypatch):
+    """Values of more windows than a block meet by pairs of blocks, each pair of windows once."""
+    draw = np.random.default_rng(9)
+    noise = lambda n: [f"n{x}" for x in draw.integers(0, 10**9, n)]
+    run = noise(30)
+    rows = [(i, " ".join([*noise(40), *run, *noise(40)])) for i in range(40)]
+    monkeypatch.setattr(passages, "BLOCK", 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    label = spark.createDataFrame([(i, i % 3) for i in range(3, 40)], "u long, v long")
+    dealt = passages._shared_runs(docs, label, 50)
+    assert dealt.select("u").distinct().count() > 3
+    met = dealt.repartition(3, "key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(passages._cross_meet, "p long, q long").distinct().collect()
+    assert {(r.p, r.q) for r in met} == {(p, q) for q in range(40) for p in range(q) if p % 3 != q % 3}
+
+
 def test_chains_span_an_inserted_sentence():
     words = np.random.default_rng(5).permutation(200).astype(np.uint64)
     x, y = passages.shingle_hashes(np.concatenate((words[:44], words[150:166], words[44:88]))), passages.shingle_hashes(words[:88])
