@@ -26,6 +26,8 @@ STRETCH = 1024
 SENT = 65_536
 #: Stretches that are worked through at once.
 TOGETHER = 4096
+#: Alphas are scaled at every so many tokens and at a stretch's last: between, no product of so few probabilities leaves the range of doubles.
+SCALED = 8
 #: Bytes of text whose tokens share one dictionary.
 PACK = 6_000_000
 _END = -1
@@ -124,9 +126,10 @@ def stretches(lengths: np.ndarray, starts: np.ndarray, size: int = STRETCH) -> S
 
 
 def _sweep(move: np.ndarray, emit: np.ndarray, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, prior: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """The forward recursion over stretches side by side, step by step: (which stretches, their tokens' classes, emissions there, scaled alphas, scales).
+    """The forward recursion over stretches side by side, step by step: (which stretches, their tokens' classes, emissions there, alphas, due, scales).
 
-    prior (n, k, STATES): what each of a stretch's k chains expects of its first token. At every token a stretch's alphas are scaled to a sum of one.
+    prior (n, k, STATES): what each of a stretch's k chains expects of its first token. The alphas from place `due` on are scaled to a sum of one:
+    all of them at every SCALED-th token, else those of the stretches that end there.
     """
     order = np.argsort(-lengths, kind="stable")
     left = np.searchsorted(-lengths[order], -np.arange(1, (lengths.max() if len(lengths) else 0) + 1), side="right")
@@ -136,9 +139,10 @@ def _sweep(move: np.ndarray, emit: np.ndarray, classes: np.ndarray, lengths: np.
         here = emit[seen]
         alpha = prior[order] if alpha is None else (alpha[:n].reshape(-1, len(move)) @ move).reshape(n, *alpha.shape[1:])
         alpha *= here[:, None, :]
-        scale = alpha.reshape(n, -1) @ ones  # a product sums short rows faster than sum() does
-        alpha /= scale[:, None, None]
-        yield order[:n], seen, here, alpha, scale
+        due = 0 if t % SCALED == SCALED - 1 else left[t + 1] if t + 1 < len(left) else 0
+        scale = alpha[due:].reshape(n - due, len(ones)) @ ones  # a product sums short rows faster than sum() does
+        alpha[due:] /= scale[:, None, None]
+        yield order[:n], seen, here, alpha, due, scale
 
 
 def _boundaries(model: Model, classes: np.ndarray, s: Stretches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,12 +158,12 @@ def _boundaries(model: Model, classes: np.ndarray, s: Stretches) -> tuple[np.nda
         return handed, prior, beyond
     emit = np.ascontiguousarray(model.emit.T)
     through = np.empty((len(more), k, k))
-    for which, _, _, alpha, _ in _sweep(model.move, emit, classes, s.lengths[more], s.starts[more], np.repeat(model.move[None], len(more), 0)):
-        through[which] = alpha
+    for which, _, _, alpha, due, _ in _sweep(model.move, emit, classes, s.lengths[more], s.starts[more], np.repeat(model.move[None], len(more), 0)):
+        through[which[due:]] = alpha[due:]
     heads = more[s.first[more - 1]] - 1
     ends = np.empty((n, k))
-    for which, _, _, alpha, _ in _sweep(model.move, emit, classes, s.lengths[heads], s.starts[heads], prior[heads][:, None, :]):
-        ends[heads[which]] = alpha[:, 0]
+    for which, _, _, alpha, due, _ in _sweep(model.move, emit, classes, s.lengths[heads], s.starts[heads], prior[heads][:, None, :]):
+        ends[heads[which[due:]]] = alpha[due:, 0]
     of = np.full(n, -1)
     of[more] = np.arange(len(more))
     now = heads
@@ -180,12 +184,12 @@ def _boundaries(model: Model, classes: np.ndarray, s: Stretches) -> tuple[np.nda
 
 
 def forward(model: Model, classes: np.ndarray, lengths: np.ndarray, starts: np.ndarray, size: int = STRETCH) -> np.ndarray:
-    """log10 probability of each text's classes, by the forward recursion scaled at every token."""
+    """log10 probability of each text's classes, by the forward recursion, scaled as it goes."""
     s = stretches(lengths, starts, size)
     _, prior, _ = _boundaries(model, classes, s)
     total, emit = np.zeros(len(s.text)), np.ascontiguousarray(model.emit.T)
-    for which, _, _, _, scale in _sweep(model.move, emit, classes, s.lengths, s.starts, prior[:, None, :]):
-        total[which] += np.log10(scale)
+    for which, _, _, _, due, scale in _sweep(model.move, emit, classes, s.lengths, s.starts, prior[:, None, :]):
+        total[which[due:]] += np.log10(scale)
     return np.bincount(s.text, weights=total, minlength=len(lengths))
 
 
@@ -197,24 +201,27 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, star
     handed, prior, beyond = _boundaries(model, classes, s)
     for a in range(0, len(s.text), TOGETHER):
         part = slice(a, a + TOGETHER)
-        steps = [(seen, here, alpha[:, 0], scale) for _, seen, here, alpha, scale in _sweep(move, emit, classes, s.lengths[part], s.starts[part], prior[part][:, None, :])]
-        order, ahead, gammas, over = np.argsort(-s.lengths[part], kind="stable"), None, [None] * len(steps), np.zeros((k, k))
+        steps = [(seen, here, alpha[:, 0], due, scale) for _, seen, here, alpha, due, scale in _sweep(move, emit, classes, s.lengths[part], s.starts[part], prior[part][:, None, :])]
+        order, ahead, over = np.argsort(-s.lengths[part], kind="stable"), None, np.zeros((k, k))
+        seen = np.concatenate([x[0] for x in steps])
+        gamma, at = np.empty((len(seen), k)), len(seen)
         beta = beyond[part][order]  # of each stretch, as yet after its last token
         for t in range(len(steps) - 1, -1, -1):
-            seen, here, alpha, scale = steps[t]
+            _, here, alpha, due, scale = steps[t]
+            n = len(here)
             if ahead is not None:
                 m = len(ahead)
                 over += alpha[:m].T @ ahead
                 beta[:m] = ahead @ move.T
-            gammas[t] = alpha * beta[: len(seen)]
-            ahead = beta[: len(seen)] * here
-            ahead /= scale[:, None]
+            at -= n
+            np.multiply(alpha, beta[:n], out=gamma[at : at + n])
+            ahead = beta[:n] * here
+            ahead[due:] /= scale[:, None]
         first = s.first[part][order]
-        begun += gammas[0][first].sum(0)
+        begun += gamma[: len(first)][first].sum(0)
         # the move over a boundary goes from what the stretch before handed on
         over += handed[part][order][~first].T @ ahead[~first]
         moved += move * over
-        gamma, seen = np.concatenate(gammas), np.concatenate([x[0] for x in steps])
         for i in range(k):
             emitted[i] += np.bincount(seen, weights=gamma[:, i], minlength=emitted.shape[1])
     return begun, moved, emitted
