@@ -15,13 +15,18 @@ MARKER = "INSUFFICIENT EVIDENCE:"
 OVER_BUDGET = "the highest-ranked matching article does not fit the token budget"
 NOTHING_PASSED = "no article passed the date filter and similarity floor; the event may not be recorded in this corpus or may not exist"
 UNMENTIONED = "The retrieved records do not mention the topic of the question."
+#: So many ids of packed articles are sent to all tasks, about 20 MB; where there are more, all texts are shuffled to them.
+MOST_SENT = 200_000
 FURTHER = ". This extractive mode quotes source sentences without further interpretation; a grounded language-model generator adds contextual analysis."
 
 
 def with_articles(evidence: DataFrame, articles: DataFrame) -> DataFrame:
-    """Evidence with its articles' texts and labels: the only join that moves texts, and only for packed rows."""
+    """Evidence with its articles' texts and labels: the only join that moves texts, and only those of packed rows, since their ids pick the articles where they are read."""
     label = date_label(F.col("year"), F.col("month"), F.col("day"), F.col("calendar"), F.col("leap_month"))
     light = articles.select("id", "title", "text", "source_url", "date_original", label.alias("date"))
+    ids = evidence.select(F.col("id").alias("packed")).distinct()
+    if ids.count() <= MOST_SENT:
+        light = light.join(F.broadcast(ids), F.col("id") == F.col("packed"), "left_semi")
     return evidence.join(light, "id").withColumn("label", citation_label(F.col("id"), F.col("date"), F.col("title")))
 
 

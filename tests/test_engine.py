@@ -148,3 +148,14 @@ def test_questions_without_floor_or_topic_take_articles_by_date_and_id(spark):
     ranked = {k: [r.id for r in out.evidence.filter(F.col("qid") == k).orderBy("rank").collect()] for k in ("free", "none")}
     assert ranked["free"][0] == "a-3" and ranked["none"] == ["a-1", "a-2", "a-3"]
     assert {r.qid: r.packing.stopped_at for r in out.trace.collect()}["none"] == "long"
+
+
+def test_texts_are_picked_by_packed_ids_before_they_move(spark, monkeypatch):
+    rows = [(str(i), f"title {i}", f"text {i}", 1420, 1, 1, "", False, "", "") for i in range(50)]
+    articles = spark.createDataFrame(rows, "id string, title string, text string, year int, month int, day int, calendar string, leap_month boolean, source_url string, date_original string")
+    evidence = spark.createDataFrame([("a", "3"), ("b", "3"), ("b", "7"), ("c", "none")], "qid string, id string")
+    few = answer.with_articles(evidence, articles)
+    assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(answer, "MOST_SENT", 1)  # more ids than that: all texts are shuffled
+    for got in (few, answer.with_articles(evidence, articles)):
+        assert sorted((r.qid, r.id, r.text) for r in got.collect()) == [("a", "3", "text 3"), ("b", "3", "text 3"), ("b", "7", "text 7")]
