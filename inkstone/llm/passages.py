@@ -32,12 +32,16 @@ RUN = 18
 #: How many shingles to either side of a window's anchor are compared, how many of them must be near, and how many places off they may lie. One run of a
 #: passage has 24 of its shared shingles so close; where more than SHIFT words are inserted at once, some run is longer than 24 itself.
 BESIDE, ALIKE, SHIFT = 32, 24, 8
+#: Of a run of RUN shingles that two windows share around their anchors, so many lie to the left of them or to the right.
+ONE_SIDE = RUN // 2
 #: Windows of one value that meet in one task.
 BLOCK = 4096
 #: Pairs of one document that are verified in one task.
 MEET = 1000
 #: Pairs of places that two texts' equal shingles make before the commonest meet by rank, and the widest gap within a passage's chain.
 MOST_PLACES, WIDEST = 100_000, 64
+#: Places of one shingle, on average, from which on a chain's places are worked through shingle by shingle.
+MANY = 32
 
 
 def _slide(pick, x: np.ndarray, width: int) -> np.ndarray:
@@ -299,6 +303,31 @@ def _selected(values: np.ndarray, least: int) -> np.ndarray:
     return np.unique(order[at])
 
 
+def _thinned(line: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Anchors without those inside a stretch that repeats with a period of less than RUN places, of which the first and last are left.
+
+    An anchor goes if the run of RUN shingles around it comes once more as many places before as after: shared passages that cover such a stretch's start or end have
+    that one's anchor in common, those within two stretches both.
+    """
+    gap = np.diff(c)
+    some = np.nonzero((gap < RUN) & (line[c[1:]] == line[c[:-1]]))[0]
+    reach = np.arange(1 - RUN, RUN)
+    same = line[np.clip(c[some, None] + reach, 0, len(line) - 1)] == line[np.clip(c[some + 1, None] + reach, 0, len(line) - 1)]
+    period = np.zeros(len(c) + 1, np.int64)  # with which each anchor repeats the one before it
+    some = some[_around_middle(same) >= RUN]
+    period[some + 1] = gap[some]
+    return c[(period[:-1] == 0) | (period[:-1] != period[1:])]
+
+
+def _around_middle(same: np.ndarray) -> np.ndarray:
+    """Length of the run of true values that holds the middle of each row."""
+    middle = same.shape[1] // 2
+    left, right = np.argmin(same[:, middle::-1], axis=1), np.argmin(same[:, middle:], axis=1)
+    left[same[:, : middle + 1].all(axis=1)] = middle + 1
+    right[same[:, middle:].all(axis=1)] = middle + 1
+    return np.maximum(0, left + right - 1)
+
+
 def _run_windows(least_words: int):
     """A row for each compact window of RUN shingles or more, of one function: key (min-hash) and a byte for each shingle up to BESIDE places to either
     side of the anchor, zero beyond the text; windows of one text with the same key and surroundings are one row."""
@@ -324,7 +353,7 @@ def _run_windows(least_words: int):
             line, begins, docs, classes = np.concatenate(pieces), np.array(begins), np.array(docs, np.int64), np.array(classes, np.int64)
             values = mix64(line + np.uint64(0x9E3779B97F4A7C15))
             values[line == 0] = 0
-            c = _selected(values, RUN)
+            c = _thinned(line, _selected(values, RUN))
             near = np.where(line == 0, 0, 1 + (line >> np.uint64(8)) % np.uint64(255)).astype(np.uint8)
             around = np.lib.stride_tricks.sliding_window_view(near, wide)[c - BESIDE]
             key, of = values[c].view(np.int64), np.searchsorted(begins, c, "right") - 1
@@ -339,11 +368,7 @@ def _run_windows(least_words: int):
 
 def _same_run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether two windows' surroundings are the same over RUN places or more around the anchors."""
-    same = (x == y) & (x > 0)
-    left, right = np.argmin(same[:, BESIDE::-1], axis=1), np.argmin(same[:, BESIDE:], axis=1)
-    left[same[:, : BESIDE + 1].all(axis=1)] = BESIDE + 1
-    right[same[:, BESIDE:].all(axis=1)] = BESIDE + 1
-    return left + right - 1 >= RUN
+    return _around_middle((x == y) & (x > 0)) >= RUN
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -355,6 +380,15 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (found & (x > 0)).sum(axis=1) >= ALIKE
 
 
+def _spans(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of rows that add about `most` each to the running sum, one row at least."""
+    lo = 0
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _whole(batches: Iterator, names: tuple, flush) -> Iterator:
     """flush over rows of whole keys (the first names), of about 50,000 rows or more."""
     import pyarrow as pa
@@ -381,26 +415,37 @@ def _cross_meet(batches: Iterator) -> Iterator:
     """Rows of one key and pair of blocks (u, v): all windows that lie in different classes, of documents p < q, with a run in common and alike around it."""
     import pyarrow as pa
 
+    def compared(doc, around, x, y):
+        for a in range(0, len(x), 50_000):
+            m, n = x[a : a + 50_000], y[a : a + 50_000]
+            for same in (_same_run, _near):
+                ok = same(around[m], around[n])
+                m, n = m[ok], n[ok]
+            if len(m):
+                p, q = np.unique(np.stack((np.minimum(doc[m], doc[n]), np.maximum(doc[m], doc[n]))), axis=1)
+                yield pa.RecordBatch.from_pydict({"p": pa.array(p), "q": pa.array(q)})
+
     def flush(rows):
         key, u, v, mine, doc, cls = (rows[n].to_numpy() for n in ("key", "u", "v", "block", "doc_id", "cls"))
         around = np.frombuffer(b"".join(rows["around"].to_pylist()), np.uint8).reshape(rows.num_rows, 2 * BESIDE + 1)
-        begin = _starts(key, u, v)
-        size = np.bincount(begin, minlength=len(key))
-        later = begin + size[begin] - np.arange(len(key)) - 1
-        for lo in range(0, len(key), 1000):
-            x = np.repeat(np.arange(len(key))[lo : lo + 1000], later[lo : lo + 1000])
-            y = x + 1 + _count_up(later[lo : lo + 1000])
-            # pairs within one block meet where both blocks are that one
-            ok = (cls[x] != cls[y]) & (doc[x] != doc[y]) & ((u[x] == v[x]) | (mine[x] != mine[y]))
-            x, y = x[ok], y[ok]
-            for a in range(0, len(x), 50_000):
-                m, n = x[a : a + 50_000], y[a : a + 50_000]
-                for same in (_same_run, _near):
-                    ok = same(around[m], around[n])
-                    m, n = m[ok], n[ok]
-                if len(m):
-                    p, q = np.unique(np.stack((np.minimum(doc[m], doc[n]), np.maximum(doc[m], doc[n]))), axis=1)
-                    yield pa.RecordBatch.from_pydict({"p": pa.array(p), "q": pa.array(q)})
+        value = _starts(key, u, v)
+        # a run in common takes ONE_SIDE equal shingles to the left of the anchors or to the right, so only windows with the same ones there meet
+        for side in (around[:, BESIDE - ONE_SIDE : BESIDE], around[:, BESIDE + 1 : BESIDE + 1 + ONE_SIDE]):
+            beside = np.zeros(len(key), np.uint64)
+            for cell in side.T:
+                beside = mix64(beside + cell + np.uint64(1))
+            order = np.lexsort((beside, value))
+            begin = _starts(value[order], beside[order])
+            size = np.bincount(begin, minlength=len(key))
+            later = begin + size[begin] - np.arange(len(key)) - 1
+            upto = np.cumsum(later)
+            for lo, hi in _spans(upto, 1_000_000):
+                x = np.repeat(np.arange(lo, hi), later[lo:hi])
+                x, y = order[x], order[x + 1 + _count_up(later[lo:hi])]
+                # pairs within one block meet where both blocks are that one
+                ok = (cls[x] != cls[y]) & (doc[x] != doc[y]) & ((u[x] == v[x]) | (mine[x] != mine[y]))
+                x, y = x[ok], y[ok]
+                yield from compared(doc, around, x, y)
 
     yield from _whole(batches, ("key", "u", "v"), flush)
 
@@ -423,11 +468,13 @@ def _places(x: np.ndarray, y: np.ndarray, apart: bool) -> tuple[np.ndarray, np.n
     """
     order_y = np.argsort(y, kind="stable")
     sorted_y = y[order_y]
+    if apart:
+        again = sorted_y[1:] == sorted_y[:-1]
+        i, j = order_y[:-1][again], order_y[1:][again]
+        order = np.argsort(i)
+        return i[order], j[order]
     low, high = np.searchsorted(sorted_y, x, "left"), np.searchsorted(sorted_y, x, "right")
     i = np.nonzero(high > low)[0]
-    if apart:
-        j = np.array([order_y[lo:hi][order_y[lo:hi] > k][0] if (order_y[lo:hi] > k).any() else -1 for k, lo, hi in zip(i, low[i], high[i])], np.int64)
-        return i[j >= 0], j[j >= 0]
     low, copies = low[i], (high - low)[i]
     if (copies > 1).any() or len(np.unique(low)) < len(low):
         _, name, times = np.unique(low, return_inverse=True, return_counts=True)
@@ -444,7 +491,7 @@ def _places(x: np.ndarray, y: np.ndarray, apart: bool) -> tuple[np.ndarray, np.n
         some = [(np.repeat(i[~ranked], copies[~ranked]), np.repeat(low[~ranked], copies[~ranked]) + _count_up(copies[~ranked]))]
         some += [(i[ok], (low + nth)[ok]) for nth in (front, back) for ok in (ranked & (nth >= 0) & (nth < copies),)]
         i, at = (np.concatenate(z) for z in zip(*some))
-        i, at = np.divmod(np.unique(i * len(y) + at), len(y))
+        i, at = np.divmod(_distinct(i * len(y) + at), len(y))
     else:
         at = low
     j = order_y[at]
@@ -473,12 +520,15 @@ def _boxes(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _longest(i: list[int], j: list[int]) -> list[int]:
+def _longest(i: np.ndarray, j: np.ndarray) -> list[int]:
     """Places of a longest chain that rises in both texts (patience sorting); places by i and from the last j to the first."""
+    rows = np.nonzero(np.concatenate(([True], i[1:] != i[:-1])))[0]
+    if len(i) > MANY * len(rows):
+        return _longest_by_rows(j, rows)
     tails: list[int] = []
     ends: list[int] = []
     before = [-1] * len(i)
-    for k, y in enumerate(j):
+    for k, y in enumerate(j.tolist()):
         at = bisect_left(tails, y)
         if at:
             before[k] = ends[at - 1]
@@ -487,9 +537,36 @@ def _longest(i: list[int], j: list[int]) -> list[int]:
             ends.append(k)
         elif y < tails[at]:
             tails[at], ends[at] = y, k
-    chain, k = [], ends[-1]
+    return _traced(before, ends[-1])
+
+
+def _longest_by_rows(j: np.ndarray, rows: np.ndarray) -> list[int]:
+    """The same chain, all places of one i at once: as they go from the last to the first, none of them builds on another, and of those with one rank the first in y stays."""
+    tails, ends, before, size, idle = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64), np.full(len(j), -1), 0, j[:0]
+    for lo, hi in zip(rows.tolist(), [*rows[1:].tolist(), len(j)]):
+        row = j[lo:hi]
+        if len(row) == len(idle) and (row == idle).all():  # as the row before, which changed nothing
+            continue
+        ys = row[::-1]
+        at = tails[:size].searchsorted(ys)
+        first = np.flatnonzero(at[1:] != at[:-1]) + 1
+        first = np.concatenate(([0], first))
+        rank, y = at[first], ys[first]
+        new = y < tails[np.minimum(rank, len(rows) - 1)]
+        new[-1] |= rank[-1] == size
+        rank, k = rank[new], hi - 1 - first[new]
+        if len(rank):
+            before[k] = np.where(rank > 0, ends[rank - 1], -1)
+            tails[rank], ends[rank], idle, size = y[new], k, j[:0], max(size, int(rank[-1]) + 1)
+        else:
+            idle = row
+    return _traced(before, int(ends[size - 1]))
+
+
+def _traced(before, k: int) -> list[int]:
+    chain = []
     while k >= 0:
-        chain.append(k)
+        chain.append(int(k))
         k = before[k]
     return chain[::-1]
 
@@ -499,9 +576,51 @@ def _fewest(least: int, percent: int) -> int:
     return -(-2 * least * percent // (100 + percent))
 
 
-def _held(ordered: np.ndarray, y: np.ndarray) -> int:
-    """Places of y whose shingle is among the sorted ones."""
-    return int((ordered[np.minimum(np.searchsorted(ordered, y), len(ordered) - 1)] == y).sum())
+def _shared(ordered: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the shingle of each place of y is among the sorted ones."""
+    return ordered[np.minimum(np.searchsorted(ordered, y), len(ordered) - 1)] == y
+
+
+def _reaches(score: np.ndarray, least: int, slack: int = 0) -> bool:
+    """Whether some `least` places or more in a row have a sum of scores of -slack or more."""
+    if len(score) < least:
+        return False
+    upto = np.concatenate(([0], np.cumsum(score)))
+    return bool((upto[least:] - np.minimum.accumulate(upto[: len(upto) - least]) >= -slack).any())
+
+
+def _sorted_with_gaps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's shingles in order, and for each place how far before it the same shingle lies, 0 if nowhere."""
+    order = np.argsort(x, kind="stable")
+    ordered, gap = x[order], np.zeros(len(x), np.int64)
+    again = np.flatnonzero(ordered[1:] == ordered[:-1])
+    gap[order[again + 1]] = order[again + 1] - order[again]
+    return ordered, gap
+
+
+#: A stretch has so many shingles more, at most, than places whose shingle does not lie so near before them.
+_NEAR_BEFORE = (1, 4, 16)
+
+
+def _may_share(x: np.ndarray, of_x: tuple, y: np.ndarray, least: int, percent: int) -> bool:
+    """Whether two texts can share a passage, by the places of each whose shingle the other holds. of_x: what _sorted_with_gaps says of x.
+
+    A passage has as many shared places as its similarity asks for, so either side holds that share of them, and the shorter one 2 * percent / (100 + percent). As a set,
+    either side has percent shared shingles at least for 100 - percent that the other text lacks.
+    """
+    at_y = _shared(of_x[0], y)
+    if at_y.sum() < _fewest(least, percent) or not _reaches(100 * at_y - percent, least):
+        return False
+    of_y = _sorted_with_gaps(y)
+    at_x = _shared(of_y[0], x)
+    if not _reaches(100 * at_x - percent, least) or not any(_reaches((100 + percent) * at - 2 * percent, least) for at in (at_x, at_y)):
+        return False
+    for at, gap in ((at_y, of_y[1]), (at_x, of_x[1])):
+        for near in _NEAR_BEFORE if gap.any() else ():
+            new = (100 - percent) * (at & ((gap == 0) | (gap > near))) - percent * (~at & (gap == 0))
+            if not _reaches(new, least, (100 - percent) * near):
+                return False
+    return True
 
 
 def _chains(x: np.ndarray, y: np.ndarray, least: int, percent: int, apart: bool) -> list[tuple[int, int, int, int]]:
@@ -522,7 +641,7 @@ def _chains(x: np.ndarray, y: np.ndarray, least: int, percent: int, apart: bool)
         return out
     for box in _boxes(i, j):
         while len(box) >= fewest:
-            chain = np.array(_longest(i[box].tolist(), j[box].tolist()))
+            chain = np.array(_longest(i[box], j[box]))
             if len(chain) < fewest:
                 break
             _cut(x, y, i[box[chain]], j[box[chain]], least, percent, out)
@@ -545,11 +664,16 @@ def _diagonals(i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int,
 
 def _sets(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     """Sizes of the intersection and union of two sequences' sets."""
-    m, n = np.unique(x), np.unique(y)
-    both = len(np.intersect1d(m, n, assume_unique=True))
+    m, n = _distinct(x), _distinct(y)
+    both = int(_shared(m, n).sum())
     return both, len(m) + len(n) - both
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
 def _alike_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both, either = _sets(x, y)
     return 100 * both >= percent * either
@@ -593,19 +717,18 @@ _FOUND = ("p", "p_start", "p_end", "q", "q_start", "q_end", "shared", "either")
 def _verify(least_words: int, percent: int):
     """A document (kind 0) comes before those it is paired with (kind 1), so that its text travels once for many pairs."""
     least = least_words - WIDTH + 1
-    fewest = _fewest(least, percent)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, xs, ordered = None, None, None
+        now, xs, of_xs = None, None, None
         for batch in batches:
             out: list[list[int]] = []
             for p, part, kind, q, words in zip(*(batch.column(c).to_pylist() for c in ("p", "part", "kind", "q")), batch.column("words")):
                 shingles = shingle_hashes(mix64(np.frombuffer(words.as_buffer(), np.uint32).astype(np.uint64) + np.uint64(1)), WIDTH)
                 if kind == 0:
-                    now, xs, ordered = (p, part), shingles, np.sort(shingles)
-                elif now == (p, part) and _held(ordered, shingles) >= fewest:
+                    now, xs, of_xs = (p, part), shingles, _sorted_with_gaps(shingles)
+                elif now == (p, part) and (p == q or _may_share(xs, of_xs, shingles, least, percent)):
                     out += passages_of(p, xs, q, shingles, least, percent)
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(_FOUND)})
 

@@ -357,6 +357,46 @@ def test_all_windows_of_two_classes_meet_in_blocks(spark, monkeypatch):
     assert {(r.p, r.q) for r in met} == {(p, q) for q in range(40) for p in range(q) if p % 3 != q % 3}
 
 
+def test_pairs_without_a_passage_are_told_before_they_are_aligned(monkeypatch):
+    """A pair that shares a passage is never turned away; one that shares 45 equal words and one that differs in every fifteenth word are."""
+    draw = np.random.default_rng(21)
+    some = [draw.permutation(60) + 100 * k for k in range(6)] + [np.full(40, 7)]
+    shingled = lambda x: passages.shingle_hashes(np.asarray(x).astype(np.uint64) + np.uint64(1))
+    kept = 0
+    for _ in range(150):
+        x, y = (shingled(np.concatenate([some[k][draw.integers(0, 9) :] for k in draw.integers(0, 7, 5)])) for _ in range(2))
+        if passages.passages_of(1, x, 2, y, 46, 75):
+            kept += 1
+            assert passages._may_share(x, passages._sorted_with_gaps(x), y, 46, 75)
+    assert kept > 50
+    told = lambda x, y: passages._may_share(x, passages._sorted_with_gaps(x), y, 46, 75)
+    words = np.arange(1000, 1300)
+    assert not told(shingled([*words[:50], *[5] * 49, *words[50:90]]), shingled([*words[100:150], *[5] * 49, *words[150:190]]))
+    changed = words.copy()
+    changed[::15] += 5000
+    assert not told(shingled(words), shingled(changed)) and told(shingled(words), shingled(words[100:160]))
+    # all places of one shingle at once give the same chain as one after another
+    for n in (3, 40):
+        x, y = draw.integers(0, n, 300).astype(np.uint64), draw.integers(0, n, 260).astype(np.uint64)
+        i, j = passages._places(x, y, False)
+        monkeypatch.setattr(passages, "MANY", 0)
+        by_rows = passages._longest(i, j)
+        monkeypatch.setattr(passages, "MANY", 10**9)
+        assert by_rows == passages._longest(i, j)
+
+
+def test_a_repeated_word_has_two_anchors(spark):
+    """Stretches that repeat with a short period make two windows, not one for each place, and texts that share one with its surroundings still meet."""
+    draw = np.random.default_rng(22)
+    noise = lambda n: [f"n{x}" for x in draw.integers(0, 10**9, n)]
+    tail = noise(30)
+    docs = spark.createDataFrame([(i, " ".join([*noise(60), *["thor", "of"][: 1 + i % 2] * 60, *tail, *noise(40)])) for i in range(8)], "doc_id long, text string")
+    dealt = passages._shared_runs(docs, spark.createDataFrame([(0, 0)], "u long, v long"), 50)
+    assert dealt.groupBy("key", "doc_id").count().agg({"count": "max"}).first()[0] == 2
+    met = dealt.repartition(3, "key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(passages._cross_meet, "p long, q long").distinct().collect()
+    assert {(p, q) for q in range(8) for p in range(q) if (q - p) % 2 == 0} <= {(r.p, r.q) for r in met}
+
+
 def test_chains_span_an_inserted_sentence():
     words = np.random.default_rng(5).permutation(200).astype(np.uint64)
     x, y = passages.shingle_hashes(np.concatenate((words[:44], words[150:166], words[44:88]))), passages.shingle_hashes(words[:88])
