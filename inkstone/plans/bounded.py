@@ -23,6 +23,8 @@ from inkstone.plans.kept import kept
 
 #: The share of the floor that late terms may hold, and what sums in another order may differ by.
 SPARE, SLACK = 0.5, 1e-9
+#: The names of so many parts are sent to all tasks, about 10 MB; where questions read more, all postings are shuffled.
+MOST_PARTS = 200_000
 
 
 def question_weights(q: DataFrame, idf: DataFrame) -> DataFrame:
@@ -43,10 +45,19 @@ def planned(weights: DataFrame, parts: DataFrame, floor: float, spare: float = S
     return asked.withColumn("rest", rest).select("qid", "open", "term", "kind", "slices", "u", "needed", "late", "rest")
 
 
+def asked_of(postings: DataFrame, plan: DataFrame) -> DataFrame:
+    """Postings of the parts in a plan, picked where they are read, so that no others are shuffled."""
+    parts = plan.select("term", "kind").distinct()
+    if parts.count() > MOST_PARTS:
+        return postings
+    return postings.join(F.broadcast(parts), ["term", "kind"], "left_semi")
+
+
 def survivors(plan: DataFrame, postings: DataFrame, floor: float) -> DataFrame:
     """qid, id, kind, open, sofar: pairs that the first pass can't rule out, with the sum of all but the late terms."""
-    parts = plan.filter("not late").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "late")
-    pairs = parts.join(postings, ["term", "kind", "slice"]).groupBy("qid", "id").agg(
+    read = plan.filter("not late")
+    parts = read.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "late")
+    pairs = parts.join(asked_of(postings, read), ["term", "kind", "slice"]).groupBy("qid", "id").agg(
         F.sum(F.col("u") * F.col("weight")).alias("sofar"), F.bool_or("needed").alias("needed"), F.max("rest").alias("rest"), F.max("kind").alias("kind"), F.bool_or("open").alias("open"))
     return pairs.filter(F.col("needed") & (F.col("open") | (F.col("sofar") + F.col("rest") >= floor - SLACK))).select("qid", "id", "kind", "open", "sofar")
 
@@ -55,7 +66,7 @@ def finished(pairs: DataFrame, plan: DataFrame, postings: DataFrame, floor: floa
     """qid, id, base: exact scores of the surviving pairs that reach the floor; similarities count to 12 places."""
     late = plan.filter("late").select("qid", "kind", "term", "slices", "u")
     asks = pairs.filter("not open").select("qid", "id", "kind").join(late, ["qid", "kind"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    more = asks.join(postings.select("id", "term", "slice", "weight"), ["id", "term", "slice"]).groupBy("qid", "id").agg(F.sum(F.col("u") * F.col("weight")).alias("more"))
+    more = asks.join(asked_of(postings, plan.filter("late")).select("id", "term", "slice", "weight"), ["id", "term", "slice"]).groupBy("qid", "id").agg(F.sum(F.col("u") * F.col("weight")).alias("more"))
     scored = pairs.join(more, ["qid", "id"], "left").withColumn("base", F.col("sofar") + F.coalesce("more", F.lit(0.0)))
     return scored.filter(F.col("open") | (F.round("base", 12) >= floor)).select("qid", "id", "base")
 
