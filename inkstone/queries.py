@@ -15,7 +15,7 @@ from inkstone.functions import text as T
 from inkstone.functions.dates import date_spec, record_date, without_dates
 from inkstone.plans import answer as A
 from inkstone.plans import index as I
-from inkstone.plans.kept import alive, file_marks, kept
+from inkstone.plans.kept import alive, file_marks
 from inkstone.plans.retrieve import prepared, retrieve
 from inkstone.plans.rewrite import EVENTS, rewritten
 from inkstone.sources.articles import day_list, expand_years, resumed
@@ -111,9 +111,7 @@ def _index(spark, d):
     """The articles' index, built once a session and written, as a service holds it; built anew where the table's files or its own have changed."""
     key = (spark.sparkContext.applicationId, d, file_marks(read(spark, d, "documents")))
     if key not in _BUILT or not all(map(alive, (_BUILT[key].idf, _BUILT[key].postings, _BUILT[key].parts, _BUILT[key].heads))):
-        built = I.build(articles(spark, d))
-        built.title_terms = kept(built.title_terms, "title-terms")
-        _BUILT[key] = built
+        _BUILT[key] = I.build(articles(spark, d))
     return _BUILT[key]
 
 
