@@ -439,7 +439,7 @@ def _cross_meet(batches: Iterator) -> Iterator:
             size = np.bincount(begin, minlength=len(key))
             later = begin + size[begin] - np.arange(len(key)) - 1
             upto = np.cumsum(later)
-            for lo, hi in _spans(upto, 1_000_000):
+            for lo, hi in _spans(upto, 200_000):
                 x = np.repeat(np.arange(lo, hi), later[lo:hi])
                 x, y = order[x], order[x + 1 + _count_up(later[lo:hi])]
                 # pairs within one block meet where both blocks are that one
