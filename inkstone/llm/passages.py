@@ -29,19 +29,21 @@ REACH = (6, 22)
 #: Any two passages that reach the similarity share so many shingles in a row (22 words): an edit parts two runs and costs four shingles of one and five of the
 #: other at least, so a similarity of 0.75 asks for 27 shared shingles an edit, and 46 shingles with one edit for 42 in two runs.
 RUN = 18
-#: How many shingles to either side of a window's anchor are compared, how many of them must be near, and how many places off they may lie. One run of a
-#: passage has 24 of its shared shingles so close; where more than SHIFT words are inserted at once, some run is longer than 24 itself.
-BESIDE, ALIKE, SHIFT = 32, 24, 8
-#: Of a run of RUN shingles that two windows share around their anchors, so many lie to the left of them or to the right.
-ONE_SIDE = RUN // 2
+#: How many shingles to either side of a window's anchor are compared, and how many two windows must have in common there, repeats counted.
+BESIDE, ALIKE = 72, 24
+#: What two passages of the least length (46 shingles) and a similarity of 0.75 have in common around some run of RUN: so many shingles, spread over so many places.
+#: Shared runs outweigh the gaps between them threefold (27 an edit, of which one side lacks four). Runs that lie further than BESIDE - 45 from all others, over less than
+#: 46 places, cost more in gaps than they bring, so others outweigh theirs without them; what is left is one run of 46 or runs close together, that take up 46 places.
+#: Among those a run of 36 has them itself; if none is so long, two or three runs in a row have them, with 23 places in gaps at most.
+HELD, SPREAD = 36, 46
 #: Windows of one value that meet in one task.
 BLOCK = 4096
 #: Pairs of one document that are verified in one task.
 MEET = 1000
 #: Pairs of places that two texts' equal shingles make before the commonest meet by rank, and the widest gap within a passage's chain.
 MOST_PLACES, WIDEST = 100_000, 64
-#: Places of one shingle, on average, from which on a chain's places are worked through shingle by shingle.
-MANY = 32
+#: Places of one shingle, on average, from which on a chain's places are worked through shingle by shingle, and the bits (places of one text by those of the other) it may take.
+MANY, MOST_BITS = 4, 200_000_000
 
 
 def _slide(pick, x: np.ndarray, width: int) -> np.ndarray:
@@ -293,14 +295,16 @@ def _selected(values: np.ndarray, least: int) -> np.ndarray:
     if len(values) < least:
         return np.zeros(0, np.int64)
     low = _slide(np.minimum, values, least)
-    # of the runs with one minimum value, that starting at b has its leftmost minimum at the first place from b on that holds it
-    order = np.lexsort((np.arange(len(values)), values))
-    starts = np.nonzero(low > 0)[0]
-    first = np.searchsorted(values[order], low[starts], "left")
-    # places of equal values lie in order; the place sought is the first that is not before the run
-    key = np.cumsum(np.concatenate(([0], np.diff(values[order]) > 0))) * np.int64(len(values) + 1) + order
-    at = np.searchsorted(key, key[first] - order[first] + starts)
-    return np.unique(order[at])
+    pad = np.zeros(least - 1, values.dtype)
+    low = np.concatenate((pad, low, pad))  # of the run that ends at a place
+    c = np.nonzero((_slide(np.maximum, low, least) == values) & (values > 0))[0]
+    # only a minimum with an equal one close before it may be leftmost in no run; the last run that it is smallest in tells
+    again = np.nonzero((np.diff(c) < least) & (values[c[1:]] == values[c[:-1]]))[0] + 1
+    if not len(again):
+        return c
+    ends = c[again][:, None] + np.arange(least)
+    last = c[again] + least - 1 - np.argmax((low[np.minimum(ends, len(low) - 1)] == values[c[again]][:, None])[:, ::-1], axis=1)
+    return np.delete(c, again[last - least + 1 <= c[again - 1]])
 
 
 def _thinned(line: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -328,16 +332,15 @@ def _around_middle(same: np.ndarray) -> np.ndarray:
     return np.maximum(0, left + right - 1)
 
 
-def _run_windows(least_words: int):
-    """A row for each compact window of RUN shingles or more, of one function: key (min-hash) and a byte for each shingle up to BESIDE places to either
-    side of the anchor, zero beyond the text; windows of one text with the same key and surroundings are one row."""
+def _run_places(least_words: int):
+    """A row for each compact window of RUN shingles or more, of one function: key (min-hash), document, its class and the anchor's place."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashed, pad, wide = WordHasher(), np.zeros(BESIDE, np.uint64), 2 * BESIDE + 1
+        hashed, pad = WordHasher(), np.zeros(RUN, np.uint64)
         for batch in slices(batches, "text", 1_000_000):
-            docs, classes, pieces, begins, upto = [], [], [pad], [], BESIDE
+            docs, classes, pieces, begins, upto = [], [], [pad], [], RUN
             for doc, cls, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "cls", "text"))):
                 words = words_of(text, lower=True)
                 if doc is None or len(words) < least_words:
@@ -347,37 +350,142 @@ def _run_windows(least_words: int):
                 classes.append(cls)
                 begins.append(upto)
                 pieces += [shingles, pad]
-                upto += len(shingles) + BESIDE
+                upto += len(shingles) + RUN
             if not docs:
                 continue
             line, begins, docs, classes = np.concatenate(pieces), np.array(begins), np.array(docs, np.int64), np.array(classes, np.int64)
             values = mix64(line + np.uint64(0x9E3779B97F4A7C15))
             values[line == 0] = 0
             c = _thinned(line, _selected(values, RUN))
-            near = np.where(line == 0, 0, 1 + (line >> np.uint64(8)) % np.uint64(255)).astype(np.uint8)
-            around = np.lib.stride_tricks.sliding_window_view(near, wide)[c - BESIDE]
-            key, of = values[c].view(np.int64), np.searchsorted(begins, c, "right") - 1
-            # a hash of the surroundings tells windows of one text that are the same
-            told = mix64(mix64(np.pad(around, ((0, 0), (0, -wide % 8))).view(np.uint64) + np.arange(1, 2 + (wide - 1) // 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1) + values[c] * np.uint64(3) + of.astype(np.uint64))
-            once = np.sort(np.unique(told, return_index=True)[1])
-            cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(once), [None, pa.py_buffer(np.ascontiguousarray(around[once]).tobytes())])
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key[once]), "doc_id": pa.array(docs[of[once]]), "cls": pa.array(classes[of[once]]), "around": cells.cast(pa.binary())})
+            of = np.searchsorted(begins, c, "right") - 1
+            yield pa.RecordBatch.from_pydict({"key": pa.array(values[c].view(np.int64)), "doc_id": pa.array(docs[of]), "cls": pa.array(classes[of]), "at": pa.array((c - begins[of]).astype(np.int32))})
+
+    return run
+
+
+def _surroundings(batches: Iterator) -> Iterator:
+    """32 bits of each shingle up to BESIDE places to either side of the places of a text, zero beyond the text; windows of a text with the same key and surroundings are one row."""
+    import pyarrow as pa
+
+    hashed, pad, wide = WordHasher(), np.zeros(BESIDE, np.uint32), 2 * BESIDE + 1
+    times = mix64(np.arange(1, wide + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    for batch in slices(batches, "text", 1_000_000):
+        lines, upto, at = [pad], BESIDE, []
+        for text, places in zip(batch.column("text").to_pylist(), batch.column("at")):
+            shingles = shingle_hashes(hashed(words_of(text, lower=True)), WIDTH)
+            lines += [np.maximum(shingles >> np.uint64(32), np.uint64(1)).astype(np.uint32), pad]
+            at.append(places.values.to_numpy() + upto)
+            upto += len(shingles) + BESIDE
+        sizes = [len(x) for x in at]
+        around = np.lib.stride_tricks.sliding_window_view(np.concatenate(lines), wide)[np.concatenate(at) - BESIDE]
+        doc, cls = (np.repeat(batch.column(name).to_numpy(), sizes) for name in ("doc_id", "cls"))
+        key, n = (batch.column(name).flatten().to_numpy() for name in ("keys", "n"))
+        told = mix64(mix64(key.view(np.uint64) + (around * times).sum(axis=1, dtype=np.uint64)) + doc.view(np.uint64))
+        once = np.sort(np.unique(told, return_index=True)[1])
+        cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * wide), len(once), [None, pa.py_buffer(np.ascontiguousarray(around[once]).tobytes())])
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key[once]), "n": pa.array(n[once]), "doc_id": pa.array(doc[once]), "cls": pa.array(cls[once]), "around": cells.cast(pa.binary())})
+
+
+def _around_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), 2 * BESIDE + 1)
+
+
+def _marks(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A mark for each shingle of the surroundings that tells the first copy from the second and so on, and those up to the anchor from those after it; zero beyond the text. Then their places.
+
+    Windows around a run of one passage have as many marks in common as shingles that lie on the same side of the anchors, repeats counted.
+    """
+    marks, places = [], []
+    for side, cells in enumerate((around[:, : BESIDE + 1], around[:, BESIDE + 1 :])):
+        places.append(np.argsort(cells, axis=1, kind="stable"))
+        cells = np.take_along_axis(cells, places[-1], axis=1)
+        at = np.arange(cells.shape[1])
+        new = np.ones(cells.shape, bool)
+        new[:, 1:] = cells[:, 1:] != cells[:, :-1]
+        copy = at - np.maximum.accumulate(np.where(new, at, 0), axis=1)
+        marks.append(np.where(cells > 0, mix64(cells.astype(np.uint64) << np.uint64(8) | (2 * copy + side).astype(np.uint64)), np.uint64(0)))
+    return np.concatenate(marks, axis=1), np.concatenate((places[0], places[1] + BESIDE + 1), axis=1)
+
+
+def _marked(batches: Iterator) -> Iterator:
+    """A row for each mark of a window and the place where it stands."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
+            marks, places = _marks(_around_of(part.column("around")))
+            row, column = np.nonzero(marks)
+            columns = {name: part.column(name).take(pa.array(row)) for name in ("key", "window", "cls")}
+            yield pa.RecordBatch.from_pydict(columns | {"mark": pa.array(marks[row, column].view(np.int64)), "place": pa.array(places[row, column].astype(np.int32))})
+
+
+def _needed_marks(row: np.ndarray, place: np.ndarray, alike: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Which marks, each row's from the rarest to the commonest, one must be shared of: those from which on `alike` marks over `spread` places are left."""
+    if not len(row):
+        return np.zeros(0, bool)
+    back = row[::-1]
+    begin = _starts(back)
+    shift = np.cumsum(np.concatenate(([0], back[1:] != back[:-1]))) * (2 << 20)
+    high = np.maximum.accumulate(place[::-1] + shift) - shift
+    low = shift - np.maximum.accumulate(shift - place[::-1])
+    return ((np.arange(len(row)) - begin + 1 >= alike[back]) & (high - low + 1 >= spread[back]))[::-1]
+
+
+def _rare_marks(alike: int, spread: int):
+    """The marks of a window by which it meets others."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            held = batch.column("held")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
+            marks = held.flatten()
+            some = np.full(batch.num_rows, 1)
+            ok = _needed_marks(row, marks.field("place").to_numpy().astype(np.int64), alike * some, spread * some)
+            row = pa.array(row[ok])
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(row), "window": batch.column("window").take(row), "mark": marks.field("mark").filter(pa.array(ok))})
 
     return run
 
 
+def _by_rare_marks(rows: DataFrame, alike: int, spread: int) -> DataFrame:
+    """Windows under a key for each of their rare marks instead of their value: two of one value and different classes with `alike` marks in common, over `spread` places, still meet.
+
+    Only marks count that two classes of the value hold. The rarest mark that two such windows share is one from which on either has `alike` marks over `spread`
+    places, so a phrase of fewer shingles, however many documents hold it, brings no windows together.
+    """
+    rows = rows.withColumn("window", F.xxhash64("doc_id", "around"))
+    each = rows.mapInArrow(_marked, "key long, window long, cls long, mark long, place int")
+    times = each.groupBy("key", "mark").agg(F.count(F.lit(1)).alias("times"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b").select("key", "mark", "times")
+    held = each.join(times, ["key", "mark"]).groupBy("key", "window").agg(F.sort_array(F.collect_list(F.struct("times", "mark", "place"))).alias("held")).filter(F.size("held") >= alike)
+    rare = held.mapInArrow(_rare_marks(alike, spread), "key long, window long, mark long")
+    out = rows.join(rare, ["key", "window"]).select(F.xxhash64("key", "mark").alias("key"), "doc_id", "cls", "around")
+    of = Window.partitionBy("key")
+    return out.withColumns({"n": F.count(F.lit(1)).over(of), "a": F.min("cls").over(of), "b": F.max("cls").over(of)}).filter("a < b").select("key", "n", "doc_id", "cls", "around")
+
+
 def _same_run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether two windows' surroundings are the same over RUN places or more around the anchors."""
+    near = slice(BESIDE + 1 - RUN, BESIDE + RUN)
+    x, y = x[:, near], y[:, near]
     return _around_middle((x == y) & (x > 0)) >= RUN
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether at least ALIKE of the first window's shingles lie in the second too, SHIFT places off at most."""
-    found = np.zeros(x.shape, bool)
-    padded = np.pad(y, ((0, 0), (SHIFT, SHIFT)))
-    for d in range(2 * SHIFT + 1):
-        found |= x == padded[:, d : d + x.shape[1]]
-    return (found & (x > 0)).sum(axis=1) >= ALIKE
+def _in_common(x: np.ndarray, y: np.ndarray, alike: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Whether `alike` of the first windows' shingles lie in the second ones too, on the same side of the anchors, and over some `spread` places or more two thirds of them do."""
+    held = np.zeros(x.shape, bool)
+    name = np.arange(len(x), dtype=np.uint64)[:, None] << np.uint64(33)
+    for part in (slice(0, BESIDE + 1), slice(BESIDE + 1, None)):
+        one, other = (name | z[:, part] for z in (x, y))
+        held[:, part] = _shared(np.sort(other, axis=1).ravel(), one.ravel()).reshape(one.shape) & (x[:, part] > 0)
+    ok = held.sum(axis=1) >= alike
+    upto = np.pad(np.cumsum(3 * held.astype(np.int32) - 2, axis=1), ((0, 0), (1, 0)))
+    for width in np.unique(spread[ok]):
+        some = np.nonzero(ok & (spread == width))[0]
+        least = np.minimum.accumulate(upto[some, : upto.shape[1] - width], axis=1)
+        ok[some] = (upto[some, width:] >= least).any(axis=1)
+    return ok
 
 
 def _spans(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -389,8 +497,8 @@ def _spans(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _whole(batches: Iterator, names: tuple, flush) -> Iterator:
-    """flush over rows of whole keys (the first names), of about 50,000 rows or more."""
+def _whole(batches: Iterator, names: tuple, flush, most: int) -> Iterator:
+    """flush over rows of whole keys (the first names), of about `most` rows or more."""
     import pyarrow as pa
 
     held, size = [], 0
@@ -399,7 +507,7 @@ def _whole(batches: Iterator, names: tuple, flush) -> Iterator:
             continue
         held.append(batch)
         size += batch.num_rows
-        if size < 50_000:
+        if size < most:
             continue
         rows = pa.Table.from_batches(held).combine_chunks()
         keys = [rows[n].to_numpy() for n in names]
@@ -411,43 +519,67 @@ def _whole(batches: Iterator, names: tuple, flush) -> Iterator:
         yield from flush(pa.Table.from_batches(held))
 
 
+def _rarest(value: np.ndarray, cls: np.ndarray, around: np.ndarray, alike: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and names of the marks by which they meet others (see _by_rare_marks), by name and class; where that makes more pairs than all rows of a value that have such marks, these meet under one name."""
+    marks, places = _marks(around)
+    row, column = np.nonzero(marks)
+    name, place = mix64(marks[row, column] + value[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), places[row, column]
+    order = np.argsort(name)
+    row, name, place = row[order], name[order], place[order]
+    begins = np.nonzero(np.concatenate((np.ones(min(1, len(name)), bool), name[1:] != name[:-1])))[0]
+    if not len(begins):
+        return row, name
+    times = np.diff(np.append(begins, len(name)))
+    held = np.repeat(np.minimum.reduceat(cls[row], begins) < np.maximum.reduceat(cls[row], begins), times)
+    row, name, place, times = row[held], name[held], place[held], np.repeat(times, times)[held]
+    order = np.lexsort((name, times, row))
+    row, name, place = row[order], name[order], place[order]
+    ok = _needed_marks(row, place, alike, spread)
+    row, name = row[ok], name[ok]
+    _, of, times = np.unique(name, return_inverse=True, return_counts=True)
+    live = np.unique(row)
+    many = np.bincount(value[row], weights=times[of] if len(of) else None, minlength=len(value)) > np.bincount(value[live], minlength=len(value)) ** 2.0
+    apart, whole = ~many[value[row]], live[many[value[live]]]
+    row, name = np.concatenate((row[apart], whole)), np.concatenate((name[apart], mix64(value[whole].astype(np.uint64) + np.uint64(1))))
+    order = np.lexsort((cls[row], name))
+    return row[order], name[order]
+
+
 def _cross_meet(batches: Iterator) -> Iterator:
-    """Rows of one key and pair of blocks (u, v): all windows that lie in different classes, of documents p < q, with a run in common and alike around it."""
+    """Rows of one key and pair of blocks (u, v): documents p < q of different classes that have windows with a run in common and `alike` shingles around it, over `spread` places.
+
+    Windows meet by their rare shingles (see _by_rare_marks), not all with all.
+    """
     import pyarrow as pa
 
-    def compared(doc, around, x, y):
-        for a in range(0, len(x), 50_000):
-            m, n = x[a : a + 50_000], y[a : a + 50_000]
-            for same in (_same_run, _near):
-                ok = same(around[m], around[n])
+    def flush(rows):
+        key, u, v, mine, doc, cls, alike, spread = (rows[n].to_numpy() for n in ("key", "u", "v", "block", "doc_id", "cls", "alike", "spread"))
+        around = _around_of(rows["around"])
+        row, name = _rarest(_starts(key, u, v), cls, around, alike, spread)
+        if not len(row):
+            return
+        ends = lambda begin: begin + np.bincount(begin, minlength=len(row))[begin]
+        after = ends(_starts(name, cls[row]))  # the other classes of a name
+        later = ends(_starts(name)) - after
+        for lo, hi in _spans(np.cumsum(later), 200_000):
+            x = np.repeat(np.arange(lo, hi), later[lo:hi])
+            x, y = row[x], row[after[x] + _count_up(later[lo:hi])]
+            # pairs within one block meet where both blocks are that one
+            ok = (doc[x] != doc[y]) & ((u[x] == v[x]) | (mine[x] != mine[y]))
+            x, y = np.divmod(np.unique(np.minimum(x, y)[ok] * len(key) + np.maximum(x, y)[ok]), len(key))
+            for a in range(0, len(x), 20_000):
+                m, n = x[a : a + 20_000], y[a : a + 20_000]
+                ok = _same_run(around[m], around[n])
+                m, n = m[ok], n[ok]
+                ok = np.ones(len(m), bool)
+                for one, other in ((around[m], around[n]), (around[n], around[m])):
+                    ok &= _in_common(one, other, alike[m], spread[m])
                 m, n = m[ok], n[ok]
-            if len(m):
-                p, q = np.unique(np.stack((np.minimum(doc[m], doc[n]), np.maximum(doc[m], doc[n]))), axis=1)
-                yield pa.RecordBatch.from_pydict({"p": pa.array(p), "q": pa.array(q)})
+                if len(m):
+                    p, q = np.unique(np.stack((np.minimum(doc[m], doc[n]), np.maximum(doc[m], doc[n]))), axis=1)
+                    yield pa.RecordBatch.from_pydict({"p": pa.array(p), "q": pa.array(q)})
 
-    def flush(rows):
-        key, u, v, mine, doc, cls = (rows[n].to_numpy() for n in ("key", "u", "v", "block", "doc_id", "cls"))
-        around = np.frombuffer(b"".join(rows["around"].to_pylist()), np.uint8).reshape(rows.num_rows, 2 * BESIDE + 1)
-        value = _starts(key, u, v)
-        # a run in common takes ONE_SIDE equal shingles to the left of the anchors or to the right, so only windows with the same ones there meet
-        for side in (around[:, BESIDE - ONE_SIDE : BESIDE], around[:, BESIDE + 1 : BESIDE + 1 + ONE_SIDE]):
-            beside = np.zeros(len(key), np.uint64)
-            for cell in side.T:
-                beside = mix64(beside + cell + np.uint64(1))
-            order = np.lexsort((beside, value))
-            begin = _starts(value[order], beside[order])
-            size = np.bincount(begin, minlength=len(key))
-            later = begin + size[begin] - np.arange(len(key)) - 1
-            upto = np.cumsum(later)
-            for lo, hi in _spans(upto, 200_000):
-                x = np.repeat(np.arange(lo, hi), later[lo:hi])
-                x, y = order[x], order[x + 1 + _count_up(later[lo:hi])]
-                # pairs within one block meet where both blocks are that one
-                ok = (cls[x] != cls[y]) & (doc[x] != doc[y]) & ((u[x] == v[x]) | (mine[x] != mine[y]))
-                x, y = x[ok], y[ok]
-                yield from compared(doc, around, x, y)
-
-    yield from _whole(batches, ("key", "u", "v"), flush)
+    yield from _whole(batches, ("key", "u", "v"), flush, 2 * BLOCK)
 
 
 def _words(batches: Iterator) -> Iterator:
@@ -524,7 +656,11 @@ def _longest(i: np.ndarray, j: np.ndarray) -> list[int]:
     """Places of a longest chain that rises in both texts (patience sorting); places by i and from the last j to the first."""
     rows = np.nonzero(np.concatenate(([True], i[1:] != i[:-1])))[0]
     if len(i) > MANY * len(rows):
-        return _longest_by_rows(j, rows)
+        held = np.zeros(int(j.max()) + 1, bool)
+        held[j] = True
+        number = np.cumsum(held) - 1
+        width = int(number[-1]) + 1
+        return _longest_by_bits(number[j], width, rows) if len(rows) * width <= MOST_BITS else _longest_by_rows(j, rows)
     tails: list[int] = []
     ends: list[int] = []
     before = [-1] * len(i)
@@ -563,6 +699,34 @@ def _longest_by_rows(j: np.ndarray, rows: np.ndarray) -> list[int]:
     return _traced(before, int(ends[size - 1]))
 
 
+def _longest_by_bits(at: np.ndarray, width: int, rows: np.ndarray) -> list[int]:
+    """The same chain: after each i, the zero bits are the least ends in y of chains of each length, which one addition moves. at: places in y, numbered."""
+    full = now = (1 << width) - 1
+    states, known, ends = [now], {}, [*rows[1:].tolist(), len(at)]
+    begins = rows.tolist()
+    for lo, hi in zip(begins, ends):
+        row = at[lo:hi]
+        name = row.tobytes()
+        mask = known.get(name)
+        if mask is None:
+            bits = np.zeros(width, np.uint8)
+            bits[row] = 1
+            mask = known[name] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        on = now & mask
+        now = (now + on | now - on) & full
+        states.append(now)
+    chain, t = [], len(begins)
+    y = (~now & full).bit_length() - 1
+    while y >= 0:
+        while not states[t - 1] >> y & 1:
+            t -= 1
+        t -= 1
+        lo, hi = begins[t], ends[t]
+        chain.append(hi - 1 - int(at[lo:hi][::-1].searchsorted(y)))
+        y = (~states[t] & (1 << y) - 1).bit_length() - 1
+    return chain[::-1]
+
+
 def _traced(before, k: int) -> list[int]:
     chain = []
     while k >= 0:
@@ -655,11 +819,16 @@ def _chains(x: np.ndarray, y: np.ndarray, least: int, percent: int, apart: bool)
 
 def _diagonals(i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
     """Stretches of `least` shingles or more that both texts hold unchanged, from places (i, j)."""
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    begins = np.nonzero(np.concatenate(([True], (np.diff(j - i) != 0) | (np.diff(i) != 1))))[0]
+    if not len(i):
+        return []
+    beyond = int(i.max()) + 2  # so that the end of one diagonal is not beside the start of the next
+    along = np.sort((j - i) * beyond + i)
+    begins = np.nonzero(np.concatenate(([True], np.diff(along) != 1)))[0]
+    off, i = np.divmod(along, beyond)
+    j = i + off
     sizes = np.diff(np.append(begins, len(i)))
-    return [(int(i[b]), int(i[b] + n), int(j[b]), int(j[b] + n)) for b, n in zip(begins, sizes) if n >= least]
+    begins, sizes = begins[sizes >= least], sizes[sizes >= least]
+    return [(int(i[b]), int(i[b] + n), int(j[b]), int(j[b] + n)) for b, n in zip(begins, sizes)]
 
 
 def _sets(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -774,15 +943,29 @@ def _verified(docs: DataFrame, pairs: DataFrame, least_words: int, percent: int,
     return dealt.mapInArrow(_verify(least_words, percent), ", ".join(f"{n} long" for n in _FOUND))
 
 
-def _shared_runs(docs: DataFrame, label: DataFrame, least_words: int) -> DataFrame:
-    """Windows (key, doc_id, around) of values that lie in two classes or more, with the class (cls), dealt to pairs of blocks (u, v), so that no task holds more than two blocks of a value."""
+def _shared_runs(docs: DataFrame, label: DataFrame, least_words: int, alike: int = ALIKE, spread: int = 1, keep: Callable = lambda df, tag: df) -> DataFrame:
+    """Windows (key, doc_id, around) of values that lie in two classes or more, with the class (cls), dealt to pairs of blocks (u, v), so that no task holds more than two blocks of a value.
+
+    Values of more than one block are parted by rare shingles first; see _by_rare_marks. alike, spread: how many shingles two windows must have in common, and over how many places.
+    """
     labelled = docs.join(label, docs["doc_id"] == label["u"], "left").select("doc_id", F.coalesce("v", "doc_id").alias("cls"), "text")
-    rows = labelled.mapInArrow(_run_windows(least_words), "key long, doc_id long, cls long, around binary")
     of = Window.partitionBy("key")
-    rows = rows.withColumns({"n": F.count(F.lit(1)).over(of), "a": F.min("cls").over(of), "b": F.max("cls").over(of)}).filter("a < b")
+    places = labelled.mapInArrow(_run_places(least_words), "key long, doc_id long, cls long, at int")
+    places = places.withColumns({"n": F.count(F.lit(1)).over(of), "a": F.min("cls").over(of), "b": F.max("cls").over(of)}).filter("a < b")
+    places = keep(places.select("key", "doc_id", "cls", "at", "n"), "run-places")
+    by_doc = places.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("key", "n", "at")).alias("held"))
+    by_doc = by_doc.select(F.col("doc_id").alias("d"), "cls", F.col("held.key").alias("keys"), F.col("held.n").alias("n"), F.col("held.at").alias("at"))
+    needed = places.select(F.col("doc_id").alias("d")).distinct()
+    if needed.count() <= MOST_BROADCAST:
+        docs = docs.join(F.broadcast(needed), docs["doc_id"] == needed["d"], "left_semi")
+    rows = docs.join(by_doc, docs["doc_id"] == by_doc["d"]).select("doc_id", "cls", "text", "keys", "n", "at")
+    rows = keep(rows.mapInArrow(_surroundings, "key long, n long, doc_id long, cls long, around binary"), "runs")
+    if not places.filter(F.col("n") > BLOCK).isEmpty():
+        rows = rows.filter(F.col("n") <= BLOCK).unionByName(_by_rare_marks(rows.filter(F.col("n") > BLOCK), alike, spread))
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "around"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return rows.select("key", "doc_id", "cls", "around", "block", other).select("key", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "doc_id", "cls", "around")
+    rows = rows.select("key", "doc_id", "cls", "around", "block", other)
+    return rows.select("key", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "block", "doc_id", "cls", "around", F.lit(alike).alias("alike"), F.lit(spread).alias("spread"))
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = 75) -> DataFrame:
@@ -839,10 +1022,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     label = stars(found.select(F.col("p").alias("u"), F.col("q").alias("v")), keep)
 
     # what is not in one class by now meets wherever it shares a run
-    runs = keep(_shared_runs(docs, label, least_words), "runs")
+    runs = _shared_runs(docs, label, least_words, HELD, SPREAD, keep)
     crossing = runs.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(_cross_meet, "p long, q long").distinct()
     crossing = keep(crossing.join(candidates, ["p", "q"], "left_anti"), "crossing-pairs")
-    scratch.drop(runs)
     if not crossing.isEmpty():
         found = keep(found.unionByName(_verified(docs, crossing, least_words, percent, scratch)), "all-passages")
 

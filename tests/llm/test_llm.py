@@ -357,6 +357,21 @@ def test_all_windows_of_two_classes_meet_in_blocks(spark, monkeypatch):
     assert {(r.p, r.q) for r in met} == {(p, q) for q in range(40) for p in range(q) if p % 3 != q % 3}
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_a_common_phrase_brings_no_documents_together(spark, monkeypatch, block):
+    """Sixty documents share a phrase of 45 words, which is no passage: only the two that share a passage around it meet, though its words differ in three places."""
+    draw = np.random.default_rng(23)
+    noise = lambda n: [f"n{x}" for x in draw.integers(0, 10**9, n)]
+    phrase, passage = noise(45), noise(120)
+    changed = [f"c{i}" if i in (10, 40, 100) else w for i, w in enumerate(passage)]
+    rows = [(i, " ".join([*noise(80), *phrase, *noise(80)])) for i in range(60)]
+    rows += [(60 + k, " ".join([*noise(30), *text[:60], *phrase, *text[60:], *noise(30)])) for k, text in enumerate((passage, changed))]
+    monkeypatch.setattr(passages, "BLOCK", block)
+    dealt = passages._shared_runs(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 0)], "u long, v long"), 50, passages.HELD, passages.SPREAD)
+    met = dealt.repartition(3, "key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(passages._cross_meet, "p long, q long").distinct().collect()
+    assert [(r.p, r.q) for r in met] == [(60, 61)]
+
+
 def test_pairs_without_a_passage_are_told_before_they_are_aligned(monkeypatch):
     """A pair that shares a passage is never turned away; one that shares 45 equal words and one that differs in every fifteenth word are."""
     draw = np.random.default_rng(21)
