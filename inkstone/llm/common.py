@@ -12,7 +12,7 @@ from inkstone.plans.kept import Scratch, dropped, folder, kept
 
 #: Tables in the shared folder: kept once, dropped when nothing reads them any more.
 keep, drop_kept, shared_folder = kept, dropped, folder
-__all__ = ["Scratch", "WORD_PATTERN", "WordHasher", "drop_kept", "keep", "mix64", "n_words", "shared_folder", "shingle_hashes", "slices", "table", "words_of"]
+__all__ = ["Scratch", "WORD_PATTERN", "WordHasher", "drop_kept", "hashed_words", "keep", "mix64", "n_words", "shared_folder", "shingle_hashes", "slices", "table", "words_of"]
 
 #: A word: a longest run without ASCII space and without the characters 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -70,6 +70,24 @@ class WordHasher:
         return np.array(out, dtype=np.uint64)
 
 
+def hashed_words(column) -> tuple[np.ndarray, np.ndarray]:
+    """WordHasher's hashes of the lower-cased words of an Arrow column of texts, text after text, and how many words each text has (null: none)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, sizes = words.flatten(), np.asarray(pc.list_value_length(words)).astype(np.int64)
+    real = np.asarray(pc.binary_length(flat)) > 0  # white space at a text's ends parts off empty words
+    if not real.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        flat = flat.filter(pa.array(real))
+    told = flat.dictionary_encode()
+    each = told.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))
+    return (hashes[told.indices.to_numpy()] if len(each) else hashes), sizes
+
+
 #: Odd multipliers, one for each place of a shingle.
 _TIMES = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 

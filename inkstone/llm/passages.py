@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, WordHasher, mix64, shingle_hashes, slices, words_of
+from .common import Scratch, hashed_words, mix64, shingle_hashes, slices, words_of
 from .components import stars
 
 HASHES, WIDTH, LEAST_WORDS = 8, 5, 50
@@ -66,26 +66,40 @@ def _tree(values: np.ndarray, least: int) -> np.ndarray:
     low = _slide(np.minimum, values, least)
     pad = np.zeros(least - 1, values.dtype)
     places = np.nonzero((_slide(np.maximum, np.concatenate((pad, low, pad)), least) == values) | (values == 0))[0]
-    vals, at = values[places].tolist(), places.tolist()
-    left, right, said = [0] * len(at), [-1] * len(at), [0] * len(at)
-    stack: list[int] = []
-    for i, x in enumerate(vals):
-        while stack and vals[stack[-1]] > x:
-            right[stack.pop()] = at[i] - 1
-        if x == 0:
-            stack.clear()
-        elif stack:
-            j = stack[-1]
-            left[i] = at[j] + 1
-            if vals[j] == x and at[i] - at[said[j]] < least:
-                said[i] = said[j]
-                stack.append(i)
-                left[i] = at[i] + 1  # no window of its own
-                continue
-        said[i] = i
-        stack.append(i)
-    found = np.stack((np.array(left, np.int64), places, np.array(right, np.int64)), axis=1)
-    return found[(found[:, 2] - found[:, 0] + 1 >= least) & (values[places] > 0)]
+    vals = values[places]
+    before, after = _smaller(vals), len(vals) - 1 - _smaller(vals[::-1], strict=True)[::-1]
+    left = np.where(before >= 0, places[np.maximum(before, 0)] + 1, 0)
+    right = np.where(after < len(vals), places[np.minimum(after, len(vals) - 1)] - 1, -1)
+    equal = np.nonzero((before >= 0) & (vals[np.maximum(before, 0)] == vals) & (vals > 0))[0]
+    said = np.arange(len(vals))
+    for i, j in zip(equal.tolist(), before[equal].tolist()):
+        if places[i] - places[said[j]] < least:
+            said[i] = said[j]
+            left[i] = places[i] + 1  # no window of its own
+    found = np.stack((left, places, right), axis=1)
+    return found[(right - left + 1 >= least) & (vals > 0)]
+
+
+def _smaller(values: np.ndarray, strict: bool = False) -> np.ndarray:
+    """For each place the nearest one before it whose value is no larger (strict: smaller), -1 if there is none; zeros look no further than one place.
+
+    All places look on at once from where what they met looks to. Places that still look after many rounds, since
+    they must pass many that have ended, go one by one, as on a stack.
+    """
+    at = np.arange(-1, len(values) - 1)
+    on = np.nonzero(values[1:] > 0)[0] + 1
+    for _ in range(32):
+        met = values[at[on]]
+        on = on[(at[on] >= 0) & ((met >= values[on]) & (met > 0) if strict else met > values[on])]
+        if not len(on):
+            return at
+        at[on] = at[at[on]]
+    for i in on.tolist():
+        j, x = int(at[i]), values[i]
+        while j >= 0 and values[j] and (values[j] >= x if strict else values[j] > x):
+            j = int(at[j])
+        at[i] = j
+    return at
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -96,6 +110,20 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return [tuple(w) for w in (found - 1).tolist()]
 
 
+def _lines(batch, least_words: int, pad: int):
+    """The batch's rows whose documents have an id and words enough, their shingles in one line with `pad` zeros before, between and after the texts, and where
+    each text begins and ends there."""
+    words, sizes = hashed_words(batch.column("text"))
+    some = np.nonzero((sizes >= max(least_words, WIDTH)) & np.asarray(batch.column("doc_id").is_valid()))[0]
+    shingles = shingle_hashes(words, WIDTH) if len(some) else words[:0]  # those over a text's end are left out
+    count = sizes[some] - WIDTH + 1
+    begins = pad + np.cumsum(count + pad) - (count + pad)
+    line = np.zeros(pad + int((count + pad).sum()), np.uint64)
+    at = _count_up(count)
+    line[np.repeat(begins, count) + at] = shingles[np.repeat((np.cumsum(sizes) - sizes)[some], count) + at]
+    return some, line, begins, begins + count
+
+
 _ROWS = "key long, salt int, doc_id long, span long, around int"
 
 
@@ -122,22 +150,11 @@ def _windows(least_words: int, hot: np.ndarray):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashed = WordHasher()
         for batch in slices(batches, "text", 1_000_000):
-            docs, pieces, begins, upto = [], [np.zeros(1, np.uint64)], [], 1
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(text, lower=True)
-                if doc is None or len(words) < least_words:
-                    continue
-                shingles = shingle_hashes(hashed(words), WIDTH)
-                docs.append(doc)
-                begins.append(upto)
-                pieces += [shingles, np.zeros(1, np.uint64)]
-                upto += len(shingles) + 1
-            if not docs:
+            some, line, begins, ends = _lines(batch, least_words, 1)
+            if not len(some):
                 continue
-            line, begins, docs = np.concatenate(pieces), np.array(begins), np.array(docs, np.int64)
-            parted, ends = line == 0, np.append(begins[1:] - 1, upto - 1)
+            docs, parted = np.asarray(batch.column("doc_id").take(pa.array(some))).astype(np.int64), line == 0
             for k in range(HASHES):
                 values = mix64(line + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
                 values[parted] = 0
@@ -153,6 +170,47 @@ def _windows(least_words: int, hot: np.ndarray):
     return run
 
 
+#: A bucket of values holds the windows of so many words, unless that makes too many or too few buckets; windows that are dealt to buckets at once.
+BUCKET_WORDS, BUCKETS, MOST_WORDS, DEALT = 60_000, (64, 4096), 10_000_000, 500_000
+_BUCKETS = "bucket int, key binary, salt binary, doc_id binary, span binary, around binary"
+_KINDS = {"key": np.int64, "salt": np.int8, "doc_id": np.int64, "span": np.int64, "around": np.int32}
+
+
+def _buckets(words: int) -> int:
+    return max(min(max(words // BUCKET_WORDS, BUCKETS[0]), BUCKETS[1]), words // MOST_WORDS)
+
+
+def _bucketed(least_words: int, hot: np.ndarray, buckets: int):
+    """The windows of _windows, those of one bucket of values (and salts) side by side in one row for each column, so that few rows are shuffled."""
+    windows = _windows(least_words, hot)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def dealt(held):
+            columns = {n: np.concatenate([b.column(n).to_numpy() for b in held]).astype(kind) for n, kind in _KINDS.items()}
+            mixed = columns["key"].view(np.uint64) + columns["salt"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bucket = (mix64(mixed) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            sizes = np.bincount(bucket, minlength=buckets)
+            some = np.nonzero(sizes)[0]
+            upto = np.concatenate(([0], np.cumsum(sizes[some])))
+            cell = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((upto * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x[order].tobytes())])
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(some.astype(np.int32))} | {n: cell(x) for n, x in columns.items()})
+
+        held, size = [], 0
+        for batch in windows(batches):
+            held.append(batch)
+            size += batch.num_rows
+            if size > DEALT:
+                yield dealt(held)
+                held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    return run
+
+
 def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, and how far the window goes to the left and right."""
     return span >> 32, span >> 16 & 65_535, span & 65_535
@@ -172,20 +230,23 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _meet(sides: bool):
-    """Rows of whole values, sorted by key, salt, document and span: each window meets the first of its value and salt, if a shingle beside the anchors
+    """Rows of whole buckets of values, sorted by bucket, or without `sides` windows sorted by key: each window meets the first of its value and salt by document and span, if a shingle beside the anchors
     agrees, and with `sides` the firsts of those that have the same shingles to the left or to the right of the anchor.
 
-    p, q, place: documents in order, and function, anchor in p and how far both windows allow a passage to go from it, packed. The firsts of
-    salted values go on (again) under a key that tells what they are the first of, to meet those of the other salts.
+    p, q, low, high, held: documents in order, where a passage around both anchors can lie in p, and the functions (bits) that say so; what overlaps is one
+    row (see _joined). The firsts of salted values go on (held is 0, low the span) under a key that tells what they are the first of, to meet those of the other salts.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def flush(key, salt, doc, span, around):
-            lone = _starts(key, salt)
-            size = np.bincount(lone, minlength=len(key))[lone]
-            some = (size > 1) | (salt > 0)
+            order = np.argsort(key, kind="stable")
+            key, salt, doc, span, around = (x[order] for x in (key, salt, doc, span, around))
+            lone = _starts(key)
+            some = np.nonzero((np.bincount(lone, minlength=len(key))[lone] > 1) | (salt > 0))[0]
+            some = some[np.lexsort((span[some], doc[some], salt[some], key[some]))]
             key, salt, doc, span, around = (x[some] for x in (key, salt, doc, span, around))
             at = np.arange(len(key))
             lone = _starts(key, salt)
@@ -208,83 +269,108 @@ def _meet(sides: bool):
             couple = np.unique(np.concatenate(couples)) if len(couples) > 1 else couples[0]
             x, y = (couple // max(1, len(key)), couple % max(1, len(key)))  # the first of the two holds the smaller document
             (cx, bx, ax), (_, by, ay) = _unpack(span[x]), _unpack(span[y])
-            place = (cx << 35) | (np.minimum(bx, by) << 19) | (np.minimum(ax, ay) << 3) | (key[x] & 7)
+            pairs = _joined(doc[x], doc[y], cx - np.minimum(bx, by), cx + np.minimum(ax, ay), 1 << (key[x] & 7))
             more = np.concatenate(again, axis=1)
-            columns = [(doc[x], more[1]), (doc[y], more[1]), (place, more[2]), (np.zeros(len(x), np.int64), more[0]), (np.zeros(len(x), bool), np.ones(more.shape[1], bool))]
-            return pa.RecordBatch.from_pydict({n: pa.array(np.concatenate(c)) for n, c in zip(("p", "q", "place", "key", "again"), columns)})
-
+            return pairs, (more[1], more[0], more[2], more[2], np.zeros(more.shape[1], np.int64))
+
+        def joined(key, salt, doc, span, around):
+            """Rows that are done with; what a task has met so far is joined anew as long as that makes it fewer."""
+            nonlocal met
+            now, again = flush(key, salt, doc, span, around)
+            met = [*met, now]
+            if len(again[0]):
+                yield again
+            if sum(len(x[0]) for x in met) > 400_000:
+                met = [_joined(*(np.concatenate(x) for x in zip(*met)))]
+                if len(met[0][0]) > 200_000:
+                    yield met.pop()
+
+        def columns_of(batch):
+            """What tells which windows come together, then the windows' columns."""
+            if not sides:
+                columns = [np.asarray(batch.column(n)).astype(np.int64) for n in _KINDS]
+                return [columns[0], *columns]
+            columns = [np.frombuffer(b"".join(batch.column(n).to_pylist()), kind).astype(np.int64) for n, kind in _KINDS.items()]
+            sizes = np.asarray(pc.binary_length(batch.column("salt")))
+            return [np.repeat(np.asarray(batch.column("bucket")).astype(np.int64), sizes), *columns]
+
+        rows = lambda x: pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in zip(("p", "q", "low", "high", "held"), x)})
+        met: list[tuple[np.ndarray, ...]] = []
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, "span", 1_600_000) if sides else batches:
             if batch.num_rows == 0:
                 continue
-            held.append([np.asarray(batch.column(n)).astype(np.int64) for n in ("key", "salt", "doc_id", "span", "around")])
-            size += batch.num_rows
+            held.append(columns_of(batch))
+            size += len(held[-1][0])
             if size < 200_000:
                 continue
             columns = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last value may go on
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last one's rows may go on
             if cut:
-                yield flush(*(x[:cut] for x in columns))
+                yield from map(rows, joined(*(x[:cut] for x in columns[1:])))
             held, size = [[x[cut:] for x in columns]], 0
         if held:
-            yield flush(*(np.concatenate(x) for x in zip(*held)))
+            yield from map(rows, joined(*[np.concatenate(x) for x in zip(*held)][1:]))
+        if met:
+            yield rows(_joined(*(np.concatenate(x) for x in zip(*met))))
 
     return run
 
 
-#: Rows that go on hold document and span in p and place.
-_MET = "p long, q long, place long, key long, again boolean"
+#: Rows that go on hold document, key and span in p, q and low.
+_MET = "p long, q long, low long, high long, held long"
 
 
-def agreeing(p: np.ndarray, q: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of which AGREE functions or more have windows that overlap along p; rows sorted by (p, q, place), pairs whole.
+def _joined(p: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (p, q, low, high, functions held) with those of one pair that overlap along p as one; of a pair that AGREE functions hold already, one row is left.
 
-    Interval join: a run goes on while the next interval begins before the farthest end of those in it.
+    Interval join: a run goes on while the next interval begins before the farthest end of those in it. Runs that are joined early
+    become the same runs as those joined at the end.
     """
-    anchor, before, after, function = place >> 35, place >> 19 & 65_535, place >> 3 & 65_535, place & 7
+    if not len(p):
+        return p, q, low, high, held
+    order = np.lexsort((low, q, p))
+    p, q, low, high, held = (x[order] for x in (p, q, low, high, held))
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
     group = np.cumsum(new) - 1
-    # intervals in the order of where they begin, pair by pair
-    order = np.lexsort((anchor - before, group))
-    group, low, high, function = group[order], (anchor - before)[order], (anchor + after)[order], function[order]
     far = np.maximum.accumulate(high + group * (1 << 32)) - group * (1 << 32)
-    begins = np.ones(len(p), bool)
-    begins[1:] = (group[1:] != group[:-1]) | (low[1:] > far[:-1])
+    begins = new.copy()
+    begins[1:] |= low[1:] > far[:-1]
     starts = np.nonzero(begins)[0]
-    if not len(starts):
-        return p[:0], q[:0]
-    held = np.bitwise_or.reduceat(1 << function, starts)
+    held = np.bitwise_or.reduceat(held, starts)
+    ends = np.append(starts[1:], len(p)) - 1
+    # a pair that is found needs no other row
+    enough = np.bitwise_count(held.astype(np.uint64)) >= AGREE
+    group = group[starts]
+    found = np.zeros(group[-1] + 1, bool)
+    found[group[enough]] = True
+    stay = ~found[group]
+    stay[np.nonzero(enough)[0][np.unique(group[enough], return_index=True)[1]]] = True
+    return p[starts][stay], q[starts][stay], low[starts][stay], far[ends][stay], held[stay]
+
+
+def _found_pairs(p: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p, q, _, _, held = _joined(p, q, low, high, held)
     enough = np.bitwise_count(held.astype(np.uint64)) >= AGREE
-    pair = order[starts[enough]]
-    keys = np.unique(np.stack((p[pair], q[pair])), axis=1)
-    return keys[0], keys[1]
+    return p[enough], q[enough]
+
+
+def agreeing(p: np.ndarray, q: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of which AGREE functions or more have windows that overlap along p; place: anchor, how far the window goes to its left and right, and function, packed."""
+    anchor, before, after, function = place >> 35, place >> 19 & 65_535, place >> 3 & 65_535, place & 7
+    return _found_pairs(p, q, anchor - before, anchor + after, 1 << function)
 
 
 def _agree(batches: Iterator) -> Iterator:
+    """The pairs that AGREE functions hold, from rows sorted by pair."""
     import pyarrow as pa
 
-    held, size = [], 0
-
-    def out(columns):
-        p, q = agreeing(*columns)
-        return pa.RecordBatch.from_pydict({"p": pa.array(p), "q": pa.array(q)})
+    def flush(rows):
+        p, q = _found_pairs(*(rows[n].to_numpy() for n in ("p", "q", "low", "high", "held")))
+        yield pa.RecordBatch.from_pydict({"p": pa.array(p), "q": pa.array(q)})
 
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        held.append([np.asarray(batch.column(n)).astype(np.int64) for n in ("p", "q", "place")])
-        size += batch.num_rows
-        if size < 200_000:
-            continue
-        columns = [np.concatenate(x) for x in zip(*held)]
-        last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])  # the last pair may go on
-        cut = int(np.argmax(last))
-        if cut:
-            yield out([x[:cut] for x in columns])
-        held, size = [[x[cut:] for x in columns]], 0
-    if held:
-        yield out([np.concatenate(x) for x in zip(*held)])
+    yield from _whole(batches, ("p", "q"), flush, 200_000)
 
 
 def _selected(values: np.ndarray, least: int) -> np.ndarray:
@@ -338,22 +424,11 @@ def _run_places(least_words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashed, pad = WordHasher(), np.zeros(RUN, np.uint64)
         for batch in slices(batches, "text", 1_000_000):
-            docs, classes, pieces, begins, upto = [], [], [pad], [], RUN
-            for doc, cls, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "cls", "text"))):
-                words = words_of(text, lower=True)
-                if doc is None or len(words) < least_words:
-                    continue
-                shingles = shingle_hashes(hashed(words), WIDTH)
-                docs.append(doc)
-                classes.append(cls)
-                begins.append(upto)
-                pieces += [shingles, pad]
-                upto += len(shingles) + RUN
-            if not docs:
+            some, line, begins, _ = _lines(batch, least_words, RUN)
+            if not len(some):
                 continue
-            line, begins, docs, classes = np.concatenate(pieces), np.array(begins), np.array(docs, np.int64), np.array(classes, np.int64)
+            docs, classes = (np.asarray(batch.column(n).take(pa.array(some))).astype(np.int64) for n in ("doc_id", "cls"))
             values = mix64(line + np.uint64(0x9E3779B97F4A7C15))
             values[line == 0] = 0
             c = _thinned(line, _selected(values, RUN))
@@ -363,26 +438,33 @@ def _run_places(least_words: int):
     return run
 
 
+#: An odd number and its inverse among 64-bit numbers.
+_POWERS = (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
 def _surroundings(batches: Iterator) -> Iterator:
     """32 bits of each shingle up to BESIDE places to either side of the places of a text, zero beyond the text; windows of a text with the same key and surroundings are one row."""
     import pyarrow as pa
 
-    hashed, pad, wide = WordHasher(), np.zeros(BESIDE, np.uint32), 2 * BESIDE + 1
-    times = mix64(np.arange(1, wide + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    wide = 2 * BESIDE + 1
     for batch in slices(batches, "text", 1_000_000):
-        lines, upto, at = [pad], BESIDE, []
-        for text, places in zip(batch.column("text").to_pylist(), batch.column("at")):
-            shingles = shingle_hashes(hashed(words_of(text, lower=True)), WIDTH)
-            lines += [np.maximum(shingles >> np.uint64(32), np.uint64(1)).astype(np.uint32), pad]
-            at.append(places.values.to_numpy() + upto)
-            upto += len(shingles) + BESIDE
+        _, line, begins, ends = _lines(batch, 0, BESIDE)
+        lines = np.zeros(len(line), np.uint32)
+        inside = np.repeat(begins, ends - begins) + _count_up(ends - begins)
+        lines[inside] = np.maximum(line[inside] >> np.uint64(32), np.uint64(1))
+        at = [places.values.to_numpy() + begin for places, begin in zip(batch.column("at"), begins)]
         sizes = [len(x) for x in at]
-        around = np.lib.stride_tricks.sliding_window_view(np.concatenate(lines), wide)[np.concatenate(at) - BESIDE]
+        at = np.concatenate(at) - BESIDE
+        # sums of a window's shingles times powers of one number tell windows apart: differences of sums up to their ends, brought to the same power
+        powers, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(lines), x, np.uint64)))) for x in _POWERS)
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lines * powers[:-1])))
+        sums = (upto[at + wide] - upto[at]) * back[at]
         doc, cls = (np.repeat(batch.column(name).to_numpy(), sizes) for name in ("doc_id", "cls"))
         key, n = (batch.column(name).flatten().to_numpy() for name in ("keys", "n"))
-        told = mix64(mix64(key.view(np.uint64) + (around * times).sum(axis=1, dtype=np.uint64)) + doc.view(np.uint64))
+        told = mix64(mix64(key.view(np.uint64) + mix64(sums)) + doc.view(np.uint64))
         once = np.sort(np.unique(told, return_index=True)[1])
-        cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * wide), len(once), [None, pa.py_buffer(np.ascontiguousarray(around[once]).tobytes())])
+        around = np.lib.stride_tricks.sliding_window_view(lines, wide)[at[once]]
+        cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * wide), len(once), [None, pa.py_buffer(around.tobytes())])
         yield pa.RecordBatch.from_pydict({"key": pa.array(key[once]), "n": pa.array(n[once]), "doc_id": pa.array(doc[once]), "cls": pa.array(cls[once]), "around": cells.cast(pa.binary())})
 
 
@@ -567,8 +649,8 @@ def _cross_meet(batches: Iterator) -> Iterator:
             # pairs within one block meet where both blocks are that one
             ok = (doc[x] != doc[y]) & ((u[x] == v[x]) | (mine[x] != mine[y]))
             x, y = np.divmod(np.unique(np.minimum(x, y)[ok] * len(key) + np.maximum(x, y)[ok]), len(key))
-            for a in range(0, len(x), 20_000):
-                m, n = x[a : a + 20_000], y[a : a + 20_000]
+            for a in range(0, len(x), 4000):
+                m, n = x[a : a + 4000], y[a : a + 4000]
                 ok = _same_run(around[m], around[n])
                 m, n = m[ok], n[ok]
                 ok = np.ones(len(m), bool)
@@ -586,10 +668,12 @@ def _words(batches: Iterator) -> Iterator:
     """32 bits of each word's hash: two shingles that differ are taken for one once in four thousand million."""
     import pyarrow as pa
 
-    hashed = WordHasher()
     for batch in slices(batches, "text", 1_000_000):
-        words = [(hashed(words_of(x, lower=True)) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "words": pa.array(words, pa.binary())})
+        words, sizes = hashed_words(batch.column("text"))
+        upto = np.concatenate(([0], np.cumsum(4 * sizes))).astype(np.int32)
+        raw = np.ascontiguousarray((words >> np.uint64(32)).astype(np.uint32))
+        cells = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(upto.tobytes()), pa.py_buffer(raw.tobytes())])
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "words": cells})
 
 
 def _places(x: np.ndarray, y: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -623,12 +707,9 @@ def _places(x: np.ndarray, y: np.ndarray, apart: bool) -> tuple[np.ndarray, np.n
         some = [(np.repeat(i[~ranked], copies[~ranked]), np.repeat(low[~ranked], copies[~ranked]) + _count_up(copies[~ranked]))]
         some += [(i[ok], (low + nth)[ok]) for nth in (front, back) for ok in (ranked & (nth >= 0) & (nth < copies),)]
         i, at = (np.concatenate(z) for z in zip(*some))
-        i, at = np.divmod(_distinct(i * len(y) + at), len(y))
-    else:
-        at = low
-    j = order_y[at]
-    order = np.lexsort((-j, i))
-    return i[order], j[order]
+        i, back = np.divmod(_distinct(i * len(y) + (len(y) - 1 - order_y[at])), len(y))
+        return i, len(y) - 1 - back
+    return i, order_y[low]
 
 
 def _count_up(sizes: np.ndarray) -> np.ndarray:
@@ -641,11 +722,14 @@ def _boxes(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
     out, todo = [], [np.arange(len(i))]
     while todo:
         box = todo.pop()
-        for along in (i, j):
-            order = np.argsort(along[box], kind="stable")
-            cuts = np.nonzero(np.diff(along[box][order]) > WIDEST)[0] + 1
+        for along in (i[box], j[box]):
+            held = np.zeros(int(along.max()) + 1, bool)
+            held[along] = True
+            at = np.flatnonzero(held)
+            cuts = at[1:][np.diff(at) > WIDEST]  # where a part begins
             if len(cuts):
-                todo += [np.sort(part) for part in np.split(box[order], cuts)]
+                part = np.searchsorted(cuts, along, "right")
+                todo += np.split(box[np.argsort(part, kind="stable")], np.cumsum(np.bincount(part))[:-1])
                 break
         else:
             out.append(box)
@@ -702,29 +786,26 @@ def _longest_by_rows(j: np.ndarray, rows: np.ndarray) -> list[int]:
 def _longest_by_bits(at: np.ndarray, width: int, rows: np.ndarray) -> list[int]:
     """The same chain: after each i, the zero bits are the least ends in y of chains of each length, which one addition moves. at: places in y, numbered."""
     full = now = (1 << width) - 1
-    states, known, ends = [now], {}, [*rows[1:].tolist(), len(at)]
-    begins = rows.tolist()
-    for lo, hi in zip(begins, ends):
-        row = at[lo:hi]
-        name = row.tobytes()
-        mask = known.get(name)
-        if mask is None:
-            bits = np.zeros(width, np.uint8)
-            bits[row] = 1
-            mask = known[name] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
-        on = now & mask
+    sizes = np.diff(np.append(rows, len(at)))
+    _, first, name = np.unique(np.add.reduceat(mix64(at.astype(np.uint64) + np.uint64(1)), rows), return_index=True, return_inverse=True)
+    states, masks = [now], []
+    for r in first.tolist():
+        bits = np.zeros(width, np.uint8)
+        bits[at[rows[r] : rows[r] + sizes[r]]] = 1
+        masks.append(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"))
+    for x in name.tolist():
+        on = now & masks[x]
         now = (now + on | now - on) & full
         states.append(now)
-    chain, t = [], len(begins)
+    chain, t = [], len(rows)
     y = (~now & full).bit_length() - 1
     while y >= 0:
         while not states[t - 1] >> y & 1:
             t -= 1
         t -= 1
-        lo, hi = begins[t], ends[t]
-        chain.append(hi - 1 - int(at[lo:hi][::-1].searchsorted(y)))
+        chain.append(t * width + width - 1 - y)
         y = (~states[t] & (1 << y) - 1).bit_length() - 1
-    return chain[::-1]
+    return np.searchsorted(np.repeat(np.arange(len(rows)), sizes) * width + (width - 1 - at), chain[::-1]).tolist()
 
 
 def _traced(before, k: int) -> list[int]:
@@ -809,26 +890,36 @@ def _chains(x: np.ndarray, y: np.ndarray, least: int, percent: int, apart: bool)
             if len(chain) < fewest:
                 break
             _cut(x, y, i[box[chain]], j[box[chain]], least, percent, out)
-            box = box[~np.isin(i[box], i[box[chain]])]
+            used = np.zeros(int(i[box[-1]]) + 1, bool)
+            used[i[box[chain]]] = True
+            box = box[~used[i[box]]]
     # a chain may have taken its places from several repetitions; stretches that are the same in both are found all the same
-    for found in sorted(_diagonals(i, j, least), key=lambda s: s[0] - s[1]):
-        if not any(2 * (min(b, found[1]) - max(a, found[0])) > found[1] - found[0] for a, b, _, _ in out):
-            out.append(found)
+    straight = _diagonals(i, j, least)
+    straight = straight[np.argsort(straight[:, 0] - straight[:, 1], kind="stable")]
+    for a, b, _, _ in out:
+        straight = straight[~_overlap(straight, a, b)]
+    while len(straight):  # the longest that is left
+        out.append(tuple(straight[0].tolist()))
+        straight = straight[1:][~_overlap(straight[1:], *out[-1][:2])]
     return sorted(out)
 
 
-def _diagonals(i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+def _overlap(found: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Which ranges of places have over half of their places in [a, b)."""
+    return 2 * (np.minimum(found[:, 1], b) - np.maximum(found[:, 0], a)) > found[:, 1] - found[:, 0]
+
+
+def _diagonals(i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
     """Stretches of `least` shingles or more that both texts hold unchanged, from places (i, j)."""
     if not len(i):
-        return []
+        return np.zeros((0, 4), np.int64)
     beyond = int(i.max()) + 2  # so that the end of one diagonal is not beside the start of the next
     along = np.sort((j - i) * beyond + i)
     begins = np.nonzero(np.concatenate(([True], np.diff(along) != 1)))[0]
-    off, i = np.divmod(along, beyond)
-    j = i + off
-    sizes = np.diff(np.append(begins, len(i)))
+    sizes = np.diff(np.append(begins, len(along)))
     begins, sizes = begins[sizes >= least], sizes[sizes >= least]
-    return [(int(i[b]), int(i[b] + n), int(j[b]), int(j[b] + n)) for b, n in zip(begins, sizes)]
+    off, i = np.divmod(along[begins], beyond)
+    return np.stack((i, i + sizes, i + off, i + off + sizes), axis=1)
 
 
 def _sets(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -1007,13 +1098,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, percent:
     if not repeated.isEmpty():  # rows that share a doc_id
         several = docs.join(repeated, docs["doc_id"] == repeated["d"], "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.size(F.split("text", r"[\x20\x09-\x0D]+")), "text"))["text"].alias("text"))
         docs = docs.join(repeated, docs["doc_id"] == repeated["d"], "left_anti").unionByName(several)
-    rows = docs.mapInArrow(_windows(least_words, _hot_values(docs, least_words, keep)), _ROWS)
-    met = keep(rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "span").mapInArrow(_meet(True), _MET), "met-windows")
+    buckets = _buckets(prints.agg(F.sum("n")).first()[0] or 0)
+    rows = docs.mapInArrow(_bucketed(least_words, _hot_values(docs, least_words, keep), buckets), _BUCKETS)
+    met = keep(rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(True), _MET), "met-windows")
     zero = F.lit(0)
-    firsts = met.filter("again").select("key", zero.alias("salt"), F.col("p").alias("doc_id"), F.col("place").alias("span"), zero.alias("around"))
-    second = firsts.repartition("key").sortWithinPartitions("key", "doc_id", "span").mapInArrow(_meet(False), _MET)
-    pairs = met.filter("not again").select("p", "q", "place").unionByName(second.select("p", "q", "place"))
-    candidates = pairs.repartition("p", "q").sortWithinPartitions("p", "q", "place").mapInArrow(_agree, "p long, q long")
+    firsts = met.filter("held = 0").select(F.col("q").alias("key"), zero.alias("salt"), F.col("p").alias("doc_id"), F.col("low").alias("span"), zero.alias("around"))
+    second = firsts.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(False), _MET)
+    pairs = met.filter("held > 0").unionByName(second)
+    candidates = pairs.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(_agree, "p long, q long")
     candidates = keep(candidates, "passage-pairs")
     scratch.drop(met)
 
