@@ -335,7 +335,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     score. An empty table gives no rows; a table all held out has N = 0 and uniform shares. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    packs = keep(docs.select("doc_id", "text").mapInArrow(_encode, _PACKS), "packs")
+    packs = keep(docs.select("doc_id", "text").mapInArrow(_encode, _PACKS), "packs", large_rows=True)
     entries = packs.select("pack", F.posexplode(F.arrays_zip("hashes", "tails", "counts")).alias("at", "z")).select("pack", "at", F.col("z.hashes").alias("h"), "z.tails", "z.counts")
     counted = keep(entries.groupBy("h").agg(F.sum("counts").alias("c"), F.min("tails").alias("tail")).filter("c > 0"), "counts")
     trained = docs.agg(F.count_if(F.col("doc_id").isNull() | (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2))).first()[0]
@@ -359,7 +359,7 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     model = Model.first(class_tokens)
     width = STATES + STATES * STATES + STATES * len(class_tokens)
     if trained:
-        classed = keep(packs.select("ids", "lengths", "places", "hashes", "tails").mapInArrow(_classed(spark.sparkContext.broadcast(frequent)), _CLASSED), "classes")
+        classed = keep(packs.select("ids", "lengths", "places", "hashes", "tails").mapInArrow(_classed(spark.sparkContext.broadcast(frequent)), _CLASSED), "classes", large_rows=True)
         for _ in range(rounds):
             shared = spark.sparkContext.broadcast(model.arrays())
             sums = _summed(classed.mapInArrow(_trainer(shared), "slot int, sums array<double>"), width)
