@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkstone.plans.index import Index
-from inkstone.plans.kept import kept
+from inkstone.plans.kept import freed, kept
 
 #: The share of the floor that late terms may hold, and what sums in another order may differ by.
 SPARE, SLACK = 0.5, 1e-9
@@ -71,8 +71,11 @@ def finished(pairs: DataFrame, plan: DataFrame, postings: DataFrame, floor: floa
     return scored.filter(F.col("open") | (F.round("base", 12) >= floor)).select("qid", "id", "base")
 
 
-def bounded_scores(q: DataFrame, index: Index, floor: float, spare: float = SPARE) -> DataFrame:
-    """qid, id, base of every pair of a question (qid, qterms, open) and an article that reaches the floor or, for open questions, shares a term."""
+def bounded_scores(q: DataFrame, index: Index, floor: float, spare: float = SPARE, held: list[DataFrame] | None = None) -> DataFrame:
+    """held: gets the tables that the scores are read from. qid, id, base of every pair of a question (qid, qterms, open) and an article that reaches the floor or, for open questions, shares a term."""
     plan = kept(planned(question_weights(q, index.idf), index.parts, floor, spare), "question-parts")
     pairs = kept(survivors(plan, index.postings, floor), "surviving-pairs")
+    freed(q.sparkSession)
+    if held is not None:
+        held += [plan, pairs]
     return finished(pairs, plan, index.postings, floor)

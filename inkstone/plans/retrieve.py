@@ -17,7 +17,7 @@ from inkstone.functions.dates import date_spec, without_dates
 from inkstone.functions.text import token_cost, words_asked
 from inkstone.plans.bounded import bounded_scores
 from inkstone.plans.index import Index, headers
-from inkstone.plans.kept import dropped, kept
+from inkstone.plans.kept import dropped, freed, kept
 
 #: Floors by backend, weights of title overlap and date in range, the number of conflicting records.
 FLOOR = {"tfidf": 0.05, "dense": 0.30}
@@ -155,16 +155,25 @@ def retrieve(index: Index, questions: DataFrame, *, min_similarity: float | None
     budget, any_open = q.agg(F.max("token_budget"), F.bool_or("open")).first()
     most = int(budget or 0) + 1  # no more articles fit
 
-    base = kept(bounded_scores(q, index, floor) if index.backend == "tfidf" else _dense_scores(q, vectors, index, floor), "base")
+    read: list[DataFrame] = []
+    base = kept(bounded_scores(q, index, floor, held=read) if index.backend == "tfidf" else _dense_scores(q, vectors, index, floor), "base")
+    for df in read:
+        dropped(df)
+    freed(q.sparkSession)
     head = q.select("qid", "spec", "widened", "waived", "open", "source", "asked_topic", "token_budget", "n_terms", F.array_distinct("qterms").alias("qset"))
-    met = base.alias("b").join(light.alias("a"), "id").join(head.alias("q"), "qid").withColumn("match", date_matches())
-    met = met.withColumn("hits", F.size(F.array_intersect("qset", F.coalesce("title_tokens", F.array().cast("array<string>")))))
-    scored = _ranked(met, floor)
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        met = pairs.alias("b").join(light.alias("a"), "id").join(head.alias("q"), "qid").withColumn("match", date_matches())
+        return _ranked(met.withColumn("hits", F.size(F.array_intersect("qset", F.coalesce("title_tokens", F.array().cast("array<string>"))))), floor)
+
+    scored = ranked(base)
     if any_open:
-        some = _firsts(scored.filter("open"), most)
-        scored = scored.filter("not open").unionByName(some).unionByName(_ranked(_without_terms(head, some, light, most), floor))
+        # titles and filters come back to the few that are left, so none are sorted with all pairs
+        some = _firsts(scored.filter("open"), most, lambda ids: ranked(base.join(ids, ["qid", "id"], "left_semi")))
+        scored = ranked(base.join(q.filter("not open").select("qid"), "qid", "left_semi")).unionByName(some).unionByName(_ranked(_without_terms(head, some, light, most), floor))
 
     scored = kept(scored, "scored")
+    freed(q.sparkSession)
     good = scored.filter("candidate and (waived or passes)")
     packed, stops = _pack(good, most)
     counts = good.groupBy("qid").agg(F.count(F.lit(1)).alias("n_kept"))
@@ -213,10 +222,15 @@ def _order(*keys: str) -> WindowSpec:
     return Window.partitionBy("qid", *keys).orderBy(F.round("rerank", 12).desc(), "id")
 
 
-def _firsts(scored: DataFrame, most: int) -> DataFrame:
-    """The best of an open question's pairs: as many candidates as fit any budget, and one more, and as many others."""
-    best = scored.withColumn("nth", F.row_number().over(_order("candidate"))).filter(F.col("nth") <= most)
-    return kept(best.select(*_SCORED), "open-pairs")
+def _firsts(scored: DataFrame, most: int, rows_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The best of an open question's pairs: as many candidates as fit any budget, and one more, and as many others. rows_of: gives the rows of some (qid, id), if not from scored."""
+    pairs = scored.select("qid", "id", "candidate", "rerank")
+    ids = kept(pairs.withColumn("nth", F.row_number().over(_order("candidate"))).filter(F.col("nth") <= most).select("qid", "id"), "open-firsts")
+    freed(scored.sparkSession)
+    some = kept((scored.join(ids, ["qid", "id"], "left_semi") if rows_of is None else rows_of(ids)).select(*_SCORED), "open-pairs")
+    dropped(ids)
+    freed(scored.sparkSession)
+    return some
 
 
 def _without_terms(head: DataFrame, some: DataFrame, light: DataFrame, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from inkstone.plans import index, kept, store
+from inkstone.plans.retrieve import retrieve
 
 
 def articles(spark, n):
@@ -54,3 +55,15 @@ def test_a_merge_without_readers_deletes_the_old_postings_first(spark, monkeypat
     store._swap(spark, path, said)
     monkeypatch.setattr(store, "weighed_rounds", weighed)
     assert rows(store.merge(spark, path).postings) == want
+
+
+def test_asking_deletes_the_tables_that_scores_were_read_from(spark, monkeypatch):
+    built = index.build(articles(spark, 60))
+    seen, written = [], kept._written
+    monkeypatch.setattr(kept, "_written", lambda df, tag, *more: seen.append((tag, (out := written(df, tag, *more))[0])) or out)
+    q = spark.createDataFrame([("a", "w1 w2 w3"), ("b", "nothing")], "qid string, original string")
+    found = retrieve(built, q, min_similarity=0.0)
+    assert found.evidence.count() > 0
+    left = {tag for tag, path in seen if os.path.exists(path.removeprefix("file:"))}
+    gone = {"question-parts", "surviving-pairs", "open-firsts"}
+    assert gone <= {tag for tag, _ in seen} and not gone & left and {"base", "scored", "open-pairs", "evidence"} <= left
