@@ -57,7 +57,9 @@ def survivors(plan: DataFrame, postings: DataFrame, floor: float) -> DataFrame:
     """qid, id, kind, open, sofar: pairs that the first pass can't rule out, with the sum of all but the late terms."""
     read = plan.filter("not late")
     parts = read.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "late")
-    pairs = parts.join(asked_of(postings, read), ["term", "kind", "slice"]).groupBy("qid", "id").agg(
+    # few parts go to the postings, where an article's lie together, so that pairs are summed before they are shuffled
+    met = postings.join(F.broadcast(parts), ["term", "kind", "slice"]) if parts.count() <= MOST_PARTS else parts.join(asked_of(postings, read), ["term", "kind", "slice"])
+    pairs = met.groupBy("qid", "id").agg(
         F.sum(F.col("u") * F.col("weight")).alias("sofar"), F.bool_or("needed").alias("needed"), F.max("rest").alias("rest"), F.max("kind").alias("kind"), F.bool_or("open").alias("open"))
     return pairs.filter(F.col("needed") & (F.col("open") | (F.col("sofar") + F.col("rest") >= floor - SLACK))).select("qid", "id", "kind", "open", "sofar")
 
@@ -67,8 +69,9 @@ def finished(pairs: DataFrame, plan: DataFrame, postings: DataFrame, floor: floa
     late = plan.filter("late").select("qid", "kind", "term", "slices", "u")
     asks = pairs.filter("not open").select("qid", "id", "kind").join(late, ["qid", "kind"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
     more = asks.join(asked_of(postings, plan.filter("late")).select("id", "term", "slice", "weight"), ["id", "term", "slice"]).groupBy("qid", "id").agg(F.sum(F.col("u") * F.col("weight")).alias("more"))
-    scored = pairs.join(more, ["qid", "id"], "left").withColumn("base", F.col("sofar") + F.coalesce("more", F.lit(0.0)))
-    return scored.filter(F.col("open") | (F.round("base", 12) >= floor)).select("qid", "id", "base")
+    scored = pairs.filter("not open").join(more, ["qid", "id"], "left").withColumn("base", F.col("sofar") + F.coalesce("more", F.lit(0.0)))
+    whole = pairs.filter("open").select("qid", "id", F.col("sofar").alias("base"))  # open questions have no late terms
+    return scored.filter(F.round("base", 12) >= floor).select("qid", "id", "base").unionByName(whole)
 
 
 def bounded_scores(q: DataFrame, index: Index, floor: float, spare: float = SPARE, held: list[DataFrame] | None = None) -> DataFrame:
